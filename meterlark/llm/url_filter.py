@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, mix
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = "h1 long, h2 long"
@@ -61,9 +61,8 @@ def hashed(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def places(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: int) -> np.ndarray:
     """(keys, hashes) bit numbers; each level has its own."""
-    a = h1 ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-    a = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    b = (h2 + np.uint64(level)) | np.uint64(1)
+    a = mix(h1 + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    b = mix(h2 + np.uint64(level)) | np.uint64(1)
     return (a[:, None] + b[:, None] * np.arange(hashes, dtype=np.uint64)) % np.uint64(bits)
 
 
