@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, url_filter
-from .common import read_table
+from . import language_id, mixing, packing, quality_crf, simhash, toxicity, url_filter
+from .common import read_table, remainder_of_id
+from .labelled import labelled_sample
 
 #: Folder of tokenizer files; the vocabulary is a parameter of the operators.
 TOKENIZERS = os.environ.get("METERLARK_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +19,21 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = remainder_of_id(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = remainder_of_id(F.col("doc_id"), 4) == 2
+    sample = labelled_sample(docs, read_table(spark, folder, "labels"), "quality", ~held_out, quality_crf.PER_CLASS)
+    scored = quality_crf.score(docs, quality_crf.fit(sample))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
     out = mixing.mix_sources(docs)
@@ -59,14 +75,24 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 """
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = remainder_of_id(F.col("doc_id"), 3) == 1
+    sample = labelled_sample(docs, read_table(spark, folder, "labels"), "toxic", ~held_out, toxicity.PER_CLASS)
+    return toxicity.score(docs, sample).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_file())
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_quality_crf": op3_quality_crf,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {"op7_url_filter": OP7_SQL}
