@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_crf, simhash, toxicity, url_filter
+from . import language_id, mixing, packing, quality_crf, simhash, substring_dedup, toxicity, url_filter
 from .common import read_table, remainder_of_id
 from .labelled import labelled_sample
 
@@ -75,6 +75,11 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 """
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.remove_repeats(docs))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     held_out = remainder_of_id(F.col("doc_id"), 3) == 1
@@ -92,6 +97,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
