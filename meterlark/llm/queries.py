@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_crf, simhash, substring_dedup, toxicity, url_filter
+from . import ann_curves, language_id, mixing, packing, quality_crf, simhash, substring_dedup, topk_search, toxicity, url_filter
 from .common import read_table, remainder_of_id
 from .labelled import labelled_sample
 
@@ -19,6 +19,33 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: the benchmark items whose id is divisible by 20; all documents are searched."""
+    asked = read_table(spark, folder, "benchmark").where(F.col("item_id") % 20 == 0).select("item_id", "text").collect()
+    return topk_search.search(read_table(spark, folder, "documents"), [(r["item_id"], r["text"]) for r in asked])
+
+
+OP1_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, row_number() OVER () AS row_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents WHERE doc_id IS NOT NULL),
+words AS (SELECT doc_id, row_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+facts AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM words),
+asked AS (
+  SELECT DISTINCT item_id AS query_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id % 20 = 0),
+flat AS (SELECT doc_id, row_id, len(ws) AS size, unnest(ws) AS term FROM words),
+tf AS (SELECT doc_id, row_id, size, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT query_id, row_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), facts GROUP BY query_id, row_id, doc_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     held_out = remainder_of_id(F.col("doc_id"), 3) == 1
@@ -34,6 +61,10 @@ def op3_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_ann_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_curves.neighbours(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
     out = mixing.mix_sources(docs)
@@ -92,8 +123,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
     "op3_quality_crf": op3_quality_crf,
+    "op4_ann_curves": op4_ann_curves,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
@@ -101,4 +134,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL}
