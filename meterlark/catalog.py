@@ -1,11 +1,202 @@
-"""Every query over the driver's tables, by operator id, with SQL that gives the same rows."""
+"""Every query over the driver's tables, by operator, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import catalog_sql as S
+from .operators import buckets as B
+from .operators import pricing as P
+from .operators import rollups as R
+from .sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "cost_by_deployment"
+FLAGSHIP = "deployment_rollup"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def catalogs(spark: SparkSession) -> list[P.Catalog]:
+    return [P.Catalog("house", "customer", P.price_rows(spark, S.customer_entries())), P.reference_catalog(spark)]
+
+
+def priced(spark: SparkSession, folder: str) -> DataFrame:
+    return P.price_traces(V.request_traces(spark, folder), catalogs(spark))
+
+
+def joined(df: DataFrame, *names: str) -> DataFrame:
+    """List columns as text, for comparison by value."""
+    return df.withColumns({n: F.array_join(n, ";") for n in names})
+
+
+LISTS = ("unresolved_reasons", "suggested_override_keys")
+RATES = ["input_price_per_million", "cached_input_price_per_million", "output_price_per_million"]
+
+# Pricing
+
+
+@query(f"WITH {S.PRICED_SQL} SELECT ingest_seq, kind AS catalog_kind, catalog, starts AS effective_from, input_rate, cached_rate, output_rate FROM chosen WHERE kind IS NOT NULL")
+def price_asof(spark, folder):
+    """J1, J4, J5, FLT3: the entry that prices each trace, if any."""
+    out = V.request_traces(spark, folder)
+    for i, c in enumerate(catalogs(spark)):
+        out = P.with_price(out, c, f"p{i}", F.col("ts"), F.col("input_tokens"))
+    own = F.col("p0").isNotNull()
+    pick = lambda name: F.when(own, F.col(f"p0.{name}")).otherwise(F.col(f"p1.{name}"))
+    found = out.where(own | F.col("p1").isNotNull())
+    return found.select("ingest_seq", F.when(own, "customer").otherwise("reference").alias("catalog_kind"), F.when(own, "house").otherwise(catalogs(spark)[1].name).alias("catalog"), pick("effective_from").cast("string").alias("effective_from"), pick("input_rate").alias("input_rate"), pick("cached_rate").alias("cached_rate"), pick("output_rate").alias("output_rate"))
+
+
+@query(f"WITH {S.PRICED_SQL} SELECT ingest_seq, source, reason, override_key FROM costed WHERE reading = 'a'")
+def price_resolution_reasons(spark, folder):
+    """J2, CST4: how each trace is priced or why it isn't."""
+    return priced(spark, folder).select("ingest_seq", "cost.source", "cost.reason", "cost.override_key")
+
+
+@query(f"WITH {S.PRICED_SQL} SELECT ingest_seq, round(cost_usd, 9) AS cost_usd, round(fresh_cost, 9) AS fresh_cost, round(cached_cost, 9) AS cached_cost, round(output_cost, 9) AS output_cost FROM costed WHERE reading = 'a' AND source <> 'unresolved'")
+def cost_components(spark, folder):
+    """CST1, CST2: total and parts of each priced trace."""
+    out = priced(spark, folder).where("cost.resolved")
+    return out.select("ingest_seq", *[F.round(f"cost.{n}", 9).alias(n) for n in ("cost_usd", "fresh_cost", "cached_cost", "output_cost")])
+
+
+@query(
+    f"WITH {S.PRICED_SQL}{S.slice_sql('deployment_name, model_name, deployment_mode, canonical')} SELECT * EXCLUDE canonical, canonical AS canonical_model, "
+    "round(requests / greatest(CAST(sum(requests) OVER () AS BIGINT), 1) * 100, 1) AS request_share_percent, round(total_tokens / greatest(CAST(sum(total_tokens) OVER () AS BIGINT), 1) * 100, 1) AS token_share_percent FROM summary"
+)
+def deployment_rollup(spark, folder):
+    """AGG1, AGG2, AGG7, AGG10, AGG11, DQ2, FLT6: the flagship."""
+    return joined(R.deployment_rollup(priced(spark, folder)), *LISTS).drop(*RATES)
+
+
+@query(f"WITH {S.PRICED_SQL}{S.slice_sql('')} SELECT * FROM summary")
+def portfolio_summary(spark, folder):
+    """AGG1 over everything."""
+    return joined(R.slice_summary(priced(spark, folder), []), *LISTS).drop(*RATES)
+
+
+@query(f"WITH {S.PRICED_SQL}{S.slice_sql('tenant, model_name')} SELECT * FROM summary")
+def tenant_model_slices(spark, folder):
+    """AGG1 at another grain, with slices small enough for the 1,024-token rule."""
+    return joined(R.slice_summary(priced(spark, folder), ["tenant", "model_name"]), *LISTS).drop(*RATES)
+
+
+@query(f"WITH {S.PRICED_SQL}{S.slice_sql('ingest_seq, model_name', 9)} SELECT ingest_seq, estimated_cost_usd, pricing_status, unresolved_reasons FROM summary")
+def single_request_slices(spark, folder):
+    """Q1: each request as a slice of its own; below 1,024 tokens unmeasured cached input is zero."""
+    return joined(R.slice_summary(priced(spark, folder), ["ingest_seq", "model_name"], 9), *LISTS).select("ingest_seq", "estimated_cost_usd", "pricing_status", "unresolved_reasons")
+
+
+@query(
+    f"WITH {S.PRICED_SQL} SELECT CAST(grouping(deployment_name) AS INTEGER) AS is_total, deployment_name, model_name, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, "
+    "round(sum(CASE WHEN source <> 'unresolved' THEN cost_usd END), 6) AS estimated_cost_usd FROM costed WHERE reading = 'a' GROUP BY GROUPING SETS ((), (deployment_name, model_name))"
+)
+def portfolio_grouping_sets(spark, folder):
+    """Portfolio and deployments in one pass."""
+    return R.grouping_summary(priced(spark, folder), ["deployment_name", "model_name"])
+
+
+@query(
+    f"WITH {S.PRICED_SQL}{S.slice_sql('deployment_name, model_name, deployment_mode, canonical')} SELECT canonical AS canonical_model, deployment_mode, count(*) AS deployments, CAST(sum(requests) AS BIGINT) AS requests, "
+    "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, "
+    "CASE WHEN min(total_tokens_state) = max(total_tokens_state) THEN min(total_tokens_state) ELSE 'partial' END AS total_tokens_state, round(sum(estimated_cost_usd), 6) AS estimated_cost_usd, "
+    "round(sum(requests * pricing_coverage_requests_percent / 100) / sum(requests) * 100, 1) AS pricing_coverage_requests_percent, "
+    "CASE WHEN min(pricing_source) = max(pricing_source) THEN min(pricing_source) ELSE 'mixed' END AS pricing_source, CASE WHEN min(pricing_status) = max(pricing_status) THEN min(pricing_status) ELSE 'mixed' END AS pricing_status FROM summary GROUP BY ALL"
+)
+def model_rollup(spark, folder):
+    """AGG12, AGG13, AGG14, SRT8: models over deployments."""
+    return R.model_rollup(R.deployment_rollup(priced(spark, folder)))
+
+
+@query(
+    f"WITH {S.PRICED_SQL} SELECT deployment_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(*) FILTER (source <> 'unresolved') AS priced_requests, round(sum(cost_usd) FILTER (source <> 'unresolved'), 10) AS cost_usd, "
+    "round(sum(fresh_cost), 10) AS fresh_cost_usd, round(sum(cached_cost), 10) AS cached_cost_usd, round(sum(output_cost), 10) AS output_cost_usd, round(count(*) FILTER (source <> 'unresolved') / count(*) * 100, 1) AS coverage_percent "
+    "FROM costed WHERE reading = 'a' GROUP BY 1, 2"
+)
+def daily_cost(spark, folder):
+    """AGG28: cost by deployment and day."""
+    return R.daily_cost(priced(spark, folder), ["deployment_name"])
+
+
+@query(f"WITH {S.PRICED_SQL} SELECT override_key, reason, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM costed WHERE reading = 'a' AND source = 'unresolved' GROUP BY 1, 2")
+def unresolved_models(spark, folder):
+    """What isn't priced, by reason and override key."""
+    return R.unresolved_models(priced(spark, folder))
+
+
+# Buckets
+
+
+@query(f"WITH {S.METRIC_BUCKETS_SQL}{S.bucket_sql('deployment_name')} SELECT * FROM bucket_summary")
+def bucket_summary(spark, folder):
+    """AGG3, AGG4, AGG5, AGG41: buckets by deployment."""
+    return B.bucket_summary(V.metric_buckets(spark, folder), ["deployment_name"])
+
+
+@query(f"WITH {S.METRIC_BUCKETS_SQL}{S.bucket_sql('')} SELECT * FROM bucket_summary")
+def bucket_portfolio(spark, folder):
+    """AGG3 over everything."""
+    return B.bucket_summary(V.metric_buckets(spark, folder))
+
+
+@query(
+    f"WITH {S.METRIC_BUCKETS_SQL}{S.bucket_sql('deployment_name')} SELECT deployment_name, input_tokens IS NOT NULL AS input_tokens, cached_tokens IS NOT NULL AS cached_tokens, output_tokens IS NOT NULL AS output_tokens, requests_observed IS NOT NULL AS requests, "
+    "outcome_coverage <> 'unavailable' AS request_outcomes, latency_coverage_percent > 0 AS latency, false AS retries FROM bucket_summary"
+)
+def bucket_field_coverage(spark, folder):
+    """AGG6."""
+    return B.field_coverage(B.bucket_summary(V.metric_buckets(spark, folder), ["deployment_name"]), ["deployment_name"])
+
+
+@query(
+    f"WITH {S.METRIC_BUCKETS_SQL}, slots AS (SELECT DISTINCT deployment_name, bucket // 300 AS slot FROM buckets), stepped AS (SELECT *, lag(slot) OVER (PARTITION BY deployment_name ORDER BY slot) AS prev FROM slots), "
+    "gaps AS (SELECT deployment_name, (prev + 1) * 300 AS gap_start, slot - prev - 1 AS missing_buckets FROM stepped WHERE slot > prev + 1) "
+    "SELECT *, CAST(row_number() OVER (PARTITION BY deployment_name ORDER BY gap_start) AS INTEGER) AS gap_number, count(*) OVER (PARTITION BY deployment_name) AS gaps FROM gaps QUALIFY gap_number <= 200"
+)
+def bucket_gaps(spark, folder):
+    """WIN7: missing runs of buckets."""
+    return B.bucket_gaps(V.metric_buckets(spark, folder), ["deployment_name"])
+
+
+@query(
+    f"WITH {S.METRIC_BUCKETS_SQL}, per_day AS (SELECT deployment_name, bucket // 86400 AS day, count(DISTINCT bucket) AS n FROM buckets GROUP BY 1, 2), "
+    "calendar AS (SELECT deployment_name, unnest(range(min(day), max(day) + 1)) AS day FROM per_day GROUP BY 1) "
+    "SELECT deployment_name, count(*) AS days, count(*) FILTER (n >= 288) AS days_complete, count(*) FILTER (n > 0 AND n < 288) AS days_partial, count(*) FILTER (n IS NULL) AS days_missing FROM calendar LEFT JOIN per_day USING (deployment_name, day) GROUP BY 1"
+)
+def bucket_day_coverage(spark, folder):
+    """AGG34, AGG33."""
+    return B.day_coverage(V.metric_buckets(spark, folder), ["deployment_name"])
+
+
+INSIGHTS_SQL = (
+    f"WITH {S.METRIC_BUCKETS_SQL}{S.bucket_sql('deployment_name')}, b AS (SELECT *, greatest(0, failed_requests - coalesce(rate_limited_requests, 0)) AS other FROM bucket_summary) "
+    "SELECT deployment_name, 'AGG-COVERAGE' AS insight_id, 'data_quality' AS category, 0 AS priority, 'material' AS materiality, round(observed_buckets / elapsed_buckets * 100, 1) AS value FROM b WHERE observed_buckets < elapsed_buckets "
+    "UNION ALL SELECT deployment_name, 'AGG-RATE-LIMIT', 'reliability', 1, CASE WHEN rate_limited_requests / requests_observed >= .1 THEN 'material' ELSE 'advisory' END, round(rate_limited_requests / requests_observed * 100, 1) FROM b WHERE rate_limited_requests / requests_observed * 100 >= 5 "
+    "UNION ALL SELECT deployment_name, 'AGG-FAILURE-RATE', 'reliability', 1, CASE WHEN other / requests_observed >= .1 THEN 'material' ELSE 'advisory' END, round(other / requests_observed * 100, 1) FROM b WHERE other > 0 "
+    "UNION ALL SELECT deployment_name, 'AGG-TOKENS-PER-REQUEST', 'token_efficiency', 2, 'observation', round(total_tokens / requests_observed, 2) FROM b WHERE total_tokens IS NOT NULL "
+    "UNION ALL SELECT deployment_name, 'AGG-NATIVE-USAGE-GAP', 'data_quality', 1, 'observation', NULL FROM b WHERE total_tokens IS NULL "
+    "UNION ALL SELECT deployment_name, 'AGG-CACHED-TOKEN-GAP', 'pricing_readiness', 2, 'observation', NULL FROM b WHERE cached_tokens_state = 'unavailable' AND total_tokens IS NOT NULL "
+    "UNION ALL SELECT deployment_name, 'AGG-OUTCOME-GAP', 'data_quality', 1, 'observation', NULL FROM b WHERE outcome_coverage = 'unavailable' "
+    "UNION ALL SELECT deployment_name, 'DQ-LATENCY-GAP', 'data_quality', 1, 'observation', NULL FROM b WHERE latency_coverage_percent = 0"
+)
+
+
+@query(INSIGHTS_SQL)
+def aggregate_insights(spark, folder):
+    """INS1, SRT6."""
+    return B.insights(B.bucket_summary(V.metric_buckets(spark, folder), ["deployment_name"]), ["deployment_name"])
