@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import catalog_sql as S
+from . import fixed
 from .operators import buckets as B
 from .operators import pricing as P
 from .operators import rollups as R
+from .operators import rules as Q
 from .sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +202,151 @@ INSIGHTS_SQL = (
 def aggregate_insights(spark, folder):
     """INS1, SRT6."""
     return B.insights(B.bucket_summary(V.metric_buckets(spark, folder), ["deployment_name"]), ["deployment_name"])
+
+
+# Diagnostics
+
+
+def short_requests(spark, folder) -> DataFrame:
+    return V.conversation_traces(spark, folder).drop("messages").withColumnRenamed("short", "messages")
+
+
+def raw_requests(spark, folder) -> DataFrame:
+    return V.conversation_traces(spark, folder).drop("short")
+
+
+KEY = ["deployment_name"]
+SHORT = "substr({}.text, 1, 3)"
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, prompts AS (SELECT deployment_name, ingest_seq, trim(array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'system'), lambda t: substr(t.text, 1, 3)), chr(10))) AS prompt FROM requests), "
+    "grouped AS (SELECT deployment_name, prompt, count(*) AS n, min(ingest_seq) AS first FROM prompts WHERE prompt <> '' GROUP BY 1, 2), "
+    "top AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY deployment_name ORDER BY n DESC, first) = 1) "
+    "SELECT deployment_name, 'TL001' AS rule_id, n AS affected, strlen(prompt) * (n - 1) AS measured, CAST(floor(strlen(prompt) * (n - 1) * 0.72) AS BIGINT) AS min_savings, strlen(prompt) * (n - 1) AS max_savings FROM top WHERE n >= 2 AND strlen(prompt) * (n - 1) >= 100"
+)
+def tl001_repeated_prefix(spark, folder):
+    """TL001, SRT11."""
+    return Q.repeated_prefix(short_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, open AS (SELECT * FROM requests WHERE deployment_name NOT IN (SELECT deployment_name FROM requests WHERE len(list_filter(turns, lambda t: t.role = 'system' AND trim(t.text) <> '')) > 0)), "
+    "grouped AS (SELECT deployment_name, fingerprint, count(*) AS n, arg_max(prefix_tokens, ingest_seq) AS tokens, min(ingest_seq) AS first FROM open WHERE fingerprint IS NOT NULL GROUP BY 1, 2), "
+    "top AS (SELECT *, tokens * (n - 1) AS repeated FROM grouped QUALIFY row_number() OVER (PARTITION BY deployment_name ORDER BY n DESC, first) = 1) "
+    "SELECT deployment_name, 'TL001' AS rule_id, n AS affected, repeated AS measured, CAST(floor(repeated * 0.72) AS BIGINT) AS min_savings, repeated AS max_savings FROM top WHERE n >= 2 AND repeated >= 100"
+)
+def tl001b_fingerprint_prefix(spark, folder):
+    """TL001b: no slice of these has a finding unless it lacks system prompts."""
+    return Q.fingerprint_prefix(raw_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, long AS (SELECT deployment_name, count(*) AS n, CAST(sum(context) AS BIGINT) AS total FROM requests WHERE len(turns) >= 5 GROUP BY 1) "
+    "SELECT deployment_name, 'TL002' AS rule_id, n AS affected, total AS measured, CAST(round_even(round_even(total * 0.15e0, 0) * 0.6e0, 0) AS BIGINT) AS min_savings, CAST(round_even(total * 0.15e0, 0) AS BIGINT) AS max_savings FROM long WHERE n >= 2"
+)
+def tl002_history_growth(spark, folder):
+    """TL002, TOK4."""
+    return Q.history_growth(raw_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, defined AS (SELECT DISTINCT deployment_name, unnest(tools) AS name FROM requests), used AS (SELECT DISTINCT deployment_name, unnest(called) AS name FROM requests), "
+    "counts AS (SELECT d.deployment_name, count(*) AS tools, count(*) FILTER (u.name IS NULL) AS unused FROM defined d LEFT JOIN used u ON d.deployment_name = u.deployment_name AND d.name = u.name GROUP BY 1), "
+    "tokens AS (SELECT deployment_name, CAST(sum(CASE WHEN len(tools) > 0 THEN tools_bytes ELSE 0 END) AS BIGINT) AS tokens FROM requests GROUP BY 1) "
+    "SELECT deployment_name, 'TL003' AS rule_id, unused AS affected, tokens AS measured, CAST(round_even(round_even(tokens * unused / tools, 0) * 0.6e0, 0) AS BIGINT) AS min_savings, CAST(round_even(tokens * unused / tools, 0) AS BIGINT) AS max_savings FROM counts JOIN tokens USING (deployment_name) WHERE unused > 0 AND tokens >= 100"
+)
+def tl003_unused_tools(spark, folder):
+    """TL003, TL003u."""
+    return Q.unused_tools(raw_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CHUNKS_SQL}, total AS (SELECT deployment_name, CAST(coalesce(sum(n) FILTER (likeness >= 0.85), 0) AS BIGINT) AS total FROM pairs GROUP BY 1), counts AS (SELECT deployment_name, count(*) AS n FROM chunked GROUP BY 1) "
+    "SELECT deployment_name, 'TL004' AS rule_id, n AS affected, total AS measured, CAST(round_even(total * 0.5e0, 0) AS BIGINT) AS min_savings, total AS max_savings FROM counts JOIN total USING (deployment_name) WHERE n >= 2 AND total >= 100"
+)
+def tl004_chunk_redundancy(spark, folder):
+    """TL004, TL004w, J19, SET6."""
+    return Q.redundant_chunks(V.document_chunks(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, texts AS (SELECT deployment_name, retry_count > 0 AS explicit, coalesce(input_tokens, short_context) AS cost, trim(array_to_string(list_transform(turns, lambda t: substr(t.text, 1, 3)), chr(10))) AS text FROM requests), "
+    "counted AS (SELECT *, count(*) OVER (PARTITION BY deployment_name, text) AS n, bool_or(explicit) OVER (PARTITION BY deployment_name) AS any_explicit FROM texts), "
+    "chosen AS (SELECT deployment_name, count(*) AS n, CAST(sum(cost) AS BIGINT) AS total FROM counted WHERE CASE WHEN any_explicit THEN explicit ELSE text <> '' AND n > 1 END GROUP BY 1) "
+    "SELECT deployment_name, 'TL005' AS rule_id, n AS affected, total AS measured, CAST(round_even(total * 0.6e0, 0) AS BIGINT) AS min_savings, total AS max_savings FROM chosen"
+)
+def tl005_retry_amplification(spark, folder):
+    """TL005."""
+    return Q.retry_amplification(short_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, p AS (SELECT deployment_name, count(*) AS n, quantile_disc(max_output_tokens, 0.99) AS top, quantile_disc(output_tokens, 0.99) AS used FROM requests WHERE max_output_tokens IS NOT NULL AND output_tokens IS NOT NULL GROUP BY 1) "
+    "SELECT deployment_name, 'TL006' AS rule_id, n AS affected, top - used AS measured, CAST(round_even((top - used) * n * 0.1e0, 0) AS BIGINT) AS min_savings, (top - used) * n AS max_savings FROM p WHERE n >= 2 AND top > used * 2"
+)
+def tl006_output_budget(spark, folder):
+    """TL006, PCT4."""
+    return Q.output_budget(raw_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, asked AS (SELECT deployment_name, tenant, coalesce(workload, 'default') AS w, lower(trim(regexp_replace(substr(list_filter(turns, lambda t: t.role = 'user')[-1].text, 1, 3), '\\s+', ' ', 'g'))) AS prompt FROM requests), "
+    "grouped AS (SELECT deployment_name, tenant, w, prompt, count(*) AS n FROM asked WHERE prompt <> '' GROUP BY ALL HAVING count(*) > 1) "
+    "SELECT deployment_name, 'TL007' AS rule_id, count(*) AS affected, CAST(sum(n - 1) AS BIGINT) AS measured, CAST(sum(n - 1) AS BIGINT) AS min_savings, CAST(sum(n - 1) AS BIGINT) AS max_savings FROM grouped GROUP BY 1"
+)
+def tl007_repeated_intents(spark, folder):
+    """TL007."""
+    return Q.repeated_intents(short_requests(spark, folder), KEY)
+
+
+@query(
+    f"WITH {V.CONVERSATIONS_SQL}, judged AS (SELECT deployment_name, output_tokens, model, lower(array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'user'), lambda t: t.text), ' ')) AS text, lower(coalesce(task_type, '')) AS shape FROM requests WHERE model_name <> 'unknown'), "
+    "counts AS (SELECT deployment_name, count(*) AS n, count(*) FILTER (regexp_matches(text, 'classify|extract|format as json|yes or no|categorize') OR regexp_matches(shape, 'classify|extract|format as json|yes or no|categorize') OR (length(text) < 120 AND coalesce(output_tokens < 160, false))) AS bounded, "
+    "count(*) FILTER (NOT regexp_matches(lower(model), 'mini|nano')) AS large FROM judged WHERE trim(text) <> '' OR shape <> '' GROUP BY 1) "
+    "SELECT deployment_name, 'TL008' AS rule_id, bounded AS affected, n AS measured, CAST(NULL AS BIGINT) AS min_savings, CAST(NULL AS BIGINT) AS max_savings FROM counts WHERE bounded / n >= 0.2 AND large / n >= 0.2"
+)
+def tl008_model_sizing(spark, folder):
+    """TL008, FLT4."""
+    return Q.model_sizing(raw_requests(spark, folder), KEY)
+
+
+EVIDENCE_SQL = (
+    f"WITH {V.CONVERSATIONS_SQL}, flags AS (SELECT deployment_name, count(*) AS n, bool_or(len(tools) > 0) AS tools, bool_or(max_output_tokens > 0) AS max_output_tokens, bool_or(output_tokens IS NOT NULL) AS output_tokens, bool_or(retry_count > 0) AS retry_count, "
+    "bool_or(prefix_tokens IS NOT NULL) AS system_prompt_tokens, bool_or(fingerprint IS NOT NULL) AS system_prompt_fingerprint, bool_or(model_name <> 'unknown') AS model_identity FROM requests GROUP BY 1), "
+    "held AS (SELECT deployment_name, list_sort(list_filter(['messages', 'task_shape_evidence', 'request_fingerprint', CASE WHEN tools THEN 'tools' END, CASE WHEN max_output_tokens THEN 'max_output_tokens' END, CASE WHEN output_tokens THEN 'output_tokens' END, "
+    "CASE WHEN retry_count THEN 'retry_count' END, CASE WHEN system_prompt_tokens THEN 'system_prompt_tokens' END, CASE WHEN system_prompt_fingerprint THEN 'system_prompt_fingerprint' END, CASE WHEN model_identity THEN 'model_identity' END], lambda x: x IS NOT NULL)) AS available FROM flags)"
+)
+
+
+@query(EVIDENCE_SQL + " SELECT deployment_name, array_to_string(available, ',') AS available, false AS only_buckets FROM held")
+def rule_evidence(spark, folder):
+    """FLT7."""
+    return Q.evidence(raw_requests(spark, folder), KEY).withColumn("available", F.array_join("available", ","))
+
+
+@query(
+    EVIDENCE_SQL
+    + ", rules(rule_id, title, sets) AS (VALUES "
+    + ", ".join(f"('{r}', '{t}', {[[*s] for s in sets]!r})" for r, t, _, sets in fixed.RULES)
+    + "), unmet AS (SELECT deployment_name, rule_id, title, list_transform(sets, lambda s: list_filter(s, lambda x: NOT list_contains(available, x))) AS unmet FROM held, rules), "
+    "closest AS (SELECT *, list_filter(unmet, lambda u: len(u) = list_min(list_transform(unmet, lambda v: len(v))))[1] AS missing FROM unmet) "
+    "SELECT deployment_name, rule_id, title, array_to_string(missing, ',') AS missing, len(missing) = 0 AS runs FROM closest"
+)
+def rule_applicability(spark, folder):
+    """FLT8, FLT9, SET7."""
+    return Q.applicability(Q.evidence(raw_requests(spark, folder), KEY), KEY).withColumn("missing", F.array_join("missing", ","))
+
+
+@query()
+def rule_run(spark, folder):
+    """TLRUN, TLALL: all rules over deployments; its parts have SQL of their own."""
+    return Q.evaluate(raw_requests(spark, folder), KEY)
+
+
+@query()
+def material_findings_topk(spark, folder):
+    """TLIMP, FLT10, SRT1 to SRT3 over the whole portfolio."""
+    rows = short_requests(spark, folder)
+    totals = rows.agg(F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("requests"))
+    return Q.top_findings(Q.with_impact(Q.evaluate(rows), totals))

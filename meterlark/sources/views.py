@@ -93,3 +93,72 @@ buckets AS (
     round(avg(latency_ms), 6) AS average_latency_ms, CASE WHEN deployment_name = 'dep-4' THEN 'partial' ELSE 'complete' END AS outcome_coverage
   FROM traces GROUP BY ALL)"""
 )
+
+
+def conversation_traces(spark: SparkSession, folder: str, letters: int = 3) -> DataFrame:
+    """One request for each conversation.  ``messages`` are its turns, ``short`` the same with contents cut to a few letters, so that texts recur."""
+    c = table(spark, folder, "conversations")
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.sum(F.when(F.col("role") == "assistant", F.length("text"))).alias("said"))
+    calls = F.when(F.col("conv_id") % 3 == 0, F.array(F.concat(F.lit("tool_"), F.col("conv_id") % 2))).otherwise(F.array().cast("array<string>"))
+    message = lambda cut: F.transform("turns", lambda t: F.struct(t["role"].alias("role"), cut(t["text"]).alias("content"), F.lit(None).cast("string").alias("name"), F.when(t["role"] == "assistant", calls).alias("tool_calls")))
+    number = F.col("conv_id")
+    return turns.select(
+        number.alias("ingest_seq"),
+        F.concat(F.lit("dep-"), number % 3).alias("deployment_name"),
+        F.when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model"),
+        F.when(number % 7 == 0, "unknown").when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model_name"),
+        message(lambda t: t).alias("messages"),
+        message(lambda t: F.substring(t, 1, letters)).alias("short"),
+        F.when(number % 2 == 0, F.array(F.lit("tool_0"), F.lit("tool_1"), F.concat(F.lit("tool_"), number % 5))).otherwise(F.array().cast("array<string>")).alias("tools"),
+        F.concat(F.lit('[{"function": {"name": "tool_'), number % 5, F.lit('"}, "type": "function"}]')).alias("tools_json"),
+        F.when(number % 4 != 0, F.col("said") + 10).alias("input_tokens"),
+        F.when(number % 5 != 0, F.coalesce(F.floor(F.col("said") / 4), F.lit(0))).cast("long").alias("output_tokens"),
+        F.when(number % 3 != 0, 4000 + number % 10).cast("long").alias("max_output_tokens"),
+        F.lit(None).cast("string").alias("retry_of"),
+        F.when(number % 29 == 0, 1).otherwise(0).alias("retry_count"),
+        F.when(number % 13 == 0, "Classify ticket").alias("task_type"),
+        F.concat(F.lit("t"), number % 2).alias("tenant"),
+        F.when(number % 3 == 0, "support").alias("workload"),
+        F.lit(None).cast("string").alias("record_type"),
+        F.when(number % 6 == 0, F.concat(F.lit("hmac-sha256:"), number % 4)).alias("fingerprint"),
+        F.when(number % 6 == 0, 120 + number % 4).cast("long").alias("prefix_tokens"),
+        F.array().cast("array<string>").alias("retrieved_chunks"),
+    )
+
+
+CONVERSATIONS_SQL = """
+turns AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) END) AS BIGINT) AS said FROM conversations GROUP BY conv_id),
+requests AS (
+  SELECT conv_id AS ingest_seq, 'dep-' || (conv_id % 3) AS deployment_name, CASE WHEN conv_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1' END AS model,
+    CASE WHEN conv_id % 7 = 0 THEN 'unknown' WHEN conv_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1' END AS model_name, turns,
+    CASE WHEN conv_id % 2 = 0 THEN ['tool_0', 'tool_1', 'tool_' || (conv_id % 5)] ELSE CAST([] AS VARCHAR[]) END AS tools,
+    CASE WHEN conv_id % 3 = 0 AND len(list_filter(turns, lambda t: t.role = 'assistant')) > 0 THEN ['tool_' || (conv_id % 2)] ELSE CAST([] AS VARCHAR[]) END AS called,
+    strlen('[{"function": {"name": "tool_' || (conv_id % 5) || '"}, "type": "function"}]') AS tools_bytes,
+    CASE WHEN conv_id % 4 <> 0 THEN said + 10 END AS input_tokens, CASE WHEN conv_id % 5 <> 0 THEN coalesce(said // 4, 0) END AS output_tokens,
+    CASE WHEN conv_id % 3 <> 0 THEN 4000 + conv_id % 10 END AS max_output_tokens, CASE WHEN conv_id % 29 = 0 THEN 1 ELSE 0 END AS retry_count,
+    CASE WHEN conv_id % 13 = 0 THEN 'Classify ticket' END AS task_type, 't' || (conv_id % 2) AS tenant, CASE WHEN conv_id % 3 = 0 THEN 'support' END AS workload,
+    CASE WHEN conv_id % 6 = 0 THEN 'hmac-sha256:' || (conv_id % 4) END AS fingerprint, CASE WHEN conv_id % 6 = 0 THEN 120 + conv_id % 4 END AS prefix_tokens,
+    CAST(list_sum(list_transform(turns, lambda t: 4 + strlen(t.role) + strlen(t.text))) + CASE WHEN len(turns) > 0 THEN 2 ELSE 0 END AS BIGINT) AS context,
+    CAST(list_sum(list_transform(turns, lambda t: 4 + strlen(t.role) + strlen(substr(t.text, 1, 3)))) + CASE WHEN len(turns) > 0 THEN 2 ELSE 0 END AS BIGINT) AS short_context
+  FROM turns)"""
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """One request for every five documents, with the first line of each as a retrieved chunk."""
+    d = table(spark, folder, "documents")
+    line = F.substring_index("text", "\n", 1)
+    return (
+        d.groupBy((F.floor(F.col("doc_id") / 5)).cast("long").alias("ingest_seq"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("text")))), lambda s: s["text"]).alias("retrieved_chunks"))
+        .withColumn("deployment_name", F.concat(F.lit("dep-"), F.col("ingest_seq") % 4))
+    )
+
+
+CHUNKS_SQL = r"""
+chunked AS (
+  SELECT doc_id // 5 AS ingest_seq, 'dep-' || (doc_id // 5 % 4) AS deployment_name, list(split_part(text, chr(10), 1) ORDER BY doc_id) AS chunks FROM documents GROUP BY 1, 2),
+worded AS (SELECT *, list_transform(chunks, lambda c: list_distinct(regexp_extract_all(lower(c), '[a-z0-9]{3,}'))) AS words FROM chunked),
+pairs AS (
+  SELECT ingest_seq, deployment_name, strlen(chunks[j]) AS n, len(list_intersect(words[i], words[j])) / greatest(1, len(list_distinct(list_concat(words[i], words[j])))) AS likeness
+  FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM worded) x, LATERAL (SELECT unnest(range(i + 1, len(chunks) + 1)) AS j) y)"""
