@@ -325,8 +325,13 @@ def digests(marked: DataFrame, text: str = "text", row_id: str = "doc_id") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(t.as_py(), s.as_py()) for t, s in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in rows], pa.int64()), pa.array([n - len(k) for k, n in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            words, gone, digest = [], [], []
+            for t, spans in zip(batch.column(1), batch.column(2), strict=True):
+                kept, n = kept_words(t.as_py(), spans.as_py())
+                words.append(n)
+                gone.append(n - len(kept))
+                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return marked.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "sd_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
