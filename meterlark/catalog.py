@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import catalog_sql as S
 from . import fixed
 from .operators import buckets as B
+from .operators import capacity as C
+from .operators import dedupe as D
 from .operators import pricing as P
 from .operators import rollups as R
 from .operators import rules as Q
+from .operators import tasks as T
+from .operators import workloads as W
+from .functions.text import canonical_model
 from .sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,3 +354,226 @@ def material_findings_topk(spark, folder):
     rows = short_requests(spark, folder)
     totals = rows.agg(F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("requests"))
     return Q.top_findings(Q.with_impact(Q.evaluate(rows), totals))
+
+
+# Workloads
+
+
+def attributed(spark, folder) -> DataFrame:
+    return W.attribute(priced(spark, folder), V.mappings(spark))
+
+
+@query("WITH " + S.ATTRIBUTED_SQL + S.workloads_sql("technical_id, technical_name", "'deployment:' || deployment_name AS technical_id, deployment_name AS technical_name") + " SELECT * FROM workload_rollup")
+def technical_workloads(spark, folder):
+    """AGG15, AGG16, PRJ27, PCT2."""
+    return W.technical_workloads(attributed(spark, folder))
+
+
+@query("WITH " + S.ATTRIBUTED_SQL + S.workloads_sql("business_id, assigned", "coalesce(workload_id, 'unassigned') AS business_id, workload_id IS NOT NULL AS assigned") + " SELECT * FROM workload_rollup")
+def business_workloads(spark, folder):
+    """AGG17, J13, J15, SRT7: with the unassigned rest."""
+    return W.business_workloads(attributed(spark, folder))
+
+
+@query("WITH " + S.ATTRIBUTED_SQL + " SELECT count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost_usd) FILTER (source <> 'unresolved'), 6) AS cost FROM attributed WHERE workload_id IS NULL")
+def unassigned_workload(spark, folder):
+    """What no label or dedicated mapping claims."""
+    rows = attributed(spark, folder).where("workload_id is null")
+    return rows.agg(F.count(F.lit(1)).alias("requests"), F.sum(R.known_tokens()).alias("tokens"), F.round(F.sum(F.when(F.col("cost.resolved"), F.col("cost.cost_usd"))), 6).alias("cost"))
+
+
+@query("SELECT * FROM (VALUES ('dep-1', 'dedicated-to-several'), ('dep-9', 'dedicated-and-shared')) t(subject, problem)")
+def workload_mapping_problems(spark, folder):
+    """Contradictions of the mappings."""
+    return W.mapping_problems(V.mappings(spark))
+
+
+@query("SELECT 'dep-9' AS deployment")
+def shared_without_tags(spark, folder):
+    """SET8."""
+    return W.shared_without_tags(V.request_traces(spark, folder), V.mappings(spark))
+
+
+@query(
+    f"WITH {S.REQUEST_TRACES_SQL}, cur AS (SELECT DISTINCT 'deployment:' || deployment_name AS workload_id, deployment_name AS name FROM traces WHERE deployment_name <> 'dep-3'), "
+    "old AS (SELECT DISTINCT 'deployment:' || deployment_name AS workload_id, 'old ' || deployment_name AS name FROM traces WHERE deployment_name <> 'dep-0') "
+    "SELECT coalesce(c.workload_id, o.workload_id) AS workload_id, coalesce(o.name, c.name) AS name, c.workload_id IS NULL AS stale FROM cur c FULL JOIN old o ON c.workload_id = o.workload_id"
+)
+def identity_merge_full_outer(spark, folder):
+    """J14."""
+    names = V.request_traces(spark, folder).select("deployment_name").distinct()
+    as_identity = lambda df, name: df.select(F.concat(F.lit("deployment:"), F.col("deployment_name")).alias("workload_id"), name.alias("name"))
+    current = as_identity(names.where("deployment_name <> 'dep-3'"), F.col("deployment_name"))
+    previous = as_identity(names.where("deployment_name <> 'dep-0'"), F.concat(F.lit("old "), F.col("deployment_name")))
+    return W.merge_identities(previous, current, ["name"])
+
+
+# Records and events
+
+
+@query(
+    "WITH doubled AS (SELECT event_id % 4000 AS k, event_id, value FROM events) SELECT CASE WHEN k % 10 = 0 THEN NULL ELSE k END AS event_key, event_id AS ingest_seq, value FROM doubled QUALIFY k % 10 = 0 OR row_number() OVER (PARTITION BY k ORDER BY event_id) = 1"
+)
+def event_dedupe(spark, folder):
+    """WIN1, WIN2: the first row of each key; rows without one stay."""
+    e = V.table(spark, folder, "events").withColumn("k", F.col("event_id") % 4000)
+    rows = e.select(F.when(F.col("k") % 10 != 0, F.col("k")).alias("event_key"), F.col("event_id").alias("ingest_seq"), "value")
+    return D.dedupe_records(rows, "event_key")
+
+
+@query(
+    f"WITH {S.REQUEST_TRACES_SQL}, keyed AS (SELECT ingest_seq, CASE WHEN ingest_seq % 2 = 0 THEN CAST(ingest_seq % 3000 AS VARCHAR) WHEN ingest_seq % 3 = 0 THEN 'e' || (ingest_seq % 500) ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || deployment_name || '|' || model_name END AS stream_key FROM traces) "
+    "SELECT stream_key, min(ingest_seq) AS ingest_seq FROM keyed GROUP BY 1"
+)
+def stream_key_dedupe(spark, folder):
+    """SRC4, Q9."""
+    n = F.col("ingest_seq")
+    rows = V.request_traces(spark, folder).withColumns({"request_id": F.when(n % 2 == 0, (n % 3000).cast("string")), "event_id": F.when((n % 2 != 0) & (n % 3 == 0), F.concat(F.lit("e"), n % 500))})
+    return D.stream_dedupe(rows).select("stream_key", "ingest_seq")
+
+
+@query()
+def event_stream_violations(spark, folder):
+    """WIN3 to WIN6, J22 over the task view, in which some things were made wrong."""
+    events = V.task_events(spark, folder).withColumn("payload", F.concat_ws("|", "outcome", "input_tokens", "duration_ms"))
+    wrong = events.where("event_type = 'task_result' and cast(task_id as long) % 700 = 3 and outcome = 'solved'").withColumns({"outcome": F.lit("failed"), "event_id": F.concat("event_id", F.lit("/again")), "ts": F.col("ts") + F.make_dt_interval(days=F.lit(1))})
+    ghost = events.where("event_type = 'human_review'").limit(1).withColumns({"task_id": F.lit("ghost"), "event_id": F.lit("ghost")})
+    return D.stream_violations(events.unionByName(wrong).unionByName(ghost))
+
+
+# Tasks
+
+
+def trajectories(spark, folder) -> DataFrame:
+    return T.trajectories(T.price_events(V.task_events(spark, folder), catalogs(spark)))
+
+
+@query(f"WITH {S.TASKS_SQL} SELECT task_id, outcome, attempts, solved_attempts, retries, resolved, round(cost_usd, 9) AS cost_usd, steps, resolved_steps, tokens, model_calls, duration_ms, CAST(reviews AS BIGINT) AS reviews, escaped FROM tasks")
+def task_trajectories(spark, folder):
+    """AGG19, J3, J4, WIN12 to WIN14."""
+    return trajectories(spark, folder).select("task_id", "outcome", "attempts", "solved_attempts", "retries", "resolved", F.round("cost_usd", 9).alias("cost_usd"), "steps", "resolved_steps", "tokens", "model_calls", "duration_ms", "reviews", "escaped")
+
+
+@query(f"WITH {S.TASKS_SQL} {S.COHORTS_SQL}")
+def task_cohorts(spark, folder):
+    """AGG20 to AGG22, PCT1, PCT5."""
+    return T.cohorts(trajectories(spark, folder), percentile_digits=12)
+
+
+@query(f"WITH {S.TASKS_SQL}, {S.STRATEGIES_SQL} SELECT *, closed_tasks >= 100 AS recommendation_eligible FROM compared")
+def strategy_comparison(spark, folder):
+    """AGG23."""
+    return T.strategies(trajectories(spark, folder), percentile_digits=12)
+
+
+@query(
+    f"WITH {S.TASKS_SQL}, {S.STRATEGIES_SQL}, c2 AS (SELECT *, p50_cost_usd AS price FROM compared) SELECT task_type, execution_strategy, strategy_version, NOT EXISTS (SELECT 1 FROM c2 b WHERE b.task_type = a.task_type AND b.price <= a.price AND b.success_rate >= a.success_rate AND (b.price < a.price OR b.success_rate > a.success_rate)) AS pareto_frontier FROM c2 a"
+)
+def strategy_pareto(spark, folder):
+    """J20, with the median cost as price, which every strategy has here."""
+    compared = T.strategies(trajectories(spark, folder)).withColumn("cost_per_solved_task_usd", F.col("p50_cost_usd"))
+    return T.pareto(compared).select("task_type", "execution_strategy", "strategy_version", "pareto_frontier")
+
+
+@query(f"WITH {S.TASKS_SQL} SELECT workload, count(*) AS tasks, count(outcome) AS closed_tasks, count(*) FILTER (outcome = 'solved') AS solved_tasks, round(sum(cost_usd), 6) AS resolved_cost_usd, count(*) FILTER (NOT resolved) AS unresolved_tasks FROM tasks WHERE workload IS NOT NULL GROUP BY 1")
+def task_metrics_by_workload(spark, folder):
+    """AGG18."""
+    return T.tasks_by_workload(trajectories(spark, folder))
+
+
+# Capacity
+
+
+def usage_series(spark, folder) -> DataFrame:
+    return C.series(C.usage_buckets(V.request_traces(spark, folder), KEY), KEY)
+
+
+@query(f"WITH {S.SERIES_SQL} SELECT deployment_name, slot, input_tpm, output_tpm, tpm, observed, active FROM series")
+def capacity_series(spark, folder):
+    """WIN8, WIN9, CAP5, CAP7, AGG27, STR7."""
+    return usage_series(spark, folder)
+
+
+@query(f"WITH {S.SERIES_SQL} SELECT * FROM shape")
+def capacity_shape(spark, folder):
+    """STA1 to STA3, PCT3."""
+    return C.series_shape(usage_series(spark, folder), KEY)
+
+
+@query(f"WITH {S.REQUEST_TRACES_SQL} SELECT deployment_name, count(*) AS requests, count(*) FILTER (status_code = 429) AS throttled, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency FROM traces GROUP BY 1")
+def latency_percentiles(spark, folder):
+    """STA4, PCT3."""
+    return C.latency_shape(V.request_traces(spark, folder), KEY)
+
+
+@query(
+    f"WITH {S.SERIES_SQL}, lat AS (SELECT deployment_name, count(*) FILTER (status_code = 429) / count(*) AS rate, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99 FROM traces GROUP BY 1), "
+    "j AS (SELECT *, CASE WHEN deployment_name = 'dep-3' THEN 720000 END AS quota, coalesce(p95_tpm / CASE WHEN deployment_name = 'dep-3' THEN 720000 END, 0) AS used, greatest(0.5, coalesce(daily_similarity, 0), coalesce(weekly_similarity, 0)) AS alike FROM shape JOIN lat USING (deployment_name)), "
+    "v AS (SELECT *, CASE WHEN active < 100 THEN 'insufficient' WHEN cv < 0.3 THEN 'positive' WHEN cv > 0.7 THEN 'negative' ELSE 'neutral' END AS workload_shape, CASE WHEN active < 100 THEN 'insufficient' WHEN rate > 0.05 OR used > 0.85 THEN 'positive' WHEN rate < 0.01 AND used < 0.5 THEN 'negative' ELSE 'neutral' END AS capacity_pressure, "
+    "CASE WHEN active < 100 THEN 'insufficient' WHEN p95 > 5000 OR p99 / p50 > 4 THEN 'positive' WHEN p95 < 2000 AND p99 / p50 < 2 THEN 'negative' ELSE 'neutral' END AS latency_sensitivity, CASE WHEN active < 100 THEN 'insufficient' WHEN sustained >= 0.6 AND alike >= 0.7 THEN 'positive' WHEN sustained < 0.3 THEN 'negative' ELSE 'neutral' END AS load_predictability FROM j) "
+    "SELECT deployment_name, workload_shape, capacity_pressure, latency_sensitivity, load_predictability, round(rate, 6) AS throttle_rate, CASE WHEN quota IS NULL THEN 'Capacity data required' WHEN active < 100 THEN 'Insufficient evidence' WHEN (workload_shape = 'positive')::INT + (capacity_pressure = 'positive')::INT + (latency_sensitivity = 'positive')::INT + (load_predictability = 'positive')::INT >= 3 THEN 'PTU recommended' "
+    "WHEN (workload_shape = 'positive')::INT + (capacity_pressure = 'positive')::INT + (latency_sensitivity = 'positive')::INT + (load_predictability = 'positive')::INT >= 2 THEN 'Borderline' ELSE 'PAYG recommended' END AS recommendation FROM v"
+)
+def capacity_dimensions(spark, folder):
+    """CAP2, CAP3, J11."""
+    traces = V.request_traces(spark, folder)
+    models = traces.groupBy("deployment_name").agg(F.min("model_name").alias("model_name"))
+    quota = models.join(F.broadcast(C.capacities(spark)), canonical_model(F.col("model_name")) == F.col("canonical"), "left").select("deployment_name", "quota")
+    shape = C.series_shape(usage_series(spark, folder), KEY).join(quota, "deployment_name")
+    return C.dimensions(shape, C.latency_shape(traces, KEY), KEY)
+
+
+def plans(spark) -> DataFrame:
+    rows = [(f"dep-{i}", 50 + 20 * i, 4, 15, 5, 1.0, 50.0 + 200 * i) for i in range(5)]
+    return spark.createDataFrame(rows, "deployment_name string, tpm_per_unit long, output_ratio int, least long, step long, hourly_rate double, blended double")
+
+
+PLANS_SQL = "plans AS (SELECT 'dep-' || i AS deployment_name, 50 + 20 * i AS tpm_per_unit, 4 AS output_ratio, 15 AS least, 5 AS step, 1.0e0 AS hourly_rate, 50.0e0 + 200 * i AS blended FROM range(5) t(i))"
+SWEEP_SQL = (
+    f"WITH {S.SERIES_SQL}, {PLANS_SQL}, weighted AS (SELECT *, input_tpm + output_ratio * output_tpm AS weighted FROM series JOIN plans USING (deployment_name)), "
+    "facts AS (SELECT deployment_name, count(*) AS n, quantile_cont(weighted, 0.95) AS p95, max(weighted) AS peak, avg(tpm) AS mean_tpm FROM weighted GROUP BY 1), "
+    "sized AS (SELECT *, greatest(least, CAST(ceil(p95 * 1.2 / tpm_per_unit / step) AS BIGINT) * step) AS p95_units, greatest(least, CAST(ceil(p95 * 1.2 / tpm_per_unit / step) AS BIGINT) * step, CAST(ceil(peak * 1.2 / tpm_per_unit / step) AS BIGINT) * step) AS upper FROM facts JOIN plans USING (deployment_name)), "
+    "grid AS (SELECT *, unnest(range(least, upper + 1, step)) AS units FROM sized), "
+    "tried AS (SELECT g.deployment_name, g.units, any_value(g.p95_units) AS p95_units, any_value(g.tpm_per_unit) AS tpu, any_value(g.hourly_rate) AS hr, any_value(g.blended) AS blended, any_value(g.n) AS n, any_value(g.mean_tpm) AS mean_tpm, sum(greatest(0, weighted - g.units * g.tpm_per_unit)) AS overflow, count(*) FILTER (weighted > g.units * g.tpm_per_unit) AS over FROM grid g JOIN weighted w ON g.deployment_name = w.deployment_name GROUP BY 1, 2), "
+    "costed AS (SELECT *, units * hr * 720 * 0.35 AS reserved, units * hr * 720 * 0.35 + overflow / n * 43200 / 1000000 * blended AS hybrid, mean_tpm * 43200 / 1000000 * blended AS payg FROM tried), "
+    "best AS (SELECT * FROM costed QUALIFY row_number() OVER (PARTITION BY deployment_name ORDER BY round(hybrid, 9), units) = 1) "
+)
+
+
+@query(
+    SWEEP_SQL
+    + "SELECT deployment_name, p95_units, units AS suggested_units, units * tpu AS capacity_tpm, round(reserved, 4) AS reserved_monthly, round(units * hr * 720, 4) AS hourly_monthly, round(hybrid, 6) AS hybrid_monthly, round(payg, 6) AS payg_monthly, round(over / n * 100, 4) AS spillover_percent, "
+    "round(CASE WHEN reserved * 1000000 / (43200 * blended) <= units * tpu THEN reserved * 1000000 / (43200 * blended) END, 4) AS break_even_tpm, CASE WHEN round(hybrid, 9) < round(payg, 9) THEN 'PTU lower' ELSE 'PAYG lower' END AS economic_result FROM best"
+)
+def capacity_sweep(spark, folder):
+    """SRT10, CAP1."""
+    return C.sweep(usage_series(spark, folder), plans(spark), KEY)
+
+
+@query(
+    SWEEP_SQL
+    + ", chosen AS (SELECT b.deployment_name, f.peak, f.mean_tpm AS avg_tpm, b.units * b.tpu AS cap, round(b.reserved, 4) AS reserved, b.blended, 43200 / 1000000 * b.blended AS rate FROM best b JOIN facts f USING (deployment_name)), "
+    "pts AS (SELECT *, unnest(range(0, 61)) AS i, greatest(peak, cap, avg_tpm, 1) * 1.2 AS top FROM chosen), lines AS (SELECT *, top * i / 60 AS x, top * i / 60 * rate AS p, reserved + greatest(0, top * i / 60 - cap) * rate AS h FROM pts), "
+    "steps AS (SELECT *, h - p AS gap, lag(h - p) OVER w AS g0, lag(x) OVER w AS x0 FROM lines WINDOW w AS (PARTITION BY deployment_name ORDER BY i)) "
+    "SELECT deployment_name, CAST(i AS INTEGER) AS i, round(x, 2) AS sustained_tpm, round(p, 4) AS payg_monthly, round(h, 4) AS hybrid_monthly, round(CASE WHEN g0 = 0 THEN x0 WHEN (g0 < 0) <> (gap < 0) THEN x0 + abs(g0) / (abs(g0) + abs(gap)) * (x - x0) END, 2) AS crossing_tpm FROM steps"
+)
+def capacity_cost_curve(spark, folder):
+    """CAP6, WIN10."""
+    points = usage_series(spark, folder)
+    best = C.sweep(points, plans(spark), KEY)
+    rows = points.join(F.broadcast(plans(spark)), KEY)
+    facts = rows.groupBy("deployment_name").agg(F.max(F.col("input_tpm") + F.col("output_ratio") * F.col("output_tpm")).alias("peak"), F.avg("tpm").alias("average_tpm"), F.max("blended").alias("blended"))
+    return C.cost_curve(best.join(facts, KEY), KEY)
+
+
+@query(
+    f"WITH {S.SERIES_SQL}, lat AS (SELECT deployment_name, count(latency_ms) / count(*) AS latency_share, count(status_code) / count(*) AS outcome_share FROM traces GROUP BY 1), "
+    "s AS (SELECT deployment_name, round((0.3e0 * least(1, active / 100) + 0.18e0 * least(1, elapsed * 5 / 1440 / 7) + 0.15e0 * least(1, observed / elapsed) + 0.1e0 * outcome_share + 0.1e0 * latency_share + 0.1e0 * 0.5e0 + CASE WHEN deployment_name <> 'dep-4' THEN 0.02e0 ELSE 0 END + CASE WHEN deployment_name = 'dep-3' THEN 0.03e0 ELSE 0 END + 0.02e0) * 100, 1) AS confidence_score FROM shape JOIN lat USING (deployment_name)) "
+    "SELECT *, CASE WHEN confidence_score >= 90 THEN 'High confidence' WHEN confidence_score >= 70 THEN 'Moderate confidence' WHEN confidence_score >= 50 THEN 'Low confidence' ELSE 'Insufficient evidence' END AS confidence_label FROM s"
+)
+def capacity_confidence(spark, folder):
+    """STA5, STA6."""
+    shares = V.request_traces(spark, folder).groupBy("deployment_name").agg((F.count("latency_ms") / F.count(F.lit(1))).alias("latency_share"), (F.count("status_code") / F.count(F.lit(1))).alias("outcome_share"))
+    name = F.col("deployment_name")
+    rows = C.series_shape(usage_series(spark, folder), KEY).join(shares, KEY).withColumns({"observed_days": F.col("elapsed") * 5 / 1440, "pricing_share": F.lit(0.5), "identity_known": name != "dep-4", "capacity_known": name == "dep-3", "mode_known": F.lit(True)})
+    return C.confidence(rows, KEY)

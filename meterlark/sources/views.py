@@ -162,3 +162,35 @@ worded AS (SELECT *, list_transform(chunks, lambda c: list_distinct(regexp_extra
 pairs AS (
   SELECT ingest_seq, deployment_name, strlen(chunks[j]) AS n, len(list_intersect(words[i], words[j])) / greatest(1, len(list_distinct(list_concat(words[i], words[j])))) AS likeness
   FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM worded) x, LATERAL (SELECT unnest(range(i + 1, len(chunks) + 1)) AS j) y)"""
+
+
+def task_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as tasks: lines are steps, suppliers attempts, the order's status its result, some orders are reviewed."""
+    orders = table(spark, folder, "orders")
+    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    key, number = F.col("o_orderkey"), F.col("l_linenumber")
+    text, whole, double, flag = (F.lit(None).cast(t) for t in ("string", "long", "double", "boolean"))
+    about = {"task_id": key.cast("string"), "task_type": F.col("o_orderpriority"), "execution_strategy": F.concat(F.lit("strategy-"), F.col("o_custkey") % 3), "strategy_version": F.concat(F.lit("v"), F.col("o_custkey") % 2), "workload": F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("team "), F.col("o_custkey") % 3)), "provider": F.lit("azure_foundry"), "service_tier": F.lit("standard"), "deployment_mode": F.lit("global")}
+    call = (F.col("l_suppkey") + number) % 4 != 0
+    at = F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=number)
+    step = {
+        "event_type": F.when(call, "model_call").otherwise("tool_step"), "ts": at, "seq": number.cast("long"), "attempt_id": F.concat(F.lit("a"), F.col("l_suppkey") % 3), "step_index": number.cast("long"),
+        "model_name": F.when(call, pick(["phi-4", "mai-thinking-1", "mai-ds-r1", "gpt-4.1"], F.col("l_partkey") % 4)), "input_tokens": F.when(call, F.round(F.col("l_quantity") * 100).cast("long")), "cached_tokens": F.when(call, F.when(F.col("l_partkey") % 4 == 1, F.round(F.col("l_quantity") * 10).cast("long")).otherwise(0).cast("long")),
+        "output_tokens": F.when(call, F.round(F.col("l_quantity") * 20).cast("long")), "observed_cost_usd": F.when(~call & (F.col("l_discount") > 0.02), F.col("l_extendedprice") / 1_000_000), "context_length": F.when(call, F.round(F.col("l_quantity") * 100).cast("long")), "duration_ms": F.col("l_quantity") * 10,
+        "outcome": text, "review_outcome": text, "escaped_error": flag, "policy_compliant": flag, "cleanup_cost_usd": double,
+    }
+    none = {"model_name": text, "input_tokens": whole, "cached_tokens": whole, "output_tokens": whole, "observed_cost_usd": double, "context_length": whole}
+    end = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=F.lit(4000))
+    result = {"event_type": F.lit("task_result"), "ts": end, "seq": F.lit(1000).cast("long"), "attempt_id": F.concat(F.lit("a"), key % 3), "step_index": whole, **none, "duration_ms": F.lit(5.0), "outcome": F.when(F.col("o_orderstatus") == "F", "solved").otherwise(F.when(key % 2 == 0, "failed").otherwise("abandoned")), "review_outcome": text, "escaped_error": flag, "policy_compliant": flag, "cleanup_cost_usd": double}
+    review = {"event_type": F.lit("human_review"), "ts": end, "seq": F.lit(2000).cast("long"), "attempt_id": text, "step_index": whole, **none, "duration_ms": double, "outcome": text, "review_outcome": F.when(key % 8 == 0, "correct").otherwise("incorrect"), "escaped_error": F.when(key % 12 == 0, True).when(key % 16 == 0, False), "policy_compliant": F.when(key % 20 != 0, key % 28 != 0), "cleanup_cost_usd": F.when(key % 3 == 0, F.col("o_totalprice") / 100_000)}
+    rows = lambda df, more: df.select(*[c.alias(n) for n, c in {**about, **more}.items()])
+    closed = orders.where("o_orderstatus <> 'O'")
+    out = rows(lines, step).unionByName(rows(closed, result)).unionByName(rows(closed.where(key % 4 == 0), review))
+    return out.withColumn("event_id", F.concat_ws("/", "task_id", "event_type", "attempt_id", "step_index"))
+
+
+MAPPINGS = [("wl-batch", "Batch jobs", "dedicated", ["dep-1"]), ("wl-load-2", "Work load 2", "shared", ["dep-2", "dep-9"]), ("wl-late", "Late jobs", "dedicated", ["dep-1"]), ("wl-none", "No traffic", "dedicated", ["dep-8", "dep-9"])]
+
+
+def mappings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MAPPINGS, "id string, name string, allocation string, deployments array<string>").coalesce(1)
