@@ -175,7 +175,7 @@ tasks AS (
     coalesce(ms, CASE WHEN s.outcome IS NOT NULL THEN 5.0 END) AS duration_ms, CASE WHEN s.outcome IS NOT NULL AND task % 4 = 0 THEN 1 ELSE 0 END AS reviews,
     CASE WHEN s.outcome IS NOT NULL AND task % 8 = 0 AND task % 12 <> 0 THEN 1 ELSE 0 END AS passes, CASE WHEN s.outcome IS NOT NULL AND task % 4 = 0 AND task % 20 <> 0 THEN 1 ELSE 0 END AS policy,
     CASE WHEN s.outcome IS NOT NULL AND task % 4 = 0 AND task % 20 <> 0 AND task % 28 <> 0 THEN 1 ELSE 0 END AS compliant, s.outcome IS NOT NULL AND task % 12 = 0 AS escaped,
-    CASE WHEN s.outcome IS NOT NULL AND task % 12 = 0 THEN o_totalprice / 100000 END AS cleanup_cost, s.outcome IS NOT NULL AND task % 12 = 0 AS cleanup_known
+    CASE WHEN s.outcome IS NOT NULL AND task % 12 = 0 THEN o_totalprice / 10000 END AS cleanup_cost, s.outcome IS NOT NULL AND task % 12 = 0 AS cleanup_known
   FROM summed s JOIN orders ON task = o_orderkey)"""
 
 _CLOSED = "outcome IS NOT NULL"

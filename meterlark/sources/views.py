@@ -182,7 +182,7 @@ def task_events(spark: SparkSession, folder: str) -> DataFrame:
     none = {"model_name": text, "input_tokens": whole, "cached_tokens": whole, "output_tokens": whole, "observed_cost_usd": double, "context_length": whole}
     end = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=F.lit(4000))
     result = {"event_type": F.lit("task_result"), "ts": end, "seq": F.lit(1000).cast("long"), "attempt_id": F.concat(F.lit("a"), key % 3), "step_index": whole, **none, "duration_ms": F.lit(5.0), "outcome": F.when(F.col("o_orderstatus") == "F", "solved").otherwise(F.when(key % 2 == 0, "failed").otherwise("abandoned")), "review_outcome": text, "escaped_error": flag, "policy_compliant": flag, "cleanup_cost_usd": double}
-    review = {"event_type": F.lit("human_review"), "ts": end, "seq": F.lit(2000).cast("long"), "attempt_id": text, "step_index": whole, **none, "duration_ms": double, "outcome": text, "review_outcome": F.when(key % 8 == 0, "correct").otherwise("incorrect"), "escaped_error": F.when(key % 12 == 0, True).when(key % 16 == 0, False), "policy_compliant": F.when(key % 20 != 0, key % 28 != 0), "cleanup_cost_usd": F.when(key % 3 == 0, F.col("o_totalprice") / 100_000)}
+    review = {"event_type": F.lit("human_review"), "ts": end, "seq": F.lit(2000).cast("long"), "attempt_id": text, "step_index": whole, **none, "duration_ms": double, "outcome": text, "review_outcome": F.when(key % 8 == 0, "correct").otherwise("incorrect"), "escaped_error": F.when(key % 12 == 0, True).when(key % 16 == 0, False), "policy_compliant": F.when(key % 20 != 0, key % 28 != 0), "cleanup_cost_usd": F.when(key % 3 == 0, F.col("o_totalprice") / 10_000)}
     rows = lambda df, more: df.select(*[c.alias(n) for n, c in {**about, **more}.items()])
     closed = orders.where("o_orderstatus <> 'O'")
     out = rows(lines, step).unionByName(rows(closed, result)).unionByName(rows(closed.where(key % 4 == 0), review))
