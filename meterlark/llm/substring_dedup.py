@@ -283,8 +283,11 @@ def repeated_windows(found: DataFrame, docs: DataFrame, window: int) -> DataFram
 
 
 def not_alone(found: DataFrame) -> DataFrame:
-    """Occurrences whose anchor occurs in more than one document."""
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    """Occurrences whose anchor occurs in more than one document.
+
+    The anchors are written first: a join with a table of its own can be split by Spark where one anchor is very common.
+    """
+    shared = materialize(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "shared")
     return materialize(found.join(shared, "h"), "shared-anchors")
 
 
