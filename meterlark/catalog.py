@@ -15,9 +15,13 @@ from .operators import dedupe as D
 from .operators import pricing as P
 from .operators import rollups as R
 from .operators import rules as Q
+from .operators import samples as Z
 from .operators import tasks as T
 from .operators import workloads as W
-from .functions.text import canonical_model
+from .functions.text import canonical_model, sampled
+from .plans import analysis as A
+from .sources import prices as Y
+from .sources import records as X
 from .sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -577,3 +581,160 @@ def capacity_confidence(spark, folder):
     name = F.col("deployment_name")
     rows = C.series_shape(usage_series(spark, folder), KEY).join(shares, KEY).withColumns({"observed_days": F.col("elapsed") * 5 / 1440, "pricing_share": F.lit(0.5), "identity_known": name != "dep-4", "capacity_known": name == "dep-3", "mode_known": F.lit(True)})
     return C.confidence(rows, KEY)
+
+
+# Sources, price sources, samples
+
+
+@query(
+    f"WITH {S.REQUEST_TRACES_SQL} SELECT deployment_name, model_name, provider, service_tier, input_tokens, output_tokens, cached_tokens, round(latency_ms, 3) AS latency_ms, CAST(CASE WHEN status_code = 200 THEN 200 ELSE status_code END AS INTEGER) AS status_code, status_code <> 200 AS failed, 1 AS content_dropped FROM traces"
+)
+def otel_spans_flatten(spark, folder):
+    """SRC7, PRJ8 to PRJ10, PRJ18, AGG40: the traces written as OTLP documents and read back as spans."""
+    t = V.request_traces(spark, folder)
+    attribute = lambda k, v, kind: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias(kind)).alias("value"))
+    pairs = [
+        ("gen_ai.system", F.lit("az.ai.inference"), "stringValue"), ("gen_ai.response.model", F.col("model_name"), "stringValue"), ("gen_ai.azure.deployment_name", F.col("deployment_name"), "stringValue"), ("gen_ai.usage.input_tokens", F.col("input_tokens"), "intValue"), ("gen_ai.usage.completion_tokens", F.col("output_tokens"), "intValue"),
+        ("gen_ai.usage.cached_input_tokens", F.col("cached_tokens"), "intValue"), ("gen_ai.prompt", F.lit("secret words"), "stringValue"), ("http.response.status_code", F.when(F.col("status_code") != 200, F.col("status_code")), "intValue"), ("thread.id", F.lit("7"), "intValue"),
+    ]
+    listed = F.concat_ws(",", *[F.when(v.isNotNull(), F.to_json(attribute(k, v, kind))) for k, v, kind in pairs])
+    start = F.unix_micros("ts") * 1000
+    code = F.when(F.col("status_code") != 200, "STATUS_CODE_ERROR").otherwise("STATUS_CODE_OK")
+    end = F.when(F.col("latency_ms").isNotNull(), F.concat(F.lit(',"endTimeUnixNano":"'), (start + F.round(F.col("latency_ms") * 1_000_000).cast("long")).cast("string"), F.lit('"'))).otherwise("")
+    span = F.concat(F.lit('{"name":"chat","spanId":"'), F.col("ingest_seq"), F.lit('","startTimeUnixNano":"'), start.cast("string"), F.lit('"'), end, F.lit(',"status":{"code":"'), code, F.lit('"},"attributes":['), listed, F.lit("]}"))
+    document = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, F.lit("]}]}]}"))
+    spans = X.map_spans(X.spans_of(X.parsed(t.select(F.lit("-").alias("file"), document.alias("value")))))
+    return spans.select("deployment_name", "model_name", "provider", "service_tier", "input_tokens", "output_tokens", "cached_tokens", "latency_ms", "status_code", "failed", "content_dropped")
+
+
+@query(
+    f"WITH {S.REQUEST_TRACES_SQL} SELECT deployment_name, model_name, provider, 'standard' AS service_tier, CAST(epoch_us(ts) // 1000 AS BIGINT) AS millis, input_tokens, output_tokens, CASE WHEN status_code = 429 THEN 'rate_limit' END AS error_category FROM traces WHERE model_name <> 'unknown'"
+)
+def generic_mapping(spark, folder):
+    """SRC15, SRC16, PRJ11 to PRJ13, AGG39: application logs by a declared mapping."""
+    t = V.request_traces(spark, folder)
+    line = F.to_json(F.struct((F.floor(F.unix_micros("ts") / 1000)).alias("ts"), F.struct(F.col("deployment_name").alias("name"), F.when(F.col("model_name") != "unknown", F.col("model_name")).alias("model")).alias("target"), F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens")).alias("usage"), F.when(F.col("status_code") == 429, "rate_limit").when(F.col("status_code") == 500, "odd").alias("error")))
+    mapping = {"fields": {"timestamp": "ts", "deployment_name": "target.name", "model_name": "target.model", "error_category": "error"}, "usage": {"input_tokens": "usage.prompt_tokens", "output_tokens": "usage.completion_tokens"}, "defaults": {"provider": "azure_foundry", "service_tier": "standard"}, "timestamp_format": "auto"}
+    rows = X.mapped_rows(X.parsed(t.select(F.lit("-").alias("file"), line.alias("value"))), mapping)
+    return rows.select("deployment_name", "model_name", "provider", "service_tier", F.unix_millis("ts").alias("millis"), "input_tokens", "output_tokens", "error_category")
+
+
+@query(
+    "WITH slots AS (SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS bucket, 'dep-' || (user_id % 5) AS deployment_name, event_type, value, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 429 ELSE 500 END ELSE 200 END AS code FROM events) "
+    "SELECT bucket, deployment_name, CAST(sum(round(value)) FILTER (event_type IN ('view', 'click')) AS BIGINT) AS input_tokens, count(*) AS requests, count(*) FILTER (code = 200) AS successful_requests, count(*) FILTER (code = 429) AS throttled_requests, count(*) FILTER (code = 500) AS failed_requests FROM slots GROUP BY 1, 2"
+)
+def status_code_pivot(spark, folder):
+    """AGG8, SRC18, PRJ15, FLT17: long metric series to wide buckets; every series is given twice and counted once."""
+    e = V.table(spark, folder, "events")
+    code = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "429").otherwise("500")).otherwise("200")
+    at = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300) * 300).cast("long")
+    base = e.select(at.alias("ts"), F.concat(F.lit("dep-"), F.col("user_id") % 5).alias("d"), "event_type", "value", code.alias("code"))
+    asked = base.groupBy("ts", "d", "code").agg(F.count(F.lit(1)).cast("double").alias("total")).select(F.lit("ModelRequests").alias("metric_name"), F.create_map(F.lit("MODELDEPLOYMENTNAME"), F.col("d"), F.lit("statuscode"), F.col("code")).alias("dimensions"), "ts", "total", F.lit(None).cast("double").alias("average"))
+    tokens = base.where(F.col("event_type").isin("view", "click")).groupBy("ts", "d", "event_type").agg(F.sum(F.round("value")).alias("total")).select(F.lit("ProcessedPromptTokens").alias("metric_name"), F.create_map(F.lit("DeploymentName"), F.col("d"), F.lit("ContextLength"), F.col("event_type")).alias("dimensions"), "ts", "total", F.lit(None).cast("double").alias("average"))
+    series = asked.unionByName(tokens)
+    wide = B.pivot_points(X.metric_points(series.unionByName(series)))
+    return wide.select(F.col("ts").alias("bucket"), "deployment_name", "input_tokens", "requests", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("successful_requests", "throttled_requests", "failed_requests")])
+
+
+METERS = [
+    ("m1", "5.6 luna ShortCo Inp Std Gl 1M Tokens", "", "Consumption", 1.25, "1M", "eastus", 0.0, None), ("m2", "5.6 luna ShortCo Cd Inp Std Gl 1M Tokens", "", "Consumption", 0.125, "1M", "eastus", 0.0, None), ("m3", "5.6 luna ShortCo Opt Std Gl 1M Tokens", "", "Consumption", 10.0, "1M", "eastus", 0.0, None),
+    ("m4", "5.6 luna LongCo Inp Dz 1K Tokens", "", "Consumption", 0.0025, "1K", "westus", 0.0, None), ("m5", "5.6 luna Inp Batch 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m6", "5.6 luna Inp 1M Tokens", "luna-IN-FT", "Consumption", 0.6, "1M", "eastus", 0.0, None),
+    ("m7", "5.6 luna Inp Zeta 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m8", "Other Inp 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m9", "5.6 luna Inp 1M Tokens", "", "Reservation", 0.6, "1M", "eastus", 0.0, None), ("m10", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1/Hour", "eastus", 0.0, None),
+    ("m11", "5.6 luna Inp Gl Dz Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m12", "5.6 luna Inp Opt Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m13", "5.6 luna ShortCo Opt Std Gl 1M Tokens", "", "Consumption", 11.0, "1M", "westus", 0.0, None), ("m14", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1M", "eastus", 5.0, None), ("m15", "5.6 luna Calls", "", "Consumption", 0.6, "1M", "eastus", 0.0, None),
+]
+
+
+def meters(spark) -> DataFrame:
+    rows = [(i, n, s, "", "p", "Foundry Models", u, t, r, p, m, "2026-01-01", term) for i, n, s, t, p, u, r, m, term in METERS]
+    return spark.createDataFrame(rows, "meterId string, meterName string, skuName string, armSkuName string, productName string, serviceName string, unitOfMeasure string, type string, armRegionName string, retailPrice double, tierMinimumUnits double, effectiveStartDate string, reservationTerm string")
+
+
+def parsed_meters(spark) -> DataFrame:
+    crosswalk = spark.createDataFrame([("gpt-5.6-luna", "microsoft", "5.6 luna"), ("gpt-5.6", "microsoft", "5.6")], "model string, publisher string, label string")
+    return Y.parse_meters(meters(spark), crosswalk)
+
+
+_METER_ANSWERS = [
+    ("m1", None, "input", "global", "short", 1.25), ("m2", None, "cached_input", "global", "short", 0.125), ("m3", None, "output", "global", "short", 10.0), ("m4", None, "input", "data_zone", "long", 2.5), ("m5", "excluded-batch", None, None, None, None), ("m6", "excluded-fine-tuning", None, None, None, None), ("m7", "unrecognized-meter-token", None, None, None, None), ("m8", "model-not-in-crosswalk", None, None, None, None),
+    ("m9", "non-consumption-meter", None, None, None, None), ("m10", "unit-of-measure-unsupported", None, None, None, None), ("m11", "deployment-ambiguous", None, None, None, None), ("m12", "dimension-ambiguous", None, None, None, None), ("m13", None, "output", "global", "short", 11.0), ("m14", "tiered-meter", None, None, None, None), ("m15", "non-token-meter", None, None, None, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" for x in r) + ")" for r in _METER_ANSWERS) + ') t("meterId", rejected, dimension, deployment, context, per_million)')
+def meter_parse(spark, folder):
+    """FLT15, J16, CST5, CST6: retail meters, accepted or with the first reason against."""
+    return parsed_meters(spark).select("meterId", "rejected", "dimension", "deployment", "context", "per_million")
+
+
+@query("SELECT * FROM (VALUES ('gpt-5.6-luna', 'data_zone', 'long', 'input', 2.5e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'input', 1.25e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'cached_input', 0.125e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'output', NULL, 'region-rate-conflict')) t(model, deployment, context, dimension, per_million, rejected)")
+def meter_candidates(spark, folder):
+    """AGG36, AGG37: one rate a dimension, or a conflict between regions."""
+    return Y.resolve_meters(parsed_meters(spark)).select("model", "deployment", "context", "dimension", "per_million", "rejected")
+
+
+def billing_rows(spark, folder) -> DataFrame:
+    """Lines as billed components: part number as model."""
+    line = V.table(spark, folder, "lineitem").where("l_linenumber <= 2")
+    return line.select(F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("model"), F.col("l_returnflag").alias("processing_scope"), F.when(F.col("l_linenumber") == 1, "input_tokens").otherwise("output_tokens").alias("component"), (F.col("l_extendedprice") / 1000).alias("unit_price"), F.lit(1000.0).alias("unit_multiplier"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("quantity"), F.lit("USD").alias("currency"), F.to_date("l_shipdate").alias("effective_from"), F.date_add(F.to_date("l_shipdate"), 40).alias("effective_to"))
+
+
+BILLING_SQL = "billed AS (SELECT 'm' || (l_partkey % 400) AS model, l_returnflag AS processing_scope, CASE WHEN l_linenumber = 1 THEN 'input_tokens' ELSE 'output_tokens' END AS component, l_extendedprice / 1000 AS unit_price, CASE WHEN l_quantity > 5 THEN l_quantity END AS quantity, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + 40 AS z FROM lineitem WHERE l_linenumber <= 2), asked AS (SELECT o_orderkey AS request, 'm' || (o_custkey % 500) AS model, 'A' AS processing_scope, 'input_tokens' AS component, CAST(o_orderdate AS DATE) AS asked_at FROM orders)"
+FOUND_SQL = f"WITH {BILLING_SQL}, found AS (SELECT request, count(b.model) AS n, min(unit_price) AS p, min(quantity) AS q FROM asked LEFT JOIN billed b ON b.model = asked.model AND b.processing_scope = asked.processing_scope AND b.component = asked.component AND asked_at BETWEEN a AND z GROUP BY 1)"
+
+
+def imported(spark, folder) -> DataFrame:
+    asked = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("request"), F.concat(F.lit("m"), F.col("o_custkey") % 500).alias("model"), F.lit("A").alias("processing_scope"), F.lit("input_tokens").alias("component"), F.to_date("o_orderdate").alias("at"))
+    return Y.imported_prices(billing_rows(spark, folder), asked)
+
+
+@query(FOUND_SQL + " SELECT request, CASE WHEN n = 0 THEN 'NO_PRICE' WHEN n > 1 THEN 'AMBIGUOUS' WHEN q IS NULL THEN 'RATE_VERIFIED_USAGE_MISSING' ELSE 'RESOLVED' END AS state, round(CASE WHEN n = 1 THEN p / 1000 END, 9) AS rate FROM found")
+def imported_price_ambiguity(spark, folder):
+    """J7."""
+    return imported(spark, folder).select("request", "state", F.round("rate", 9).alias("rate"))
+
+
+@query(FOUND_SQL + " SELECT request, round(CASE WHEN n = 1 THEN p / 1000 WHEN request % 3 = 0 THEN 0.5e0 END, 9) AS rate, CASE WHEN n = 1 THEN 0 WHEN request % 3 = 0 THEN 1 END AS layer FROM found")
+def layered_price(spark, folder):
+    """J6, J8, J9: imported rows first, then a static list."""
+    first = imported(spark, folder)
+    second = first.where("request % 3 = 0").select("request", F.lit("RESOLVED").alias("state"), F.lit(0.5).alias("rate"), F.lit("USD").alias("currency"))
+    return Y.layered_prices([first, second], "USD").select("request", F.round("rate", 9).alias("rate"), "layer")
+
+
+@query(f"WITH {BILLING_SQL} SELECT CASE WHEN model IN (SELECT 'm' || i FROM range(100) t(i)) THEN 'matched' ELSE 'unmatched' END AS kind, count(*) AS rows, round(sum(unit_price * coalesce(quantity, 0) / 1000), 6) AS cost FROM billed GROUP BY 1")
+def actual_cost_join(spark, folder):
+    """J10, AGG38."""
+    return Y.actual_cost(billing_rows(spark, folder), spark.range(100).select(F.concat(F.lit("m"), F.col("id")).alias("model")))
+
+
+@query("SELECT event_id, CAST(('0x' || substr(sha256('k' || event_id), 1, 16)) AS UBIGINT) / 18446744073709551616.0e0 < 0.25e0 AS sampled FROM events")
+def deterministic_sample(spark, folder):
+    """FLT12."""
+    return V.table(spark, folder, "events").select("event_id", sampled(F.concat(F.lit("k"), F.col("event_id")), 0.25).alias("sampled"))
+
+
+@query()
+def bounded_percentiles(spark, folder):
+    """PCT6 to PCT8, AGG44: approximate by design."""
+    return Z.bounded_distribution(V.request_traces(spark, folder), "latency_ms", KEY)
+
+
+@query()
+def lttb_downsample(spark, folder):
+    """WIN11."""
+    return Z.downsample(usage_series(spark, folder), KEY, "slot", "tpm", 200)
+
+
+@query()
+def html_price_tables(spark, folder):
+    """SRC28, SRC29: the pages here hold no price table, so this reads all and finds none."""
+    return Y.html_tables(V.table(spark, folder, "pages"), ["Model", "Input", "Output"])
+
+
+@query(
+    f"WITH {S.PRICED_SQL}{S.slice_sql('deployment_name, model_name, deployment_mode, canonical')}, q AS (SELECT deployment_name, 'identity' AS issue, 'the model isn''t named' AS detail FROM summary WHERE pricing_status = 'identity_unresolved' UNION ALL SELECT deployment_name, 'input_tokens', input_tokens_state FROM summary WHERE input_tokens_state <> 'measured' "
+    "UNION ALL SELECT deployment_name, 'output_tokens', output_tokens_state FROM summary WHERE output_tokens_state <> 'measured' UNION ALL SELECT deployment_name, 'cached_tokens', cached_tokens_state FROM summary WHERE cached_tokens_state <> 'measured' UNION ALL SELECT deployment_name, 'pricing', unresolved_reasons FROM summary WHERE NOT pricing_complete) SELECT * FROM q"
+)
+def data_quality(spark, folder):
+    """DQ1."""
+    return A.data_quality(R.deployment_rollup(priced(spark, folder)))

@@ -86,3 +86,73 @@ ADVISOR_ACTIVE_BUCKETS = 100
 COLLECTION_ACTIVE_BUCKETS = 2016
 #: Weights of the evidence score.
 CONFIDENCE_WEIGHTS = {"active": 0.30, "lookback": 0.18, "completeness": 0.15, "outcomes": 0.10, "latency": 0.10, "pricing": 0.10, "identity": 0.02, "capacity": 0.03, "mode": 0.02}
+
+#: Fragments of names that mark content.
+CONTENT_FRAGMENTS = "prompt completion message messages content input output text arguments tool_call tool_result document chunk embedding header authorization api_key apikey token_value secret password cookie connection_string endpoint url uri ip user_id tenant subscription".split()
+#: Span attributes that may be kept, beside the library's own ``deployment_mode`` and ``workload``.
+SPAN_ATTRIBUTES = [
+    "gen_ai.system",
+    "gen_ai.provider.name",
+    "gen_ai.operation.name",
+    "gen_ai.request.model",
+    "gen_ai.response.model",
+    "gen_ai.request.max_tokens",
+    "gen_ai.request.service_tier",
+    "gen_ai.response.service_tier",
+    "gen_ai.usage.input_tokens",
+    "gen_ai.usage.output_tokens",
+    "gen_ai.usage.prompt_tokens",
+    "gen_ai.usage.completion_tokens",
+    "gen_ai.usage.cached_input_tokens",
+    "gen_ai.usage.reasoning_tokens",
+    "gen_ai.azure.deployment_name",
+    "gen_ai.openai.request.service_tier",
+    "az.deployment.mode",
+    "server.address",
+    "error.type",
+    "http.response.status_code",
+]
+#: Names of metric dimensions, any case, and what they stand for.
+DIMENSIONS = {
+    "modeldeploymentname": "ModelDeploymentName",
+    "deploymentname": "ModelDeploymentName",
+    "modelname": "ModelName",
+    "model": "ModelName",
+    "modelversion": "ModelVersion",
+    "statuscode": "StatusCode",
+    "servicetierrequest": "ServiceTierRequest",
+    "servicetierresponse": "ServiceTierResponse",
+    "region": "Region",
+    "apiname": "ApiName",
+    "operationname": "OperationName",
+    "contextlength": "ContextLength",
+    "streamtype": "StreamType",
+}
+#: Words of meter labels that exclude a meter, by reason.
+METER_EXCLUDED = {
+    "fine-tuning": "ft finetune finetuned finetuning ftune",
+    "batch": "batch bat btch",
+    "priority-processing": "pp priority",
+    "provisioned": "prov provisioned ptu",
+    "reservation": "reserved reservation",
+    "flex": "fl flex",
+    "media": "image images audio speech video vision media",
+    "tool": "tool tools",
+    "session": "session sessions realtime",
+    "hosted-deployment-unit": "hosting unit units hour",
+    "non-token-meter": "page pages character characters minute minutes",
+}
+#: Words of meter labels that state a dimension.
+METER_WORDS = {
+    "input": "inp in input inputs",
+    "output": "opt out outp output outputs",
+    "cache": "cd cache cached caching",
+    "write": "wr write writes",
+    "global": "gl gbl glbl global",
+    "data_zone": "dz dzone datazone dzn",
+    "regional": "reg regnl regional",
+    "short": "shco shortco short shortcontext",
+    "long": "loco longco long longcontext",
+    "standard": "std standard",
+    "noise": "tokens token model models 1m 1k 10k 100k 1",
+}

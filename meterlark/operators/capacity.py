@@ -49,9 +49,9 @@ def series_shape(points: DataFrame, keys: Sequence[str], day: int = 288, week: i
     rows = points.withColumns({"back_day": F.lag("tpm", day).over(order), "back_week": F.lag("tpm", week).over(order), "peak": F.max("tpm").over(whole)})
 
     def similarity(back: str, lag: int) -> Column:
-        r = F.corr("tpm", back)
-        flat = (F.stddev_pop(F.when(F.col(back).isNotNull(), F.col("tpm"))) == 0) | (F.stddev_pop(back) == 0)
-        return F.when(F.count(F.lit(1)) < 2 * lag, F.lit(None)).when(flat | r.isNull() | F.isnan(r), 0.5).otherwise(F.greatest(F.lit(0.0), r))
+        both = F.stddev_pop(F.when(F.col(back).isNotNull(), F.col("tpm"))) * F.stddev_pop(back)
+        r = F.covar_pop("tpm", back) / F.nullif(both, F.lit(0.0))
+        return F.when(F.count(F.lit(1)) < 2 * lag, F.lit(None)).when(r.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), r))
 
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("elapsed"),
