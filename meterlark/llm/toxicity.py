@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, materialize, mix, slices, span_hashes
+from .common import _BYTE, materialize, mix, slices, span_hashes, word_spans
 from .language_id import ASCII_LETTER, LOWER
 
 PER_CLASS = 10_000
@@ -90,8 +90,35 @@ class Lexicon:
         return some[hit], entry[hit]
 
 
-def mine(sample: DataFrame, size: int = LEXICON, least: int = 4) -> Lexicon:
-    """Features that lean towards toxic in the sample, at most ``size``, chosen by Spark; with the seed lexicon."""
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One row of each set of rows that have a label and their least-hashed long words in common, as near copies have.
+
+    Else the chance words of one toxic text that was copied many times would look like a lexicon.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in slices(batches, "text"):
+            start, end, row = word_spans(data, at)
+            h = span_hashes(_BYTE[LOWER[data]], start, end) >> np.uint64(1) | (np.uint64(1) << np.uint64(63)) * (end - start < 7).astype(np.uint64)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
+            h, row = h[once], row[once]
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            mark = [hash(tuple(h[a : min(a + 4, b)].tolist())) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mark, pa.int64())], ["doc_id", "text", "y", "mark"])
+
+    marked = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, text string, y int, mark long")
+    return marked.groupBy("y", "mark").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.doc_id", "d.text", "y")
+
+
+def mine(sample: DataFrame, size: int = LEXICON, least_share: float = 0.005, least: int = 3, least_lean: float = 3.0) -> Lexicon:
+    """Features that lean towards toxic in the sample, at most ``size``, chosen by Spark; with the seed lexicon.
+
+    A feature must be in ``least_share`` of the toxic texts (and ``least`` of them), copies counting once, and be
+    exp(``least_lean``) times as frequent among toxic texts as among clean ones.
+    """
+    sample = materialize(without_copies(sample), "distinct-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in slices(batches, "text"):
@@ -114,7 +141,7 @@ def mine(sample: DataFrame, size: int = LEXICON, least: int = 4) -> Lexicon:
         .mapInArrow(run, "h long, kind int, n1 long, n0 long")
         .groupBy("h", "kind")
         .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        .where((F.col("n1") >= least) & (lean > 1.5))
+        .where((F.col("n1") >= max(least, least_share * bad)) & (lean > least_lean))
         .orderBy((lean * F.sqrt("n1")).desc(), "h", "kind")
         .limit(size)
         .toArrow()
