@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, slices, span_hashes, word_hashes, word_spans
 
 OCCURRENCE = "h long, c long, n int, doc_id long, th int, lo int"
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 
 
 # Anchors and passages
