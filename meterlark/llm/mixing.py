@@ -8,8 +8,8 @@ table, kept apart by source and never brought to the driver.
 
 Rates become whole copies by one pass of systematic rounding along (source, size): a document gets the integers that
 the running sum of rates crosses.  As neighbours in that order have nearly equal sizes, a source's words miss its
-target by no more than about its longest document.  Running sums are exact decimals, so reruns agree.  Long runs of
-one (source, size) are dealt to ``salts`` parts, whose places in the running sum come from their counts.
+target by no more than about its longest document; where the running sum begins is chosen, of 64 places, to come
+nearest.  Running sums are exact decimals, so reruns agree.  Long runs of (source, size) are dealt to ``salts`` parts, whose places in the running sum come from their counts.
 
 Defined results: null text has size 0; documents of size 0 take no words; a null source is a source of its own, last
 in order; repeated rows count as rows of their own; an empty table gives an empty result; other columns are carried.
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import WORD, materialize
 
 UNIT = 1_000_000_000  # rates are counted in these parts of a copy
-HALF = UNIT // 2
+OFFSETS = 64  # places at which a source's running sum may begin
 
 
 def word_count(text: Column) -> Column:
@@ -99,6 +99,17 @@ def balance(counts: DataFrame, goals: DataFrame, max_repeat: float, tolerance: f
     return state.select("mx_key", F.round("mx_lambda", 12).alias("mx_lambda"))
 
 
+def offsets(planned: DataFrame) -> DataFrame:
+    """(mx_key, mx_offset): where each source's running sum begins, of ``OFFSETS`` places the one whose words come nearest to the target.
+
+    A size's copies are the integers that its part of the running sum crosses, so counts by size tell the words.
+    """
+    tried = planned.withColumn("mx_offset", F.explode(F.array(*[F.lit(i * (UNIT // OFFSETS)).cast("long") for i in range(OFFSETS)])))
+    crossed = F.expr(f"cast((mx_from + mx_offset + cast(mx_n as decimal(38,0)) * mx_rate) div {UNIT} - (mx_from + mx_offset) div {UNIT} as double)")
+    words = tried.groupBy("mx_key", "mx_offset").agg(F.sum(crossed * F.col("mx_size")).alias("mx_words"), F.first("mx_target").alias("mx_target"))
+    return words.groupBy("mx_key").agg(F.min_by("mx_offset", F.struct(F.abs(F.col("mx_words") - F.col("mx_target")), "mx_offset")).alias("mx_offset"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeat: int = 3, salts: int = 256, source: str = "source", text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``mx_size``, ``mx_total`` (its source's words), ``mx_target`` and ``mx_copies`` (0 to ``max_repeat``).
 
@@ -123,15 +134,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repea
         counts.join(goals.join(dual, "mx_key", "left"), "mx_key")
         .withColumn("mx_rate", F.round(rate * UNIT).cast("long"))
         .withColumn("mx_from", (passed("mx_n", along) % UNIT).cast("long"))
-        .select("mx_key", "mx_size", "mx_total", "mx_target", "mx_rate", "mx_from")
+        .select("mx_key", "mx_size", "mx_n", "mx_total", "mx_target", "mx_rate", "mx_from")
     )
+    planned = materialize(planned, "mix-plan")
+    planned = planned.join(offsets(planned), "mx_key").withColumn("mx_from", (F.col("mx_from") + F.col("mx_offset")) % UNIT).drop("mx_n", "mx_offset")
     planned = (
         parts.join(planned, ["mx_key", "mx_size"])
         .withColumn("mx_from", ((F.col("mx_from") + passed("mx_n", within)) % UNIT).cast("long"))
         .drop("mx_n")
     )
     rank = F.row_number().over(Window.partitionBy("mx_key", "mx_size", "mx_salt").orderBy("mx_hash", row_id)) - 1
-    there = F.pmod(F.col("mx_from") + HALF + F.pmod(F.col("mx_rank") * F.col("mx_rate"), F.lit(UNIT)), F.lit(UNIT))
+    there = F.pmod(F.col("mx_from") + F.pmod(F.col("mx_rank") * F.col("mx_rate"), F.lit(UNIT)), F.lit(UNIT))
     return (
         rows.withColumn("mx_rank", rank.cast("long"))
         .join(planned, ["mx_key", "mx_size", "mx_salt"])
