@@ -345,8 +345,10 @@ def kept_texts(marked: DataFrame, text: str = "text") -> DataFrame:
     schema = marked.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() if not s.as_py() else b" ".join(kept_words(t.as_py(), s.as_py())[0]).decode() for t, s in zip(batch.column(text), batch.column("sd_spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], columns)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t.as_py() if not s.as_py() else b" ".join(kept_words(t.as_py(), s.as_py())[0]).decode() for t, s in zip(batch.column(text), batch.column("sd_spans"), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], columns)
 
     return marked.mapInArrow(run, schema)
