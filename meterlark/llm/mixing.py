@@ -9,7 +9,8 @@ table, kept apart by source and never brought to the driver.
 Rates become whole copies by one pass of systematic rounding along (source, size): a document gets the integers that
 the running sum of rates crosses.  As neighbours in that order have nearly equal sizes, a source's words miss its
 target by no more than about its longest document; where the running sum begins is chosen, of 64 places, to come
-nearest.  Running sums are exact decimals, so reruns agree.  Long runs of (source, size) are dealt to ``salts`` parts, whose places in the running sum come from their counts.
+nearest.  Running sums are exact decimals, so reruns agree.  Long runs of one (source, size) are dealt to ``salts``
+parts, whose places in the running sum come from their counts.
 
 Defined results: null text has size 0; documents of size 0 take no words; a null source is a source of its own, last
 in order; repeated rows count as rows of their own; an empty table gives an empty result; other columns are carried.
