@@ -73,6 +73,28 @@ def test_topk_search_empty(spark):
     assert topk_search.search(frame(spark, ["a"]), []).count() == 0
 
 
+def test_topk_search_table(spark, monkeypatch):
+    for name, value in (("SHARD_BYTES", 2000), ("QUERY_ROWS", 50), ("FOUND_ROWS", 100)):
+        monkeypatch.setattr(topk_search, name, value)
+    texts = sentences(300, 12) + ["W1 w2, w3!", "w1 w2 w3", "w1 w2 w3", *ODD, "w7 other row", "w8 w9"]
+    ids = [*range(len(texts) - 3), None, 5, 5]
+    docs = clashing(frame(spark, texts, ids))
+    got = defaultdict(list)
+    for r in sorted(topk_search.search_table(docs, docs.where(F.col("doc_id") % 20 == 0)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    rows = list(zip(ids, texts, strict=True))
+    want = {q: v for q, v in brute_bm25(rows, [(i, t) for i, t in rows if i is not None and i % 20 == 0]).items() if v}
+    assert len(want) >= 15 and got == want
+
+
+def test_topk_search_asks_every_twentieth_document(spark, tmp_path):
+    from meterlark.llm.queries import op1_topk_search
+
+    frame(spark, sentences(100, 12)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, "w1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["query_id"] for r in op1_topk_search(spark, str(tmp_path)).collect()} == {0, 20, 40, 60, 80}
+
+
 # 2
 
 
