@@ -215,12 +215,8 @@ def aggregate_insights(spark, folder):
 # Diagnostics
 
 
-def short_requests(spark, folder) -> DataFrame:
-    return V.conversation_traces(spark, folder).drop("messages").withColumnRenamed("short", "messages")
-
-
 def raw_requests(spark, folder) -> DataFrame:
-    return V.conversation_traces(spark, folder).drop("short")
+    return V.conversation_traces(spark, folder)
 
 
 KEY = ["deployment_name"]
@@ -235,7 +231,7 @@ SHORT = "substr({}.text, 1, 3)"
 )
 def tl001_repeated_prefix(spark, folder):
     """TL001, SRT11."""
-    return Q.repeated_prefix(short_requests(spark, folder), KEY)
+    return Q.repeated_prefix(raw_requests(spark, folder), KEY)
 
 
 @query(
@@ -286,7 +282,7 @@ def tl004_chunk_redundancy(spark, folder):
 )
 def tl005_retry_amplification(spark, folder):
     """TL005."""
-    return Q.retry_amplification(short_requests(spark, folder), KEY)
+    return Q.retry_amplification(raw_requests(spark, folder), KEY)
 
 
 @query(
@@ -305,7 +301,7 @@ def tl006_output_budget(spark, folder):
 )
 def tl007_repeated_intents(spark, folder):
     """TL007."""
-    return Q.repeated_intents(short_requests(spark, folder), KEY)
+    return Q.repeated_intents(raw_requests(spark, folder), KEY)
 
 
 @query(
@@ -355,7 +351,7 @@ def rule_run(spark, folder):
 @query()
 def material_findings_topk(spark, folder):
     """TLIMP, FLT10, SRT1 to SRT3 over the whole portfolio."""
-    rows = short_requests(spark, folder)
+    rows = raw_requests(spark, folder)
     totals = rows.agg(F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("requests"))
     return Q.top_findings(Q.with_impact(Q.evaluate(rows), totals))
 

@@ -95,20 +95,19 @@ buckets AS (
 )
 
 
-def conversation_traces(spark: SparkSession, folder: str, letters: int = 3) -> DataFrame:
-    """One request for each conversation.  ``messages`` are its turns, ``short`` the same with contents cut to a few letters, so that texts recur."""
+def conversation_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """One request for each conversation; ``messages`` are its turns with whole texts."""
     c = table(spark, folder, "conversations")
     turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.sum(F.when(F.col("role") == "assistant", F.length("text"))).alias("said"))
     calls = F.when(F.col("conv_id") % 3 == 0, F.array(F.concat(F.lit("tool_"), F.col("conv_id") % 2))).otherwise(F.array().cast("array<string>"))
-    message = lambda cut: F.transform("turns", lambda t: F.struct(t["role"].alias("role"), cut(t["text"]).alias("content"), F.lit(None).cast("string").alias("name"), F.when(t["role"] == "assistant", calls).alias("tool_calls")))
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), F.lit(None).cast("string").alias("name"), F.when(t["role"] == "assistant", calls).alias("tool_calls")))
     number = F.col("conv_id")
     return turns.select(
         number.alias("ingest_seq"),
         F.concat(F.lit("dep-"), number % 3).alias("deployment_name"),
         F.when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model"),
         F.when(number % 7 == 0, "unknown").when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model_name"),
-        message(lambda t: t).alias("messages"),
-        message(lambda t: F.substring(t, 1, letters)).alias("short"),
+        messages.alias("messages"),
         F.when(number % 2 == 0, F.array(F.lit("tool_0"), F.lit("tool_1"), F.concat(F.lit("tool_"), number % 5))).otherwise(F.array().cast("array<string>")).alias("tools"),
         F.concat(F.lit('[{"function": {"name": "tool_'), number % 5, F.lit('"}, "type": "function"}]')).alias("tools_json"),
         F.when(number % 4 != 0, F.col("said") + 10).alias("input_tokens"),

@@ -204,6 +204,22 @@ def test_unused_tools(spark):
     assert (got["affected"], got["measured"], got["max_savings"], got["min_savings"]) == (2, 300, 200, 120)
 
 
+def test_conversation_queries_read_whole_texts(spark, tmp_path):
+    from meterlark import catalog
+
+    long = "s" * 120
+    system = {3: long, 9: long, 6: "sss other", 12: "s" * 119 + "t"}
+    asked = {3: "How much is it?", 9: "how  much is it? ", 6: "How many are there?", 12: "How long does it take?", 1: "same words", 4: "same other words", 7: "same words"}
+    rows = [(i, 0, "system", t) for i, t in system.items()] + [(i, 1, "user", t) for i, t in asked.items()]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: {r["deployment_name"]: (r["affected"], r["measured"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("tl001_repeated_prefix") == {"dep-0": (2, 120)}
+    assert run("tl007_repeated_intents") == {"dep-0": (1, 1), "dep-1": (1, 1)}
+    assert run("tl005_retry_amplification") == {"dep-1": (2, 2 * (2 + 4 + len("user") + len("same words")))}
+    top = {r["rule_id"]: (r["affected"], r["measured"]) for r in catalog.QUERIES["material_findings_topk"](spark, str(tmp_path)).collect()}
+    assert top["TL001"] == (2, 120)
+
+
 def test_chunks(spark):
     same, other = "alpha beta gamma delta " * 5, "one two three four five"
     got = only(rules.redundant_chunks(requests(spark, {"retrieved_chunks": [same, same, same, other]}, {"retrieved_chunks": [other]})))
