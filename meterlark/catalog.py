@@ -271,7 +271,7 @@ def tl003_unused_tools(spark, folder):
 )
 def tl004_chunk_redundancy(spark, folder):
     """TL004, TL004w, J19, SET6."""
-    return Q.redundant_chunks(V.document_chunks(spark, folder), KEY)
+    return Q.redundant_chunk_rows(V.document_chunks(spark, folder), KEY)
 
 
 @query(

@@ -9,6 +9,7 @@ min_savings, max_savings.  Rules aggregate partially and never bring a slice's r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,46 @@ def redundant_chunks(traces: DataFrame, keys: Sequence[str] = (), threshold: flo
     return _result(found, keys, "TL004", F.col("n"), F.col("total"), F.bround(F.col("total") * 0.5, 0), F.col("total"))
 
 
+def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold: float = 0.85) -> DataFrame:
+    """TL004 from a row a chunk (ingest_seq, place, chunk), for requests of any number of chunks.
+
+    Chunks of equal word sets count by a running number.  Different sets of a request meet under the words of their
+    prefixes (two sets that reach the threshold share one of the first ``size - ceil(threshold * size) + 1`` words in any
+    fixed order; longer words, which are rarer, come first), are verified, and count by running numbers too.
+    """
+    key = [*keys, "ingest_seq"]
+    words = F.transform(F.array_sort(F.transform(words_of(F.col("chunk")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
+    rows = chunks.select(*key, "place", _long(count_text(F.col("chunk"))).alias("n"), words.alias("words")).where(F.size("words") > 0).withColumn("set", F.xxhash64("words"))
+    slim = rows.select(*key, "set", "place", "n").repartition(*key, "set")
+    before = Window.partitionBy(*key, "set").orderBy("place")
+    same = slim.withColumn("redundant", F.col("n") * (F.row_number().over(before) - 1)).select(*key, "redundant")
+    sets = rows.groupBy(*key, "set").agg(F.first("words").alias("words"))
+    size = F.size("words")
+    prefix = F.slice("words", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
+    under = sets.select(*key, "set", size.alias("size"), F.explode(F.transform(prefix, lambda w: F.xxhash64(w))).alias("word"))
+
+    def meet(left: str, right: str, *columns: tuple[str, str]) -> Column:
+        on = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key] + [F.col(f"{left}.{c}") == F.col(f"{right}.{d}") for c, d in columns]
+        return reduce(Column.__and__, on)
+
+    of = lambda name: [F.col(f"{name}.{k}").alias(k) for k in key]
+    near = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
+    met = under.alias("a").join(under.alias("b"), meet("a", "b", ("word", "word")) & (F.col("a.set") < F.col("b.set")) & near)
+    pairs = met.select(*of("a"), F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
+    pairs = pairs.alias("p").join(sets.alias("a"), meet("p", "a", ("x", "set"))).select(*of("p"), "x", "y", F.col("a.words").alias("x_words"))
+    pairs = pairs.alias("p").join(sets.alias("b"), meet("p", "b", ("y", "set"))).select(*of("p"), "x", "y", "x_words", F.col("b.words").alias("y_words"))
+    pairs = pairs.where(F.size(F.array_intersect("x_words", "y_words")) / F.size(F.array_union("x_words", "y_words")) >= threshold)
+    sides = pairs.select(*key, "x", "y", F.explode(F.array(F.struct(F.col("x").alias("set"), F.lit(0).alias("side")), F.struct(F.col("y").alias("set"), F.lit(1).alias("side")))).alias("s")).select(*key, "x", "y", "s.*")
+    both = slim.alias("r").join(sides.alias("s"), meet("r", "s", ("set", "set"))).select(*of("r"), "x", "y", "side", "place", "n")
+    so_far = Window.partitionBy(*key, "x", "y").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = F.when(F.col("side") == 0, F.sum("side").over(so_far)).otherwise(F.sum(1 - F.col("side")).over(so_far))
+    cross = both.withColumn("redundant", F.col("n") * others).select(*key, "redundant")
+    requests = chunks.select(*key).distinct().withColumn("redundant", F.lit(0).cast("long"))
+    each = requests.unionByName(same).unionByName(cross).groupBy(*key).agg(F.sum("redundant").alias("redundant"))
+    found = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("redundant").alias("total")).where("n >= 2 and total >= 100")
+    return _result(found, keys, "TL004", F.col("n"), F.col("total"), F.bround(F.col("total") * 0.5, 0), F.col("total"))
+
+
 def retry_amplification(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """TL005: explicit retries; where a slice has none, all requests whose text occurs more than once.  Aggregated by text first, so copies of one text are one row."""
     explicit = (F.coalesce(F.col("retry_of"), F.lit("")) != "") | (F.coalesce(F.col("retry_count"), F.lit(0)) > 0)

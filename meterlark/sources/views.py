@@ -144,13 +144,12 @@ requests AS (
 
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """One request for every five documents, with the first line of each as a retrieved chunk."""
+    """One request for every five documents, with every line of each as a retrieved chunk: a row a chunk, ``place`` orders a request's."""
     d = table(spark, folder, "documents")
-    line = F.substring_index("text", "\n", 1)
+    number = F.floor(F.col("doc_id") / 5).cast("long")
     return (
-        d.groupBy((F.floor(F.col("doc_id") / 5)).cast("long").alias("ingest_seq"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("text")))), lambda s: s["text"]).alias("retrieved_chunks"))
-        .withColumn("deployment_name", F.concat(F.lit("dep-"), F.col("ingest_seq") % 4))
+        d.select(number.alias("ingest_seq"), F.concat(F.lit("dep-"), number % 4).alias("deployment_name"), "doc_id", F.xxhash64("text").alias("of"), F.posexplode_outer(F.split("text", "\n")).alias("line", "chunk"))
+        .select("ingest_seq", "deployment_name", F.struct("doc_id", "of", "line").alias("place"), "chunk")
     )
 
 

@@ -227,6 +227,28 @@ def test_chunks(spark):
     assert only(rules.redundant_chunks(requests(spark, {"retrieved_chunks": [same, same]}))) is None
 
 
+def test_chunks_are_all_lines_of_documents(spark, tmp_path):
+    import random
+    import re
+
+    from meterlark import catalog
+
+    rng = random.Random(3)
+    base = [" ".join(f"word{rng.randrange(60)}" for _ in range(rng.choice([1, 4, 12, 20]))) for _ in range(12)]
+    line = lambda: rng.choice(base) + rng.choice(["", "", " extra", " ab", " more words"])
+    docs = [(i, "\n".join(line() for _ in range(rng.randrange(1, 25)))) for i in range(40)] + [(40, None), (41, ""), (42, "a\n\nb")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total, requests_, words = {}, {}, lambda c: set(re.findall("[a-z0-9]{3,}", c.lower()))
+    for request in range(9):
+        chunks = [c for i, t in docs if i // 5 == request and t is not None for c in t.split("\n")]
+        name = f"dep-{request % 4}"
+        requests_[name] = requests_.get(name, 0) + 1
+        for j, y in enumerate(chunks):
+            total[name] = total.get(name, 0) + len(y) * sum(len(words(x) & words(y)) / max(1, len(words(x) | words(y))) >= 0.85 for x in chunks[:j])
+    got = {r["deployment_name"]: (r["affected"], r["measured"]) for r in catalog.QUERIES["tl004_chunk_redundancy"](spark, str(tmp_path)).collect()}
+    assert got == {d: (requests_[d], t) for d, t in total.items() if t >= 100} and len(got) == 4
+
+
 def test_retries_are_explicit_first(spark):
     rows = [{"input_tokens": 10}, {"input_tokens": 20}, {"messages": [], "input_tokens": 5}, {"messages": [], "input_tokens": 5}]
     assert only(rules.retry_amplification(requests(spark, *rows)))["measured"] == 30
