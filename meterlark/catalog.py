@@ -669,9 +669,9 @@ def meter_candidates(spark, folder):
 
 
 def billing_rows(spark, folder) -> DataFrame:
-    """Lines as billed components: part number as model."""
-    line = V.table(spark, folder, "lineitem").where("l_linenumber <= 2")
-    return line.select(F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("model"), F.col("l_returnflag").alias("processing_scope"), F.when(F.col("l_linenumber") == 1, "input_tokens").otherwise("output_tokens").alias("component"), (F.col("l_extendedprice") / 1000).alias("unit_price"), F.lit(1000.0).alias("unit_multiplier"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("quantity"), F.lit("USD").alias("currency"), F.to_date("l_shipdate").alias("effective_from"), F.date_add(F.to_date("l_shipdate"), 40).alias("effective_to"))
+    """Lines as billed components: part number as model, odd lines as input and even lines as output."""
+    line = V.table(spark, folder, "lineitem")
+    return line.select(F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("model"), F.col("l_returnflag").alias("processing_scope"), F.when(F.col("l_linenumber") % 2 == 1, "input_tokens").otherwise("output_tokens").alias("component"), (F.col("l_extendedprice") / 1000).alias("unit_price"), F.lit(1000.0).alias("unit_multiplier"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("quantity"), F.lit("USD").alias("currency"), F.to_date("l_shipdate").alias("effective_from"), F.date_add(F.to_date("l_shipdate"), 40).alias("effective_to"))
 
 
 BILLING_SQL = "billed AS (SELECT 'm' || (l_partkey % 400) AS model, l_returnflag AS processing_scope, CASE WHEN l_linenumber = 1 THEN 'input_tokens' ELSE 'output_tokens' END AS component, l_extendedprice / 1000 AS unit_price, CASE WHEN l_quantity > 5 THEN l_quantity END AS quantity, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + 40 AS z FROM lineitem WHERE l_linenumber <= 2), asked AS (SELECT o_orderkey AS request, 'm' || (o_custkey % 500) AS model, 'A' AS processing_scope, 'input_tokens' AS component, CAST(o_orderdate AS DATE) AS asked_at FROM orders)"

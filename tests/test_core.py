@@ -469,3 +469,18 @@ def test_plans_stay_declarative(spark):
     own = catalog(spark, {"model": "phi-4"})
     plan = rollups.deployment_rollup(pricing.price_traces(traces(spark, {}), [own]))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_billing_takes_every_line(spark, tmp_path):
+    from datetime import date
+
+    from meterlark import catalog
+
+    day = date(2024, 1, 1)
+    lines = [(n, part, "A", 1000.0 * n, 10.0, day) for n, part in [(1, 1), (3, 1), (5, 2), (4, 3), (7, 200)]]
+    spark.createDataFrame(lines, "l_linenumber int, l_partkey long, l_returnflag string, l_extendedprice double, l_quantity double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i, day) for i in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["request"]: (r["state"], r["rate"]) for r in run("imported_price_ambiguity")} == {1: ("AMBIGUOUS", None), 2: ("RESOLVED", 0.005), 3: ("NO_PRICE", None)}
+    assert {r["request"]: (r["rate"], r["layer"]) for r in run("layered_price")} == {1: (None, None), 2: (0.005, 0), 3: (0.5, 1)}
+    assert {r["kind"]: (r["rows"], r["cost"]) for r in run("actual_cost_join")} == {"matched": (4, 0.13), "unmatched": (1, 0.07)}
