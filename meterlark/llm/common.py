@@ -28,10 +28,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one is set only where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterlark-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -114,12 +116,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2 ** 64, kept for the next call."""
+    """base ** 0 .. n - 1 modulo 2 ** 64; as many as a slice needs are kept for the next call, more are not."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
         steps[0] = 1
-        _powers[int(base)] = have = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if n <= SLICE_BYTES + 2:
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -133,12 +137,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of a sequence of 64-bit values; equal spans have equal hashes, whatever stands around."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_INVERSE, len(values) + 1)[start] + (end - start).astype(np.uint64))
+    """64-bit hash of each span of a sequence of 64-bit values (or bytes); equal spans have equal hashes, whatever stands around.
+
+    Starts and ends ascend.  Spans are taken a slice at a time, so that memory doesn't follow the length of the sequence.
+    """
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, "right")))
+        lo, hi = int(start[at]), int(end[to - 1])
+        part = values[lo:hi]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_BYTE[part] if part.dtype == np.uint8 else part) * powers(_BASE, len(part)), out=total[1:])
+        a, b = start[at:to] - lo, end[at:to] - lo
+        out[at:to] = mix((total[b] - total[a]) * powers(_INVERSE, len(part) + 1)[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of bytes."""
-    return span_hashes(_BYTE[data], start, end)
+    return span_hashes(data, start, end)

@@ -32,6 +32,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
             labels = materialize(labels.join(point.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
         side = lambda name: point.select(F.col("v").alias(name), F.col("p").alias(f"{name}2"))
         links = materialize(links.join(side("a"), "a").join(side("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), "links")
+    else:
+        raise RuntimeError(f"links are left after {max_rounds} rounds")
     if labels is None:
         return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return labels

@@ -10,6 +10,8 @@ Counts are summed within tasks and then by Spark; the driver gets one row for ea
 that doesn't follow the corpus.  Prediction streams slices of text through numpy; documents walk in step, so the work
 is a few array operations for each word position.
 
+A letter is a character of Unicode's categories L.
+
 Defined results: null text, and text without a letter, is ``und`` with score 0 and no spans; ties go to the smaller
 language code; with no training rows everything is ``und``; long texts are read whole; rows are kept as they are.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, slices, word_hashes, word_spans
+from .common import IS_SPACE, SLICE_BYTES, slices, word_hashes, word_spans
 
 GRAMS, WORDS = 1 << 16, 1 << 16
 UNKNOWN = "und"
@@ -53,8 +55,8 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 NO_SCRIPT, OTHER = 0, len(SCRIPTS) + 1
-#: Script of each letter of the first plane; what is no letter has none.
-SCRIPT_OF = np.array([OTHER if unicodedata.category(chr(c))[0] == "L" else NO_SCRIPT for c in range(0x10000)], np.uint8)
+#: Script of each letter of all planes; what is no letter has none.
+SCRIPT_OF = np.array([OTHER if unicodedata.category(chr(c))[0] == "L" else NO_SCRIPT for c in range(0x110000)], np.uint8)
 for _i, _ranges in enumerate(SCRIPTS.values(), 1):
     for _a, _b in _ranges:
         SCRIPT_OF[_a : _b + 1][SCRIPT_OF[_a : _b + 1] == OTHER] = _i
@@ -69,8 +71,7 @@ def scripts_of_bytes(data: np.ndarray) -> np.ndarray:
         one, two, three = b[lead], b[lead + 1] & 63, b[lead + 2] & 63
         four = b[lead + 3] & 63
         code = np.where(one < 0xE0, (one & 31) << 6 | two, np.where(one < 0xF0, (one & 15) << 12 | two << 6 | three, (one & 7) << 18 | two << 12 | three << 6 | four))
-        far = (code >= 0x10000) & (code < 0x1D000) | (code >= 0x1D400) & (code < 0x1D7CE) | (code >= 0x20000) & (code < 0x33480)
-        out[lead] = np.where(code < 0x10000, SCRIPT_OF[np.minimum(code, 0xFFFF)], np.where(far, OTHER, NO_SCRIPT))
+        out[lead] = SCRIPT_OF[code]
     return out
 
 
@@ -142,11 +143,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", script_share:
 
 def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word; document d has the words first[d] .. first[d] + length[d]."""
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")  # documents with word t
-    stay, best_before = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int8)
+    stay, best_before = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int32)
     value = np.zeros((len(first), scores.shape[1]), np.float32)
     for t, n in enumerate(alive.tolist()):
         at, v = first[:n] + t, value[:n]
@@ -173,6 +174,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, text: str = "
     """(doc_id, lang_pred, score, spans): spans are runs of words (first, last, from 0) with their language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     count = len(model.languages)
+    narrow = max(1, count // 8)  # tables have a column a language: the more languages, the less text at a time
 
     def finish(ids: pa.Array, scores: np.ndarray, row: np.ndarray, letters: np.ndarray, m: Model) -> pa.RecordBatch:
         n = len(ids)
@@ -203,7 +205,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, text: str = "
         m = shared.value
         held: list = []
         size = rows = 0
-        for batch, data, at in slices(batches, "text"):
+        for batch, data, at in slices(batches, "text", SLICE_BYTES // narrow):
             start, end, row, word, kind, letters, gram = features(data, at)
             if len(start) and count:
                 table = m.grams[gram]
@@ -218,7 +220,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, text: str = "
             held.append((batch.column(0), scores, row + rows, letters))
             rows += batch.num_rows
             size += len(data)
-            if size >= FLUSH_BYTES:
+            if size >= FLUSH_BYTES // narrow:
                 yield finish(pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)), m)
                 held, size, rows = [], 0, 0
         if held:

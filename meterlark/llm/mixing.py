@@ -97,6 +97,8 @@ def balance(counts: DataFrame, goals: DataFrame, max_repeat: float, tolerance: f
         state = state.drop("mx_miss")
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"targets are missed by {worst} after {max_steps} steps")
     return state.select("mx_key", F.round("mx_lambda", 12).alias("mx_lambda"))
 
 
@@ -116,7 +118,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repea
 
     Weights repeat over the sources in code-point order.  All columns of ``docs`` are carried; none may begin with ``mx_``.
     """
-    rows = docs.withColumns({"mx_size": word_count(F.col(text)), "mx_key": source_key(F.col(source)), "mx_hash": F.xxhash64(row_id)}).withColumn("mx_salt", F.pmod("mx_hash", F.lit(salts)).cast("int"))
+    rows = docs.withColumns({"mx_size": word_count(F.col(text)), "mx_key": source_key(F.col(source)), "mx_hash": F.xxhash64(row_id, text)}).withColumn("mx_salt", F.pmod("mx_hash", F.lit(salts)).cast("int"))
     parts = materialize(rows.groupBy("mx_key", "mx_size", "mx_salt").agg(F.count("*").alias("mx_n")), "mix-counts")
     counts = materialize(parts.groupBy("mx_key", "mx_size").agg(F.sum("mx_n").alias("mx_n")), "mix-sizes")
     sizes = counts.groupBy("mx_key").agg(F.sum(F.col("mx_n") * F.col("mx_size")).alias("mx_total"), F.min(F.when(F.col("mx_size") > 0, F.col("mx_size"))).alias("mx_least"))

@@ -15,8 +15,8 @@ aren't white space, where byte-level pre-tokenising always cuts; ids of such chu
 new chunks are encoded with the file's own vocabulary by tiktoken, whose ids equal the library's (each worker compares
 both on a few texts when it starts, and uses the library if they ever differ).
 
-Defined results: null or empty text is its end id alone; strings of special tokens in a text are ordinary text;
-repeated rows are documents of their own; an empty table gives an empty plan and result; a null id is carried.
+Defined results: null or empty text is its end id alone; the strings of special tokens in a text become those tokens, as
+the library does unless told otherwise, or ordinary text with ``specials_are_text``; repeated rows are documents of their own; an empty table gives an empty plan and result; a null id is carried.
 """
 
 from __future__ import annotations
@@ -48,24 +48,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """text -> ids, for a byte-level BPE file of the tokenizers library."""
+def encoder(path: str, specials_are_text: bool = False):
+    """text -> ids, for a byte-level BPE file of the tokenizers library; and whether a text has to be encoded as a whole."""
     import tiktoken
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = specials_are_text
     slow = lambda text: library.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special, letters = {x["content"] for x in spec.get("added_tokens", [])}, byte_letters()
+    whole = (lambda text: False) if specials_are_text or not special else re.compile("|".join(map(re.escape, sorted(special)))).search
     try:
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-        fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return fast if all(fast(x) == slow(x) for x in PROBES) else slow
+        plain = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = lambda text: slow(text) if whole(text) else plain(text)
+        return (fast if all(fast(x) == slow(x) for x in PROBES) else slow), whole
     except (KeyError, ValueError):
-        return slow
+        return slow, whole
 
 
 class Chunks(dict):
@@ -84,18 +86,18 @@ class Chunks(dict):
         return ids
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, sequence_length: int = 2048, end_id: int = 0, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, sequence_length: int = 2048, end_id: int = 0, text: str = "text", row_id: str = "doc_id", specials_are_text: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, whole = encoder(tokenizer, specials_are_text)
         chunks, end = Chunks(encode), np.array([end_id], "<u4").tobytes()
         width = 4 * sequence_length
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words.as_py() or ""
-                parts = words.split(" ") if "  " not in words and " \n" not in words and "\n " not in words and words[:1] != " " and words[-1:] != " " and not ODD(words) else CUT(words)
+                parts = [words] if whole(words) else words.split(" ") if "  " not in words and " \n" not in words and "\n " not in words and words[:1] != " " and words[-1:] != " " and not ODD(words) else CUT(words)
                 head = np.array(encode(parts[0]), "<u4").tobytes()
                 ids = head + b"".join(map(chunks.__getitem__, parts[1:])) + end
                 at, n = 0, 0
@@ -165,6 +167,6 @@ def pack(pieces: DataFrame, sequence_length: int = 2048, salts: int = 256) -> Da
     return ranked.select(*names, "pk_rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, sequence_length: int = 2048, end_id: int = 0, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, sequence_length: int = 2048, end_id: int = 0, text: str = "text", row_id: str = "doc_id", specials_are_text: bool = False) -> DataFrame:
     """Tokenise, cut and pack ``docs``: one row a piece with its place."""
-    return pack(materialize(token_pieces(docs, tokenizer, sequence_length, end_id, text, row_id), "pieces"), sequence_length)
+    return pack(materialize(token_pieces(docs, tokenizer, sequence_length, end_id, text, row_id, specials_are_text), "pieces"), sequence_length)

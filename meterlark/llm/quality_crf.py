@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, word_hashes, word_spans, _BYTE
+from .common import slices, span_hashes, word_hashes, word_spans
 
 PER_CLASS = 4000
 OWN, NEAR = 16, [3, 5, 6, 7, 11, 13]
@@ -75,7 +75,7 @@ def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     twice = np.zeros(len(hashes), bool)
     twice[1:] = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
     letters = np.bincount(line, word_end - word_start, minlength=n)
-    text_hash = span_hashes(_BYTE[data], start, end) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    text_hash = span_hashes(data, start, end) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, group, times = np.unique(text_hash, return_inverse=True, return_counts=True)
     first, last = data[start], data[end - 1]
     own = [
@@ -158,14 +158,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def chains_of(row: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First line and length of each chain: a row's lines, cut to ``longest`` lines if given."""
+def chains_of(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line and length of each chain: a row's lines."""
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    if longest:
-        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-        first = np.flatnonzero(place % longest == 0)
     return first, np.diff(np.append(first, len(row)))
 
 
@@ -186,12 +183,11 @@ def fit(sample: DataFrame, steps: int = 150, rate: float = 0.1, ridge: float = 1
     order = np.argsort(ids, kind="stable")
     x, y, size, ids = x[order], y[order], size[order], ids[order]
     # lines count by length, and either label's documents for as much as the other's
-    weight = np.minimum(size, 2000.0)
-    weight = weight / weight.mean()
+    weight = size / size.mean()
     balance = np.where(y == 1, 0.5 / max((weight * (y == 1)).sum(), 1e-9), 0.5 / max((weight * (y == 0)).sum(), 1e-9)) * weight.sum()
     w = logistic(x, y.astype(float), weight * balance)
     label = np.where(y == 1, 1.0, (x @ w > 1.0).astype(float))
-    first, length = chains_of(ids, 64)
+    first, length = chains_of(ids)
     inner = np.ones(len(label), bool)
     inner[first] = False
     pair = np.zeros((2, 2))
@@ -205,7 +201,6 @@ def fit(sample: DataFrame, steps: int = 150, rate: float = 0.1, ridge: float = 1
             mean[k] = 0.9 * mean[k] + 0.1 * g
             spread[k] = 0.99 * spread[k] + 0.01 * g * g
             value += rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(spread[k] / (1 - 0.99**t)) + 1e-8)
-    first, length = chains_of(ids)
     good, _, _ = marginals(x @ w, first, length, link)
     share = np.add.reduceat(good * size, first) / np.add.reduceat(size, first)
     return Model(w, link, logistic(document_inputs(share), y[first].astype(float), np.ones(len(first)), 0.1), float(share.mean()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +12,12 @@ from . import ann_curves, language_id, mixing, packing, quality_crf, simhash, su
 from .common import read_table, remainder_of_id
 from .labelled import labelled_sample
 
-#: Folder of tokenizer files; the vocabulary is a parameter of the operators.
-TOKENIZERS = os.environ.get("METERLARK_TOKENIZERS", "/opt/tokenizers")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    """A tokenizer's file, which executors have at the same place; METERLARK_TOKENIZERS names another folder."""
+    folder = os.environ.get("METERLARK_TOKENIZERS")
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
 
 
 def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,24 +1,33 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-A fingerprint has 64 bits; two link if at most ``distance`` differ.  Bits are dealt to ``blocks`` blocks, correlated
-bits to the same one.  If thresholds of the blocks add up to ``distance - blocks + 1`` (-1 leaves a block out), two
-linked fingerprints differ, in at least one block, by no more than that block's threshold.  Thresholds are chosen by
-dynamic programming on the number of candidates that each would give, counted on the histogram of each block's values
-over all distinct fingerprints.  Every fingerprint is then put under its value in each block (and under all values
-within the block's threshold), and what meets under a value is verified on all 64 bits.
+A fingerprint has 64 bits; two link if at most ``distance`` differ.  Bits are dealt to blocks, correlated bits to the
+same one.  If thresholds of ``m`` blocks add up to ``distance - m + 1`` (-1 leaves a block out), two linked fingerprints
+differ, in at least one block, by no more than that block's threshold.  Several layouts (2 to 6 blocks, some of unequal
+widths) are tried; for each, dynamic programming chooses thresholds by the number of candidates that they would give,
+estimated from how many pairs of all distinct fingerprints share a value of each block, and the cheapest layout is used.
+Every fingerprint is put under its value in each block and, for a threshold t, under all values within t / 2 bits
+(rounded up) of it, so two that differ by t meet; what meets under a value is verified on all 64 bits.
 
 Copies collapse to distinct fingerprints first.  A value that more than ``group_limit`` fingerprints share is split
 exactly: the same principle on the bits outside its block, again until groups are small, so no group is compared as a
 whole.  Of the links that a task finds it keeps a spanning forest, never all pairs; components come from joins.
 
+``similar_groups`` also verifies texts: links are kept only if the texts' sets of shingles have a Jaccard similarity of
+``similarity`` or more, computed from the sets themselves.  Only a spanning forest of the candidate links, nearest
+first, is verified; where links fail, the groups on their sides are searched again and more forests of candidates between
+them are verified, four times as many each round, until none fails or all candidates between groups are verified.  A fingerprint of 64 bits finds a pair of a similarity just above the
+bound by chance: see the README for its measured recall.
+
 Defined results: null or wordless text has fingerprint zero and links like any other; a text of fewer words than a
-shingle is one shingle; the component of documents whose ids are all null is null; repeated rows are kept; an empty
-table gives an empty result.
+shingle is one shingle; texts with equal fingerprints are one group; the component of documents whose ids are all null
+is null; repeated rows are kept; an empty table gives an empty result.  ``without_near_duplicates`` keeps, of each
+group, the row with the smallest id (null last; of rows with one id and different texts each is a document of its own).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, mix, release, slices
 from .components import components
 
 PROBE_COST = 20.0  # of one more row to deal out, in candidates verified
-KEYED = "key long, fp long"
+MOST_VALUES = 1024  # under which a fingerprint is put in one block
+LAYOUTS = [(32, 32), (20, 20, 24), (21, 21, 22), (16, 16, 16, 16), (12, 13, 13, 13, 13), (10, 10, 11, 11, 11, 11)]
+KEYED = "key long, fp long, mark long"
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -60,14 +71,13 @@ def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str
     return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def correlated_blocks(together: np.ndarray, n: int, blocks: int, bits: int = 64) -> list[list[int]]:
-    """Deal bits to blocks of equal width: a block begins with the most correlated pair left and takes the bit nearest to it."""
+def correlated_blocks(together: np.ndarray, n: int, widths: tuple[int, ...], bits: int = 64) -> list[list[int]]:
+    """Deal bits to blocks of these widths: a block begins with the most correlated bit left and takes the bit nearest to it."""
     p = together.diagonal() / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(corr, 0)
     left, out = set(range(bits)), []
-    widths = [len(x) for x in np.array_split(np.arange(bits), blocks)]
     for width in widths:
         rest = sorted(left)
         block = [rest[int(np.argmax(corr[np.ix_(rest, rest)].sum(axis=1)))]]
@@ -84,26 +94,27 @@ def near_values(width: int, threshold: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for t in range(threshold + 1) for c in itertools.combinations(range(width), t)], np.uint64)
 
 
-def allocate(histograms: list[np.ndarray], distance: int) -> list[int]:
-    """A threshold for each block: least estimated cost with the sum that the principle needs."""
-    m = len(histograms)
-    cost = []
-    for counts in histograms:
-        width, n, own = len(counts).bit_length() - 1, float(counts.sum()), np.arange(len(counts))
-        row = {-1: 0.0}
-        for t in range(min(distance, 2) + 1):
-            near = near_values(width, t).astype(np.int64)
-            row[t] = sum(float(np.dot(counts, counts[own ^ d])) for d in near.tolist()) / 2 + PROBE_COST * n * len(near)
-        cost.append(row)
+def ball(width: int, radius: int) -> int:
+    """How many values are within ``radius`` bits of one."""
+    return sum(math.comb(width, t) for t in range(min(radius, width) + 1))
+
+
+def allocate(widths: list[int], pairs: list[float], n: float, distance: int) -> tuple[float, list[int]]:
+    """(cost, thresholds): the least estimated cost of thresholds with the sum that the principle needs, or infinity.
+
+    ``pairs`` has, for each block, how many pairs of the ``n`` fingerprints share its value; for a threshold, that times
+    the values within it estimates the candidates.
+    """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in cost:
+    for width, shared in zip(widths, pairs, strict=True):
+        row = {-1: 0.0} | {t: ball(width, t) * shared + PROBE_COST * n * ball(width, (t + 1) // 2) for t in range(distance + 1) if ball(width, (t + 1) // 2) <= MOST_VALUES}
         new: dict[int, tuple[float, list[int]]] = {}
         for total, (c, chosen) in best.items():
             for t, more in row.items():
                 if total + t not in new or c + more < new[total + t][0]:
                     new[total + t] = (c + more, [*chosen, t])
         best = new
-    return best[distance - m + 1][1]
+    return best.get(distance - len(widths) + 1, (math.inf, []))
 
 
 def pick(fp: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -119,19 +130,39 @@ def _u64(column: pa.Array) -> np.ndarray:
 
 
 def keyed(fps: DataFrame, blocks: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, fp): each fingerprint under its block values and those near them; a key's low bits tell the block."""
-    near = [near_values(len(b), t) if t >= 0 else None for b, t in zip(blocks, thresholds, strict=True)]
+    """(key, fp, mark): each fingerprint under its block values and those near them; the key's remainder tells the block.
+
+    ``mark`` is what ``fps`` has under that name (the group that a fingerprint is known to be in), else the fingerprint.
+    """
+    near = [near_values(len(b), (t + 1) // 2) if t >= 0 else None for b, t in zip(blocks, thresholds, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                fp, mark = _u64(batch.column(0)), _u64(batch.column(1))
+                for i, (bits, diffs) in enumerate(zip(blocks, near, strict=True)):
+                    if diffs is None:
+                        continue
+                    key = (pick(fp, bits)[:, None] ^ diffs[None, :]) * np.uint64(len(blocks)) + np.uint64(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key.ravel(), np.repeat(fp, len(diffs)), np.repeat(mark, len(diffs)))], ["key", "fp", "mark"])
+
+    return fps.select("fp", "mark" if "mark" in fps.columns else F.col("fp").alias("mark")).mapInArrow(run, KEYED)
+
+
+def shared_pairs(fps: DataFrame, layouts: list[list[list[int]]]) -> list[list[float]]:
+    """For each block of each layout, how many pairs of all fingerprints share its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _u64(batch.column(0))
-            for i, (bits, diffs) in enumerate(zip(blocks, near, strict=True)):
-                if diffs is None:
-                    continue
-                key = (pick(fp, bits)[:, None] ^ diffs[None, :]) * np.uint64(len(blocks)) + np.uint64(i)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(diffs)).view(np.int64))], ["key", "fp"])
+            for i, bits in enumerate(x for layout in layouts for x in layout):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(pick(fp, bits).view(np.int64))], ["block", "value"])
 
-    return fps.select("fp").mapInArrow(run, KEYED)
+    counts = fps.select("fp").mapInArrow(run, "block int, value long").groupBy("block", "value").agg(F.count("*").cast("double").alias("n"))
+    rows = {r["block"]: r["pairs"] for r in counts.groupBy("block").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()}
+    flat = iter([rows.get(i, 0.0) for i in range(sum(map(len, layouts)))])
+    return [[next(flat) for _ in layout] for layout in layouts]
 
 
 def split_further(rows: DataFrame, blocks: list[list[int]], level: int, distance: int) -> DataFrame:
@@ -141,7 +172,7 @@ def split_further(rows: DataFrame, blocks: list[list[int]], level: int, distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp = _u64(batch.column(0)), _u64(batch.column(1))
+            key, fp, mark = (_u64(batch.column(i)) for i in range(3))
             block = (key % np.uint64(len(blocks))).astype(np.int64)
             for i in range(len(blocks)):
                 mine = block == i
@@ -152,106 +183,171 @@ def split_further(rows: DataFrame, blocks: list[list[int]], level: int, distance
                     value = pick(fp[mine], bits.tolist())
                     finer = (key[mine] // np.uint64(len(blocks))) * np.uint64(0x9E3779B97F4A7C15) ^ (value * np.uint64(parts) + np.uint64(j) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
                     finer = (finer >> np.uint64(8)) * np.uint64(len(blocks)) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(fp[mine].view(np.int64))], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (finer, fp[mine], mark[mine])], ["key", "fp", "mark"])
 
     return rows.mapInArrow(run, KEYED)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (vertex, root) that connect what the given links connect."""
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a spanning forest; earlier links are preferred (each group takes its first link out, and again)."""
     names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(names))
+    root, chosen = np.arange(len(names)), []
     while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new[root]]
-        if (new == root).all():
-            break
-        root = new
-    far = np.flatnonzero(root != np.arange(len(names)))
-    return names[far], names[root[far]]
-
-
-def verified_links(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b): within each key, fingerprints at most ``distance`` bits apart, as a spanning forest of each task's links."""
+        rx, ry = root[x], root[y]
+        open_ = np.flatnonzero(rx != ry)
+        if not len(open_):
+            return np.sort(np.concatenate(chosen)) if chosen else open_
+        first = np.full(len(names), len(a))
+        np.minimum.at(first, rx[open_], open_)
+        np.minimum.at(first, ry[open_], open_)
+        take = np.unique(first[first < len(a)])
+        chosen.append(take)
+        while True:
+            low = np.minimum(root[x[take]], root[y[take]])
+            new = root.copy()
+            np.minimum.at(new, root[x[take]], low)
+            np.minimum.at(new, root[y[take]], low)
+            new = new[new[root]]
+            if (new == root).all():
+                break
+            root = new
+
+
+class Links:
+    """Candidate links of a task, cut to ``forests`` disjoint spanning forests between marks whenever they are many.
+
+    The first forest prefers near fingerprints; more of them come in any order (``forests`` seeds it).
+    """
+
+    def __init__(self, forests: int):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size, self.bound, self.forests, self.more = 0, 500_000, forests, False
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > self.bound:
+            self.parts = [self.cut()]
+            self.size = len(self.parts[0][0])
+            self.bound = max(self.bound, 2 * self.size)
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """(a, b, mark of a, mark of b, rank), each link once."""
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        rank = columns[4] if self.forests == 1 else mix(columns[0] * np.uint64(3) + columns[1] + np.uint64(self.forests))
+        by = np.lexsort((columns[1], columns[0], rank))
+        columns = [c[by] for c in columns]
+        once = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))
+        columns = [c[once] for c in columns]
+        left, kept = np.arange(len(columns[0])), []
+        for _ in range(self.forests):
+            if not len(left):
+                break
+            keep = forest(columns[2][left], columns[3][left])
+            kept.append(left[keep])
+            left = np.delete(left, keep)
+        self.more |= bool(len(left))
+        kept = np.sort(np.concatenate(kept))
+        return tuple(c[kept] for c in columns)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """What is kept; a last row with a negative rank says that there were more."""
+        if self.parts:
+            columns = [c.view(np.int64) for c in self.cut()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(c, np.full(int(self.more), x))) for c, x in zip(columns, (0, 0, 0, 0, -1), strict=True)], ["a", "b", "mark_a", "mark_b", "rank"])
+
+
+LINKS = "a long, b long, mark_a long, mark_b long, rank long"
+
+
+def verified_links(rows: DataFrame, distance: int, forests: int = 1) -> DataFrame:
+    """(a, b, mark_a, mark_b, rank): within each key, fingerprints of different marks at most ``distance`` bits apart, as ``Links`` keeps them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(_u64(b.column(0)), _u64(b.column(1))) for b in batches]
-        if not got:
-            return
-        key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        left, a, b = np.arange(len(key) - 1), [], []
-        lag, kept = 1, 0
-        while len(left):
-            left = left[left + lag < len(key)]
-            left = left[key[left] == key[left + lag]]
-            apart = np.bitwise_count(fp[left] ^ fp[left + lag])
-            hit = left[(apart <= distance) & (apart > 0)]
-            if len(hit):
-                a.append(fp[hit])
-                b.append(fp[hit + lag])
-                kept += len(hit)
-            lag += 1
-            if kept > 500_000:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b, kept = [x], [y], 0
-        if a:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
-
-    return rows.repartition("key").mapInArrow(run, "a long, b long")
-
-
-def near_links(fps: DataFrame, distance: int = 3, blocks: int = 4, group_limit: int = 2048) -> DataFrame:
-    """(a, b): enough links between distinct fingerprints (column fp) to connect all that link."""
+        links = Links(forests)
+        for table in sorted_groups(batches):
+            key, fp, mark = (_u64(table.column(i)) for i in range(3))
+            left = np.arange(len(key) - 1)
+            lag = 1
+            while len(left):
+                left = left[left + lag < len(key)]
+                left = left[key[left] == key[left + lag]]
+                apart = np.bitwise_count(fp[left] ^ fp[left + lag])
+                hit = left[(apart <= distance) & (mark[left] != mark[left + lag])]
+                if len(hit):
+                    links.add(fp[hit], fp[hit + lag], mark[hit], mark[hit + lag], np.bitwise_count(fp[hit] ^ fp[hit + lag]).astype(np.uint64))
+                lag += 1
+        yield from links.batches()
+
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, LINKS)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows that cut no key, from batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = [table.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def plan(fps: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
+    """Blocks and thresholds for these fingerprints, from counts over all of them."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((64, 64)), 0
-        for batch in batches:
-            fp = _u64(batch.column(0))
-            bits = ((fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-            total += bits.T @ bits
-            n += len(fp)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                fp = _u64(whole.column(0).slice(at, 8192))
+                bits = ((fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+                total += bits.T @ bits
+                n += len(fp)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(4096), 4096)), pa.array(np.append(total.ravel(), n).astype(np.int64))], ["cell", "n"])
 
-    cells = fps.select("fp").mapInArrow(moments, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = fps.select("fp").mapInArrow(moments, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 4097 rows
     table = np.zeros(4097)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    dealt = correlated_blocks(table[:4096].reshape(64, 64), int(table[4096]), blocks)
-    rows = keyed(fps, dealt, [0] * blocks)
-    counted = rows.groupBy("key").count().toArrow()  # at most blocks * 2 ** (64 / blocks) rows
-    keys, n = counted["key"].to_numpy(), counted["count"].to_numpy()
-    histograms = []
-    for i, bits in enumerate(dealt):
-        h, mine = np.zeros(1 << len(bits)), keys % blocks == i
-        h[keys[mine] // blocks] = n[mine]
-        histograms.append(h)
-    thresholds = allocate(histograms, distance)
-    rows = rows if thresholds == [0] * blocks else keyed(fps, dealt, thresholds)
+    layouts = [correlated_blocks(table[:4096].reshape(64, 64), int(table[4096]), widths) for widths in LAYOUTS]
+    costs = [allocate([len(b) for b in layout], pairs, table[4096], distance) for layout, pairs in zip(layouts, shared_pairs(fps, layouts), strict=True)]
+    at = min(range(len(layouts)), key=lambda i: costs[i][0])
+    if not costs[at][1]:
+        raise ValueError(f"no layout finds a distance of {distance}")
+    return layouts[at], costs[at][1]
+
+
+def near_links(fps: DataFrame, distance: int, planned: tuple[list[list[int]], list[int]], group_limit: int = 2048, forests: int = 1) -> DataFrame:
+    """Enough links between distinct fingerprints (column fp, maybe mark) to connect all that link, with ``verified_links``'s columns."""
+    blocks, thresholds = planned
+    rows = keyed(fps, blocks, thresholds)
     found = []
     for level in range(6):
         large = materialize(rows.groupBy("key").count().where(F.col("count") > group_limit).select("key"), "large-groups")
         if large.isEmpty():
             break
-        found.append(verified_links(rows.join(large, "key", "left_anti"), distance))
-        rows = materialize(split_further(rows.join(large, "key", "left_semi"), dealt, level, distance).distinct(), "split")
-    found.append(verified_links(rows, distance))
+        found.append(verified_links(rows.join(large, "key", "left_anti"), distance, forests))
+        rows = materialize(split_further(rows.join(large, "key", "left_semi"), blocks, level, distance).distinct(), "split")
+    found.append(verified_links(rows, distance, forests))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, words_each: int = 3, seed: int = 42, blocks: int = 4, group_limit: int = 2048, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, words_each: int = 3, seed: int = 42, group_limit: int = 2048, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links reach."""
     prints = materialize(fingerprints(docs, words_each, seed, text, row_id), "fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = components(near_links(least, distance, blocks, group_limit)).withColumnRenamed("v", "fp")
+    labels = components(near_links(least, distance, plan(least, distance), group_limit)).withColumnRenamed("v", "fp")
     joined = least.join(labels, "fp")
     smallest = joined.groupBy("root").agg(F.min("least").alias("smallest"))
     of_fp = least.join(joined.select("fp", "root").join(smallest, "root").select("fp", "smallest"), "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
@@ -263,21 +359,80 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def without_near_duplicates(docs: DataFrame, row_id: str = "doc_id", **how) -> DataFrame:
-    """One document of each component: the one with the smallest id.  Rows without an id stay if no other is in theirs."""
-    groups = near_duplicates(docs, row_id=row_id, **how)
-    kept = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("nd_id")).distinct(), "kept")
-    named = docs.join(kept.where("nd_id is not null"), docs[row_id] == kept["nd_id"], "left_semi").dropDuplicates([row_id])
-    nameless = groups.where("doc_id is null and component_id is null").select("fp").distinct()
-    if nameless.isEmpty():
-        return named
-    text = how.get("text", "text")
-    loose = docs.where(F.col(row_id).isNull()).dropDuplicates([text])
-    return named.unionByName(loose.join(fingerprints_of_text(loose, text, how).join(nameless, "fp").dropDuplicates(["fp"]).select(F.col("nd_text").alias(text)), text, "left_semi"))
-
-
-def fingerprints_of_text(docs: DataFrame, text: str, how: dict) -> DataFrame:
-    """(nd_text, fp) of rows that have no id, keyed by a hash of their text."""
-    keyed_ = docs.select(F.xxhash64(text).alias("nd_key"), F.col(text).alias("nd_text"))
-    prints = fingerprints(keyed_, how.get("words_each", 3), how.get("seed", 42), "nd_text", "nd_key")
-    return keyed_.join(prints, keyed_["nd_key"] == prints["doc_id"]).select("nd_text", "fp")
+def merged_forests(links: DataFrame, forests: int) -> DataFrame:
+    """All tasks' links cut again: links of a component meet in one task, in bounded runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Links(forests)
+        for batch in batches:
+            if batch.num_rows:
+                kept.add(*(_u64(batch.column(c)) for c in ("a", "b", "mark_a", "mark_b", "rank")))
+        yield from kept.batches()
+
+    links = materialize(links, "candidate-links")
+    roots = components(links.select(F.col("mark_a").alias("a"), F.col("mark_b").alias("b")))
+    joined = links.join(roots, links["mark_a"] == roots["v"]).where("rank >= 0").select(*links.columns, "root")
+    return joined.repartition("root").mapInArrow(run, LINKS).unionByName(links.where("rank < 0"))
+
+
+def shingle_sets(docs: DataFrame, words_each: int, seed: int, text: str) -> DataFrame:
+    """(fp, shingles): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch, _, _ in slices(batches, "text"):
+            sets = []
+            for value in batch.column(1):
+                words = (value.as_py() or "").encode().lower().split()
+                sets.append(np.unique(np.array([digest(b" ".join(words[i : i + words_each]), seed) for i in range(max(1, len(words) - words_each + 1))] if words else [], np.uint64)))
+            places = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets).view(np.int64)))], ["fp", "shingles"])
+
+    return docs.select("fp", F.col(text).alias("text")).mapInArrow(run, "fp long, shingles array<long>")
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, distance: int, similarity: float, words_each: int, seed: int, group_limit: int, text: str) -> DataFrame:
+    """(fp, root) of fingerprints that verified links connect; ``texts`` has one text for each fingerprint (fp)."""
+    planned = plan(nodes, distance)
+    fps, good, forests = nodes.select("fp"), None, 1
+    while True:
+        found = materialize(merged_forests(near_links(fps, distance, planned, group_limit, forests), forests), "links-to-verify")
+        links = found.where("rank >= 0").select("a", "b")
+        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+        sets = materialize(shingle_sets(texts.join(ends, "fp"), words_each, seed, text), "shingles")
+        side = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        jaccard = shared / (F.size("of_a") + F.size("of_b") - shared)
+        checked = materialize(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.coalesce(jaccard, F.lit(1.0)) >= similarity).alias("ok")), "verified")
+        release(sets)
+        new = checked.where("ok").select("a", "b")
+        bad = checked.where("not ok")
+        good = new if good is None else good.unionByName(new)
+        labels = components(good)
+        if bad.isEmpty() or (new.isEmpty() and found.where("rank < 0").isEmpty()):
+            return labels.withColumnRenamed("v", "fp")
+        # links that failed: the groups on their sides are searched again for more links between them
+        forests *= 4
+        known = labels.select(F.col("v").alias("fp"), "root")
+        marked = materialize(nodes.select("fp").join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("mark")), "marked")
+        sides = bad.select(F.explode(F.array("a", "b")).alias("fp")).join(marked, "fp").select("mark").distinct()
+        fps = materialize(marked.join(sides, "mark", "left_semi"), "searched-again")
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 11, words_each: int = 5, seed: int = 42, group_limit: int = 2048, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row of each group of texts whose shingles are ``similarity`` alike, by ``similar_groups``; columns are carried.
+
+    ``distance`` is how far apart fingerprints of such texts are looked for: at a Jaccard similarity of 0.8 a bit
+    differs with probability arccos(2 * 0.8 / 1.8) / pi, on average 9.7 of 64.
+    """
+    rows = docs.withColumns({"nd_id": F.col(row_id).cast("long"), "nd_key": F.xxhash64(row_id, text)})
+    first = F.struct(F.col("nd_id").isNull().alias("nameless"), "nd_id", "nd_key")
+    prints = materialize(fingerprints(rows, words_each, seed, text, "nd_key").select(F.col("doc_id").alias("nd_key"), "fp").distinct(), "fingerprints")
+    keys = materialize(prints.join(rows.select("nd_id", "nd_key").distinct(), "nd_key").groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    own = lambda left, t: left.join(t, (left["nd_key"] == t["k_key"]) & left["nd_id"].eqNullSafe(t["k_id"]))
+    bare = rows.select("nd_id", "nd_key", F.col(text).alias("nd_text"))
+    texts = own(bare, keys.select("fp", F.col("first.nd_key").alias("k_key"), F.col("first.nd_id").alias("k_id"))).select("fp", "nd_text").dropDuplicates(["fp"])
+    labels = similar_groups(keys.select("fp"), texts, distance, similarity, words_each, seed, group_limit, "nd_text")
+    kept = keys.join(labels, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.nd_key").alias("k_key"), F.col("first.nd_id").alias("k_id")), "kept")
+    return own(rows, kept).dropDuplicates(["nd_key", "nd_id"]).select(*docs.columns)

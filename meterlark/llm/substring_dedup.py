@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, slices, span_hashes, word_hashes, word_spans
 
 OCCURRENCE = "h long, c long, n int, doc_id long, th int, lo int"
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 
 
 # Anchors and passages
@@ -115,29 +115,38 @@ def passage_texts(docs: DataFrame, window: int) -> DataFrame:
 # The FM-index
 
 
+class Bits:
+    """A packed bit vector with counts of ones before each 64 bits."""
+
+    def __init__(self, bit: np.ndarray):
+        self.packed = np.zeros(len(bit) // 64 + 1, np.uint64)
+        raw = np.packbits(bit.astype(np.uint8), bitorder="little")
+        self.packed.view(np.uint8)[: len(raw)] = raw
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.packed), dtype=np.int64))).astype(np.uint32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.packed[word] & below)
+
+
 class WaveletMatrix:
-    """A sequence of small integers as one packed bit vector a level, with counts of ones before each 64 bits."""
+    """A sequence of small integers as one packed bit vector a level."""
 
     def __init__(self, values: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
-        self.bits, self.ones, self.zeros = [], [], []
-        n = len(values)
+        self.bits, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (values >> level) & 1
-            packed = np.zeros(n // 64 + 1, np.uint64)
-            raw = np.packbits(bit.astype(np.uint8), bitorder="little")
-            packed.view(np.uint8)[: len(raw)] = raw
-            self.bits.append(packed)
-            self.ones.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))).astype(np.uint32))
-            self.zeros.append(int(n - bit.sum()))
+            self.bits.append(Bits(bit))
+            self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate((values[bit == 0], values[bit == 1]))
         self.start = self._walk(np.zeros(symbols, np.int64), np.arange(symbols))
 
     def _walk(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ones[k][word].astype(np.int64) + np.bitwise_count(self.bits[k][word] & below)
+            ones = self.bits[k].rank(at)
             at = np.where((symbol >> level) & 1 == 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -147,56 +156,65 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over a text whose suffixes are sorted by their first words, a few more than ``depth``."""
+    """Backward search over a text whose suffixes are sorted by their first words, a few more than ``depth``.
+
+    What is kept is the transformed text as a wavelet matrix and one bit a suffix (a new group of suffixes begins here:
+    those that share their first ``depth`` words) with the groups' starts; the suffix array is given back once.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int, depth: int):
         n = len(text)
-        rank, span, at_depth = text.astype(np.int64), 1, None
-        order = np.argsort(rank, kind="stable")
+        rank, span, at_depth = text.astype(np.int32), 1, None
+        order = np.argsort(rank, kind="stable").astype(np.int32)
         while span <= depth:
             if 2 * span > depth and at_depth is None:
-                rest = np.zeros(n, np.int64)
+                rest = np.zeros(n, np.int32)
                 rest[: n - (depth - span)] = rank[depth - span :] + 1
                 at_depth = (rank, rest)
-            later = np.zeros(n, np.int64)
-            later[: n - span] = rank[span:] + 1
-            key = rank * (n + 2) + later
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
+            key = rank.astype(np.int64) * (n + 2)
+            key[: n - span] += rank[span:] + 1
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            new = np.empty(n, np.int32)
+            new[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])), dtype=np.int32)
             rank, span = new, 2 * span
+            del key
         self.suffixes = order
         self.bwt = WaveletMatrix(text[order - 1], symbols)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         a, b = at_depth[0][order], at_depth[1][order]
-        self.group_start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        self.group = np.repeat(np.arange(len(self.group_start)), np.diff(np.append(self.group_start, n)))
-        self.group_end = np.append(self.group_start[1:], n)
+        begins = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        self.begins, self.group_start = Bits(begins), np.append(np.flatnonzero(begins), n).astype(np.int32)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals after putting a word before each pattern."""
         return self.before[word] + self.bwt.rank(word, lo), self.before[word] + self.bwt.rank(word, hi)
 
+    def group(self, lo: np.ndarray) -> np.ndarray:
+        """The group that the suffix at each place is in."""
+        return self.begins.rank(lo + 1) - 1
+
     def widen(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns' first ``depth`` words."""
-        g = self.group[lo]
-        return self.group_start[g], self.group_end[g]
+        g = self.group(lo)
+        return self.group_start[g].astype(np.int64), self.group_start[g + 1].astype(np.int64)
 
 
 def least_documents(words: np.ndarray, first: np.ndarray, length: np.ndarray, owner: np.ndarray, window: int) -> list[np.ndarray]:
     """For each passage words[first : first + length], the least owner of any passage with each of its windows."""
-    _, ids = np.unique(words, return_inverse=True)
-    passages = len(first)
+    names, ids = np.unique(words, return_inverse=True)
+    passages, symbols = len(first), len(names) + 1
     place = first + np.arange(passages) + 1  # a separator (0) before each passage and at the end
-    text = np.zeros(len(words) + passages + 1, np.int64)
-    doc = np.repeat(np.arange(passages), length)
+    text = np.zeros(len(words) + passages + 1, np.int32)
+    doc = np.repeat(np.arange(passages, dtype=np.int32), length)
     text[np.arange(len(words)) + doc + 1] = ids + 1
-    of_text = np.zeros(len(text), np.int64)
+    of_text = np.zeros(len(text), np.int32)
     of_text[np.arange(len(words)) + doc + 1] = doc
-    index = FMIndex(text, int(ids.max()) + 2, window)
+    del names, ids, doc
+    index = FMIndex(text, symbols, window)
     # beginnings of separators report whatever; no window's interval has them
-    least = np.minimum.reduceat(owner[of_text[index.suffixes]], index.group_start)
+    least = np.minimum.reduceat(owner[of_text[index.suffixes]], index.group_start[:-1])
+    index.suffixes = of_text = None
     order = np.argsort(-length, kind="stable")
     place, size = place[order], length[order]
     lo, hi = np.zeros(passages, np.int64), np.full(passages, len(text), np.int64)
@@ -209,7 +227,7 @@ def least_documents(words: np.ndarray, first: np.ndarray, length: np.ndarray, ow
         if t + 1 >= window:
             if t + 1 > window:
                 lo[:n], hi[:n] = index.widen(lo[:n])
-            flat[to[:n] + size[:n] - 1 - t] = least[index.group[lo[:n]]]
+            flat[to[:n] + size[:n] - 1 - t] = least[index.group(lo[:n])]
     back = np.empty(passages, np.int64)
     back[order] = np.arange(passages)
     return [flat[to[i] : to[i + 1]] for i in back.tolist()]
@@ -345,10 +363,8 @@ def kept_texts(marked: DataFrame, text: str = "text") -> DataFrame:
     schema = marked.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [t.as_py() if not s.as_py() else b" ".join(kept_words(t.as_py(), s.as_py())[0]).decode() for t, s in zip(batch.column(text), batch.column("sd_spans"), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], columns)
+        for batch, _, _ in slices(batches, text):
+            texts = [t.as_py() if not s.as_py() else b" ".join(kept_words(t.as_py(), s.as_py())[0]).decode() for t, s in zip(batch.column(text), batch.column("sd_spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], columns)
 
     return marked.mapInArrow(run, schema)

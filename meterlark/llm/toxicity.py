@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, materialize, mix, slices, span_hashes, word_spans
+from .common import materialize, mix, slices, span_hashes, word_spans
 from .language_id import ASCII_LETTER, LOWER
 
 PER_CLASS = 10_000
@@ -55,11 +55,10 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def token_features(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Hashes and rows of whole words, of beginnings of 5 bytes and of 4; and the words of each row."""
     low, start, end, row = tokens(data, at)
-    values = _BYTE[low]
-    hashes, rows = [span_hashes(values, start, end)], [row]
+    hashes, rows = [span_hashes(low, start, end)], [row]
     for n in (5, 4):
         long = np.flatnonzero(end - start > n)
-        hashes.append(mix(span_hashes(values, start[long], start[long] + n) + np.uint64(n)))
+        hashes.append(mix(span_hashes(low, start[long], start[long] + n) + np.uint64(n)))
         rows.append(row[long])
     return hashes, rows, np.bincount(row, minlength=len(at) - 1)
 
@@ -99,7 +98,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in slices(batches, "text"):
             start, end, row = word_spans(data, at)
-            h = span_hashes(_BYTE[LOWER[data]], start, end) >> np.uint64(1) | (np.uint64(1) << np.uint64(63)) * (end - start < 7).astype(np.uint64)
+            h = span_hashes(LOWER[data], start, end) >> np.uint64(1) | (np.uint64(1) << np.uint64(63)) * (end - start < 7).astype(np.uint64)
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
             once = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]

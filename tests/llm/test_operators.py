@@ -1,7 +1,9 @@
 """Training-data operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import itertools
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +120,41 @@ def test_language_id_untrained(spark):
     assert [r["lang_pred"] for r in language_id.identify(frame(spark, ["abc", None]), model).collect()] == ["und", "und"]
 
 
+def test_many_languages(spark):
+    """Over 127 languages are told apart, in documents and in spans."""
+    rng = random.Random(8)
+    words = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for i in range(200)}
+    texts = [(" ".join(rng.choices(v, k=20)), k) for k, v in words.items() for _ in range(2)]
+    model = language_id.train(spark.createDataFrame(texts, "text string, lang string"))
+    asked = [" ".join(rng.choices(v, k=10)) for v in words.values()] + [" ".join(words["l010"] * 3 + words["l190"] * 3)]
+    got = {r["doc_id"]: r for r in language_id.identify(frame(spark, asked), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(200)] == list(words)
+    assert [s["lang"] for s in got[200]["spans"]] == ["l010", "l190"]
+
+
+def test_letters_of_all_planes():
+    for c in [*range(0x80, 0xD800, 7), *range(0xE000, 0x110000, 11), 0x10107, 0x1E900, 0x1EE00, 0x20000, 0xB2, 0xAA]:
+        raw = np.frombuffer(chr(c).encode(), np.uint8)
+        assert (language_id.scripts_of_bytes(raw)[0] > 0) == unicodedata.category(chr(c)).startswith("L"), hex(c)
+
+
+def test_words_scored_by_hand(spark):
+    """Brute force: counts of trigrams and words, smoothed, summed for the text of one word."""
+    train = [("aba abb", "x"), ("bcb aba", "y")]
+    model = language_id.train(spark.createDataFrame(train, "text string, lang string"))
+    got = language_id.identify(frame(spark, ["aba"]), model).first()
+    logs = []
+    for text, _ in train:
+        grams, words = Counter(), Counter(text.split())
+        for w in text.split():
+            p = f" {w} "
+            grams.update(p[i : i + 3] for i in range(len(w)))
+        of = lambda c, k, n: np.log((c[k] + 0.5) / (sum(c.values()) + 0.5 * n))
+        logs.append(sum(of(grams, g, language_id.GRAMS) for g in (" ab", "aba", "ba ")) + of(words, "aba", language_id.WORDS))
+    want = 1 / (1 + np.exp(min(logs) - max(logs)))
+    assert got["lang_pred"] == "xy"[int(logs[1] > logs[0])] and got["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 7):
@@ -227,14 +264,10 @@ def test_mixing_all_empty(spark):
 # 6
 
 
-def brute_simhash(texts):
-    out = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0)
-    return out
+def simhash_of(text, words_each=3):
+    w = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words_each]), 42) for i in range(max(1, len(w) - words_each + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
 @pytest.mark.parametrize("limit", [2048, 5])
@@ -248,7 +281,7 @@ def test_simhash(spark, limit):
             w[rng.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
     texts += [base[0], base[0].upper(), *ODD]
-    prints = brute_simhash(texts)
+    prints = [simhash_of(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(i):
@@ -262,24 +295,65 @@ def test_simhash(spark, limit):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(clashing(frame(spark, texts)), group_limit=limit).withColumn("fp", simhash.hex_of("fp")).collect()}
     assert got == {i: (f"{p:016x}", find(i)) for i, p in enumerate(prints)}
-    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(frame(spark, texts)).collect())
-    assert kept == sorted({find(i) for i in range(len(texts))})
 
 
 def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     rows = simhash.near_duplicates(frame(spark, ["a b c", "a b c", "q r s t"], [None, 3, None])).collect()
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in rows if r["component_id"] is not None) == [(False, 3), (True, 3)]
-    assert simhash.without_near_duplicates(frame(spark, ["a b c", "a b c", "q r s t", "z y x w"], [None, 3, None, 3])).count() == 2
+    kept = simhash.without_near_duplicates(clashing(frame(spark, ["a b c", "a b c", "q r s t", "z y x w", "q r s t"], [None, 3, None, 3, 9]))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, "a b c"), (3, "z y x w"), (9, "q r s t")]
+    assert simhash.without_near_duplicates(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [2048, 6])
+def test_similar_texts(spark, limit):
+    """Groups are the components of pairs whose five-word shingles are 0.8 alike and whose fingerprints are near, whatever links fail."""
+    rng, texts = random.Random(12), []
+    for t in sentences(6, 90, seed=21):
+        texts.append(t)
+        for edits in (1, 1, 1, 2, 2, 3, 4, 6):
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(1000)}"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), *ODD]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
+    prints = [simhash_of(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 11 and (prints[i] == prints[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(frame(spark, texts), group_limit=limit).collect())
+    assert kept == sorted({find(i) for i in range(len(texts))}) and len(kept) < len(texts) - 20
 
 
 def test_allocation_is_least():
     rng = np.random.default_rng(2)
-    histograms = [rng.integers(0, 5, 256).astype(float) for _ in range(4)]
-    histograms[1][:] = 0
-    histograms[1][0] = 2000
-    chosen = simhash.allocate(histograms, 3)
-    assert sum(chosen) == 0 and len(chosen) == 4
+    for widths in [(16, 16, 16, 16), (20, 20, 24), (12, 13, 13, 13, 13)]:
+        pairs, n, distance = rng.integers(0, 1000, len(widths)).astype(float).tolist(), 500.0, 7
+        cost = lambda t, w, p: 0.0 if t < 0 else simhash.ball(w, t) * p + simhash.PROBE_COST * n * simhash.ball(w, (t + 1) // 2)
+        allowed = [[t for t in range(-1, distance + 1) if t < 0 or simhash.ball(w, (t + 1) // 2) <= simhash.MOST_VALUES] for w in widths]
+        want = min(sum(map(cost, ts, widths, pairs)) for ts in itertools.product(*allowed) if sum(ts) == distance - len(widths) + 1)
+        got, chosen = simhash.allocate(list(widths), pairs, n, distance)
+        assert got == pytest.approx(want) and sum(chosen) == distance - len(widths) + 1
+
+
+def test_unequal_thresholds_win():
+    """A hundred million fingerprints: three blocks, of which one is probed to one bit, cost less than four equal ones."""
+    n = 1e8
+    costs = {widths: simhash.allocate(list(widths), [n * n / 2 / 2**w for w in widths], n, 3) for widths in simhash.LAYOUTS}
+    best = min(costs.values())
+    assert sorted(best[1]) == [0, 0, 1] and best[0] < costs[16, 16, 16, 16][0] / 2
+    few = {widths: simhash.allocate(list(widths), [1e10 / 2 / 2**w for w in widths], 1e5, 3) for widths in simhash.LAYOUTS}
+    assert min(few.values())[1] == [0, 0, 0, 0]
 
 
 def test_components(spark):
@@ -418,13 +492,14 @@ def test_toxicity(spark):
 # 10
 
 
-def test_tokens_equal_the_library(spark):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_tokens_equal_the_library(spark, as_text):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_file())
-    library.encode_special_tokens = True
-    texts = [*ODD, "It's  we'll\n\n 'tis 12,345.6 ", " lead", "trail ", "a\u00a0b \u2003 c", "<|endoftext|>", *sentences(5, 50)]
-    got = {r["doc_id"]: r for r in packing.token_pieces(frame(spark, texts), tokenizer_file(), 1 << 20).collect()}
+    library.encode_special_tokens = as_text
+    texts = [*ODD, "It's  we'll\n\n 'tis 12,345.6 ", " lead", "trail ", "a\u00a0b \u2003 c", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y  <|endof text|>", *sentences(5, 50)]
+    got = {r["doc_id"]: r for r in packing.token_pieces(frame(spark, texts), tokenizer_file(), 1 << 20, specials_are_text=as_text).collect()}
     for i, t in enumerate(texts):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
