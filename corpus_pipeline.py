@@ -27,16 +27,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id."""
+    """One document, the one with the smallest id, of each group whose five-word shingles are 0.8 alike or more."""
     return simhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without the words of 50-word windows that start in a document with a smaller id; a text of which nothing is left goes."""
     marked = substring_dedup.remove_repeats(docs.select(*COLUMNS))
-    cut = substring_dedup.kept_texts(marked)
-    lost = F.col("text").isNotNull() & (F.length("text") == 0) & (F.coalesce(F.col("n_chars"), F.lit(1)) > 0)
-    return cut.where(~lost).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    cut = substring_dedup.kept_texts(marked.withColumn("pl_cut", F.col("sd_spans").isNotNull()))
+    lost = F.col("pl_cut") & (F.length("text") == 0)
+    return cut.where(~lost).withColumn("n_chars", F.when(F.col("pl_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
