@@ -21,7 +21,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries: the documents whose id is divisible by 20; all documents are searched.  ``OP1_SQL`` still asks the benchmark items."""
+    """Queries: the documents whose id is divisible by 20; all documents are searched."""
     docs = read_table(spark, folder, "documents")
     return topk_search.search_table(docs, docs.where(F.col("doc_id") % 20 == 0))
 
@@ -32,10 +32,7 @@ WITH lowered AS (
   FROM documents WHERE doc_id IS NOT NULL),
 words AS (SELECT doc_id, row_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
 facts AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM words),
-asked AS (
-  SELECT DISTINCT item_id AS query_id,
-    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
-  FROM benchmark WHERE item_id % 20 = 0),
+asked AS (SELECT DISTINCT doc_id AS query_id, unnest(ws) AS term FROM words WHERE doc_id % 20 = 0),
 flat AS (SELECT doc_id, row_id, len(ws) AS size, unnest(ws) AS term FROM words),
 tf AS (SELECT doc_id, row_id, size, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
