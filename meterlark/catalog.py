@@ -42,7 +42,8 @@ def query(sql: str | None = None):
 
 
 def catalogs(spark: SparkSession) -> list[P.Catalog]:
-    return [P.Catalog("house", "customer", P.price_rows(spark, S.customer_entries())), P.reference_catalog(spark)]
+    own = S.customer_entries()
+    return [P.Catalog("house", "customer", P.price_rows(spark, own), rows=len(own)), P.reference_catalog(spark)]
 
 
 def priced(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,12 +65,13 @@ RATES = ["input_price_per_million", "cached_input_price_per_million", "output_pr
 def price_asof(spark, folder):
     """J1, J4, J5, FLT3: the entry that prices each trace, if any."""
     out = V.request_traces(spark, folder)
-    for i, c in enumerate(catalogs(spark)):
+    found = catalogs(spark)
+    for i, c in enumerate(found):
         out = P.with_price(out, c, f"p{i}", F.col("ts"), F.col("input_tokens"))
     own = F.col("p0").isNotNull()
     pick = lambda name: F.when(own, F.col(f"p0.{name}")).otherwise(F.col(f"p1.{name}"))
-    found = out.where(own | F.col("p1").isNotNull())
-    return found.select("ingest_seq", F.when(own, "customer").otherwise("reference").alias("catalog_kind"), F.when(own, "house").otherwise(catalogs(spark)[1].name).alias("catalog"), pick("effective_from").cast("string").alias("effective_from"), pick("input_rate").alias("input_rate"), pick("cached_rate").alias("cached_rate"), pick("output_rate").alias("output_rate"))
+    names = [c.name for c in found]
+    return out.where(own | F.col("p1").isNotNull()).select("ingest_seq", F.when(own, "customer").otherwise("reference").alias("catalog_kind"), F.when(own, "house").otherwise(names[1]).alias("catalog"), pick("effective_from").cast("string").alias("effective_from"), pick("input_rate").alias("input_rate"), pick("cached_rate").alias("cached_rate"), pick("output_rate").alias("output_rate"))
 
 
 @query(f"WITH {S.PRICED_SQL} SELECT ingest_seq, source, reason, override_key FROM costed WHERE reading = 'a'")
@@ -220,11 +222,10 @@ def raw_requests(spark, folder) -> DataFrame:
 
 
 KEY = ["deployment_name"]
-SHORT = "substr({}.text, 1, 3)"
 
 
 @query(
-    f"WITH {V.CONVERSATIONS_SQL}, prompts AS (SELECT deployment_name, ingest_seq, trim(array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'system'), lambda t: substr(t.text, 1, 3)), chr(10))) AS prompt FROM requests), "
+    f"WITH {V.CONVERSATIONS_SQL}, prompts AS (SELECT deployment_name, ingest_seq, trim(array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'system'), lambda t: t.text), chr(10))) AS prompt FROM requests), "
     "grouped AS (SELECT deployment_name, prompt, count(*) AS n, min(ingest_seq) AS first FROM prompts WHERE prompt <> '' GROUP BY 1, 2), "
     "top AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY deployment_name ORDER BY n DESC, first) = 1) "
     "SELECT deployment_name, 'TL001' AS rule_id, n AS affected, strlen(prompt) * (n - 1) AS measured, CAST(floor(strlen(prompt) * (n - 1) * 0.72) AS BIGINT) AS min_savings, strlen(prompt) * (n - 1) AS max_savings FROM top WHERE n >= 2 AND strlen(prompt) * (n - 1) >= 100"
@@ -234,15 +235,19 @@ def tl001_repeated_prefix(spark, folder):
     return Q.repeated_prefix(raw_requests(spark, folder), KEY)
 
 
-@query(
-    f"WITH {V.CONVERSATIONS_SQL}, open AS (SELECT * FROM requests WHERE deployment_name NOT IN (SELECT deployment_name FROM requests WHERE len(list_filter(turns, lambda t: t.role = 'system' AND trim(t.text) <> '')) > 0)), "
-    "grouped AS (SELECT deployment_name, fingerprint, count(*) AS n, arg_max(prefix_tokens, ingest_seq) AS tokens, min(ingest_seq) AS first FROM open WHERE fingerprint IS NOT NULL GROUP BY 1, 2), "
-    "top AS (SELECT *, tokens * (n - 1) AS repeated FROM grouped QUALIFY row_number() OVER (PARTITION BY deployment_name ORDER BY n DESC, first) = 1) "
-    "SELECT deployment_name, 'TL001' AS rule_id, n AS affected, repeated AS measured, CAST(floor(repeated * 0.72) AS BIGINT) AS min_savings, repeated AS max_savings FROM top WHERE n >= 2 AND repeated >= 100"
-)
+def fingerprint_sql(key: str) -> str:
+    return (
+        f"WITH {V.CONVERSATIONS_SQL}, open AS (SELECT * FROM requests WHERE {key} NOT IN (SELECT {key} FROM requests WHERE len(list_filter(turns, lambda t: t.role = 'system' AND trim(t.text) <> '')) > 0)), "
+        f"grouped AS (SELECT {key}, fingerprint, count(*) AS n, arg_max(prefix_tokens, ingest_seq) AS tokens, min(ingest_seq) AS first FROM open WHERE fingerprint IS NOT NULL GROUP BY 1, 2), "
+        f"top AS (SELECT *, tokens * (n - 1) AS repeated FROM grouped QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n DESC, first) = 1) "
+        f"SELECT {key}, 'TL001' AS rule_id, n AS affected, repeated AS measured, CAST(floor(repeated * 0.72) AS BIGINT) AS min_savings, repeated AS max_savings FROM top WHERE n >= 2 AND repeated >= 100"
+    )
+
+
+@query(fingerprint_sql("team"))
 def tl001b_fingerprint_prefix(spark, folder):
-    """TL001b: no slice of these has a finding unless it lacks system prompts."""
-    return Q.fingerprint_prefix(raw_requests(spark, folder), KEY)
+    """TL001b: teams without any system prompt, by their fingerprints."""
+    return Q.fingerprint_prefix(raw_requests(spark, folder), ["team"])
 
 
 @query(
@@ -266,8 +271,7 @@ def tl003_unused_tools(spark, folder):
 
 
 @query(
-    f"WITH {V.CHUNKS_SQL}, total AS (SELECT deployment_name, CAST(coalesce(sum(n) FILTER (likeness >= 0.85), 0) AS BIGINT) AS total FROM pairs GROUP BY 1), counts AS (SELECT deployment_name, count(*) AS n FROM chunked GROUP BY 1) "
-    "SELECT deployment_name, 'TL004' AS rule_id, n AS affected, total AS measured, CAST(round_even(total * 0.5e0, 0) AS BIGINT) AS min_savings, total AS max_savings FROM counts JOIN total USING (deployment_name) WHERE n >= 2 AND total >= 100"
+    f"WITH {V.CHUNKS_SQL} SELECT deployment_name, 'TL004' AS rule_id, n AS affected, coalesce(total, 0) AS measured, CAST(round_even(coalesce(total, 0) * 0.5e0, 0) AS BIGINT) AS min_savings, coalesce(total, 0) AS max_savings FROM counts LEFT JOIN redundant USING (deployment_name) WHERE n >= 2 AND total >= 100"
 )
 def tl004_chunk_redundancy(spark, folder):
     """TL004, TL004w, J19, SET6."""
@@ -275,7 +279,7 @@ def tl004_chunk_redundancy(spark, folder):
 
 
 @query(
-    f"WITH {V.CONVERSATIONS_SQL}, texts AS (SELECT deployment_name, retry_count > 0 AS explicit, coalesce(input_tokens, short_context) AS cost, trim(array_to_string(list_transform(turns, lambda t: substr(t.text, 1, 3)), chr(10))) AS text FROM requests), "
+    f"WITH {V.CONVERSATIONS_SQL}, texts AS (SELECT deployment_name, retry_count > 0 AS explicit, coalesce(input_tokens, context) AS cost, trim(array_to_string(list_transform(turns, lambda t: t.text), chr(10))) AS text FROM requests), "
     "counted AS (SELECT *, count(*) OVER (PARTITION BY deployment_name, text) AS n, bool_or(explicit) OVER (PARTITION BY deployment_name) AS any_explicit FROM texts), "
     "chosen AS (SELECT deployment_name, count(*) AS n, CAST(sum(cost) AS BIGINT) AS total FROM counted WHERE CASE WHEN any_explicit THEN explicit ELSE text <> '' AND n > 1 END GROUP BY 1) "
     "SELECT deployment_name, 'TL005' AS rule_id, n AS affected, total AS measured, CAST(round_even(total * 0.6e0, 0) AS BIGINT) AS min_savings, total AS max_savings FROM chosen"
@@ -295,7 +299,7 @@ def tl006_output_budget(spark, folder):
 
 
 @query(
-    f"WITH {V.CONVERSATIONS_SQL}, asked AS (SELECT deployment_name, tenant, coalesce(workload, 'default') AS w, lower(trim(regexp_replace(substr(list_filter(turns, lambda t: t.role = 'user')[-1].text, 1, 3), '\\s+', ' ', 'g'))) AS prompt FROM requests), "
+    f"WITH {V.CONVERSATIONS_SQL}, asked AS (SELECT deployment_name, tenant, coalesce(workload, 'default') AS w, lower(trim(regexp_replace(list_filter(turns, lambda t: t.role = 'user')[-1].text, '\\s+', ' ', 'g'))) AS prompt FROM requests), "
     "grouped AS (SELECT deployment_name, tenant, w, prompt, count(*) AS n FROM asked WHERE prompt <> '' GROUP BY ALL HAVING count(*) > 1) "
     "SELECT deployment_name, 'TL007' AS rule_id, count(*) AS affected, CAST(sum(n - 1) AS BIGINT) AS measured, CAST(sum(n - 1) AS BIGINT) AS min_savings, CAST(sum(n - 1) AS BIGINT) AS max_savings FROM grouped GROUP BY 1"
 )
@@ -342,18 +346,48 @@ def rule_applicability(spark, folder):
     return Q.applicability(Q.evidence(raw_requests(spark, folder), KEY), KEY).withColumn("missing", F.array_join("missing", ","))
 
 
-@query()
+RULE_NAMES = ["tl001_repeated_prefix", "tl002_history_growth", "tl003_unused_tools", "tl005_retry_amplification", "tl006_output_budget", "tl007_repeated_intents", "tl008_model_sizing"]
+
+
+def run_sql() -> str:
+    """Status of all rules by deployment; chunks aren't part of these requests, so TL004 has nothing to find."""
+    found = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [*(ORACLE_SQL[n] for n in RULE_NAMES), fingerprint_sql("deployment_name")])
+    return (
+        f"WITH found AS ({found}), can AS ({ORACLE_SQL['rule_applicability']}) SELECT deployment_name, rule_id, CASE WHEN NOT runs THEN 'not_evaluated' WHEN affected IS NOT NULL THEN 'finding' ELSE 'no_issue' END AS status, missing, "
+        "CASE WHEN runs THEN affected END AS affected, CASE WHEN runs THEN measured END AS measured, CASE WHEN runs THEN min_savings END AS min_savings, CASE WHEN runs THEN max_savings END AS max_savings FROM can LEFT JOIN found USING (deployment_name, rule_id)"
+    )
+
+
+def impact_sql(min_percent: float = 1.0, min_tokens: int = 100_000) -> str:
+    """Findings of the whole portfolio with their impact."""
+    severity = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{x}'" for r, x in fixed.SEVERITY.items()) + " END"
+    whole = run_sql().replace(V.CONVERSATIONS_SQL, V.WHOLE_SQL)
+    return (
+        f"impact AS (SELECT r.* EXCLUDE deployment_name, t.*, least(100, round(min_savings / greatest(1, base) * 100, 1)) AS impact_min_percent, least(100, round(max_savings / greatest(1, base) * 100, 1)) AS impact_max_percent, {severity} AS severity "
+        f"FROM (SELECT * FROM ({whole}) WHERE status = 'finding') r, (WITH {V.WHOLE_SQL} SELECT CAST(sum(input_tokens) AS BIGINT) AS input_tokens, count(*) AS requests FROM requests) t, LATERAL (SELECT CASE WHEN r.rule_id = 'TL007' THEN t.requests ELSE coalesce(t.input_tokens, 0) END AS base) b), "
+        f"judged AS (SELECT *, coalesce(impact_max_percent, 0) >= {min_percent} OR (rule_id = 'TL007' AND max_savings > 0) OR (rule_id <> 'TL007' AND coalesce(max_savings, 0) >= {min_tokens}) AS material FROM impact)"
+    )
+
+
+FINDING_ORDER = "coalesce(impact_max_percent, 0) DESC, coalesce(max_savings, 0) DESC, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, rule_id"
+
+
+@query(run_sql())
 def rule_run(spark, folder):
-    """TLRUN, TLALL: all rules over deployments; its parts have SQL of their own."""
+    """TLRUN, TLALL: all rules over deployments."""
     return Q.evaluate(raw_requests(spark, folder), KEY)
 
 
-@query()
-def material_findings_topk(spark, folder):
-    """TLIMP, FLT10, SRT1 to SRT3 over the whole portfolio."""
+def impacts(spark, folder, **config) -> DataFrame:
     rows = raw_requests(spark, folder)
     totals = rows.agg(F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("requests"))
-    return Q.top_findings(Q.with_impact(Q.evaluate(rows), totals))
+    return Q.with_impact(Q.evaluate(rows), totals, **config)
+
+
+@query(f"WITH {impact_sql()} SELECT *, CAST(row_number() OVER (ORDER BY {FINDING_ORDER}) AS INTEGER) AS place FROM judged WHERE material QUALIFY place <= 3")
+def material_findings_topk(spark, folder):
+    """TLIMP, FLT10, SRT1 to SRT3 over the whole portfolio."""
+    return Q.top_findings(impacts(spark, folder))
 
 
 # Workloads
@@ -382,13 +416,19 @@ def unassigned_workload(spark, folder):
     return rows.agg(F.count(F.lit(1)).alias("requests"), F.sum(R.known_tokens()).alias("tokens"), F.round(F.sum(F.when(F.col("cost.resolved"), F.col("cost.cost_usd"))), 6).alias("cost"))
 
 
-@query("SELECT * FROM (VALUES ('dep-1', 'dedicated-to-several'), ('dep-9', 'dedicated-and-shared')) t(subject, problem)")
+_MAPPINGS = "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{a}', {d!r})" for i, _, a, d in V.MAPPINGS) + ") t(id, allocation, deployments)), each AS (SELECT id, allocation, unnest(deployments) AS d FROM m)"
+
+
+@query(
+    f"WITH {_MAPPINGS}, n AS (SELECT d, count(DISTINCT id) FILTER (allocation = 'dedicated') AS own, count(*) FILTER (allocation = 'shared') AS shared FROM each GROUP BY 1) "
+    "SELECT d AS subject, 'dedicated-to-several' AS problem FROM n WHERE own > 1 UNION ALL SELECT d, 'dedicated-and-shared' FROM n WHERE own > 0 AND shared > 0 UNION ALL SELECT id, 'duplicate-id' FROM m GROUP BY 1 HAVING count(*) > 1"
+)
 def workload_mapping_problems(spark, folder):
     """Contradictions of the mappings."""
     return W.mapping_problems(V.mappings(spark))
 
 
-@query("SELECT 'dep-9' AS deployment")
+@query(f"WITH {S.REQUEST_TRACES_SQL}, {_MAPPINGS} SELECT DISTINCT d AS deployment FROM each WHERE allocation = 'shared' AND d NOT IN (SELECT deployment_name FROM traces WHERE trim(workload) <> '')")
 def shared_without_tags(spark, folder):
     """SET8."""
     return W.shared_without_tags(V.request_traces(spark, folder), V.mappings(spark))
@@ -583,15 +623,16 @@ def capacity_confidence(spark, folder):
 
 
 @query(
-    f"WITH {S.REQUEST_TRACES_SQL} SELECT deployment_name, model_name, provider, service_tier, input_tokens, output_tokens, cached_tokens, round(latency_ms, 3) AS latency_ms, CAST(CASE WHEN status_code = 200 THEN 200 ELSE status_code END AS INTEGER) AS status_code, status_code <> 200 AS failed, 1 AS content_dropped FROM traces"
+    f"WITH {S.REQUEST_TRACES_SQL} SELECT deployment_name, model_name, provider, service_tier, input_tokens, output_tokens, cached_tokens, round(latency_ms, 3) AS latency_ms, CAST(CASE WHEN status_code = 200 THEN 200 ELSE status_code END AS INTEGER) AS status_code, status_code <> 200 AS failed, CASE WHEN status_code <> 200 THEN CASE WHEN ingest_seq % 3 = 0 THEN 'rate_limited' ELSE 'unknown' END END AS error_category, 1 AS content_dropped FROM traces"
 )
 def otel_spans_flatten(spark, folder):
     """SRC7, PRJ8 to PRJ10, PRJ18, AGG40: the traces written as OTLP documents and read back as spans."""
-    t = V.request_traces(spark, folder)
+    t = V.request_traces(spark, folder).repartition(spark.sparkContext.defaultParallelism)  # parsing is far dearer than dealing the rows out
     attribute = lambda k, v, kind: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias(kind)).alias("value"))
     pairs = [
         ("gen_ai.system", F.lit("az.ai.inference"), "stringValue"), ("gen_ai.response.model", F.col("model_name"), "stringValue"), ("gen_ai.azure.deployment_name", F.col("deployment_name"), "stringValue"), ("gen_ai.usage.input_tokens", F.col("input_tokens"), "intValue"), ("gen_ai.usage.completion_tokens", F.col("output_tokens"), "intValue"),
         ("gen_ai.usage.cached_input_tokens", F.col("cached_tokens"), "intValue"), ("gen_ai.prompt", F.lit("secret words"), "stringValue"), ("http.response.status_code", F.when(F.col("status_code") != 200, F.col("status_code")), "intValue"), ("thread.id", F.lit("7"), "intValue"),
+        ("error.type", F.when((F.col("status_code") != 200) & (F.col("ingest_seq") % 3 == 0), "RateLimitError"), "stringValue"),
     ]
     listed = F.concat_ws(",", *[F.when(v.isNotNull(), F.to_json(attribute(k, v, kind))) for k, v, kind in pairs])
     start = F.unix_micros("ts") * 1000
@@ -600,7 +641,7 @@ def otel_spans_flatten(spark, folder):
     span = F.concat(F.lit('{"name":"chat","spanId":"'), F.col("ingest_seq"), F.lit('","startTimeUnixNano":"'), start.cast("string"), F.lit('"'), end, F.lit(',"status":{"code":"'), code, F.lit('"},"attributes":['), listed, F.lit("]}"))
     document = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, F.lit("]}]}]}"))
     spans = X.map_spans(X.spans_of(X.parsed(t.select(F.lit("-").alias("file"), document.alias("value")))))
-    return spans.select("deployment_name", "model_name", "provider", "service_tier", "input_tokens", "output_tokens", "cached_tokens", "latency_ms", "status_code", "failed", "content_dropped")
+    return spans.select("deployment_name", "model_name", "provider", "service_tier", "input_tokens", "output_tokens", "cached_tokens", "latency_ms", "status_code", "failed", "error_category", "content_dropped")
 
 
 @query(
@@ -633,7 +674,7 @@ def status_code_pivot(spark, folder):
 
 
 METERS = [
-    ("m1", "5.6 luna ShortCo Inp Std Gl 1M Tokens", "", "Consumption", 1.25, "1M", "eastus", 0.0, None), ("m2", "5.6 luna ShortCo Cd Inp Std Gl 1M Tokens", "", "Consumption", 0.125, "1M", "eastus", 0.0, None), ("m3", "5.6 luna ShortCo Opt Std Gl 1M Tokens", "", "Consumption", 10.0, "1M", "eastus", 0.0, None),
+    ("m1", "5.6 luna ShortCo Inp Std Gl 1M Tokens", "", "Consumption", 1.25, "1M", "eastus", 0.0, None), ("m2", "5.6 luna ShCo Cache Input Glbl Tokens", "", "Consumption", 0.125, "1M", "eastus", 0.0, None), ("m3", "5.6 luna Short Output Global Tokens", "", "Consumption", 10.0, "1M", "eastus", 0.0, None),
     ("m4", "5.6 luna LongCo Inp Dz 1K Tokens", "", "Consumption", 0.0025, "1K", "westus", 0.0, None), ("m5", "5.6 luna Inp Batch 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m6", "5.6 luna Inp 1M Tokens", "luna-IN-FT", "Consumption", 0.6, "1M", "eastus", 0.0, None),
     ("m7", "5.6 luna Inp Zeta 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m8", "Other Inp 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m9", "5.6 luna Inp 1M Tokens", "", "Reservation", 0.6, "1M", "eastus", 0.0, None), ("m10", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1/Hour", "eastus", 0.0, None),
     ("m11", "5.6 luna Inp Gl Dz Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m12", "5.6 luna Inp Opt Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m13", "5.6 luna ShortCo Opt Std Gl 1M Tokens", "", "Consumption", 11.0, "1M", "westus", 0.0, None), ("m14", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1M", "eastus", 5.0, None), ("m15", "5.6 luna Calls", "", "Consumption", 0.6, "1M", "eastus", 0.0, None),
@@ -650,19 +691,34 @@ def parsed_meters(spark) -> DataFrame:
     return Y.parse_meters(meters(spark), crosswalk)
 
 
-_METER_ANSWERS = [
-    ("m1", None, "input", "global", "short", 1.25), ("m2", None, "cached_input", "global", "short", 0.125), ("m3", None, "output", "global", "short", 10.0), ("m4", None, "input", "data_zone", "long", 2.5), ("m5", "excluded-batch", None, None, None, None), ("m6", "excluded-fine-tuning", None, None, None, None), ("m7", "unrecognized-meter-token", None, None, None, None), ("m8", "model-not-in-crosswalk", None, None, None, None),
-    ("m9", "non-consumption-meter", None, None, None, None), ("m10", "unit-of-measure-unsupported", None, None, None, None), ("m11", "deployment-ambiguous", None, None, None, None), ("m12", "dimension-ambiguous", None, None, None, None), ("m13", None, "output", "global", "short", 11.0), ("m14", "tiered-meter", None, None, None, None), ("m15", "non-token-meter", None, None, None, None),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" for x in r) + ")" for r in _METER_ANSWERS) + ') t("meterId", rejected, dimension, deployment, context, per_million)')
+def _meter_sql() -> str:
+    """Meters taken apart word by word, and the first reason against each."""
+    rows = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" for x in r) + ")" for r in METERS)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    of = {kind: [w for w, k in fixed.METER_WORDS.items() if k == kind] for kind in dict.fromkeys(fixed.METER_WORDS.values())}
+    has = lambda kind: f"list_has_any(rest, {listed(of[kind])})"
+    why = "map {" + ", ".join(f"'{w}': '{r}'" for w, r in fixed.METER_EXCLUDED.items()) + "}"
+    words = lambda x: f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9.]+'), lambda w: w <> '')"
+    return (
+        f"WITH m AS (SELECT *, {words('name')} AS t, {words('sku')} AS k FROM (VALUES {rows}) t(\"meterId\", name, sku, kind, price, unit, region, least, term)), "
+        "n AS (SELECT *, CASE WHEN t[1:2] = ['5.6', 'luna'] THEN 2 WHEN t[1:1] = ['5.6'] THEN 1 END AS prefix FROM m), r AS (SELECT *, CASE WHEN prefix IS NOT NULL THEN t[prefix + 1:] END AS rest FROM n), "
+        f"f AS (SELECT *, list_filter(list_transform(list_concat(t, k), lambda w: {why}[w]), lambda x: x IS NOT NULL)[1] AS barred, {has('global')}::INT + {has('data_zone')}::INT + {has('regional')}::INT AS modes, "
+        f"len(list_filter(rest, lambda w: NOT list_contains({listed([*fixed.METER_WORDS, *fixed.METER_EXCLUDED])}, w))) AS strange, CASE WHEN {has('cache')} AND {has('write')} THEN 'cache_write' WHEN {has('cache')} AND {has('input')} THEN 'cached_input' WHEN {has('output')} AND NOT {has('input')} THEN 'output' WHEN {has('input')} AND NOT {has('output')} THEN 'input' END AS dimension, "
+        "CASE regexp_extract(unit, '(?i)^\\s*(\\d+)\\s*([km])$', 2) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 END * try_cast(regexp_extract(unit, '^\\s*(\\d+)', 1) AS DOUBLE) AS units FROM r), "
+        "j AS (SELECT *, CASE WHEN kind <> 'Consumption' THEN 'non-consumption-meter' WHEN least <> 0 THEN 'tiered-meter' WHEN t[-1] NOT IN ('token', 'tokens') THEN 'non-token-meter' WHEN prefix IS NULL THEN 'model-not-in-crosswalk' WHEN barred IS NOT NULL THEN 'excluded-' || barred WHEN strange > 0 THEN 'unrecognized-meter-token' "
+        f"WHEN dimension IS NULL THEN 'dimension-ambiguous' WHEN modes > 1 THEN 'deployment-ambiguous' WHEN {has('short')} AND {has('long')} THEN 'context-ambiguous' WHEN units IS NULL THEN 'unit-of-measure-unsupported' END AS rejected FROM f), "
+        f"parsed AS (SELECT \"meterId\", region, rejected, CASE WHEN rejected IS NULL THEN CASE prefix WHEN 2 THEN 'gpt-5.6-luna' ELSE 'gpt-5.6' END END AS model, CASE WHEN rejected IS NULL THEN dimension END AS dimension, CASE WHEN rejected IS NULL THEN CASE WHEN {has('data_zone')} THEN 'data_zone' WHEN {has('regional')} THEN 'regional' ELSE 'global' END END AS deployment, "
+        f"CASE WHEN rejected IS NULL THEN CASE WHEN {has('long')} THEN 'long' ELSE 'short' END END AS context, CASE WHEN rejected IS NULL THEN round(price * 1000000 / units, 10) END AS per_million FROM j)"
+    )
+
+
+@query(_meter_sql() + ' SELECT "meterId", rejected, dimension, deployment, context, per_million FROM parsed')
 def meter_parse(spark, folder):
     """FLT15, J16, CST5, CST6: retail meters, accepted or with the first reason against."""
     return parsed_meters(spark).select("meterId", "rejected", "dimension", "deployment", "context", "per_million")
 
 
-@query("SELECT * FROM (VALUES ('gpt-5.6-luna', 'data_zone', 'long', 'input', 2.5e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'input', 1.25e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'cached_input', 0.125e0, NULL), ('gpt-5.6-luna', 'global', 'short', 'output', NULL, 'region-rate-conflict')) t(model, deployment, context, dimension, per_million, rejected)")
+@query(_meter_sql() + " SELECT model, deployment, context, dimension, CASE WHEN min(per_million) = max(per_million) THEN min(per_million) END AS per_million, CASE WHEN min(per_million) <> max(per_million) THEN 'region-rate-conflict' END AS rejected FROM parsed WHERE rejected IS NULL GROUP BY ALL")
 def meter_candidates(spark, folder):
     """AGG36, AGG37: one rate a dimension, or a conflict between regions."""
     return Y.resolve_meters(parsed_meters(spark)).select("model", "deployment", "context", "dimension", "per_million", "rejected")
@@ -674,7 +730,7 @@ def billing_rows(spark, folder) -> DataFrame:
     return line.select(F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("model"), F.col("l_returnflag").alias("processing_scope"), F.when(F.col("l_linenumber") % 2 == 1, "input_tokens").otherwise("output_tokens").alias("component"), (F.col("l_extendedprice") / 1000).alias("unit_price"), F.lit(1000.0).alias("unit_multiplier"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("quantity"), F.lit("USD").alias("currency"), F.to_date("l_shipdate").alias("effective_from"), F.date_add(F.to_date("l_shipdate"), 40).alias("effective_to"))
 
 
-BILLING_SQL = "billed AS (SELECT 'm' || (l_partkey % 400) AS model, l_returnflag AS processing_scope, CASE WHEN l_linenumber = 1 THEN 'input_tokens' ELSE 'output_tokens' END AS component, l_extendedprice / 1000 AS unit_price, CASE WHEN l_quantity > 5 THEN l_quantity END AS quantity, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + 40 AS z FROM lineitem WHERE l_linenumber <= 2), asked AS (SELECT o_orderkey AS request, 'm' || (o_custkey % 500) AS model, 'A' AS processing_scope, 'input_tokens' AS component, CAST(o_orderdate AS DATE) AS asked_at FROM orders)"
+BILLING_SQL = "billed AS (SELECT 'm' || (l_partkey % 400) AS model, l_returnflag AS processing_scope, CASE WHEN l_linenumber % 2 = 1 THEN 'input_tokens' ELSE 'output_tokens' END AS component, l_extendedprice / 1000 AS unit_price, CASE WHEN l_quantity > 5 THEN l_quantity END AS quantity, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + 40 AS z FROM lineitem), asked AS (SELECT o_orderkey AS request, 'm' || (o_custkey % 500) AS model, 'A' AS processing_scope, 'input_tokens' AS component, CAST(o_orderdate AS DATE) AS asked_at FROM orders)"
 FOUND_SQL = f"WITH {BILLING_SQL}, found AS (SELECT request, count(b.model) AS n, min(unit_price) AS p, min(quantity) AS q FROM asked LEFT JOIN billed b ON b.model = asked.model AND b.processing_scope = asked.processing_scope AND b.component = asked.component AND asked_at BETWEEN a AND z GROUP BY 1)"
 
 
@@ -721,12 +777,6 @@ def lttb_downsample(spark, folder):
     return Z.downsample(usage_series(spark, folder), KEY, "slot", "tpm", 200)
 
 
-@query()
-def html_price_tables(spark, folder):
-    """SRC28, SRC29: the pages here hold no price table, so this reads all and finds none."""
-    return Y.html_tables(V.table(spark, folder, "pages"), ["Model", "Input", "Output"])
-
-
 @query(
     f"WITH {S.PRICED_SQL}{S.slice_sql('deployment_name, model_name, deployment_mode, canonical')}, q AS (SELECT deployment_name, 'identity' AS issue, 'the model isn''t named' AS detail FROM summary WHERE pricing_status = 'identity_unresolved' UNION ALL SELECT deployment_name, 'input_tokens', input_tokens_state FROM summary WHERE input_tokens_state <> 'measured' "
     "UNION ALL SELECT deployment_name, 'output_tokens', output_tokens_state FROM summary WHERE output_tokens_state <> 'measured' UNION ALL SELECT deployment_name, 'cached_tokens', cached_tokens_state FROM summary WHERE cached_tokens_state <> 'measured' UNION ALL SELECT deployment_name, 'pricing', unresolved_reasons FROM summary WHERE NOT pricing_complete) SELECT * FROM q"
@@ -734,3 +784,6 @@ def html_price_tables(spark, folder):
 def data_quality(spark, folder):
     """DQ1."""
     return A.data_quality(R.deployment_rollup(priced(spark, folder)))
+
+
+from . import catalog_more  # noqa: E402, F401 - registers its queries

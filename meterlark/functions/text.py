@@ -12,12 +12,16 @@ from ..fixed import PUBLISHER_PREFIXES
 
 def canonical_model(name: Column) -> Column:
     """Trimmed, lower-cased, white space and underscores to single hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[\s_]+", "-"), "-+", "-")
+    return F.regexp_replace(F.lower(F.trim(name)), r"[\s_-]+", "-")
 
 
 def publisher_of(model: Column) -> Column:
     """Publisher by the first fitting prefix of the canonical name; null if none fits."""
-    name = canonical_model(model)
+    return publisher_of_name(canonical_model(model))
+
+
+def publisher_of_name(name: Column) -> Column:
+    """The same for a name that is canonical already."""
     return reduce(lambda rest, rule: F.when(F.startswith(name, F.lit(rule[0])), F.lit(rule[1])).otherwise(rest), reversed(PUBLISHER_PREFIXES), F.lit(None).cast("string"))
 
 

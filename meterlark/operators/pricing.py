@@ -8,7 +8,7 @@ fit, within the row: no shuffle of traces and no ranking window.  A catalog is b
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import canonical_model, publisher_of
+from ..functions.text import canonical_model, publisher_of_name
 
 PRICE = "provider string, publisher string, model string, aliases array<string>, service_tier string, region string, effective_from date, effective_to date, context_min long, context_max long, context_window string, billing_basis string, confidence string, source_rank int, assumed array<string>, input_rate double, cached_rate double, write_rate double, output_rate double"
 BROADCAST_ROWS = 50_000
+NAME = "pm_name"  # the canonical model name, computed once a row
 
 
 @dataclass
@@ -32,6 +33,13 @@ class Catalog:
     currency: str = "USD"
     basis: str = "effective_period"
     retrieved_at: str | None = None
+    rows: int | None = None
+
+    def size(self) -> int:
+        """Prices, counted once (and no further than the bound of a broadcast)."""
+        if self.rows is None:
+            self.rows = self.prices.limit(BROADCAST_ROWS + 1).count()
+        return self.rows
 
 
 def price_rows(spark: SparkSession, entries: Iterable[dict]) -> DataFrame:
@@ -54,7 +62,7 @@ def reference_catalog(spark: SparkSession) -> Catalog:
     """The dated catalog that ships with the library."""
     facts = fixed.REFERENCE_CATALOG
     entries = [{"model": m, "region": r, "effective_from": facts["retrieved_at"], "input_rate": i, "cached_rate": c, "output_rate": o} for m, r, i, c, o in fixed.REFERENCE_PRICES]
-    return Catalog(facts["name"], "reference", price_rows(spark, entries), facts["currency"], facts["basis"], facts["retrieved_at"])
+    return Catalog(facts["name"], "reference", price_rows(spark, entries), facts["currency"], facts["basis"], facts["retrieved_at"], len(entries))
 
 
 def candidates(prices: DataFrame) -> DataFrame:
@@ -80,65 +88,79 @@ def with_price(traces: DataFrame, catalog: Catalog, out: str, when: Column, cont
         return region & dates & band
 
     table = candidates(catalog.prices)
-    if catalog.prices.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if catalog.size() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    keys = (F.lower(F.col("provider")) == F.col("p_provider")) & (canonical_model(F.col("model_name")) == F.col("p_model")) & (F.lower(F.col("service_tier")) == F.col("p_tier"))
-    return traces.join(table, keys, "left").withColumn(out, F.get(F.filter("found", fits), F.lit(0))).drop("p_provider", "p_model", "p_tier", "found")
+    named = traces if NAME in traces.columns else traces.withColumn(NAME, canonical_model(F.col("model_name")))
+    keys = (F.lower(F.col("provider")) == F.col("p_provider")) & (F.col(NAME) == F.col("p_model")) & (F.lower(F.col("service_tier")) == F.col("p_tier"))
+    priced = named.join(table, keys, "left").withColumn(out, F.get(F.filter("found", fits), F.lit(0))).drop("p_provider", "p_model", "p_tier", "found")
+    return priced if named is traces else priced.drop(NAME)
 
 
-def costs(price: Column, fresh: Column, cached: Column, written: Column, output: Column) -> list[Column]:
-    """Fresh, cached and output cost; null where cached input has no rate."""
-    priced = price.isNotNull() & ((cached == 0) | price["cached_rate"].isNotNull())
-    return [
-        F.when(priced, (fresh * price["input_rate"] + written * price["write_rate"]) / 1_000_000),
-        F.when(priced, cached * F.coalesce(price["cached_rate"], F.lit(0.0)) / 1_000_000),
-        F.when(priced, output * price["output_rate"] / 1_000_000),
-    ]
+OBSERVED, LACKING, NO_PRICE, NO_CACHED_RATE, PRICED = range(5)
 
 
-def resolution(catalogs: list[Catalog], currency: str, cached: Column, buckets: bool = False) -> Column:
-    """What a trace costs and why not, as a struct, from the entries that ``with_price`` found (columns price_0, ...).
+def resolve(rows: DataFrame, catalogs: list[Catalog], currency: str, readings: dict[str, Column], buckets: bool = False, fields: Sequence[str] = ()) -> DataFrame:
+    """``rows`` (see ``with_price``: columns price_0, ...) with a struct for each reading of cached input: what a trace costs and why not.
 
     An observed cost goes first; then usage must be complete; then the first catalog of the currency that has an entry
-    decides, even if that entry can't price cached input; an entry in another currency only gives the reason.
+    decides, even if that entry can't price cached input; an entry in another currency only gives the reason.  What the
+    structs share (canonical name, publisher, the entry that decides, the state) are columns that are computed once a row.
     """
-    observed, given = F.col("observed_cost_usd"), F.col("input_tokens")
-    missing = F.array_compact(F.array(F.when(given.isNull(), "input_tokens"), F.when(cached.isNull(), "cached_tokens"), F.when(F.col("output_tokens").isNull(), "output_tokens")))
-    name = canonical_model(F.col("model_name"))
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     dollars = currency.upper() == "USD"
-
-    def result(resolved: bool, source: str, cost: Column = number, parts: list[Column] | None = None, reason: Column = text, key: Column = text, entry: Column | None = None, catalog: Catalog | None = None, basis: Column = text, confidence: Column = text, publisher: Column = text) -> Column:
-        fresh, read, written = parts or [number, number, number]
-        return F.struct(
-            F.lit(resolved).alias("resolved"), cost.cast("double").alias("cost_usd"), F.lit(source).alias("source"), fresh.alias("fresh_cost"), read.alias("cached_cost"), written.alias("output_cost"),
-            reason.cast("string").alias("reason"), key.alias("override_key"), (F.lit(catalog.name) if catalog else text).alias("catalog"), (entry["effective_from"].cast("string") if entry is not None else text).alias("effective_from"),
-            basis.alias("billing_basis"), confidence.alias("confidence"), publisher.alias("publisher"), (entry["input_rate"] if entry is not None else number).alias("input_rate"), (entry["cached_rate"] if entry is not None else number).alias("cached_rate"), (entry["output_rate"] if entry is not None else number).alias("output_rate"),
-            (entry["assumed"] if entry is not None else F.array().cast("array<string>")).alias("assumed"),
-        )
-
+    mine = [(i, c) for i, c in enumerate(catalogs) if c.currency.upper() == currency.upper()]
     foreign = [F.col(f"price_{i}").isNotNull() for i, c in enumerate(catalogs) if c.currency.upper() != currency.upper()]
-    no_price = F.when(reduce(lambda a, b: a | b, foreign, F.lit(False)), "currency-conversion-required").otherwise("no-exact-model-mode-price")
-    out = result(False, "unresolved", reason=no_price, key=name, publisher=publisher_of(F.col("model_name")))
-    for i, c in reversed(list(enumerate(catalogs))):
-        if c.currency.upper() != currency.upper():
-            continue
+    none, text, number = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    observed, given, made = F.col("observed_cost_usd"), F.col("input_tokens"), F.col("output_tokens")
+    chain: Column | None = None
+    for i, c in mine:
         entry = F.col(f"price_{i}")
-        parts = costs(entry, given - cached, cached, F.lit(0), F.col("output_tokens"))
-        assumed = entry["assumed"] if not buckets else F.array_sort(F.array_distinct(F.concat(entry["assumed"], F.when(entry["context_window"].isNotNull(), F.array(F.concat(F.lit("context="), entry["context_window"]))).otherwise(F.array().cast("array<string>")))))
-        publisher = F.when(entry["publisher"] != "", entry["publisher"])
-        good = result(True, c.kind, parts[0] + parts[1] + parts[2], parts, entry=entry, catalog=c, basis=entry["billing_basis"], confidence=entry["confidence"], publisher=publisher).withField("assumed", assumed)
-        bad = result(False, "unresolved", reason=F.lit("cached-input-rate-unavailable"), catalog=c, basis=entry["billing_basis"], publisher=publisher)
-        out = F.when(entry.isNotNull(), F.when(parts[0].isNotNull(), good).otherwise(bad)).otherwise(out)
-    lacking = result(False, "unresolved", reason=F.concat(F.lit("usage-metrics-unavailable:"), F.array_join(missing, ",")), key=name, publisher=publisher_of(F.col("model_name")))
-    seen = result(True, "observed", observed, basis=F.lit("observed_cost"), confidence=F.lit("observed"), publisher=publisher_of(F.col("model_name"))) if dollars else result(False, "unresolved", reason=F.lit("currency-conversion-required"))
-    return F.when(observed.isNotNull(), seen).when(F.size(missing) > 0, lacking).otherwise(out)
+        assumed = entry["assumed"] if not buckets else F.array_sort(F.array_distinct(F.concat(entry["assumed"], F.when(entry["context_window"].isNotNull(), F.array(F.concat(F.lit("context="), entry["context_window"]))).otherwise(none))))
+        hit = F.struct(F.lit(c.kind).alias("kind"), F.lit(c.name).alias("catalog"), assumed.alias("assumed"), *[entry[n].alias(n) for n in ("effective_from", "billing_basis", "confidence", "publisher", "input_rate", "cached_rate", "output_rate")])
+        chain = F.when(entry.isNotNull(), hit) if chain is None else chain.when(entry.isNotNull(), hit)
+    empty = F.lit(None).cast("struct<kind:string,catalog:string,assumed:array<string>,effective_from:date,billing_basis:string,confidence:string,publisher:string,input_rate:double,cached_rate:double,output_rate:double>")
+    out = rows.withColumns({"pm_hit": empty if chain is None else chain, "pm_foreign": reduce(lambda a, b: a | b, foreign, F.lit(False)), "pm_publisher": publisher_of_name(F.col(NAME))})
+    states = {}
+    for name, cached in readings.items():
+        lacks = given.isNull() | cached.isNull() | made.isNull()
+        states[f"pm_{name}"] = F.when(observed.isNotNull(), OBSERVED).when(lacks, LACKING).when(F.col("pm_hit").isNull(), NO_PRICE).when((cached != 0) & F.col("pm_hit.cached_rate").isNull(), NO_CACHED_RATE).otherwise(PRICED)
+    out = out.withColumns(states)
+    h = lambda n: F.col(f"pm_hit.{n}")
+    for name, cached in readings.items():
+        s = F.col(f"pm_{name}")
+        is_ = lambda *v, s=s: s.isin(*v)
+        priced = is_(PRICED)
+        parts = [F.when(priced, (given - cached) * h("input_rate") / 1_000_000), F.when(priced, cached * F.coalesce(h("cached_rate"), F.lit(0.0)) / 1_000_000), F.when(priced, made * h("output_rate") / 1_000_000)]
+        seen = is_(OBSERVED) if dollars else F.lit(False)
+        missing = F.concat_ws(",", F.when(given.isNull(), "input_tokens"), F.when(cached.isNull(), "cached_tokens"), F.when(made.isNull(), "output_tokens"))
+        no_price = F.when(F.col("pm_foreign"), "currency-conversion-required").otherwise("no-exact-model-mode-price")
+        own_publisher = F.when(h("publisher") != "", h("publisher"))
+        columns = {
+            "resolved": priced | seen,
+            "cost_usd": F.when(seen, observed).when(priced, parts[0] + parts[1] + parts[2]).cast("double"),
+            "source": F.when(seen, "observed").when(priced, h("kind")).otherwise("unresolved"),
+            "fresh_cost": parts[0],
+            "cached_cost": parts[1],
+            "output_cost": parts[2],
+            "reason": F.when(is_(LACKING), F.concat(F.lit("usage-metrics-unavailable:"), missing)).when(is_(NO_PRICE), no_price).when(is_(NO_CACHED_RATE), "cached-input-rate-unavailable").when(is_(OBSERVED), text if dollars else F.lit("currency-conversion-required")),
+            "override_key": F.when(is_(LACKING, NO_PRICE), F.col(NAME)),
+            "catalog": F.when(is_(PRICED, NO_CACHED_RATE), h("catalog")),
+            "effective_from": F.when(priced, h("effective_from").cast("string")),
+            "billing_basis": F.when(seen, "observed_cost").when(is_(PRICED, NO_CACHED_RATE), h("billing_basis")),
+            "confidence": F.when(seen, "observed").when(priced, h("confidence")),
+            "publisher": F.when(is_(PRICED, NO_CACHED_RATE), own_publisher).when(seen | is_(LACKING, NO_PRICE), F.col("pm_publisher")),
+            "input_rate": F.when(priced, h("input_rate")),
+            "cached_rate": F.when(priced, h("cached_rate")),
+            "output_rate": F.when(priced, h("output_rate")),
+            "assumed": F.when(priced, h("assumed")).otherwise(none),
+        }
+        out = out.withColumn(name, F.struct(*[c.alias(n) for n, c in columns.items() if not fields or n in fields]))
+    return out.drop("pm_hit", "pm_foreign", "pm_publisher", *states)
 
 
 def price_traces(traces: DataFrame, catalogs: list[Catalog], currency: str = "USD", when: Column | None = None, buckets: bool = False) -> DataFrame:
-    """``traces`` with ``cost`` (see ``resolution``) and ``cost_no_cache``, the same with unmeasured cached input taken as zero."""
-    out, context = traces, F.lit(None).cast("long") if buckets else F.col("input_tokens")
+    """``traces`` with ``cost`` (see ``resolve``) and ``cost_no_cache``, the same with unmeasured cached input taken as zero."""
+    out, context = traces.withColumn(NAME, canonical_model(F.col("model_name"))), F.lit(None).cast("long") if buckets else F.col("input_tokens")
     for i, c in enumerate(catalogs):
         out = with_price(out, c, f"price_{i}", F.col("ts") if when is None else F.coalesce(F.col("ts"), when), context)
-    out = out.withColumns({"cost": resolution(catalogs, currency, F.col("cached_tokens"), buckets), "cost_no_cache": resolution(catalogs, currency, F.coalesce(F.col("cached_tokens"), F.lit(0)), buckets)})
-    return out.drop(*[f"price_{i}" for i in range(len(catalogs))])
+    out = resolve(out, catalogs, currency, {"cost": F.col("cached_tokens"), "cost_no_cache": F.coalesce(F.col("cached_tokens"), F.lit(0))}, buckets)
+    return out.drop(NAME, *[f"price_{i}" for i in range(len(catalogs))])

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions.text import known_model, words_of
-from ..functions.tokens import count_messages, count_text
+from ..functions.tokens import count_messages, count_text, count_tools
 
 RESULT = ["rule_id", "affected", "measured", "min_savings", "max_savings"]
 
@@ -70,7 +70,7 @@ def unused_tools(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     names = traces.select(*keys, F.explode(F.concat(F.transform("tools", lambda t: F.struct(t.alias("name"), F.lit(True).alias("defined"))), F.transform(called, lambda t: F.struct(t.alias("name"), F.lit(False).alias("defined"))))).alias("t"))
     by_name = names.groupBy(*keys, "t.name").agg(F.bool_or("t.defined").alias("defined"), F.bool_or(~F.col("t.defined")).alias("called")).where("defined")
     counts = by_name.groupBy(*keys).agg(F.count(F.lit(1)).alias("tools"), F.count_if(~F.col("called")).alias("unused"))
-    tokens = traces.groupBy(*keys).agg(F.sum(F.when(F.size("tools") > 0, count_text(F.col("tools_json"))).otherwise(0)).alias("tokens"))
+    tokens = traces.groupBy(*keys).agg(F.sum(F.when(F.size("tools") > 0, count_tools(F.col("tools_json"))).otherwise(0)).alias("tokens"))
     found = (counts.join(tokens, list(keys)) if keys else counts.crossJoin(F.broadcast(tokens))).where("unused > 0 and tokens >= 100")  # without keys both have one row
     spare = F.bround(F.col("tokens") * F.col("unused") / F.greatest(F.lit(1), F.col("tools")), 0)
     return _result(found, keys, "TL003", F.col("unused"), F.col("tokens"), F.bround(spare * 0.6, 0), spare)
@@ -229,7 +229,7 @@ def evaluate(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.select(*keys, "rule_id", status.alias("status"), F.array_join("missing", ",").alias("missing"), *values)
 
 
-def with_impact(findings: DataFrame, totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def with_impact(findings: DataFrame, totals: DataFrame, keys: Sequence[str] = (), min_percent: float = 1.0, min_tokens: int = 100_000) -> DataFrame:
     """TLIMP, TLCAT, FLT10: impact in percent of input tokens (of requests for calls), capped at 100, its category and whether it is material.
 
     ``totals`` has keys, input_tokens and requests.
@@ -242,12 +242,17 @@ def with_impact(findings: DataFrame, totals: DataFrame, keys: Sequence[str] = ()
     top, calls = F.col("impact_max_percent"), F.col("rule_id") == "TL007"
     severity = F.element_at(F.create_map(*[F.lit(x) for pair in fixed.SEVERITY.items() for x in pair]), F.col("rule_id"))
     return rows.withColumns({"impact_min_percent": share("min_savings"), "impact_max_percent": share("max_savings"), "severity": severity}).withColumn(
-        "material", (F.coalesce(top, F.lit(0.0)) >= 1) | (calls & (F.col("max_savings") > 0)) | (~calls & (F.coalesce(F.col("max_savings"), F.lit(0)) >= 100_000))
+        "material", (F.coalesce(top, F.lit(0.0)) >= min_percent) | (calls & (F.col("max_savings") > 0)) | (~calls & (F.coalesce(F.col("max_savings"), F.lit(0)) >= min_tokens))
     )
 
 
-def top_findings(findings: DataFrame, keys: Sequence[str] = (), n: int = 3) -> DataFrame:
-    """SRT2, SRT3: a slice's ``n`` first material findings by impact, savings, severity and id."""
+def finding_order() -> list[Column]:
+    """The order of findings: impact, savings, severity, id."""
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in {"high": 0, "medium": 1, "low": 2, "info": 3}.items() for x in pair]), F.col("severity"))
-    order = Window.partitionBy(*keys).orderBy(F.coalesce("impact_max_percent", F.lit(0.0)).desc(), F.coalesce("max_savings", F.lit(0)).desc(), rank, "rule_id")
+    return [F.coalesce("impact_max_percent", F.lit(0.0)).desc(), F.coalesce("max_savings", F.lit(0)).desc(), rank, F.col("rule_id")]
+
+
+def top_findings(findings: DataFrame, keys: Sequence[str] = (), n: int = 3) -> DataFrame:
+    """SRT2, SRT3: a slice's ``n`` first material findings."""
+    order = Window.partitionBy(*keys).orderBy(*finding_order())
     return findings.where("material").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

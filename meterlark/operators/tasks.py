@@ -11,30 +11,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pricing import Catalog, resolution, with_price
+from ..functions.text import canonical_model
+from .pricing import NAME, Catalog, resolve, with_price
 
 CLOSED = ("solved", "failed", "abandoned")
 
 
 def price_events(events: DataFrame, catalogs: list[Catalog], currency: str = "USD") -> DataFrame:
     """J3: ``events`` with ``cost``; a tool step without an observed cost is unresolved."""
-    out = events
+    calls = F.col("event_type") == "model_call"
+    out = events.withColumn(NAME, F.when(calls, canonical_model(F.col("model_name"))))
     for i, c in enumerate(catalogs):
         out = with_price(out, c, f"price_{i}", F.col("ts"), F.col("context_length"))
-    priced = resolution(catalogs, currency, F.col("cached_tokens"))
-    unpriced = F.struct(*[(F.lit(False) if n == "resolved" else F.lit("unresolved") if n == "source" else F.lit(None)).alias(n) for n in ("resolved", "cost_usd", "source")])
-    slim = F.struct(priced["resolved"].alias("resolved"), priced["cost_usd"].alias("cost_usd"), priced["source"].alias("source"))
-    cost = F.when((F.col("event_type") == "tool_step") & F.col("observed_cost_usd").isNull(), unpriced).when(F.col("event_type").isin("model_call", "tool_step"), slim)
-    return out.withColumn("cost", cost).drop(*[f"price_{i}" for i in range(len(catalogs))])
+    out = resolve(out, catalogs, currency, {"cost": F.col("cached_tokens")}, fields=("resolved", "cost_usd", "source"))
+    c = F.col("cost")
+    open_ = (F.col("event_type") == "tool_step") & F.col("observed_cost_usd").isNull()
+    step = calls | (F.col("event_type") == "tool_step")
+    cost = F.struct(F.when(step, c["resolved"] & ~open_).alias("resolved"), F.when(step & ~open_, c["cost_usd"]).alias("cost_usd"), F.when(open_, "unresolved").when(step, c["source"]).alias("source"))
+    return out.withColumn("cost", cost).drop(NAME, *[f"price_{i}" for i in range(len(catalogs))])
 
 
 def trajectories(events: DataFrame) -> DataFrame:
-    """AGG19, WIN12, WIN13: one row a task."""
+    """AGG19, WIN12, WIN13: one row a task.
+
+    Events are dealt by task once, which serves both aggregations.
+    """
     step = F.col("event_type").isin("model_call", "tool_step")
     call, result, review = (F.col("event_type") == t for t in ("model_call", "task_result", "human_review"))
     c = F.col("cost")
     described = F.col("task_type").isNotNull() & F.col("execution_strategy").isNotNull() & F.col("strategy_version").isNotNull()
-    attempts = events.groupBy("task_id", F.when(step | result, F.coalesce("attempt_id", F.lit("attempt-unknown"))).alias("attempt")).agg(
+    attempts = events.repartition("task_id").groupBy("task_id", F.when(step | result, F.coalesce("attempt_id", F.lit("attempt-unknown"))).alias("attempt")).agg(
         F.count_if(step).alias("steps"),
         F.count_if(step & c["resolved"]).alias("resolved_steps"),
         *[F.count_if(step & c["resolved"] & (c["source"] == s)).alias(f"{s}_steps") for s in ("observed", "customer", "reference")],

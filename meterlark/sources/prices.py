@@ -45,9 +45,8 @@ def parse_meters(rows: DataFrame, crosswalk: DataFrame, assumed_deployment: str
 
     ``crosswalk``: (model, publisher, label), a small table; the longest label that begins a meter's name wins.
     """
-    words = {k: v.split() for k, v in fixed.METER_WORDS.items()}
-    excluded = {t: reason for reason, v in fixed.METER_EXCLUDED.items() for t in v.split()}
-    known = [*{t for v in words.values() for t in v}, *excluded]
+    excluded = fixed.METER_EXCLUDED
+    known = [*fixed.METER_WORDS, *excluded]
     labels = crosswalk.select("model", "publisher", label_tokens(F.col("label")).alias("l")).where(F.size("l") > 0)
     listed = labels.agg(F.collect_list(F.struct(F.size("l").alias("n"), "l", "model", "publisher")).alias("crosswalk"))  # configuration: one row
     t = label_tokens(F.col("meterName"))
@@ -55,7 +54,7 @@ def parse_meters(rows: DataFrame, crosswalk: DataFrame, assumed_deployment: str
     fits = F.filter("crosswalk", lambda c: F.slice(F.col("t"), F.lit(1), c["n"]) == c["l"])
     rows = rows.withColumn("m", F.array_max(F.transform(fits, lambda c: F.struct(c["n"].alias("n"), c["model"].alias("model"), c["publisher"].alias("publisher")))))
     rows = rows.withColumn("rest", F.when(F.col("m").isNotNull(), F.slice("t", F.col("m.n") + 1, F.greatest(F.size("t"), F.lit(1)))))
-    has = lambda kind: F.arrays_overlap("rest", F.array(*[F.lit(w) for w in words[kind]]))
+    has = lambda kind: F.arrays_overlap("rest", F.array(*[F.lit(w) for w, k in fixed.METER_WORDS.items() if k == kind]))
     every = F.concat("t", label_tokens(F.col("skuName")), label_tokens(F.col("armSkuName")))
     reason_of = F.create_map(*[F.lit(x) for pair in excluded.items() for x in pair])
     barred = F.get(F.filter(F.transform(every, lambda w: F.element_at(reason_of, w)), lambda r: r.isNotNull()), F.lit(0))

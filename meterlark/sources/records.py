@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import first_filled
+from ..operators.capabilities import error_category
 
 TOOL_CALL = "struct<function:struct<name:string>>"
 MESSAGES = f"array<struct<role:string,content:variant,name:string,tool_calls:array<{TOOL_CALL}>>>"
@@ -151,11 +152,18 @@ def spans_of(documents: DataFrame) -> DataFrame:
     many = at("resourceSpans", "array<struct<scopeSpans:array<struct<spans:array<variant>>>,instrumentationLibrarySpans:array<struct<spans:array<variant>>>>>")
     deep = F.flatten(F.flatten(F.transform(many, lambda r: F.transform(F.coalesce(r["scopeSpans"], r["instrumentationLibrarySpans"]), lambda s: F.coalesce(s["spans"], F.array().cast("array<variant>"))))))
     listed = F.coalesce(deep, at("spans", "array<variant>"), F.array(F.col("v")))
-    rows = documents.select("file", F.explode(listed).alias("span"))
-    pairs = F.try_variant_get("span", "$.attributes", f"array<struct<key:string,value:{VALUE}>>")
     text = lambda x: F.coalesce(x["stringValue"], x["intValue"], x["doubleValue"].cast("string"), x["boolValue"].cast("string"))
-    from_pairs = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter(pairs, lambda p: p["key"].isNotNull()), lambda p: p["key"])), lambda k: F.struct(k.alias("key"), text(F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]).alias("value"))))
-    return rows.withColumn("attributes", F.coalesce(from_pairs, F.try_variant_get("span", "$.attributes", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    empty = F.create_map().cast("map<string,string>")
+
+    def attributes(span: Column) -> Column:
+        pairs = F.filter(F.try_variant_get(span, "$.attributes", f"array<struct<key:string,value:{VALUE}>>"), lambda p: p["key"].isNotNull())
+        entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), text(p["value"]).alias("value")))
+        keys = F.transform(pairs, lambda p: p["key"])
+        last = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
+        return F.coalesce(F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)).otherwise(last), F.try_variant_get(span, "$.attributes", "map<string,string>"), empty)
+
+    # the map is built inside the generator, so no filter or projection above it builds it again
+    return documents.select("file", F.explode(F.transform(listed, lambda s: F.struct(s.alias("span"), attributes(s).alias("attributes")))).alias("x")).select("file", "x.span", "x.attributes")
 
 
 def is_content(name: Column) -> Column:
@@ -195,7 +203,7 @@ def map_spans(spans: DataFrame, own: str = "meterlark") -> DataFrame:
         deployment.alias("deployment_name"), F.coalesce(response, request).alias("model_name"), F.coalesce(a("gen_ai.response.service_tier"), a("gen_ai.request.service_tier"), F.lit("standard")).alias("service_tier"), F.coalesce(a(f"{own}.deployment_mode"), a("az.deployment.mode"), F.lit("unknown")).alias("deployment_mode"),
         a(f"{own}.workload").alias("workload"), F.coalesce(a("gen_ai.operation.name"), s("name")).alias("api"), whole_or_null("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens").alias("input_tokens"), whole_or_null("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens").alias("output_tokens"),
         whole_or_null("gen_ai.usage.cached_input_tokens").alias("cached_tokens"), whole_or_null("gen_ai.usage.reasoning_tokens").alias("reasoning_tokens"), F.round((end - start) / 1_000_000, 3).alias("latency_ms"),
-        F.when(~failed & a("error.type").isNull(), F.coalesce(status, F.lit(200))).otherwise(status).cast("int").alias("status_code"), (failed | a("error.type").isNotNull()).alias("failed"), "content_dropped",
+        F.when(~failed & a("error.type").isNull(), F.coalesce(status, F.lit(200))).otherwise(status).cast("int").alias("status_code"), (failed | a("error.type").isNotNull()).alias("failed"), error_category(a("error.type"), failed).alias("error_category"), "content_dropped",
     )
 
 

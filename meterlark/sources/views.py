@@ -96,51 +96,66 @@ buckets AS (
 
 
 def conversation_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """One request for each conversation; ``messages`` are its turns with whole texts."""
-    c = table(spark, folder, "conversations")
-    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.sum(F.when(F.col("role") == "assistant", F.length("text"))).alias("said"))
+    """One request for each conversation; ``messages`` are its turns with whole texts.
+
+    Every other team (four conversations each) begins with its application's instructions, a benchmark item; the other
+    teams have fingerprints of theirs instead.  One conversation in ten was sent twice.
+    """
+    c = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    ids = c.select("conv_id").distinct().where((F.floor(F.col("conv_id") / 4) % 2 == 0))
+    items = table(spark, folder, "benchmark").select(F.col("item_id"), F.col("text"))
+    told = ids.join(items, F.col("conv_id") % 5 == F.col("item_id")).select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), "text")
+    turns = c.unionByName(told).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.sum(F.when(F.col("role") == "assistant", F.length("text"))).alias("said"))
     calls = F.when(F.col("conv_id") % 3 == 0, F.array(F.concat(F.lit("tool_"), F.col("conv_id") % 2))).otherwise(F.array().cast("array<string>"))
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), F.lit(None).cast("string").alias("name"), F.when(t["role"] == "assistant", calls).alias("tool_calls")))
-    number = F.col("conv_id")
-    return turns.select(
-        number.alias("ingest_seq"),
+    number, team = F.col("conv_id"), F.floor(F.col("conv_id") / 4).cast("long")
+    sent = turns.withColumn("copy", F.explode(F.when(number % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    keyed = team % 2 == 1
+    return sent.select(
+        (number * 2 + F.col("copy")).alias("ingest_seq"),
         F.concat(F.lit("dep-"), number % 3).alias("deployment_name"),
+        F.concat(F.lit("team-"), team).alias("team"),
         F.when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model"),
         F.when(number % 7 == 0, "unknown").when(number % 2 == 0, "gpt-4.1-mini").otherwise("gpt-4.1").alias("model_name"),
         messages.alias("messages"),
         F.when(number % 2 == 0, F.array(F.lit("tool_0"), F.lit("tool_1"), F.concat(F.lit("tool_"), number % 5))).otherwise(F.array().cast("array<string>")).alias("tools"),
-        F.concat(F.lit('[{"function": {"name": "tool_'), number % 5, F.lit('"}, "type": "function"}]')).alias("tools_json"),
+        F.concat(F.lit('[{"type": "function", "function": {"name":"tool_'), number % 5, F.lit('"}}]')).alias("tools_json"),
         F.when(number % 4 != 0, F.col("said") + 10).alias("input_tokens"),
         F.when(number % 5 != 0, F.coalesce(F.floor(F.col("said") / 4), F.lit(0))).cast("long").alias("output_tokens"),
         F.when(number % 3 != 0, 4000 + number % 10).cast("long").alias("max_output_tokens"),
         F.lit(None).cast("string").alias("retry_of"),
         F.when(number % 29 == 0, 1).otherwise(0).alias("retry_count"),
-        F.when(number % 13 == 0, "Classify ticket").alias("task_type"),
+        F.when(number % 4 == 1, "Classify ticket").alias("task_type"),
         F.concat(F.lit("t"), number % 2).alias("tenant"),
         F.when(number % 3 == 0, "support").alias("workload"),
         F.lit(None).cast("string").alias("record_type"),
-        F.when(number % 6 == 0, F.concat(F.lit("hmac-sha256:"), number % 4)).alias("fingerprint"),
-        F.when(number % 6 == 0, 120 + number % 4).cast("long").alias("prefix_tokens"),
+        F.when(keyed, F.concat(F.lit("hmac-sha256:"), team % 4)).alias("fingerprint"),
+        F.when(keyed, 120 + team % 4).cast("long").alias("prefix_tokens"),
         F.array().cast("array<string>").alias("retrieved_chunks"),
     )
 
 
 CONVERSATIONS_SQL = """
+told AS (
+  SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, b.text FROM conversations c JOIN benchmark b ON conv_id % 5 = item_id WHERE conv_id // 4 % 2 = 0),
 turns AS (
-  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) END) AS BIGINT) AS said FROM conversations GROUP BY conv_id),
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) END) AS BIGINT) AS said
+  FROM (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations UNION ALL SELECT * FROM told) GROUP BY conv_id),
+sent AS (SELECT *, unnest(CASE WHEN conv_id % 10 = 3 THEN [0, 1] ELSE [0] END) AS copy FROM turns),
 requests AS (
-  SELECT conv_id AS ingest_seq, 'dep-' || (conv_id % 3) AS deployment_name, CASE WHEN conv_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1' END AS model,
+  SELECT conv_id * 2 + copy AS ingest_seq, 'dep-' || (conv_id % 3) AS deployment_name, 'team-' || (conv_id // 4) AS team, CASE WHEN conv_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1' END AS model,
     CASE WHEN conv_id % 7 = 0 THEN 'unknown' WHEN conv_id % 2 = 0 THEN 'gpt-4.1-mini' ELSE 'gpt-4.1' END AS model_name, turns,
     CASE WHEN conv_id % 2 = 0 THEN ['tool_0', 'tool_1', 'tool_' || (conv_id % 5)] ELSE CAST([] AS VARCHAR[]) END AS tools,
     CASE WHEN conv_id % 3 = 0 AND len(list_filter(turns, lambda t: t.role = 'assistant')) > 0 THEN ['tool_' || (conv_id % 2)] ELSE CAST([] AS VARCHAR[]) END AS called,
     strlen('[{"function": {"name": "tool_' || (conv_id % 5) || '"}, "type": "function"}]') AS tools_bytes,
     CASE WHEN conv_id % 4 <> 0 THEN said + 10 END AS input_tokens, CASE WHEN conv_id % 5 <> 0 THEN coalesce(said // 4, 0) END AS output_tokens,
     CASE WHEN conv_id % 3 <> 0 THEN 4000 + conv_id % 10 END AS max_output_tokens, CASE WHEN conv_id % 29 = 0 THEN 1 ELSE 0 END AS retry_count,
-    CASE WHEN conv_id % 13 = 0 THEN 'Classify ticket' END AS task_type, 't' || (conv_id % 2) AS tenant, CASE WHEN conv_id % 3 = 0 THEN 'support' END AS workload,
-    CASE WHEN conv_id % 6 = 0 THEN 'hmac-sha256:' || (conv_id % 4) END AS fingerprint, CASE WHEN conv_id % 6 = 0 THEN 120 + conv_id % 4 END AS prefix_tokens,
-    CAST(list_sum(list_transform(turns, lambda t: 4 + strlen(t.role) + strlen(t.text))) + CASE WHEN len(turns) > 0 THEN 2 ELSE 0 END AS BIGINT) AS context,
-    CAST(list_sum(list_transform(turns, lambda t: 4 + strlen(t.role) + strlen(substr(t.text, 1, 3)))) + CASE WHEN len(turns) > 0 THEN 2 ELSE 0 END AS BIGINT) AS short_context
-  FROM turns)"""
+    CASE WHEN conv_id % 4 = 1 THEN 'Classify ticket' END AS task_type, 't' || (conv_id % 2) AS tenant, CASE WHEN conv_id % 3 = 0 THEN 'support' END AS workload,
+    CASE WHEN conv_id // 4 % 2 = 1 THEN 'hmac-sha256:' || (conv_id // 4 % 4) END AS fingerprint, CASE WHEN conv_id // 4 % 2 = 1 THEN 120 + conv_id // 4 % 4 END AS prefix_tokens,
+    CAST(list_sum(list_transform(turns, lambda t: 4 + strlen(t.role) + strlen(t.text))) + CASE WHEN len(turns) > 0 THEN 2 ELSE 0 END AS BIGINT) AS context
+  FROM sent)"""
+#: The same requests as one slice.
+WHOLE_SQL = CONVERSATIONS_SQL.replace("'dep-' || (conv_id % 3) AS deployment_name", "'all' AS deployment_name")
 
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,12 +169,13 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHUNKS_SQL = r"""
-chunked AS (
-  SELECT doc_id // 5 AS ingest_seq, 'dep-' || (doc_id // 5 % 4) AS deployment_name, list(split_part(text, chr(10), 1) ORDER BY doc_id) AS chunks FROM documents GROUP BY 1, 2),
-worded AS (SELECT *, list_transform(chunks, lambda c: list_distinct(regexp_extract_all(lower(c), '[a-z0-9]{3,}'))) AS words FROM chunked),
-pairs AS (
-  SELECT ingest_seq, deployment_name, strlen(chunks[j]) AS n, len(list_intersect(words[i], words[j])) / greatest(1, len(list_distinct(list_concat(words[i], words[j])))) AS likeness
-  FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM worded) x, LATERAL (SELECT unnest(range(i + 1, len(chunks) + 1)) AS j) y)"""
+lines AS (
+  SELECT doc_id // 5 AS ingest_seq, 'dep-' || (doc_id // 5 % 4) AS deployment_name, doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+worded AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS place, strlen(chunk) AS n, list_distinct(regexp_extract_all(lower(chunk), '[a-z0-9]{3,}')) AS words FROM lines),
+flat AS (SELECT ingest_seq, place, len(words) AS size, unnest(words) AS word FROM worded),
+shared AS (SELECT a.ingest_seq, a.place AS x, b.place AS y, count(*) AS same, any_value(a.size) + any_value(b.size) AS sizes FROM flat a JOIN flat b ON a.ingest_seq = b.ingest_seq AND a.word = b.word AND a.place < b.place AND least(a.size, b.size) >= 0.85 * greatest(a.size, b.size) GROUP BY 1, 2, 3),
+redundant AS (SELECT w.deployment_name, CAST(sum(w.n) AS BIGINT) AS total FROM shared s JOIN worded w ON w.place = s.y WHERE same / (sizes - same) >= 0.85 GROUP BY 1),
+counts AS (SELECT deployment_name, count(DISTINCT ingest_seq) AS n FROM worded GROUP BY 1)"""
 
 
 def task_events(spark: SparkSession, folder: str) -> DataFrame:
