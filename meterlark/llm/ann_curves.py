@@ -1,7 +1,7 @@
 """Approximate nearest neighbours along shifted Hilbert curves.
 
-Vectors are projected to ``dims`` random orthogonal directions, shifted at random, cut to a grid and put in the order
-of a Hilbert curve; each of ``curves`` does so anew.  A curve's order is cut into ``tiles`` of equally many vectors by
+Vectors are centred at their mean, scaled by their spread, projected to ``dims`` random orthogonal directions, shifted
+at random, cut to a grid and put in the order of a Hilbert curve; each of ``curves`` does so anew.  A curve's order is cut into ``tiles`` of equally many vectors by
 key (quantiles of all keys), which Spark deals out by range.  A query looks at its own tile and ``reach`` tiles on
 either side, on every curve; its nearest on each are merged and ranked by the exact distance on the original vectors.
 
@@ -52,10 +52,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, shifts and grid of all curves; drawn from a seed, scaled by the vectors' extent."""
+    """Projections, shifts and grid of all curves; drawn from a seed, for vectors centred at their mean and scaled by their spread."""
 
-    def __init__(self, length: int, curves: int, dims: int, bits: int, seed: int, extent: float):
+    def __init__(self, length: int, curves: int, dims: int, bits: int, seed: int, extent: float, mean: np.ndarray):
         rng = np.random.default_rng(seed)
+        self.mean = mean
         dims = min(dims, length)
         self.bits = min(bits, 63 // dims)
         self.axes = [np.linalg.qr(rng.normal(size=(length, dims)))[0] for _ in range(curves)]
@@ -63,7 +64,7 @@ class Curves:
         self.extent = extent
 
     def keys(self, vectors: np.ndarray) -> list[np.ndarray]:
-        out = []
+        out, vectors = [], vectors - self.mean
         for axes, shift in zip(self.axes, self.shifts, strict=True):
             at = (vectors @ axes / self.extent + 1) / 2  # within 0 to 1 for most
             cells = np.clip(((at + shift) / 2 * (1 << self.bits)).astype(np.int64), 0, (1 << self.bits) - 1)
@@ -77,6 +78,58 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def moments(vectors: DataFrame) -> tuple[int, np.ndarray, float]:
+    """Number of vectors, their mean, and the root mean square distance from it by dimension; sums are taken around each task's first vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, total, square = 0, None, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                first = x[0].copy() if first is None else first
+                n, total, square = n + len(x), total + (x - first).sum(axis=0), square + ((x - first) ** 2).sum(axis=0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([first + total / n]), pa.array([square - total**2 / n])], ["n", "mean", "square"])
+
+    parts = vectors.select("embedding").mapInArrow(run, "n long, mean array<double>, square array<double>").collect()  # a row a task
+    if not parts:
+        return 0, np.zeros(1), 1.0
+    n = np.array([r["n"] for r in parts], float)
+    means = np.array([r["mean"] for r in parts])
+    base = means[0]
+    mean = base + ((means - base) * n[:, None]).sum(axis=0) / n.sum()
+    square = np.array([r["square"] for r in parts]).sum(axis=0) + (n[:, None] * (means - mean) ** 2).sum(axis=0)
+    return int(n.sum()), mean, float(np.sqrt(max(square.sum(), 0.0) / n.sum() / len(mean)))
+
+
+def nearest(asked: np.ndarray, some: np.ndarray, ids: np.ndarray, best: np.ndarray, best_id: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's best squared distances and ids so far, with those of ``some`` vectors taken in.
+
+    A matrix product around the mean finds what can be among them within its error; that is measured by differences.
+    """
+    k = best.shape[1]
+    a, b = asked - mean, some - mean
+    aa, bb = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    rough = aa[:, None] + bb[None] - 2 * a @ b.T
+    error = (aa + bb.max()) * 2.0**-44
+    least = best[:, -1]
+    if len(ids) > k:
+        least = np.minimum(least, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
+    q, j = np.nonzero(rough <= (least + error)[:, None])
+    step = max(1, (1 << 20) // max(asked.shape[1], 1))
+    exact = np.concatenate([((asked[q[i : i + step]] - some[j[i : i + step]]) ** 2).sum(axis=1) for i in range(0, len(q), step)] or [np.zeros(0)])
+    old = np.isfinite(best)
+    row, _ = np.nonzero(old)
+    row, d, name = np.concatenate((row, q)), np.concatenate((best[old], exact)), np.concatenate((best_id[old], ids[j]))
+    order = np.lexsort((name, d, row))
+    row, d, name = row[order], d[order], name[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    best, best_id = np.full_like(best, np.inf), np.zeros_like(best_id)
+    best[row[keep], place[keep]], best_id[row[keep], place[keep]] = d[keep], name[keep]
+    return best, best_id
+
+
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, embedding) of rows that take part, without repeated rows."""
     v = F.col("embedding")
@@ -87,7 +140,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("embedding") == (length["n"] if length else 0)).distinct()
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = 12, dims: int = 16, bits: int = 3, tiles: int = 24, reach: int = 1, part_rows: int = 200_000, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = 4, dims: int = 16, bits: int = 3, tiles: int = 7, reach: int = 1, part_rows: int = 200_000, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found; ``is_query`` is a condition on vec_id."""
     rows = usable(vectors, vec_id, embedding).withColumn("is_query", is_query)
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
@@ -95,9 +148,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
     few = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where("is_query").select("embedding").distinct().withColumn("asked", F.lit(True))
     distinct = materialize(few.join(asked, "embedding", "left").select(F.col("ids")[0].alias("rep"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "embedding"), "vectors")
-    facts = distinct.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("length"), F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("square")).first()
-    n, length = facts["n"], facts["length"] or 1
-    drawn = Curves(length, curves, dims, bits, seed, max(3 * ((facts["square"] or 1.0) / length) ** 0.5, 1e-300))
+    n, mean, spread = moments(distinct)
+    drawn = Curves(len(mean), curves, dims, bits, seed, max(3 * spread, 1e-300), mean)
     names = [f"k{i}" for i in range(curves)]
 
     def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +208,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
                     best, best_id = np.full((len(asked), k + 1), np.inf), np.zeros((len(asked), k + 1), np.int64)
                 for s in range(a, b, 2048):
                     some, ids = x[s : min(b, s + 2048)], rep[s : min(b, s + 2048)]
-                    rough = (asked**2).sum(axis=1)[:, None] + (some**2).sum(axis=1)[None] - 2 * asked @ some.T
-                    keep = min(k + 4, len(ids))
-                    at = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
-                    exact = ((asked[:, None, :] - some[at]) ** 2).sum(axis=2)
-                    d, i = np.concatenate((best, exact), axis=1), np.concatenate((best_id, ids[at]), axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, : k + 1]
-                    best, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                    best, best_id = nearest(asked, some, ids, best, best_id, drawn.mean)
         if best is not None:
             yield found()
 
