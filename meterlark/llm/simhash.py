@@ -8,15 +8,16 @@ estimated from how many pairs of all distinct fingerprints share a value of each
 Every fingerprint is put under its value in each block and, for a threshold t, under all values within t / 2 bits
 (rounded up) of it, so two that differ by t meet; what meets under a value is verified on all 64 bits.
 
-Copies collapse to distinct fingerprints first.  A value that more than ``group_limit`` fingerprints share is split
-exactly: the same principle on the bits outside its block, again until groups are small, so no group is compared as a
-whole.  Of the links that a task finds it keeps a spanning forest, never all pairs; components come from joins.
+Copies collapse to distinct fingerprints first.  For small distances a value that more than ``group_limit`` fingerprints
+share is split exactly: the same principle on the bits outside its block, again until groups are small.  For larger
+distances, where no splitting tells the members of a dense group apart, a group is linked by stars around members in
+its middle, with the triangle inequality deciding who else can link: no group is compared pair by pair.  Of the links
+that a task finds it keeps a spanning forest, never all pairs; components come from joins.
 
-``similar_groups`` also verifies texts: links are kept only if the texts' sets of shingles have a Jaccard similarity of
-``similarity`` or more, computed from the sets themselves.  Only a spanning forest of the candidate links, nearest
-first, is verified; where links fail, the groups on their sides are searched again and more forests of candidates between
-them are verified, four times as many each round, until none fails or all candidates between groups are verified.  A fingerprint of 64 bits finds a pair of a similarity just above the
-bound by chance: see the README for its measured recall.
+``without_near_duplicates`` asks how alike texts are, which 64 bits tell too roughly (of a billion texts many strangers
+are within a dozen bits).  It takes 128 bits: the first 64 find candidates (``distance``), all 128 decide.  Two texts link
+if their bits say that the shingles' Jaccard similarity is ``similarity`` or more: at a Jaccard similarity j a bit differs
+with probability arccos(2 j / (1 + j)) / pi, which for 0.8 is 19 of 128 bits.  See the README for what that finds.
 
 Defined results: null or wordless text has fingerprint zero and links like any other; a text of fewer words than a
 shingle is one shingle; texts with equal fingerprints are one group; the component of documents whose ids are all null
@@ -36,39 +37,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, release, slices
+from .common import materialize, mix
 from .components import components
 
 PROBE_COST = 20.0  # of one more row to deal out, in candidates verified
 MOST_VALUES = 1024  # under which a fingerprint is put in one block
 LAYOUTS = [(32, 32), (20, 20, 24), (21, 21, 22), (16, 16, 16, 16), (12, 13, 13, 13, 13), (10, 10, 11, 11, 11, 11)]
-KEYED = "key long, fp long, mark long"
+SMALL_GROUP = 128  # fingerprints under one value up to which all pairs are compared
+SPLIT_DISTANCE = 4  # up to which large groups are split by the same principle again
+KEYED = "key long, fp long, more long"
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): bit i is set if it is set in over half of the shingles' XXH64 hashes."""
+def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str = "text", row_id: str = "doc_id", bits: int = 64) -> DataFrame:
+    """(doc_id, fp, more): bit i is set if it is set in over half of the shingles' hashes: 64 bits of XXH64, or 128 of XXH3 (``more`` has the second half, else 0)."""
+    digest, words = (xxhash.xxh64_digest, 1) if bits == 64 else (xxhash.xxh3_128_digest, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_digest
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
+            out = np.zeros((batch.num_rows, 2), np.uint64)
             for row, value in enumerate(batch.column(1)):
-                words = (value.as_py() or "").encode().lower().split()
-                if not words:
+                parts = (value.as_py() or "").encode().lower().split()
+                if not parts:
                     continue
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                joined = b" ".join(parts)
+                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
                 starts, ends = np.concatenate(([0], ends[:-1])), ends - 1
-                n = max(1, len(words) - words_each + 1)
+                n = max(1, len(parts) - words_each + 1)
                 spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-                hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in spans]), np.uint8).reshape(n, 8)
-                ones = np.zeros(64, np.int64)
+                hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in spans]), np.uint8).reshape(n, 8 * words)
+                ones = np.zeros(64 * words, np.int64)
                 for at in range(0, n, 8192):
                     ones += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
-                out[row] = np.packbits(ones * 2 > n).view(">u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                out[row, :words] = np.packbits(ones * 2 > n).view(">u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64))], ["doc_id", "fp", "more"])
 
-    return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, more long")
 
 
 def correlated_blocks(together: np.ndarray, n: int, widths: tuple[int, ...], bits: int = 64) -> list[list[int]]:
@@ -130,24 +133,21 @@ def _u64(column: pa.Array) -> np.ndarray:
 
 
 def keyed(fps: DataFrame, blocks: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, fp, mark): each fingerprint under its block values and those near them; the key's remainder tells the block.
-
-    ``mark`` is what ``fps`` has under that name (the group that a fingerprint is known to be in), else the fingerprint.
-    """
+    """(key, fp, more): each fingerprint under its block values and those near them; the key's remainder tells the block."""
     near = [near_values(len(b), (t + 1) // 2) if t >= 0 else None for b, t in zip(blocks, thresholds, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                fp, mark = _u64(batch.column(0)), _u64(batch.column(1))
+                fp, more = _u64(batch.column(0)), _u64(batch.column(1))
                 for i, (bits, diffs) in enumerate(zip(blocks, near, strict=True)):
                     if diffs is None:
                         continue
                     key = (pick(fp, bits)[:, None] ^ diffs[None, :]) * np.uint64(len(blocks)) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key.ravel(), np.repeat(fp, len(diffs)), np.repeat(mark, len(diffs)))], ["key", "fp", "mark"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key.ravel(), np.repeat(fp, len(diffs)), np.repeat(more, len(diffs)))], ["key", "fp", "more"])
 
-    return fps.select("fp", "mark" if "mark" in fps.columns else F.col("fp").alias("mark")).mapInArrow(run, KEYED)
+    return fps.select("fp", "more").mapInArrow(run, KEYED)
 
 
 def shared_pairs(fps: DataFrame, layouts: list[list[list[int]]]) -> list[list[float]]:
@@ -172,7 +172,7 @@ def split_further(rows: DataFrame, blocks: list[list[int]], level: int, distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, mark = (_u64(batch.column(i)) for i in range(3))
+            key, fp, more = (_u64(batch.column(i)) for i in range(3))
             block = (key % np.uint64(len(blocks))).astype(np.int64)
             for i in range(len(blocks)):
                 mine = block == i
@@ -183,7 +183,7 @@ def split_further(rows: DataFrame, blocks: list[list[int]], level: int, distance
                     value = pick(fp[mine], bits.tolist())
                     finer = (key[mine] // np.uint64(len(blocks))) * np.uint64(0x9E3779B97F4A7C15) ^ (value * np.uint64(parts) + np.uint64(j) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
                     finer = (finer >> np.uint64(8)) * np.uint64(len(blocks)) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (finer, fp[mine], mark[mine])], ["key", "fp", "mark"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (finer, fp[mine], more[mine])], ["key", "fp", "more"])
 
     return rows.mapInArrow(run, KEYED)
 
@@ -215,14 +215,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Links:
-    """Candidate links of a task, cut to ``forests`` disjoint spanning forests between marks whenever they are many.
-
-    The first forest prefers near fingerprints; more of them come in any order (``forests`` seeds it).
-    """
+    """Links (a, b, rank) of a task, cut to a spanning forest whenever they are many; the least ranks are preferred."""
 
-    def __init__(self, forests: int):
+    def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size, self.bound, self.forests, self.more = 0, 500_000, forests, False
+        self.size, self.bound = 0, 500_000
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
@@ -233,54 +230,78 @@ class Links:
             self.bound = max(self.bound, 2 * self.size)
 
     def cut(self) -> tuple[np.ndarray, ...]:
-        """(a, b, mark of a, mark of b, rank), each link once."""
-        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-        rank = columns[4] if self.forests == 1 else mix(columns[0] * np.uint64(3) + columns[1] + np.uint64(self.forests))
-        by = np.lexsort((columns[1], columns[0], rank))
-        columns = [c[by] for c in columns]
-        once = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))
-        columns = [c[once] for c in columns]
-        left, kept = np.arange(len(columns[0])), []
-        for _ in range(self.forests):
-            if not len(left):
-                break
-            keep = forest(columns[2][left], columns[3][left])
-            kept.append(left[keep])
-            left = np.delete(left, keep)
-        self.more |= bool(len(left))
-        kept = np.sort(np.concatenate(kept))
-        return tuple(c[kept] for c in columns)
+        a, b, rank = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        by = np.argsort(rank, kind="stable")
+        a, b, rank = a[by], b[by], rank[by]
+        keep = forest(a, b)
+        return a[keep], b[keep], rank[keep]
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """What is kept; a last row with a negative rank says that there were more."""
-        if self.parts:
-            columns = [c.view(np.int64) for c in self.cut()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(c, np.full(int(self.more), x))) for c, x in zip(columns, (0, 0, 0, 0, -1), strict=True)], ["a", "b", "mark_a", "mark_b", "rank"])
 
+def node_of(fp: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A fingerprint's name among the links: itself, if it has 64 bits."""
+    return fp ^ mix(more)
 
-LINKS = "a long, b long, mark_a long, mark_b long, rank long"
 
+def star_links(fp: np.ndarray, more: np.ndarray, limit: int, links: Links) -> None:
+    """Links that connect what links within one large group, without comparing all of its pairs.
 
-def verified_links(rows: DataFrame, distance: int, forests: int = 1) -> DataFrame:
-    """(a, b, mark_a, mark_b, rank): within each key, fingerprints of different marks at most ``distance`` bits apart, as ``Links`` keeps them."""
+    The member in the middle of the first one's neighbours links to all within ``limit``.  Of the rest only those within
+    twice that can link to them (the triangle inequality), each by its nearest; the neighbours are done then, and the
+    rest goes on.
+    """
+    node, left = node_of(fp, more), np.arange(len(fp))
+    apart_of = lambda i, at: np.bitwise_count(fp[at] ^ i[0]).astype(np.int64) + np.bitwise_count(more[at] ^ i[1])
+    while len(left):
+        near = left[apart_of((fp[left[0]], more[left[0]]), left) <= limit]
+        middle = [np.packbits([((x[near] >> np.uint64(b)) & np.uint64(1)).mean() > 0.5 for b in range(64)], bitorder="little").view(np.uint64)[0] for x in (fp, more)]
+        pivot = near[apart_of(middle, near).argmin()]
+        apart = apart_of((fp[pivot], more[pivot]), left)
+        inner, outer = left[apart <= limit], left[(apart > limit) & (apart <= 2 * limit)]
+        of_inner, of_outer = apart[apart <= limit], apart[(apart > limit) & (apart <= 2 * limit)]
+        rest = inner != pivot
+        links.add(np.full(int(rest.sum()), node[pivot]), node[inner[rest]], of_inner[rest])
+        if len(outer):
+            edge = inner[of_inner + limit >= of_outer.min()]
+            step = max(1, (1 << 20) // max(len(edge), 1))
+            for at in range(0, len(outer) if len(edge) else 0, step):
+                some = outer[at : at + step]
+                between = np.bitwise_count(fp[some][:, None] ^ fp[edge][None]).astype(np.int64) + np.bitwise_count(more[some][:, None] ^ more[edge][None])
+                best = between.argmin(axis=1)
+                gap = between[np.arange(len(some)), best]
+                ok = gap <= limit
+                links.add(node[edge[best[ok]]], node[some[ok]], gap[ok])
+        left = left[apart > limit]
+
+
+def verified_links(rows: DataFrame, limit: int) -> DataFrame:
+    """(a, b): within each key, fingerprints at most ``limit`` bits apart, as a spanning forest of each task's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = Links(forests)
+        links = Links()
         for table in sorted_groups(batches):
-            key, fp, mark = (_u64(table.column(i)) for i in range(3))
+            key, fp, more = (_u64(table.column(i)) for i in range(3))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            for g in np.flatnonzero(size > SMALL_GROUP).tolist():
+                mine = slice(first[g], first[g] + size[g])
+                star_links(fp[mine], more[mine], limit, links)
+            small = np.repeat(size <= SMALL_GROUP, size)
+            key, fp, more = key[small], fp[small], more[small]
             left = np.arange(len(key) - 1)
             lag = 1
             while len(left):
                 left = left[left + lag < len(key)]
                 left = left[key[left] == key[left + lag]]
-                apart = np.bitwise_count(fp[left] ^ fp[left + lag])
-                hit = left[(apart <= distance) & (mark[left] != mark[left + lag])]
+                apart = np.bitwise_count(fp[left] ^ fp[left + lag]).astype(np.int64) + np.bitwise_count(more[left] ^ more[left + lag])
+                hit = left[apart <= limit]
                 if len(hit):
-                    links.add(fp[hit], fp[hit + lag], mark[hit], mark[hit + lag], np.bitwise_count(fp[hit] ^ fp[hit + lag]).astype(np.uint64))
+                    links.add(node_of(fp[hit], more[hit]), node_of(fp[hit + lag], more[hit + lag]), apart[apart <= limit])
                 lag += 1
-        yield from links.batches()
+        if links.parts:
+            a, b, _ = links.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, LINKS)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -325,18 +346,23 @@ def plan(fps: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
     return layouts[at], costs[at][1]
 
 
-def near_links(fps: DataFrame, distance: int, planned: tuple[list[list[int]], list[int]], group_limit: int = 2048, forests: int = 1) -> DataFrame:
-    """Enough links between distinct fingerprints (column fp, maybe mark) to connect all that link, with ``verified_links``'s columns."""
-    blocks, thresholds = planned
+def near_links(fps: DataFrame, distance: int, limit: int | None = None, group_limit: int = 2048) -> DataFrame:
+    """(a, b): enough links between distinct fingerprints (fp, more) to connect all that link.
+
+    Those whose first 64 bits are at most ``distance`` apart are met; of them those link whose bits all together are at
+    most ``limit`` apart (``distance``, if not given).
+    """
+    blocks, thresholds = plan(fps, distance)
+    limit = distance if limit is None else limit
     rows = keyed(fps, blocks, thresholds)
     found = []
-    for level in range(6):
+    for level in range(6 if distance <= SPLIT_DISTANCE else 0):
         large = materialize(rows.groupBy("key").count().where(F.col("count") > group_limit).select("key"), "large-groups")
         if large.isEmpty():
             break
-        found.append(verified_links(rows.join(large, "key", "left_anti"), distance, forests))
+        found.append(verified_links(rows.join(large, "key", "left_anti"), limit))
         rows = materialize(split_further(rows.join(large, "key", "left_semi"), blocks, level, distance).distinct(), "split")
-    found.append(verified_links(rows, distance, forests))
+    found.append(verified_links(rows, limit))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -346,8 +372,8 @@ def near_links(fps: DataFrame, distance: int, planned: tuple[list[list[int]], li
 def near_duplicates(docs: DataFrame, distance: int = 3, words_each: int = 3, seed: int = 42, group_limit: int = 2048, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links reach."""
     prints = materialize(fingerprints(docs, words_each, seed, text, row_id), "fingerprints")
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = components(near_links(least, distance, plan(least, distance), group_limit)).withColumnRenamed("v", "fp")
+    least = materialize(prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    labels = components(near_links(least, distance, None, group_limit)).withColumnRenamed("v", "fp")
     joined = least.join(labels, "fp")
     smallest = joined.groupBy("root").agg(F.min("least").alias("smallest"))
     of_fp = least.join(joined.select("fp", "root").join(smallest, "root").select("fp", "smallest"), "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
@@ -359,80 +385,28 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def merged_forests(links: DataFrame, forests: int) -> DataFrame:
-    """All tasks' links cut again: links of a component meet in one task, in bounded runs."""
+def bits_apart(similarity: float, bits: int) -> int:
+    """How many of ``bits`` differ, on average, at a Jaccard similarity of shingles."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Links(forests)
-        for batch in batches:
-            if batch.num_rows:
-                kept.add(*(_u64(batch.column(c)) for c in ("a", "b", "mark_a", "mark_b", "rank")))
-        yield from kept.batches()
 
-    links = materialize(links, "candidate-links")
-    roots = components(links.select(F.col("mark_a").alias("a"), F.col("mark_b").alias("b")))
-    joined = links.join(roots, links["mark_a"] == roots["v"]).where("rank >= 0").select(*links.columns, "root")
-    return joined.repartition("root").mapInArrow(run, LINKS).unionByName(links.where("rank < 0"))
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 11, words_each: int = 5, seed: int = 42, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row of each group of texts whose shingles are ``similarity`` alike, as their 128 bits tell; columns are carried.
 
+    ``distance`` is how far apart the first 64 bits of such texts are looked for.
+    """
 
-def shingle_sets(docs: DataFrame, words_each: int, seed: int, text: str) -> DataFrame:
-    """(fp, shingles): the distinct shingle hashes of each text."""
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = node_of(_u64(batch.column(1)), _u64(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(node.view(np.int64))], ["nd_key", "fp", "more", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch, _, _ in slices(batches, "text"):
-            sets = []
-            for value in batch.column(1):
-                words = (value.as_py() or "").encode().lower().split()
-                sets.append(np.unique(np.array([digest(b" ".join(words[i : i + words_each]), seed) for i in range(max(1, len(words) - words_each + 1))] if words else [], np.uint64)))
-            places = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets).view(np.int64)))], ["fp", "shingles"])
-
-    return docs.select("fp", F.col(text).alias("text")).mapInArrow(run, "fp long, shingles array<long>")
-
-
-def similar_groups(nodes: DataFrame, texts: DataFrame, distance: int, similarity: float, words_each: int, seed: int, group_limit: int, text: str) -> DataFrame:
-    """(fp, root) of fingerprints that verified links connect; ``texts`` has one text for each fingerprint (fp)."""
-    planned = plan(nodes, distance)
-    fps, good, forests = nodes.select("fp"), None, 1
-    while True:
-        found = materialize(merged_forests(near_links(fps, distance, planned, group_limit, forests), forests), "links-to-verify")
-        links = found.where("rank >= 0").select("a", "b")
-        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-        sets = materialize(shingle_sets(texts.join(ends, "fp"), words_each, seed, text), "shingles")
-        side = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        jaccard = shared / (F.size("of_a") + F.size("of_b") - shared)
-        checked = materialize(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.coalesce(jaccard, F.lit(1.0)) >= similarity).alias("ok")), "verified")
-        release(sets)
-        new = checked.where("ok").select("a", "b")
-        bad = checked.where("not ok")
-        good = new if good is None else good.unionByName(new)
-        labels = components(good)
-        if bad.isEmpty() or (new.isEmpty() and found.where("rank < 0").isEmpty()):
-            return labels.withColumnRenamed("v", "fp")
-        # links that failed: the groups on their sides are searched again for more links between them
-        forests *= 4
-        known = labels.select(F.col("v").alias("fp"), "root")
-        marked = materialize(nodes.select("fp").join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("mark")), "marked")
-        sides = bad.select(F.explode(F.array("a", "b")).alias("fp")).join(marked, "fp").select("mark").distinct()
-        fps = materialize(marked.join(sides, "mark", "left_semi"), "searched-again")
-
-
-def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 11, words_each: int = 5, seed: int = 42, group_limit: int = 2048, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """One row of each group of texts whose shingles are ``similarity`` alike, by ``similar_groups``; columns are carried.
-
-    ``distance`` is how far apart fingerprints of such texts are looked for: at a Jaccard similarity of 0.8 a bit
-    differs with probability arccos(2 * 0.8 / 1.8) / pi, on average 9.7 of 64.
-    """
     rows = docs.withColumns({"nd_id": F.col(row_id).cast("long"), "nd_key": F.xxhash64(row_id, text)})
     first = F.struct(F.col("nd_id").isNull().alias("nameless"), "nd_id", "nd_key")
-    prints = materialize(fingerprints(rows, words_each, seed, text, "nd_key").select(F.col("doc_id").alias("nd_key"), "fp").distinct(), "fingerprints")
-    keys = materialize(prints.join(rows.select("nd_id", "nd_key").distinct(), "nd_key").groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
-    own = lambda left, t: left.join(t, (left["nd_key"] == t["k_key"]) & left["nd_id"].eqNullSafe(t["k_id"]))
-    bare = rows.select("nd_id", "nd_key", F.col(text).alias("nd_text"))
-    texts = own(bare, keys.select("fp", F.col("first.nd_key").alias("k_key"), F.col("first.nd_id").alias("k_id"))).select("fp", "nd_text").dropDuplicates(["fp"])
-    labels = similar_groups(keys.select("fp"), texts, distance, similarity, words_each, seed, group_limit, "nd_text")
-    kept = keys.join(labels, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    prints = materialize(fingerprints(rows, words_each, seed, text, "nd_key", 128).mapInArrow(nodes, "nd_key long, fp long, more long, node long").distinct(), "fingerprints")
+    keys = materialize(prints.join(rows.select("nd_id", "nd_key").distinct(), "nd_key").groupBy("fp", "more", "node").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    labels = components(near_links(keys.select("fp", "more"), distance, bits_apart(similarity, 128))).withColumnRenamed("v", "node")
+    kept = keys.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.nd_key").alias("k_key"), F.col("first.nd_id").alias("k_id")), "kept")
-    return own(rows, kept).dropDuplicates(["nd_key", "nd_id"]).select(*docs.columns)
+    own = rows.join(kept, (rows["nd_key"] == kept["k_key"]) & rows["nd_id"].eqNullSafe(kept["k_id"]))
+    return own.dropDuplicates(["nd_key", "nd_id"]).select(*docs.columns)
