@@ -1,22 +1,26 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: a public seed lexicon; lexicons of whole words and of word beginnings (4 and 5 bytes)
-that lean towards toxic in a bounded sample of labelled documents; patterns of address, shouting and exclamation; and
-one that votes clean where nothing suspicious occurs.  A voter says toxic, clean, or nothing.  A generative label model
-over all documents' votes (expectation-maximisation on the counts of vote patterns, begun from the labelled sample)
-estimates each voter's accuracy.  Voters that agree beyond what the model's classes explain are correlated; their
-evidence is shared out by the size of those correlations.  The model's posteriors then label documents, labelled or
-not, and a logistic regression on the lexicon features and a few measures of the text learns from a bounded sample of
-them.
+Two dozen voters say toxic, clean, or nothing: public seed lexicons by language and force; lexicons of whole words and of
+word beginnings (4 and 5 bytes) that lean towards toxic in a bounded sample of labelled documents, by how strongly they
+lean; patterns of address, shouting, exclamation, masked and stretched words, "you are", commands and density; and two
+that vote clean where nothing suspicious occurs.
+
+A generative label model over all documents' votes estimates, for each class, every voter's accuracy and the correlations
+between voters: given the class, each voter depends on one other (a tree of the largest conditional mutual information),
+so probabilities are exact and sum to one.  It is fitted by expectation-maximisation on the counts of vote patterns,
+begun from the labelled sample; each step is one aggregation by Spark of tables whose size depends on the voters alone.
+The model's posteriors then label documents, labelled or not, and a logistic regression on the lexicon features and a
+few measures of the text learns from a bounded sample of them (``train_rows``) and from the labelled sample.
 
 All texts are read once: what a document has of the lexicon, its measures and its votes become a small table.
 
-Defined results: null and empty texts get the score of a text with no features; without any labels the seed lexicon
-and the patterns decide; rows are kept as they are; long texts are read whole.
+Defined results: null and empty texts get the score of a text with no features; without any labels, or with labels of
+one class alone, the seed lexicons and the patterns decide; rows are kept as they are; long texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +35,22 @@ PER_CLASS = 10_000
 LEXICON = 8192
 TRAIN_ROWS = 40_000
 
-#: A small public list of insults.
-SEEDS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb imbecile jerk bastard bitch asshole shit fuck fucking crap retard idiota imbécil estúpido basura asqueroso mierda puta cabrón idiote imbécile stupide connard salope merde ordure crétin dummkopf trottel arschloch scheiße abschaum hurensohn vollidiot".split()
-#: Words of address.
+#: Small public lists of insults, by language and force.
+SEEDS = {
+    "en_mild": "idiot idiots moron morons stupid loser losers trash pathetic worthless disgusting clown dumb imbecile jerk crap".split(),
+    "en_strong": "scum bastard bitch asshole shit fuck fucking retard".split(),
+    "es": "idiota imbécil estúpido basura asqueroso mierda puta cabrón".split(),
+    "fr": "idiote imbécile stupide connard salope merde ordure crétin".split(),
+    "de": "dummkopf trottel arschloch scheiße abschaum hurensohn vollidiot".split(),
+}
+#: Words of address, forms of "are" after them, and commands.
 ADDRESS = "you your youre du dich dein tu toi vous tú usted".split()
-VOTERS = ["seed", "words_a", "words_b", "begin5", "begin4", "several", "address", "shouting", "nothing"]
+ARE = "are re r bist seid es êtes eres".split()
+COMMANDS = "shut verpiss stirb ferme dégage crève cállate lárgate muere".split()
+KINDS, STRATA = 3, 3
+LEXICONS = [*(f"seed_{k}" for k in SEEDS), *(f"{kind}_{level}" for kind in ("word", "begin5", "begin4") for level in ("strong", "middle", "weak"))]
+VOTERS = [*LEXICONS, "address", "shouting", "exclamation", "masked", "stretched", "you_are", "command", "density", "clean_long", "clean_calm"]
+CELLS = 3 * len(VOTERS)
 MEASURES = 5
 
 
@@ -90,7 +105,7 @@ class Lexicon:
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """One row of each set of rows that have a label and their least-hashed long words in common, as near copies have.
+    """One row of each set of rows that have a label and their two least-hashed five-word shingles in common, as near copies have.
 
     Else the chance words of one toxic text that was copied many times would look like a lexicon.
     """
@@ -98,24 +113,31 @@ def without_copies(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in slices(batches, "text"):
             start, end, row = word_spans(data, at)
-            h = span_hashes(LOWER[data], start, end) >> np.uint64(1) | (np.uint64(1) << np.uint64(63)) * (end - start < 7).astype(np.uint64)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            once = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
-            h, row = h[once], row[once]
+            words = span_hashes(LOWER[data], start, end)
+            whole = np.flatnonzero(row[:-4] == row[4:]) if len(row) > 4 else np.zeros(0, np.int64)
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            mark = [hash(tuple(h[a : min(a + 4, b)].tolist())) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mark, pa.int64())], ["doc_id", "text", "y", "mark"])
+            short = np.flatnonzero((np.diff(first) < 5) & (np.diff(first) > 0))
+            h = np.concatenate((span_hashes(words, whole, whole + 5), span_hashes(words, first[short], first[short + 1])))
+            of = np.concatenate((row[whole], short))
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)]
+            h, of = h[once], of[once]
+            edge = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            pad = np.append(h, np.zeros(2, np.uint64))
+            count = np.diff(edge)
+            mark = mix(np.where(count > 0, pad[edge[:-1]], 0) * np.uint64(3) + np.where(count > 1, pad[edge[:-1] + 1], 0)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(mark)], ["doc_id", "text", "y", "mark"])
 
     marked = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, text string, y int, mark long")
     return marked.groupBy("y", "mark").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.doc_id", "d.text", "y")
 
 
-def mine(sample: DataFrame, size: int = LEXICON, least_share: float = 0.005, least: int = 3, least_lean: float = 3.0) -> Lexicon:
-    """Features that lean towards toxic in the sample, at most ``size``, chosen by Spark; with the seed lexicon.
+def mine(sample: DataFrame, size: int = LEXICON, least: int = 3, least_lean: float = 4.0, significance: float = 15.0) -> Lexicon:
+    """Features that lean towards toxic in the sample, at most ``size``, chosen by Spark; with the seed lexicons.
 
-    A feature must be in ``least_share`` of the toxic texts (and ``least`` of them), copies counting once, and be
-    exp(``least_lean``) times as frequent among toxic texts as among clean ones.
+    A feature must be in ``least`` toxic texts, copies counting once, be exp(``least_lean``) times as frequent among
+    toxic texts as among clean ones, and lean so more than by chance: its likelihood ratio (G) is ``significance`` or more.
     """
     sample = materialize(without_copies(sample), "distinct-sample")
 
@@ -135,29 +157,43 @@ def mine(sample: DataFrame, size: int = LEXICON, least_share: float = 0.005, lea
     totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     bad, good = totals.get(1, 0) + 1.0, totals.get(0, 0) + 1.0
     lean = F.log((F.col("n1") + 0.2) / F.lit(bad)) - F.log((F.col("n0") + 0.2) / F.lit(good))
+    both = F.col("n1") + F.col("n0")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(share)))).otherwise(0.0)
+    chance = 2 * (part("n1", bad / (bad + good)) + part("n0", good / (bad + good)))
     found = (
         sample.select("doc_id", "text", "y")
         .mapInArrow(run, "h long, kind int, n1 long, n0 long")
         .groupBy("h", "kind")
         .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        .where((F.col("n1") >= max(least, least_share * bad)) & (lean > least_lean))
+        .where((F.col("n1") >= least) & (lean > least_lean) & (chance >= significance))
         .orderBy((lean * F.sqrt("n1")).desc(), "h", "kind")
         .limit(size)
         .toArrow()
     )
-    h, kind = found["h"].to_numpy().view(np.uint64), found["kind"].to_numpy()
-    voter = np.where(kind == 0, 1 + (h % np.uint64(2)).astype(np.int64), 2 + kind)
-    seeds = word_hash_set(SEEDS)
-    seeds = seeds[~np.isin(seeds, h)]
-    return Lexicon(np.concatenate((h, seeds)), np.concatenate((voter, np.zeros(len(seeds), np.int64))))
+    h, kind = found["h"].to_numpy().view(np.uint64), found["kind"].to_numpy().astype(np.int64)
+    leans = np.log((found["n1"].to_numpy() + 0.2) / bad) - np.log((found["n0"].to_numpy() + 0.2) / good)
+    level = np.zeros(len(h), np.int64)
+    for x in range(KINDS):
+        mine_ = np.flatnonzero(kind == x)
+        mine_ = mine_[np.argsort(-leans[mine_], kind="stable")]
+        level[mine_] = np.arange(len(mine_)) * STRATA // max(len(mine_), 1)
+    voter = len(SEEDS) + kind * STRATA + level
+    hashes, voters = [h], [voter]
+    for i, words in enumerate(SEEDS.values()):
+        seeds = word_hash_set(words)
+        seeds = seeds[~np.isin(seeds, np.concatenate(hashes))]
+        hashes.append(seeds)
+        voters.append(np.full(len(seeds), i))
+    return Lexicon(np.concatenate(hashes), np.concatenate(voters))
 
 
 def observe(docs: DataFrame, lexicon: Lexicon, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(doc_id, hits, measures, votes) of every document: distinct lexicon entries, measures, and a digit for each voter (0 nothing, 1 clean, 2 toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    seeds, address = word_hash_set(SEEDS), word_hash_set(ADDRESS)
-    upper = np.zeros(256, bool)
+    seeds, address, are, commands = (word_hash_set(w) for w in ([x for v in SEEDS.values() for x in v], ADDRESS, ARE, COMMANDS))
+    upper, mask = np.zeros(256, bool), np.zeros(256, bool)
     upper[65:91] = True
+    mask[list(b"*@$#")] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -172,81 +208,154 @@ def observe(docs: DataFrame, lexicon: Lexicon, text: str = "text", row_id: str =
             pair = np.unique(np.concatenate(hit_row) * np.int64(1 << 32) + np.concatenate(hit))
             row, entry = pair >> 32, pair & 0xFFFFFFFF
             count = lambda mask_rows: np.bincount(mask_rows, minlength=n)
-            by_voter = np.stack([count(row[lex.voter[entry] == v]) for v in range(5)], axis=1)
+            in_row = lambda places: np.bincount(np.searchsorted(at, places, "right") - 1, minlength=n)[:n]
+            by_voter = np.bincount(row * len(LEXICONS) + lex.voter[entry], minlength=n * len(LEXICONS)).reshape(n, len(LEXICONS))
             whole, where_ = hashes[0], rows[0]
             is_seed = np.isin(whole, seeds)
             any_bad = is_seed.copy()
             any_bad[lex.find(whole)[0]] = True
             near = np.zeros(len(whole), bool)
-            said = np.flatnonzero(np.isin(whole, address))
+            is_address = np.isin(whole, address)
+            said = np.flatnonzero(is_address)
             for d in range(1, 6):
                 ok = said[said + d < len(whole)]
                 near[ok] |= any_bad[ok + d] & (where_[ok] == where_[ok + d])
+            verbs = np.isin(whole[1:], are) & is_address[:-1] & (where_[1:] == where_[:-1])
             size = np.maximum(np.diff(at), 1)
             up = np.concatenate(([0], np.cumsum(upper[data])))
             shout = (up[at[1:]] - up[at[:-1]]) / size
             bang = np.concatenate(([0], np.cumsum(data == 33)))
-            exclaim = (bang[at[1:]] - bang[at[:-1]]) / np.maximum(words, 1)
-            total = count(row)
+            bangs = bang[at[1:]] - bang[at[:-1]]
+            exclaim = bangs / np.maximum(words, 1)
+            begins = np.zeros(len(data) + 1, bool)
+            begins[at] = True
+            masked = np.flatnonzero(mask[data[1:-1]] & ASCII_LETTER[data[:-2]] & (ASCII_LETTER[data[2:]] | mask[data[2:]]) & ~(begins[1:-2] | begins[2:-1])) + 1
+            alike = (data[1:] == data[:-1]) & ASCII_LETTER[data[1:]] & ~begins[1:-1]
+            stretched = np.flatnonzero(alike[2:] & alike[1:-1] & alike[:-2])
+            total, seeded = count(row), count(where_[is_seed]) > 0
             votes = np.zeros((n, len(VOTERS)), np.int64)
-            votes[:, 0] = 2 * (count(where_[is_seed]) > 0)
-            for v in range(1, 5):
-                votes[:, v] = 2 * (by_voter[:, v] > 0)
-            votes[:, 5] = np.where(total >= 2, 2, np.where(total == 0, 1, 0))
-            votes[:, 6] = 2 * (count(where_[near]) > 0)
-            votes[:, 7] = 2 * ((shout > 0.5) & (words >= 5))
-            votes[:, 8] = 1 * ((total == 0) & (votes[:, 0] == 0))
-            pattern = votes @ (3 ** np.arange(len(VOTERS)))
+            votes[:, : len(LEXICONS)] = 2 * (by_voter > 0)
+            suspicious = [count(where_[near]) > 0, (shout > 0.5) & (words >= 5), (bangs >= 2) & (exclaim >= 0.1), in_row(masked) > 0, in_row(stretched) > 0, count(where_[:-1][verbs]) > 0, count(where_[np.isin(whole, commands)]) > 0, total > 0.02 * np.maximum(words, 1)]
+            for v, yes in enumerate(suspicious, len(LEXICONS)):
+                votes[:, v] = 2 * yes
+            nothing = (total == 0) & ~seeded
+            votes[:, -2] = nothing & (words >= 30)
+            votes[:, -1] = nothing & ~(suspicious[1] | suspicious[2] | suspicious[3])
             measures = np.stack([np.log1p(words) / 8, np.minimum(total, 5) / 5, shout, np.minimum(exclaim, 1), total / np.maximum(words, 1) * 10], axis=1).astype(np.float32)
-            places = np.concatenate(([0], np.cumsum(count(row)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(entry.astype(np.int32))), pa.FixedSizeListArray.from_arrays(pa.array(measures.ravel()), MEASURES).cast(pa.list_(pa.float32())), pa.array(pattern)], ["doc_id", "hits", "measures", "votes"])
+            places = np.concatenate(([0], np.cumsum(total))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(entry.astype(np.int32))), pa.FixedSizeListArray.from_arrays(pa.array(measures.ravel()), MEASURES).cast(pa.list_(pa.float32())), pa.array(votes @ (3 ** np.arange(len(VOTERS))))], ["doc_id", "hits", "measures", "votes"])
 
     return docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, hits array<int>, measures array<float>, votes long")
 
 
 class LabelModel:
-    """P(vote | class) of each voter, the classes' prior, and how much each voter's evidence counts beside its correlates."""
+    """P(votes | class) as a tree over voters, and the classes' prior.
 
-    def __init__(self, given: np.ndarray, prior: float, share: np.ndarray, correlation: np.ndarray):
-        self.given, self.prior, self.share, self.correlation = given, prior, share, correlation
+    ``given[c, v, x, y]`` is the probability that voter v says y where its parent says x; a root's rows are all alike.
+    """
+
+    def __init__(self, prior: float, parent: np.ndarray, given: np.ndarray):
+        self.prior, self.parent, self.given = prior, parent, given
+
+    def likelihood(self, votes: np.ndarray) -> np.ndarray:
+        """log P(votes | class), a column a class."""
+        v = np.arange(votes.shape[1])
+        return np.stack([np.log(self.given[c][v, votes[:, self.parent], votes]).sum(axis=1) for c in (0, 1)], axis=1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(toxic) of patterns of votes (rows of digits)."""
-        evidence = np.log(self.given[1]) - np.log(self.given[0])
-        z = np.log(self.prior / (1 - self.prior)) + sum(self.share[v] * evidence[v, votes[:, v]] for v in range(len(self.share)))
+        both = self.likelihood(votes)
+        z = np.log(self.prior / (1 - self.prior)) + both[:, 1] - both[:, 0]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def digits(patterns: np.ndarray) -> np.ndarray:
-    return patterns[:, None] // 3 ** np.arange(len(VOTERS)) % 3
-
-
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, steps: int = 30) -> LabelModel:
-    """EM on counts of vote patterns; ``labelled`` has, for each pattern, the labelled documents of either class."""
-    votes, voters = digits(patterns), len(VOTERS)
-    onehot = (votes[:, :, None] == np.arange(3)).astype(float)
-    tables = lambda weight: np.stack([(onehot * weight[:, c, None, None]).sum(axis=0) + 0.5 for c in (0, 1)])
-    norm = lambda t: t / t.sum(axis=2, keepdims=True)
-    start = labelled + np.where(labelled.sum() > 0, 0.0, 1.0) * np.stack((counts * (votes == 1).any(axis=1), counts * (votes == 2).any(axis=1)), axis=1)
-    prior = float(np.clip((start[:, 1].sum() + 1) / (start.sum() + 10), 0.01, 0.5))
-    model = LabelModel(norm(tables(start)), prior, np.ones(voters), np.eye(voters))
-    strength = min(1.0, counts.sum() / max(start.sum(), 1))
-    for _ in range(steps):
-        p = model.posterior(votes)
-        weight = np.stack((counts * (1 - p), counts * p), axis=1)
-        given = norm(tables(weight + strength * start))
-        cov = np.zeros((voters, voters))
+def digits(patterns: np.ndarray, voters: int = len(VOTERS)) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(voters) % 3
+
+
+def pair_tables(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts of what two voters say together: cell (3 v + x, 3 u + y) for each class, of which ``weight`` has a column."""
+    said = np.zeros((len(votes), 3 * votes.shape[1]))
+    said[np.arange(len(votes))[:, None], 3 * np.arange(votes.shape[1]) + votes] = 1
+    return np.stack([(said * weight[:, c, None]).T @ said for c in range(weight.shape[1])])
+
+
+def model_of(tables: np.ndarray, smoothing: float = 0.5, least_shared: float = 0.005) -> LabelModel:
+    """The label model of (soft) pair counts by class: prior, a tree of the largest conditional mutual information, and its tables.
+
+    A voter that shares less than ``least_shared`` with every other stands alone.
+    """
+    voters = tables.shape[1] // 3
+    cells = tables.reshape(2, voters, 3, voters, 3)
+    total = np.array([np.trace(cells[c, 0, :, 0, :]) for c in (0, 1)])
+    single = np.stack([np.stack([np.diag(cells[c, v, :, v, :]) for v in range(voters)]) for c in (0, 1)]) + smoothing
+    single /= single.sum(axis=2, keepdims=True)
+    shared = np.zeros((voters, voters))
+    for c in (0, 1):
+        joint = cells[c].transpose(0, 2, 1, 3) + smoothing / 3
+        joint = joint / joint.sum(axis=(2, 3), keepdims=True)
+        alone = joint.sum(axis=3, keepdims=True) * joint.sum(axis=2, keepdims=True)
+        shared += total[c] / max(total.sum(), 1e-9) * (joint * np.log(joint / alone)).sum(axis=(2, 3))
+    np.fill_diagonal(shared, -1)
+    parent, inside = np.arange(voters), [0]
+    while len(inside) < voters:
+        rest = [v for v in range(voters) if v not in inside]
+        gain = shared[np.ix_(inside, rest)]
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[i, j] >= least_shared:
+            parent[rest[j]] = inside[i]
+        inside.append(rest[j])
+    given = np.empty((2, voters, 3, 3))
+    for v in range(voters):
         for c in (0, 1):
-            x = (votes == 2) * 1.0 - (votes == 1) * 1.0
-            w = weight[:, c] / max(weight[:, c].sum(), 1e-9)
-            centred = x - w @ x
-            inner = (centred * w[:, None]).T @ centred
-            spread = np.sqrt(np.maximum(np.diag(inner), 1e-6))
-            cov += inner / np.outer(spread, spread) / 2
-        np.fill_diagonal(cov, 1)
-        correlation = np.where(np.abs(cov) > 0.1, np.abs(cov), 0)
-        np.fill_diagonal(correlation, 1)
-        model = LabelModel(given, float(np.clip(weight[:, 1].sum() / counts.sum(), 0.005, 0.5)), 1 / correlation.sum(axis=1), cov)
+            if parent[v] == v:
+                given[c, v] = single[c, v]
+            else:
+                table = cells[c, parent[v], :, v, :] + 3 * smoothing * single[c, v]
+                given[c, v] = table / table.sum(axis=1, keepdims=True)
+    return LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 10), 0.005, 0.5)), parent, given)
+
+
+def fit_label_model(patterns: DataFrame, steps: int = 8, tolerance: float = 1e-3) -> LabelModel:
+    """EM over a written table of vote patterns (votes, n, y0, y1): documents, and labelled ones of either class.
+
+    It begins from the labelled documents (from patterns with toxic or clean votes if either class has none), which keep
+    counting, as much together as all documents together.
+    """
+    totals = patterns.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "y0", "y1")]).first()
+    labelled = totals["y0"] > 0 and totals["y1"] > 0
+    strength = max(1.0, totals["n"] / max(totals["y0"] + totals["y1"], 1))
+
+    def tables(model: LabelModel | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((2, CELLS, CELLS))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 8192):
+                    batch = whole.slice(at, 8192)
+                    votes, n, y0, y1 = (batch.column(c).to_numpy().astype(t) for c, t in (("votes", np.int64), ("n", float), ("y0", float), ("y1", float)))
+                    votes = digits(votes)
+                    known = np.stack((y0, y1), axis=1) if labelled else np.stack((n * ((votes == 1).any(axis=1) & ~(votes == 2).any(axis=1)), n * (votes == 2).any(axis=1)), axis=1)
+                    if model is not None:
+                        p = model.posterior(votes)
+                        known = (known * strength if labelled else 0) + np.stack((n * (1 - p), n * p), axis=1)
+                    out += pair_tables(votes, known)
+            flat = out.ravel()
+            some = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["cell", "n"])
+
+        cells = patterns.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * CELLS ** 2 rows
+        out = np.zeros(2 * CELLS * CELLS)
+        out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        return out.reshape(2, CELLS, CELLS)
+
+    # without labels the classes must settle before what is left between voters can be told from them
+    model = model_of(tables(None), least_shared=0.005 if labelled else math.inf)
+    for step in range(steps):
+        new = model_of(tables(model), least_shared=0.005 if labelled or step >= steps // 2 else math.inf)
+        moved = abs(new.prior - model.prior) / model.prior
+        model = new
+        if moved < tolerance and (labelled or step > steps // 2):
+            break
     return model
 
 
@@ -291,21 +400,19 @@ def score(docs: DataFrame, sample: DataFrame, train_rows: int = TRAIN_ROWS, text
     lexicon = mine(sample)
     seen = materialize(observe(docs, lexicon, text, row_id), "observed")
     known = materialize(observe(sample, lexicon).join(F.broadcast(sample.select(F.col("doc_id"), "y").dropDuplicates(["doc_id"])), "doc_id"), "observed-labelled")
-    pattern_counts = seen.groupBy("votes").count().toArrow()  # at most 3 ** 9 patterns
-    patterns, counts = pattern_counts["votes"].to_numpy(), pattern_counts["count"].to_numpy().astype(float)
-    if not len(patterns):
+    if seen.isEmpty():
         return seen.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"))
-    place = {int(p): i for i, p in enumerate(patterns)}
-    labelled = np.zeros((len(patterns), 2))
-    for r in known.groupBy("votes", "y").count().collect():
-        if r["votes"] in place:
-            labelled[place[r["votes"]], r["y"]] += r["count"]
-    label_model = fit_label_model(patterns, counts, labelled)
+    counted = seen.groupBy("votes").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("y0"), F.lit(0).cast("long").alias("y1"))
+    of_label = known.groupBy("votes").agg(F.lit(0).cast("long").alias("n"), F.count_if(F.col("y") == 0).alias("y0"), F.count_if(F.col("y") == 1).alias("y1"))
+    patterns = counted.unionByName(of_label).groupBy("votes").agg(*[F.sum(c).alias(c) for c in ("n", "y0", "y1")])
+    label_model = fit_label_model(materialize(patterns, "vote-patterns"))
     rows = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("hits", "measures", "votes").toArrow()
-    more = known.where("y = 1").select("hits", "measures", "votes").toArrow()
-    rows = pa.concat_tables([rows, more]).combine_chunks()
+    more = known.select("hits", "measures", "votes", "y").toArrow()
+    labels = more["y"].to_numpy().astype(float)
+    rows = pa.concat_tables([rows, more.drop_columns(["y"])]).combine_chunks()
     hits = rows["hits"].combine_chunks() if isinstance(rows["hits"], pa.ChunkedArray) else rows["hits"]
     target = label_model.posterior(digits(rows["votes"].to_numpy()))
+    target[len(target) - len(labels) :] = labels  # a document whose label is known has no other posterior
     model = train_classifier(hits, _measures(rows["measures"]), target, len(lexicon.hashes))
     shared = docs.sparkSession.sparkContext.broadcast((model, label_model))
 

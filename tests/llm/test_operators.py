@@ -306,9 +306,10 @@ def test_simhash_odd_rows(spark):
     assert simhash.without_near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2048, 6])
-def test_similar_texts(spark, limit):
-    """Groups are the components of pairs whose five-word shingles are 0.8 alike and whose fingerprints are near, whatever links fail."""
+@pytest.mark.parametrize("limit", [128, 2])
+def test_similar_texts(spark, monkeypatch, limit):
+    """Brute force: components of pairs whose 128 bits are as near as those of texts 0.8 alike; links found beyond the first 64 bits' distance are links too."""
+    monkeypatch.setattr(simhash, "SMALL_GROUP", limit)
     rng, texts = random.Random(12), []
     for t in sentences(6, 90, seed=21):
         texts.append(t)
@@ -318,21 +319,67 @@ def test_similar_texts(spark, limit):
                 w[rng.randrange(len(w))] = f"v{rng.randrange(1000)}"
             texts.append(" ".join(w))
     texts += [texts[0].upper(), *ODD]
-    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
-    prints = [simhash_of(t, 5) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 11 and (prints[i] == prints[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(frame(spark, texts), group_limit=limit).collect())
-    assert kept == sorted({find(i) for i in range(len(texts))}) and len(kept) < len(texts) - 20
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = []
+    for w in words:
+        h = [xxhash.xxh3_128_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+        prints.append(sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0)
+
+    def kept_of(linked):
+        parent = list(range(len(texts)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 19 and linked(prints[i] ^ prints[j]):
+                    parent[max(find(i), find(j))] = min(find(i), find(j))
+        return {find(i) for i in range(len(texts))}
+
+    kept = {r["doc_id"] for r in simhash.without_near_duplicates(frame(spark, texts)).collect()}
+    assert kept_of(lambda x: True) <= kept <= kept_of(lambda x: (x >> 64).bit_count() <= 11)
+    gone = sorted(set(range(len(texts))) - kept)
+    alike = [max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0 for j in range(len(texts)) if j != i) for i in gone]
+    assert len(gone) > 20 and min(alike) > 0.6 and np.median(alike) > 0.8
+    assert simhash.bits_apart(0.8, 128) == 19 and simhash.bits_apart(1.0, 64) == 0
+
+
+def test_dense_groups_are_linked_exactly():
+    """A dense group, its fringe and strangers: the same components as all pairs give."""
+    rng = np.random.default_rng(5)
+    fp, more = [], []
+    for centre in rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64).tolist():
+        for _ in range(rng.integers(1, 120)):
+            x = list(centre)
+            for bit in rng.choice(128, rng.integers(0, 16), replace=False).tolist():
+                x[bit // 64] ^= 1 << bit % 64
+            fp.append(x[0])
+            more.append(x[1])
+    fp, more = np.array(fp, np.uint64), np.array(more, np.uint64)
+    links = simhash.Links()
+    simhash.star_links(fp, more, 11, links)
+    a, b, rank = links.cut()
+    at = {int(x): i for i, x in enumerate(simhash.node_of(fp, more))}
+
+    def roots(pairs):
+        parent = list(range(len(fp)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in pairs:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(at[int(x)]) for x in simhash.node_of(fp, more)]
+
+    near = np.argwhere(np.bitwise_count(fp[:, None] ^ fp[None]).astype(int) + np.bitwise_count(more[:, None] ^ more[None]) <= 11)
+    assert roots([(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == roots([(at[int(simhash.node_of(fp, more)[i])], at[int(simhash.node_of(fp, more)[j])]) for i, j in near.tolist()])
+    assert rank.max() <= 11
 
 
 def test_allocation_is_least():
@@ -489,6 +536,43 @@ def test_toxicity(spark):
     assert unlabelled.count() == 400 + len(ODD)
 
 
+def test_label_model_sums_to_one_and_knows_correlation():
+    """Enumerated: a tree model's probabilities sum to one, and a copied voter adds no evidence."""
+    rng = np.random.default_rng(4)
+    n, y = 4000, rng.random(4000) < 0.3
+    say = lambda right, silent: np.where(rng.random(n) < silent, 0, np.where(y == (rng.random(n) < right), 2, 1))
+    a, b = say(0.9, 0.2), say(0.7, 0.5)
+    votes = np.stack((a, a, b), axis=1)
+    tables = toxicity.pair_tables(votes, np.stack((~y, y), axis=1).astype(float))
+    model = toxicity.model_of(tables)
+    every = np.array(list(np.ndindex(3, 3, 3)))
+    assert np.allclose(np.exp(model.likelihood(every)).sum(axis=0), 1)
+    alone = toxicity.model_of(toxicity.pair_tables(votes[:, 1:], np.stack((~y, y), axis=1).astype(float)))
+    assert np.allclose(model.posterior(np.array([[2, 2, 0], [1, 1, 2]])), alone.posterior(np.array([[2, 0], [1, 2]])), atol=0.01)
+    assert {tuple(sorted((v, int(p)))) for v, p in enumerate(model.parent) if v != p} >= {(0, 1)}
+
+
+def test_label_model_learns_without_labels(spark):
+    """EM finds the classes and the accuracies of voters that no one has labelled."""
+    rng = np.random.default_rng(6)
+    n, y = 6000, rng.random(6000) < 0.2
+    votes = np.zeros((n, len(toxicity.VOTERS)), np.int64)
+    accuracy = [0.95, 0.9, 0.85, 0.9]
+    for v, right in enumerate(accuracy):
+        votes[:, v] = np.where(rng.random(n) < 0.1, 0, np.where(y == (rng.random(n) < right), 2, 1))
+    patterns, counts = np.unique(votes @ (3 ** np.arange(len(toxicity.VOTERS))), return_counts=True)
+    rows = spark.createDataFrame([(int(p), int(c), 0, 0) for p, c in zip(patterns, counts, strict=True)], "votes long, n long, y0 long, y1 long")
+    model = toxicity.fit_label_model(rows, steps=40, tolerance=1e-6)
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95 and abs(model.prior - 0.2) < 0.05
+
+
+def test_toxicity_of_one_class(spark):
+    docs = frame(spark, ["you are scum", "a calm text", None])
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labelled_sample(docs, labels, "toxic", F.lit(True), 10)).collect()}
+    assert len(got) == 3 and got[0] > got[1] and all(0 <= s <= 1 for s in got.values())
+
+
 # 10
 
 
