@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
+from ..functions.quantiles import counted_broadcast, exact_percentiles
 
 MINUTES, LOOKBACK_DAYS = 5, 90
 MONTH_MINUTES = 43_200
@@ -67,9 +68,10 @@ def series_shape(points: DataFrame, keys: Sequence[str], day: int = 288, week: i
 
 
 def latency_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latency percentiles and the throttled share of requests."""
-    p = lambda q: F.round(F.percentile("latency_ms", F.lit(q)), 6)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status_code") == 429).alias("throttled"), p(0.5).alias("p50_latency"), p(0.95).alias("p95_latency"), p(0.99).alias("p99_latency"))
+    """Latency percentiles (of any number of requests) and the throttled ones."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status_code") == 429).alias("throttled"))
+    shares = exact_percentiles(rows, keys, "latency_ms", {"p50_latency": 0.5, "p95_latency": 0.95, "p99_latency": 0.99})
+    return counts.join(shares, list(keys), "left").select(*keys, "requests", "throttled", *[F.round(n, 6).alias(n) for n in ("p50_latency", "p95_latency", "p99_latency")])
 
 
 def dimensions(shape: DataFrame, latency: DataFrame, keys: Sequence[str], quota: str = "quota") -> DataFrame:
@@ -99,17 +101,23 @@ def dimensions(shape: DataFrame, latency: DataFrame, keys: Sequence[str], quota:
 def sweep(points: DataFrame, plans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SRT10, CAP1: the number of units with the least hybrid cost (fewer units among equals), with its economics.
 
-    ``plans`` has keys, tpm_per_unit, output_ratio, least, step, hourly_rate, blended (dollars per million tokens).  Each
-    series meets its candidate counts; sums are partial, so a series never gathers in one place for it.
+    ``plans`` has keys, tpm_per_unit, output_ratio, least, step, hourly_rate, blended (dollars per million tokens).  A
+    series and its candidate capacities are put in one order and summed from the top, so each slot is met once; a series
+    is at most 90 days of five minutes.
     """
-    rows = points.join(F.broadcast(plans), list(keys)).withColumn("weighted", F.col("input_tpm") + F.col("output_ratio") * F.col("output_tpm"))
+    rows = points.join(counted_broadcast(plans), list(keys)).withColumn("weighted", F.col("input_tpm") + F.col("output_ratio") * F.col("output_tpm"))
     facts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("weighted", F.lit(0.95)).alias("p95"), F.max("weighted").alias("peak"), F.avg("tpm").alias("mean_tpm"))
     facts = plans.join(facts, list(keys))
     units = lambda c: F.ceil(F.col(c) * 1.2 / F.col("tpm_per_unit") / F.col("step")).cast("long") * F.col("step")
     facts = facts.withColumn("p95_units", F.greatest(F.col("least").cast("long"), units("p95"))).withColumn("upper", F.greatest("p95_units", F.col("least").cast("long"), units("peak")))
-    grid = facts.select(*keys, F.explode(F.sequence(F.col("least").cast("long"), F.col("upper"), F.col("step").cast("long"))).alias("units"))
-    over = rows.select(*keys, "weighted", "tpm_per_unit").where("weighted > 0").join(F.broadcast(grid), list(keys)).where(F.col("weighted") > F.col("units") * F.col("tpm_per_unit"))
-    over = over.groupBy(*keys, "units").agg(F.sum(F.col("weighted") - F.col("units") * F.col("tpm_per_unit")).alias("overflow"), F.count(F.lit(1)).alias("slots_over"))
+    grid = facts.select(*keys, "tpm_per_unit", F.explode(F.sequence(F.col("least").cast("long"), F.col("upper"), F.col("step").cast("long"))).alias("units"))
+    # what is over a capacity: slots and capacities in one order, sums from the top down
+    slots = rows.where("weighted > 0").select(*keys, F.col("weighted").alias("x"), F.lit(None).cast("long").alias("units"), F.col("weighted").alias("w"), F.lit(1).alias("one"))
+    marks = grid.select(*keys, (F.col("units") * F.col("tpm_per_unit")).cast("double").alias("x"), "units", F.lit(0.0).alias("w"), F.lit(0).alias("one"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("x"), F.col("one").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = slots.unionByName(marks).withColumns({"sum_over": F.sum("w").over(above), "slots_over": F.sum("one").over(above)}).where("units is not null")
+    over = over.select(*keys, "units", (F.col("sum_over") - F.col("slots_over") * F.col("x")).alias("overflow"), "slots_over")
+    grid = grid.drop("tpm_per_unit")
     reserved = F.col("units") * F.col("hourly_rate") * 720 * 0.35
     cost = reserved + F.coalesce("overflow", F.lit(0.0)) / F.col("n") * MONTH_MINUTES / 1_000_000 * F.col("blended")
     priced = grid.join(over, [*keys, "units"], "left").join(facts, list(keys)).withColumns({"reserved": reserved, "hybrid": cost})

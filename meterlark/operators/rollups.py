@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.measures import merged_state, percent, state_of, total_of, total_state
 from ..functions.text import canonical_model, known_model, one_or_mixed, only_value
@@ -106,10 +105,12 @@ DEPLOYMENT = ["deployment_name", "model_name", "deployment_mode"]
 
 
 def deployment_rollup(priced: DataFrame, keys: Sequence[str] = DEPLOYMENT) -> DataFrame:
-    """``slice_summary`` by deployment with each slice's share of requests and tokens.  Shares need totals of the small result alone."""
+    """``slice_summary`` by deployment with each slice's share of requests and tokens.  Totals are an aggregation of their own, so no window gathers the slices."""
     out = slice_summary(priced, keys)
-    whole = Window.partitionBy(F.lit(0))
-    return out.withColumns({"request_share_percent": percent(F.col("requests"), F.sum("requests").over(whole)), "token_share_percent": percent(F.col("total_tokens"), F.sum("total_tokens").over(whole)), "canonical_model": canonical_model(F.col("model_name"))})
+    tokens = F.coalesce(F.sum(F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), known_tokens())), F.lit(0))
+    whole = priced.agg(F.count(F.lit(1)).alias("rl_requests"), tokens.alias("rl_tokens"))
+    shares = {"request_share_percent": percent(F.col("requests"), F.col("rl_requests")), "token_share_percent": percent(F.col("total_tokens"), F.col("rl_tokens")), "canonical_model": canonical_model(F.col("model_name"))}
+    return out.crossJoin(F.broadcast(whole)).withColumns(shares).drop("rl_requests", "rl_tokens")  # totals are one row
 
 
 def model_rollup(deployments: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import total_of, total_state
+from ..functions.quantiles import counted_broadcast
 from ..functions.text import deployment_workload, known_model, workload_slug
 from .rollups import known_tokens
 
@@ -18,7 +19,7 @@ def attribute(priced: DataFrame, mappings: DataFrame) -> DataFrame:
     """``priced`` with workload_id, workload_name and source: a request's own label, else its deployment's dedicated mapping.
 
     A label that names a mapping's id or name takes that mapping's id and name.  The last dedicated mapping of a
-    deployment and the first mapping of a label win.  Mappings are configuration and are broadcast.
+    deployment and the first mapping of a label win.  Mappings are configuration and are broadcast while they are few.
     """
     listed = mappings.withColumn("seq", F.monotonically_increasing_id())
     dedicated = listed.where("allocation = 'dedicated'").select("id", "name", "seq", F.explode("deployments").alias("d"))
@@ -27,7 +28,7 @@ def attribute(priced: DataFrame, mappings: DataFrame) -> DataFrame:
     labels = labels.groupBy(workload_slug(F.col("x.l")).alias("m_label")).agg(F.min_by(F.struct("id", "name"), F.struct("seq", "x.k")).alias("labelled"))
     own = F.when(F.trim(F.col("workload")) != "", F.col("workload"))
     out = priced.withColumns({"w_own": own, "w_dep": workload_slug(F.col("deployment_name")), "w_label": workload_slug(own)})
-    out = out.join(F.broadcast(dedicated), F.col("w_dep") == F.col("m_deployment"), "left").join(F.broadcast(labels), F.col("w_own").isNotNull() & (F.col("w_label") == F.col("m_label")), "left")
+    out = out.join(counted_broadcast(dedicated), F.col("w_dep") == F.col("m_deployment"), "left").join(counted_broadcast(labels), F.col("w_own").isNotNull() & (F.col("w_label") == F.col("m_label")), "left")
     chosen = F.when(F.col("w_own").isNotNull(), F.col("labelled")).otherwise(F.col("mapping"))
     named = F.coalesce(chosen["name"], F.col("w_own"))
     return out.withColumns(

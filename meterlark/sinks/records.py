@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def known_ids(folder: str, like: DataFrame) -> DataFrame | None:
-    """SNK3: event ids that are on disk; null if nothing is."""
+def append_key(records: DataFrame) -> Column:
+    """The event id; a record without one is known by its content."""
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in records.columns])), 256)
+    return F.coalesce(F.when(F.col("event_id").cast("string") != "", F.col("event_id").cast("string")), F.concat(F.lit("content:"), content))
+
+
+def known_keys(folder: str, dates: list[str], like: DataFrame) -> DataFrame | None:
+    """SNK3: keys that are on disk for some dates; null if nothing is.  Other dates' partitions aren't read."""
     spark = like.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema("event_id string").json(folder).select("event_id").where("event_id is not null").distinct()
+    stored = spark.read.schema("append_key string, event_date string").json(folder)
+    return stored.where(F.col("event_date").isin(*dates)).select("append_key").where("append_key is not null").distinct()
 
 
 def append_new(records: DataFrame, folder: str, max_rows_a_file: int = 1_000_000) -> int:
-    """SNK1, SNK2, SNK4, SNK6, SNK7: append records whose event id isn't there, by date; gives how many were written."""
-    new = records.dropDuplicates(["event_id"])
-    before = known_ids(folder, records)
-    if before is not None:
-        new = new.join(before, "event_id", "left_anti")
-    new = new.withColumn("event_date", F.date_format("ts", "yyyy-MM-dd")).cache()
-    n = new.count()
+    """SNK1, SNK2, SNK4, SNK6, SNK7: append records that aren't there, by date; gives how many were written.
+
+    An event's id and date belong together, so only the dates of ``records`` are looked through.
+    """
+    keyed = records.withColumns({"append_key": append_key(records), "event_date": F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("unknown"))})
+    new = keyed.dropDuplicates(["append_key"]).persist()
+    dates = [r[0] for r in new.select("event_date").distinct().collect()]  # days of one batch
+    before = known_keys(folder, dates, records)
+    rows = new if before is None else new.join(before, "append_key", "left_anti").persist()
+    n = rows.count()
     if n:
-        new.write.mode("append").partitionBy("event_date").option("maxRecordsPerFile", max_rows_a_file).json(folder)
+        rows.write.mode("append").partitionBy("event_date").option("maxRecordsPerFile", max_rows_a_file).json(folder)
+    rows.unpersist()
     new.unpersist()
     return n

@@ -13,6 +13,7 @@ from .. import fixed
 
 ITEM = "struct<currencyCode:string,meterId:string,meterName:string,skuName:string,armSkuName:string,productName:string,serviceName:string,unitOfMeasure:string,type:string,armRegionName:string,retailPrice:double,unitPrice:double,tierMinimumUnits:double,effectiveStartDate:string,reservationTerm:string,isPrimaryMeterRegion:boolean>"
 SERVICE = "foundry models"
+CROSSWALK_ROWS = 10_000
 
 
 def retail_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -47,6 +48,8 @@ def parse_meters(rows: DataFrame, crosswalk: DataFrame, assumed_deployment: str
     """
     excluded = fixed.METER_EXCLUDED
     known = [*fixed.METER_WORDS, *excluded]
+    if crosswalk.limit(CROSSWALK_ROWS + 1).count() > CROSSWALK_ROWS:
+        raise ValueError(f"a crosswalk has at most {CROSSWALK_ROWS} labels")
     labels = crosswalk.select("model", "publisher", label_tokens(F.col("label")).alias("l")).where(F.size("l") > 0)
     listed = labels.agg(F.collect_list(F.struct(F.size("l").alias("n"), "l", "model", "publisher")).alias("crosswalk"))  # configuration: one row
     t = label_tokens(F.col("meterName"))
@@ -141,14 +144,22 @@ def actual_cost(rows: DataFrame, known: DataFrame) -> DataFrame:
 # Published tables
 
 
-def html_tables(pages: DataFrame, columns: Sequence[str], html: str = "html", key: str = "page_id") -> DataFrame:
-    """SRC28, SRC29: rows of the HTML tables whose header has exactly ``columns``: (key, table, row, cells)."""
+def html_tables(pages: DataFrame, columns: Sequence[str], html: str = "html", key: str = "page_id", must: bool = False) -> DataFrame:
+    """SRC28, SRC29: rows of the HTML tables whose header has exactly ``columns``: (key, table, row, cells).
+
+    With ``must`` a page that has no such table is an error, as its layout has changed.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            out = [(k, t, r, cells) for k, text in zip(batch["k"], batch["html"], strict=True) for t, r, cells in table_rows(text or "", list(columns))]
+            out = []
+            for k, text in zip(batch["k"], batch["html"], strict=True):
+                rows = [(k, t, r, cells) for t, r, cells in table_rows(text or "", list(columns))]
+                if must and not rows:
+                    raise ValueError(f"page {k} has no table with the columns {', '.join(columns)}")
+                out += rows
             yield pd.DataFrame(out, columns=["key", "table_number", "row_number", "cells"])
 
     return pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias("html")).mapInPandas(run, "key string, table_number int, row_number int, cells array<string>")

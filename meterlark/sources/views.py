@@ -160,7 +160,7 @@ WHOLE_SQL = CONVERSATIONS_SQL.replace("'dep-' || (conv_id % 3) AS deployment_nam
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """One request for every five documents, with every line of each as a retrieved chunk: a row a chunk, ``place`` orders a request's."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents").where("doc_id is not null")  # a document without an id is in no request
     number = F.floor(F.col("doc_id") / 5).cast("long")
     return (
         d.select(number.alias("ingest_seq"), F.concat(F.lit("dep-"), number % 4).alias("deployment_name"), "doc_id", F.xxhash64("text").alias("of"), F.posexplode_outer(F.split("text", "\n")).alias("line", "chunk"))
@@ -170,7 +170,7 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 CHUNKS_SQL = r"""
 lines AS (
-  SELECT doc_id // 5 AS ingest_seq, 'dep-' || (doc_id // 5 % 4) AS deployment_name, doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+  SELECT doc_id // 5 AS ingest_seq, 'dep-' || (doc_id // 5 % 4) AS deployment_name, doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE doc_id IS NOT NULL),
 worded AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS place, strlen(chunk) AS n, list_distinct(regexp_extract_all(lower(chunk), '[a-z0-9]{3,}')) AS words FROM lines),
 flat AS (SELECT ingest_seq, place, len(words) AS size, unnest(words) AS word FROM worded),
 shared AS (SELECT a.ingest_seq, a.place AS x, b.place AS y, count(*) AS same, any_value(a.size) + any_value(b.size) AS sizes FROM flat a JOIN flat b ON a.ingest_seq = b.ingest_seq AND a.word = b.word AND a.place < b.place AND least(a.size, b.size) >= 0.85 * greatest(a.size, b.size) GROUP BY 1, 2, 3),

@@ -27,7 +27,9 @@ def append_sink(folder: str, spark: SparkSession | None = None):
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give its result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there and give its result, a table written beside its checkpoint."""
+    folder = f"{checkpoint}/{name}"
+    save = lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(folder)
+    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)

@@ -212,12 +212,26 @@ def test_conversation_queries_read_whole_texts(spark, tmp_path):
     asked = {3: "How much is it?", 9: "how  much is it? ", 6: "How many are there?", 12: "How long does it take?", 1: "same words", 4: "same other words", 7: "same words"}
     rows = [(i, 0, "system", t) for i, t in system.items()] + [(i, 1, "user", t) for i, t in asked.items()]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(99, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = lambda name: {r["deployment_name"]: (r["affected"], r["measured"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("tl001_repeated_prefix") == {"dep-0": (2, 120)}
-    assert run("tl007_repeated_intents") == {"dep-0": (1, 1), "dep-1": (1, 1)}
-    assert run("tl005_retry_amplification") == {"dep-1": (2, 2 * (2 + 4 + len("user") + len("same words")))}
+    # conversation 3 is sent twice
+    assert run("tl001_repeated_prefix") == {"dep-0": (3, 240)}
+    assert run("tl007_repeated_intents") == {"dep-0": (1, 2), "dep-1": (1, 1)}
+    assert run("tl005_retry_amplification") == {"dep-0": (2, 2 * (2 + 4 + len("system") + 120 + 4 + len("user") + len(asked[3]))), "dep-1": (2, 2 * (2 + 4 + len("user") + len("same words")))}
     top = {r["rule_id"]: (r["affected"], r["measured"]) for r in catalog.QUERIES["material_findings_topk"](spark, str(tmp_path)).collect()}
-    assert top["TL001"] == (2, 120)
+    assert top["TL001"] == (3, 240)
+
+
+def test_instructions_of_every_other_team(spark, tmp_path):
+    from meterlark.sources import views
+
+    spark.createDataFrame([(i, 0, "user", f"u{i}") for i in range(12)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"item {i}") for i in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = views.conversation_traces(spark, str(tmp_path)).orderBy("ingest_seq").collect()
+    assert [r["ingest_seq"] for r in rows] == [0, 2, 4, 6, 7, 8, 10, 12, 14, 16, 18, 20, 22]
+    told = {r["ingest_seq"] // 2: r["messages"][0]["content"] for r in rows if r["messages"][0]["role"] == "system"}
+    assert told == {i: f"item {i % 5}" for i in (0, 1, 2, 3, 8, 9, 10, 11)}
+    assert {r["fingerprint"] for r in rows if r["team"] == "team-1"} == {"hmac-sha256:1"}
 
 
 def test_chunks(spark):
@@ -442,6 +456,8 @@ def test_append_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("a", T0), ("b", T0), ("a", T0)], "event_id string, ts timestamp")
     folder = str(tmp_path / "out")
     assert [record_sink.append_new(rows, folder), record_sink.append_new(rows, folder)] == [2, 0]
+    nameless = spark.createDataFrame([(None, T0), (None, T0 + timedelta(days=1)), (None, None), ("a", T0)], "event_id string, ts timestamp")
+    assert [record_sink.append_new(nameless, folder), record_sink.append_new(nameless, folder)] == [3, 0]
 
 
 def test_reports(spark, tmp_path):
