@@ -109,6 +109,18 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(docs))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+windows AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (k) WHERE least < doc_id),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words WHERE (r, p) NOT IN (SELECT r, p FROM gone) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     held_out = remainder_of_id(F.col("doc_id"), 3) == 1
@@ -132,4 +144,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}

@@ -178,6 +178,27 @@ def test_marginals_against_enumeration():
     assert np.allclose(pairs, [[sum(w for p, w in weight.items() for i in range(4) if (p[i], p[i + 1]) == (a, b)) / total for b in (0, 1)] for a in (0, 1)])
 
 
+def test_line_labels_against_enumeration(spark):
+    """P(good) of each line of a text, and the document's share, from all labellings of its lines."""
+    rng = np.random.default_rng(8)
+    model = quality_crf.Model(rng.normal(size=quality_crf.WIDTH), rng.normal(size=(2, 2)), np.array([0.1, 2.0, 0.5]), 0.5)
+    text = "A fine line of words.\n\nBUY NOW!!! $$$\nanother line, with more words\n|x|y|\nlast"
+    got = quality_crf.score(frame(spark, [text]), model).first()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, size, x = quality_crf.lines_of(raw, np.array([0, len(raw)]))
+    emit = x @ model.weights
+    weight = {p: np.exp(sum(emit[i] for i, s in enumerate(p) if s) + sum(model.link[a, b] for a, b in zip(p, p[1:], strict=False))) for p in np.ndindex(*[2] * len(size))}
+    good = np.array([sum(w for p, w in weight.items() if p[i]) for i in range(len(size))]) / sum(weight.values())
+    share = (good * size).sum() / size.sum()
+    assert len(size) == 5 and np.allclose(got["lines"], good) and got["good_share"] == pytest.approx(share)
+    assert got["score"] == pytest.approx(1 / (1 + np.exp(-(0.1 + 2 * share + 0.5 * np.log(share / (1 - share)) / 4))))
+
+
+def test_long_chains_are_learned_whole(spark):
+    """A document of hundreds of lines is one chain, in fitting as in scoring."""
+    assert [x.tolist() for x in quality_crf.chains_of(np.array([0] * 300 + [2] * 5))] == [[0, 300], [300, 5]]
+
+
 def test_quality(spark):
     good, bad = sentences(60, 40), ["BUY!! NOW!! " * 10 + "\n### | ### | $$$"] * 20 + ["same same same same " * 10] * 20
     docs = frame(spark, good + bad + ODD)
@@ -215,6 +236,34 @@ def test_nearest_neighbours(spark):
     assert ann_curves.neighbours(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["offset", "clustered", "lattice"])
+def test_nearest_neighbours_far_from_the_origin(spark, kind):
+    """Recall on vectors far from the origin and in clusters; all of many equal distances go by id."""
+    rng = np.random.default_rng(2)
+    if kind == "lattice":
+        x = rng.integers(0, 3, (500, 6)).astype(float)
+    else:
+        x = rng.normal(size=(8 if kind == "clustered" else 600, 12))[rng.integers(0, 8, 600) if kind == "clustered" else slice(None)] + rng.normal(size=(600, 12)) * 0.2 + (3e8 if kind == "offset" else 50)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").where("vec_id > 0 or size(embedding) > 0")
+    got = defaultdict(list)
+    for r in sorted(ann_curves.neighbours(df, F.col("vec_id") % 10 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids = [i for i in range(len(x)) if x[i].any()]
+    recall = []
+    for q in (i for i in ids if i % 10 == 0):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = sorted((i for i in ids if i != q), key=lambda i: (dist[i], i))[:10]
+        recall.append(len({i for i, _ in got[q]} & set(want)) / 10)
+        assert [s for _, s in got[q]] == [dist[i] for i, _ in got[q]] and [(s, i) for i, s in got[q]] == sorted((s, i) for i, s in got[q])
+    assert np.mean(recall) >= 0.9
+
+
+def test_nearest_takes_all_ties():
+    asked, some = np.zeros((1, 3)), np.tile(np.eye(3), (40, 1))
+    best, ids = ann_curves.nearest(asked, some, np.arange(120)[::-1].copy(), np.full((1, 5), np.inf), np.zeros((1, 5), np.int64), np.full(3, 7.0))
+    assert best.tolist() == [[1.0] * 5] and ids.tolist() == [[0, 1, 2, 3, 4]]
+
+
 def test_hilbert_steps_are_one():
     cells = np.array(list(np.ndindex(8, 8)))
     keys = ann_curves.hilbert_keys(cells, 3)
@@ -257,6 +306,23 @@ def test_mixing(spark):
     assert mixing.mixed_documents(docs).count() == sum(r["mx_copies"] for r in rows)
 
 
+def test_dual_against_bisection(spark):
+    """The multipliers of the dual, solved for each source alone."""
+    rng = random.Random(9)
+    rows = [(k, n, rng.randrange(1, 50)) for k in ("0a", "0b", "0c") for n in sorted(rng.sample(range(1, 400), 40))]
+    total = {k: sum(n * c for s, n, c in rows if s == k) for k in ("0a", "0b", "0c")}
+    target = {"0a": 0.4 * total["0a"], "0b": 2.2 * total["0b"], "0c": 1.0 * total["0c"]}
+    counts = spark.createDataFrame(rows, "mx_key string, mx_size long, mx_n long")
+    goals = spark.createDataFrame([(k, total[k], min(n for s, n, _ in rows if s == k), 3.0 * total[k], target[k]) for k in total], "mx_key string, mx_total long, mx_least long, mx_cap double, mx_target double")
+    got = {r["mx_key"]: r["mx_lambda"] for r in mixing.balance(counts, goals, 3).collect()}
+    for k in total:
+        words = lambda x: sum(c * n * min(3.0, np.exp(x * n)) for s, n, c in rows if s == k)  # noqa: B023, E731
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if words((lo + hi) / 2) < target[k] else (lo, (lo + hi) / 2)
+        assert words(got[k]) == pytest.approx(target[k], rel=1e-6) and got[k] == pytest.approx(lo, abs=1e-6)
+
+
 def test_mixing_all_empty(spark):
     assert {(r["mx_target"], r["mx_size"]) for r in mixing.mix_sources(frame(spark, [None, "", " "])).collect()} == {(0.0, 0)}
 

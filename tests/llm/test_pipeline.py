@@ -1,6 +1,7 @@
 """The pipeline's stages and the queries' columns on a small folder."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,32 @@ def test_queries(spark, folder, name):
     documents = spark.read.parquet(f"{folder}/documents.parquet").count()
     assert rows == documents if name.split("_")[0] in ("op2", "op3", "op5", "op6", "op8", "op9") else rows > 0
     assert out.where(F.col(want[0]).isNotNull()).count() > 0
+
+
+@pytest.mark.parametrize(("name", "divisor", "rest"), [("op2_language_id", 3, 1), ("op3_quality_crf", 4, 2), ("op9_toxicity", 3, 1)])
+def test_held_out_rows_teach_nothing(spark, folder, tmp_path, name, divisor, rest):
+    """What is held out follows the id's checksum, and changing its labels changes no score."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % divisor == rest
+    rows = queries.QUERIES[name](spark, folder).collect()
+    assert all(r["held_out"] == held(r["doc_id"]) for r in rows)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").collect(), spark.read.parquet(f"{folder}/labels.parquet").collect()
+    other = [(r["doc_id"], r["text"], "xx" if held(r["doc_id"]) else r["lang"], r["source"], r["n_chars"]) for r in docs]
+    spark.createDataFrame(other, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    turned = [(r["doc_id"], 1 - r["quality"], 1 - r["toxic"]) if held(r["doc_id"]) else tuple(r) for r in labels]
+    spark.createDataFrame(turned, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    again = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6), r["lang_pred"] if "lang_pred" in r else r["predicted"])
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+
+
+def test_stages_keep_what_they_should(spark):
+    """Rows with one id and different texts, null ids and texts, empty texts and an empty table pass the filtering stages."""
+    long = " ".join(f"v{i}" for i in range(70))
+    rows = [(1, "first text of this id", "en", "a", 5), (1, "second text, unlike the first", "en", "a", None), (2, "", "en", "a", 3), (3, None, None, None, None), (None, None, None, None, None), (None, long, "en", "b", 9), (4, long + " tail", "en", "b", 9), (5, long + " tail", "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert near == sorted([(1, "first text of this id"), (1, "second text, unlike the first"), (2, ""), (4, long + " tail")], key=str)
+    cut = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert cut == {(i, t) for i, t, *_ in rows if i != 5} | {(5, "tail")} - {(5, long + " tail")} or cut == {(i, t) for i, t, *_ in rows if i != 5}
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages, corpus_pipeline.mix_sources, corpus_pipeline.pack_sequences):
+        assert stage(spark, docs.limit(0), "").count() == 0
