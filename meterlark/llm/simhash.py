@@ -105,12 +105,12 @@ def ball(width: int, radius: int) -> int:
 def allocate(widths: list[int], pairs: list[float], n: float, distance: int) -> tuple[float, list[int]]:
     """(cost, thresholds): the least estimated cost of thresholds with the sum that the principle needs, or infinity.
 
-    ``pairs`` has, for each block, how many pairs of the ``n`` fingerprints share its value; for a threshold, that times
-    the values within it estimates the candidates.
+    ``pairs`` has, for each block, how many pairs of the ``n`` fingerprints share its value.  A threshold's other values
+    bring as many more as they would of evenly spread fingerprints: dense groups share the value itself already.
     """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for width, shared in zip(widths, pairs, strict=True):
-        row = {-1: 0.0} | {t: ball(width, t) * shared + PROBE_COST * n * ball(width, (t + 1) // 2) for t in range(distance + 1) if ball(width, (t + 1) // 2) <= MOST_VALUES}
+        row = {-1: 0.0} | {t: shared + (ball(width, t) - 1) * n * n / 2 / 2**width + PROBE_COST * n * ball(width, (t + 1) // 2) for t in range(distance + 1) if ball(width, (t + 1) // 2) <= MOST_VALUES}
         new: dict[int, tuple[float, list[int]]] = {}
         for total, (c, chosen) in best.items():
             for t, more in row.items():
@@ -242,35 +242,65 @@ def node_of(fp: np.ndarray, more: np.ndarray) -> np.ndarray:
     return fp ^ mix(more)
 
 
-def star_links(fp: np.ndarray, more: np.ndarray, limit: int, links: Links) -> None:
-    """Links that connect what links within one large group, without comparing all of its pairs.
+def majority(x: np.ndarray) -> np.uint64:
+    """The bits that most of some fingerprints have."""
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), bitorder="little").reshape(len(x), 64)
+    return np.packbits(bits.sum(axis=0) * 2 > len(x), bitorder="little").view(np.uint64)[0]
 
-    The member in the middle of the first one's neighbours links to all within ``limit``.  Of the rest only those within
-    twice that can link to them (the triangle inequality), each by its nearest; the neighbours are done then, and the
-    rest goes on.
-    """
-    node, left = node_of(fp, more), np.arange(len(fp))
-    apart_of = lambda i, at: np.bitwise_count(fp[at] ^ i[0]).astype(np.int64) + np.bitwise_count(more[at] ^ i[1])
+
+def bits_between(fp: np.ndarray, more: np.ndarray, fp2: np.ndarray, more2: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp ^ fp2) + np.bitwise_count(more ^ more2)  # at most 128, so single bytes do
+
+
+def pair_links(key: np.ndarray, fp: np.ndarray, more: np.ndarray, limit: int, links: Links) -> None:
+    """All links within each key; equal keys stand together."""
+    left, lag = np.arange(len(key) - 1), 1
     while len(left):
-        near = left[apart_of((fp[left[0]], more[left[0]]), left) <= limit]
-        middle = [np.packbits([((x[near] >> np.uint64(b)) & np.uint64(1)).mean() > 0.5 for b in range(64)], bitorder="little").view(np.uint64)[0] for x in (fp, more)]
-        pivot = near[apart_of(middle, near).argmin()]
-        apart = apart_of((fp[pivot], more[pivot]), left)
-        inner, outer = left[apart <= limit], left[(apart > limit) & (apart <= 2 * limit)]
-        of_inner, of_outer = apart[apart <= limit], apart[(apart > limit) & (apart <= 2 * limit)]
+        left = left[left + lag < len(key)]
+        left = left[key[left] == key[left + lag]]
+        apart = bits_between(fp[left], more[left], fp[left + lag], more[left + lag])
+        near = apart <= limit
+        hit = left[near]
+        if len(hit):
+            links.add(node_of(fp[hit], more[hit]), node_of(fp[hit + lag], more[hit + lag]), apart[near])
+        lag += 1
+
+
+def star_links(fp: np.ndarray, more: np.ndarray, limit: int, links: Links, tries: int = 8) -> None:
+    """Links that connect what links within one large group, without comparing all pairs of what is dense in it.
+
+    Of the neighbours of some member the one in their middle links to all within ``limit``.  Of the rest only those
+    within twice that can link to them (the triangle inequality), each by its nearest; the neighbours are done then, and
+    the rest goes on.  When ``tries`` members in turn have few neighbours, nothing is dense, and the rest's pairs are
+    compared.
+    """
+    node, left, failed = node_of(fp, more), np.arange(len(fp)), 0
+    rng = np.random.default_rng(len(fp))
+    while len(left) > SMALL_GROUP and failed < tries:
+        start = left[rng.integers(len(left))]
+        near = left[bits_between(fp[left], more[left], fp[start], more[start]) <= limit]
+        if len(near) < max(16, len(left) // 50):
+            failed += 1
+            continue
+        failed = 0
+        pivot = near[bits_between(fp[near], more[near], majority(fp[near]), majority(more[near])).argmin()]
+        apart = bits_between(fp[left], more[left], fp[pivot], more[pivot])
+        inside, fringe = apart <= limit, (apart > limit) & (apart <= 2 * limit)
+        inner, outer, of_inner = left[inside], left[fringe], apart[inside].astype(np.int64)
         rest = inner != pivot
-        links.add(np.full(int(rest.sum()), node[pivot]), node[inner[rest]], of_inner[rest])
+        links.add(np.full(int(rest.sum()), node[pivot]), node[inner[rest]], apart[inside][rest])
         if len(outer):
-            edge = inner[of_inner + limit >= of_outer.min()]
-            step = max(1, (1 << 20) // max(len(edge), 1))
+            edge = inner[of_inner + limit >= int(apart[fringe].min())]
+            step = max(1, (1 << 19) // max(len(edge), 1))
             for at in range(0, len(outer) if len(edge) else 0, step):
                 some = outer[at : at + step]
-                between = np.bitwise_count(fp[some][:, None] ^ fp[edge][None]).astype(np.int64) + np.bitwise_count(more[some][:, None] ^ more[edge][None])
+                between = bits_between(fp[some][:, None], more[some][:, None], fp[edge][None], more[edge][None])
                 best = between.argmin(axis=1)
                 gap = between[np.arange(len(some)), best]
                 ok = gap <= limit
                 links.add(node[edge[best[ok]]], node[some[ok]], gap[ok])
-        left = left[apart > limit]
+        left = left[~inside]
+    pair_links(np.zeros(len(left), np.uint8), fp[left], more[left], limit, links)
 
 
 def verified_links(rows: DataFrame, limit: int) -> DataFrame:
@@ -286,17 +316,7 @@ def verified_links(rows: DataFrame, limit: int) -> DataFrame:
                 mine = slice(first[g], first[g] + size[g])
                 star_links(fp[mine], more[mine], limit, links)
             small = np.repeat(size <= SMALL_GROUP, size)
-            key, fp, more = key[small], fp[small], more[small]
-            left = np.arange(len(key) - 1)
-            lag = 1
-            while len(left):
-                left = left[left + lag < len(key)]
-                left = left[key[left] == key[left + lag]]
-                apart = np.bitwise_count(fp[left] ^ fp[left + lag]).astype(np.int64) + np.bitwise_count(more[left] ^ more[left + lag])
-                hit = left[apart <= limit]
-                if len(hit):
-                    links.add(node_of(fp[hit], more[hit]), node_of(fp[hit + lag], more[hit + lag]), apart[apart <= limit])
-                lag += 1
+            pair_links(key[small], fp[small], more[small], limit, links)
         if links.parts:
             a, b, _ = links.cut()
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
