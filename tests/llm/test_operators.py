@@ -452,7 +452,7 @@ def test_allocation_is_least():
     rng = np.random.default_rng(2)
     for widths in [(16, 16, 16, 16), (20, 20, 24), (12, 13, 13, 13, 13)]:
         pairs, n, distance = rng.integers(0, 1000, len(widths)).astype(float).tolist(), 500.0, 7
-        cost = lambda t, w, p: 0.0 if t < 0 else simhash.ball(w, t) * p + simhash.PROBE_COST * n * simhash.ball(w, (t + 1) // 2)
+        cost = lambda t, w, p: 0.0 if t < 0 else p + (simhash.ball(w, t) - 1) * n * n / 2 / 2**w + simhash.PROBE_COST * n * simhash.ball(w, (t + 1) // 2)
         allowed = [[t for t in range(-1, distance + 1) if t < 0 or simhash.ball(w, (t + 1) // 2) <= simhash.MOST_VALUES] for w in widths]
         want = min(sum(map(cost, ts, widths, pairs)) for ts in itertools.product(*allowed) if sum(ts) == distance - len(widths) + 1)
         got, chosen = simhash.allocate(list(widths), pairs, n, distance)
