@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group whose five-word shingles are 0.8 alike or more."""
+    """One document, the one with the smallest id, of each group whose five-word shingles are 0.8 alike or more, as their 128 bits tell."""
     return simhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
