@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_curves, language_id, mixing, packing, quality_crf, simhash, substring_dedup, topk_search, toxicity, url_filter
+from . import ann_curves, collocations, language_id, line_frequency, mixing, packing, quality_crf, simhash, substring_dedup, topk_search, toxicity, url_filter
 from .common import read_table, remainder_of_id
 from .labelled import labelled_sample
 
@@ -132,6 +132,59 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+words AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, w, i, unnest(range(1, 6)) AS size FROM starts),
+f AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, size, count(*) AS a FROM grams WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cut AS (SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS k FROM c),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, n, k, x.a AS l, y.a AS r, CAST(CAST(1000 AS HUGEINT) * cut.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cut JOIN totals USING (lang) JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = low.lang AND c.phrase <> low.phrase AND contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' ') AND 100 * c.a >= 100 * low.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """A document's host is its source."""
+    out = line_frequency.judge(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    names = {"lf_words": "n_words", "lf_chars": "word_chars", "lf_symbols": "n_symbols", "lf_dup_lines": "n_dup_lines", "lf_repeats": "n_repeat_words", "lf_base_failed": "base_failed", "lf_kept": "kept"}
+    return out.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT row_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8),
+windows AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, array_to_string(w[i:i + 7], ' ')) AS times FROM starts),
+repeats AS (SELECT row_id, count(DISTINCT p) AS n FROM (SELECT row_id, unnest(range(i, i + 8)) AS p FROM windows WHERE times > 1) GROUP BY row_id),
+raw AS (SELECT row_id, host, md5(t) AS whole, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (
+  SELECT row_id, host, whole, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) AS norm
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT row_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY row_id),
+sizes AS (SELECT host, count(DISTINCT md5(t)) AS size FROM d GROUP BY host),
+common AS (SELECT host, norm FROM lines JOIN sizes USING (host) GROUP BY host, norm, size HAVING count(DISTINCT whole) > 10 AND count(DISTINCT whole) > size * 0.01e0),
+removed AS (SELECT row_id, CAST(sum(n) AS BIGINT) AS gone FROM lines JOIN common USING (host, norm) GROUP BY row_id),
+facts AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone, 0) AS gone
+  FROM d LEFT JOIN dups USING (row_id) LEFT JOIN repeats USING (row_id) LEFT JOIN removed USING (row_id)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - gone >= 20 AND n_words - gone >= n_words * 0.5e0 AS kept FROM based
+"""
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -143,5 +196,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op12_collocations": op12_collocations,
+    "op13_line_frequency": op13_line_frequency,
 }
-ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_collocations": OP12_SQL, "op13_line_frequency": OP13_SQL}
