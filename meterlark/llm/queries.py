@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_curves, collocations, language_id, line_frequency, mixing, packing, quality_crf, simhash, substring_dedup, topk_search, toxicity, url_filter
+from . import ann_curves, collocations, language_id, line_frequency, mixing, packing, prefix_trie, quality_crf, simhash, substring_dedup, topk_search, toxicity, url_filter
 from .common import read_table, remainder_of_id
 from .labelled import labelled_sample
 
@@ -132,6 +132,47 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_of_rebuilt(read_table(spark, folder, "conversations"))
+
+
+OP11_SQL = r"""
+WITH raw AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, content) - 1 AS pos, content, words FROM raw),
+bits AS (SELECT 0 AS step, i AS r, CAST(i AS BIGINT) AS v FROM range(256) t(i)),
+crc1 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits),
+crc2 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc1),
+crc3 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc2),
+crc4 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc3),
+crc5 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc4),
+crc6 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc5),
+crc7 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc6),
+crc8 AS (SELECT r, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM crc7),
+crc AS (SELECT list(v ORDER BY r) AS t FROM crc8),
+every AS (
+  SELECT c, n, c - c % 20 AS b,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1]))) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc),
+plan AS (SELECT x.c, x.b, x.h, least(x.h, coalesce(y.n, 0)) AS head FROM every x LEFT JOIN every y ON y.c = x.b),
+rebuilt AS (
+  SELECT c, pos - h + head AS pos, content, words FROM turns JOIN plan USING (c) WHERE pos >= h
+  UNION ALL SELECT plan.c, pos, content, words FROM plan JOIN turns ON turns.c = plan.b WHERE pos < head),
+paths AS (SELECT c, pos + 1 AS d, words, md5(array_to_string(list(content) OVER (PARTITION BY c ORDER BY pos), ',')) AS key FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM plan),
+nodes AS (SELECT d, key, min(c) AS o, count(*) AS n, max(words) AS words FROM paths GROUP BY d, key),
+owned AS (SELECT p.c, p.d, o FROM paths p JOIN nodes USING (d, key)),
+linked AS (SELECT nodes.*, owned.o AS up FROM nodes LEFT JOIN owned ON owned.c = nodes.o AND owned.d = nodes.d - 1),
+kids AS (SELECT up AS o, d - 1 AS d, count(*) AS kids FROM linked WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT linked.*, coalesce(kids, 0) AS kids FROM linked LEFT JOIN kids USING (o, d)),
+subtree AS (SELECT a.o, a.d, count(*) FILTER (kids = 0) AS leaves, CAST(sum((n - 1) * words) AS BIGINT) AS saved FROM valued v JOIN owned a ON a.c = v.o AND a.d <= v.d GROUP BY ALL),
+ends AS (SELECT o, d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM owned WHERE d = (SELECT max(p.d) FROM paths p WHERE p.c = owned.c) GROUP BY ALL)
+SELECT o AS conv_id, d AS depth, up AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM valued JOIN subtree USING (o, d) LEFT JOIN ends USING (o, d)
+"""
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read_table(spark, folder, "documents"))
 
@@ -196,7 +237,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_line_frequency": op13_line_frequency,
 }
-ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_collocations": OP12_SQL, "op13_line_frequency": OP13_SQL}
+ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL, "op13_line_frequency": OP13_SQL}
