@@ -333,14 +333,21 @@ def rule_evidence(spark, folder):
     return Q.evidence(raw_requests(spark, folder), KEY).withColumn("available", F.array_join("available", ","))
 
 
-@query(
-    EVIDENCE_SQL
-    + ", rules(rule_id, title, sets) AS (VALUES "
-    + ", ".join(f"('{r}', '{t}', {[[*s] for s in sets]!r})" for r, t, _, sets in fixed.RULES)
-    + "), unmet AS (SELECT deployment_name, rule_id, title, list_transform(sets, lambda s: list_filter(s, lambda x: NOT list_contains(available, x))) AS unmet FROM held, rules), "
-    "closest AS (SELECT *, list_filter(unmet, lambda u: len(u) = list_min(list_transform(unmet, lambda v: len(v))))[1] AS missing FROM unmet) "
-    "SELECT deployment_name, rule_id, title, array_to_string(missing, ',') AS missing, len(missing) = 0 AS runs FROM closest"
-)
+def applicability_sql(chunks: bool = False) -> str:
+    """Which rules can run, by evidence; with ``chunks``, documents' lines are evidence of their deployments too."""
+    both = f", {V.CHUNKS_SQL}, every AS (SELECT deployment_name, list_sort(list_distinct(flatten(list(available)))) AS available FROM (SELECT * FROM held UNION ALL SELECT DISTINCT deployment_name, ['retrieved_chunks'] FROM worded) GROUP BY 1)"
+    return (
+        EVIDENCE_SQL
+        + (both if chunks else ", every AS (SELECT * FROM held)")
+        + ", rules(rule_id, title, sets) AS (VALUES "
+        + ", ".join(f"('{r}', '{t}', {[[*s] for s in sets]!r})" for r, t, _, sets in fixed.RULES)
+        + "), unmet AS (SELECT deployment_name, rule_id, title, list_transform(sets, lambda s: list_filter(s, lambda x: NOT list_contains(available, x))) AS unmet FROM every, rules), "
+        "closest AS (SELECT *, list_filter(unmet, lambda u: len(u) = list_min(list_transform(unmet, lambda v: len(v))))[1] AS missing FROM unmet) "
+        "SELECT deployment_name, rule_id, title, array_to_string(missing, ',') AS missing, len(missing) = 0 AS runs FROM closest"
+    )
+
+
+@query(applicability_sql())
 def rule_applicability(spark, folder):
     """FLT8, FLT9, SET7."""
     return Q.applicability(Q.evidence(raw_requests(spark, folder), KEY), KEY).withColumn("missing", F.array_join("missing", ","))
@@ -349,11 +356,11 @@ def rule_applicability(spark, folder):
 RULE_NAMES = ["tl001_repeated_prefix", "tl002_history_growth", "tl003_unused_tools", "tl005_retry_amplification", "tl006_output_budget", "tl007_repeated_intents", "tl008_model_sizing"]
 
 
-def run_sql() -> str:
-    """Status of all rules by deployment; chunks aren't part of these requests, so TL004 has nothing to find."""
-    found = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [*(ORACLE_SQL[n] for n in RULE_NAMES), fingerprint_sql("deployment_name")])
+def run_sql(chunks: bool = False) -> str:
+    """Status of all rules by deployment; with ``chunks``, documents' lines are what the deployments retrieved, else TL004 has nothing to find."""
+    found = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [*(ORACLE_SQL[n] for n in [*RULE_NAMES, *["tl004_chunk_redundancy"] * chunks]), fingerprint_sql("deployment_name")])
     return (
-        f"WITH found AS ({found}), can AS ({ORACLE_SQL['rule_applicability']}) SELECT deployment_name, rule_id, CASE WHEN NOT runs THEN 'not_evaluated' WHEN affected IS NOT NULL THEN 'finding' ELSE 'no_issue' END AS status, missing, "
+        f"WITH found AS ({found}), can AS ({applicability_sql(chunks)}) SELECT deployment_name, rule_id, CASE WHEN NOT runs THEN 'not_evaluated' WHEN affected IS NOT NULL THEN 'finding' ELSE 'no_issue' END AS status, missing, "
         "CASE WHEN runs THEN affected END AS affected, CASE WHEN runs THEN measured END AS measured, CASE WHEN runs THEN min_savings END AS min_savings, CASE WHEN runs THEN max_savings END AS max_savings FROM can LEFT JOIN found USING (deployment_name, rule_id)"
     )
 
@@ -372,10 +379,10 @@ def impact_sql(min_percent: float = 1.0, min_tokens: int = 100_000) -> str:
 FINDING_ORDER = "coalesce(impact_max_percent, 0) DESC, coalesce(max_savings, 0) DESC, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, rule_id"
 
 
-@query(run_sql())
+@query(run_sql(chunks=True))
 def rule_run(spark, folder):
-    """TLRUN, TLALL: all rules over deployments."""
-    return Q.evaluate(raw_requests(spark, folder), KEY)
+    """TLRUN, TLALL: all rules over deployments; documents' lines are what they retrieved."""
+    return Q.evaluate(raw_requests(spark, folder), KEY, V.document_chunks(spark, folder))
 
 
 def impacts(spark, folder, **config) -> DataFrame:
@@ -765,12 +772,6 @@ def deterministic_sample(spark, folder):
     return V.table(spark, folder, "events").select("event_id", sampled(F.concat(F.lit("k"), F.col("event_id")), 0.25).alias("sampled"))
 
 
-@query()
-def bounded_percentiles(spark, folder):
-    """PCT6 to PCT8, AGG44: approximate by design."""
-    return Z.bounded_distribution(V.request_traces(spark, folder), "latency_ms", KEY)
-
-
 @query()
 def lttb_downsample(spark, folder):
     """WIN11."""
@@ -786,4 +787,4 @@ def data_quality(spark, folder):
     return A.data_quality(R.deployment_rollup(priced(spark, folder)))
 
 
-from . import catalog_more  # noqa: E402, F401 - registers its queries
+from . import catalog_more, catalog_stored  # noqa: E402, F401 - register their queries

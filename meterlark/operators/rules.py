@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from .. import fixed
 from ..functions.text import known_model, words_of
 from ..functions.tokens import count_messages, count_text, count_tools
+from ..sinks.tables import written
 
 RESULT = ["rule_id", "affected", "measured", "min_savings", "max_savings"]
 
@@ -76,55 +77,55 @@ def unused_tools(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _result(found, keys, "TL003", F.col("unused"), F.col("tokens"), F.bround(spare * 0.6, 0), spare)
 
 
-def redundant_chunks(traces: DataFrame, keys: Sequence[str] = (), threshold: float = 0.85) -> DataFrame:
-    """TL004: pairs of a request's chunks with Jaccard similarity of words at or over the threshold; the later chunk's tokens count."""
-    with_words = F.transform("retrieved_chunks", lambda c: F.struct(words_of(c).alias("w"), count_text(c).alias("n")))
-
-    def later(x: Column, i: Column) -> Column:
-        rest = F.slice(F.col("chunks"), i + 2, F.size("chunks"))
-        return F.aggregate(rest, F.lit(0).cast("long"), lambda s, y: s + F.when(F.size(F.array_intersect(x["w"], y["w"])) / F.greatest(F.lit(1), F.size(F.array_union(x["w"], y["w"]))) >= threshold, y["n"]).otherwise(0))
-
-    rows = traces.where(F.size("retrieved_chunks") > 0).withColumn("chunks", with_words)
-    rows = rows.withColumn("redundant", F.aggregate(F.transform("chunks", later), F.lit(0).cast("long"), lambda s, x: s + x))
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("redundant").alias("total")).where("n >= 2 and total >= 100")
-    return _result(found, keys, "TL004", F.col("n"), F.col("total"), F.bround(F.col("total") * 0.5, 0), F.col("total"))
+MOST_ORDERED = 10_000  # words whose frequency takes part in the order: more than one in so many of all
 
 
 def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold: float = 0.85) -> DataFrame:
     """TL004 from a row a chunk (ingest_seq, place, chunk), for requests of any number of chunks.
 
-    Chunks of equal word sets count by a running number.  Different sets of a request meet under the words of their
-    prefixes (two sets that reach the threshold share one of the first ``size - ceil(threshold * size) + 1`` words in any
-    fixed order; longer words, which are rarer, come first), are verified, and count by running numbers too.
+    Pairs of a request's chunks with Jaccard similarity of words at or over the threshold; the later chunk's tokens count.
+    Chunks of equal word sets count by a running number.  Words of a set are put in order of their frequency over all chunks, rarest
+    first.  Sets of a request meet under the words of their prefixes (two sets that reach the threshold share
+    one of the first ``size - ceil(threshold * size) + 1`` words), unless their sizes or the words left behind the shared one
+    can't reach it; they are verified and count by running numbers too.  Word sets are written once, as hashes.
     """
     key = [*keys, "ingest_seq"]
-    words = F.transform(F.array_sort(F.transform(words_of(F.col("chunk")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
-    rows = chunks.select(*key, "place", _long(count_text(F.col("chunk"))).alias("n"), words.alias("words")).where(F.size("words") > 0).withColumn("set", F.xxhash64("words"))
-    slim = rows.select(*key, "set", "place", "n").repartition(*key, "set")
+    hashes = F.transform(words_of(F.col("chunk")), lambda w: F.xxhash64(w))
+    rows = written(chunks.select(*key, "place", _long(count_text(F.col("chunk"))).alias("n"), F.array_sort(hashes).alias("words")).withColumn("set", F.xxhash64("words")), "chunk-rows")
+    worded = rows.where(F.size("words") > 0)
+    slim = worded.select(*key, "set", "place", "n")
     before = Window.partitionBy(*key, "set").orderBy("place")
     same = slim.withColumn("redundant", F.col("n") * (F.row_number().over(before) - 1)).select(*key, "redundant")
-    sets = rows.groupBy(*key, "set").agg(F.first("words").alias("words"))
+    each = worded.select(F.explode("words").alias("word"))
+    least = (worded.agg(F.sum(F.size("words"))).first()[0] or 0) // MOST_ORDERED
+    frequent = each.groupBy("word").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > least)  # fewer than MOST_ORDERED rows
+    distinct = worded.groupBy(*key, "set").agg(F.first("words").alias("words")).where(F.size("words") > 0)
+    ordered = distinct.select(*key, "set", F.explode("words").alias("word")).join(F.broadcast(frequent), "word", "left").groupBy(*key, "set")
+    sets = written(ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "word"))), lambda x: x["word"]).alias("words")), "chunk-sets")
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    under = sets.select(*key, "set", size.alias("size"), F.explode(F.transform(prefix, lambda w: F.xxhash64(w))).alias("word"))
+    under = sets.select(*key, "set", size.alias("size"), F.posexplode(prefix).alias("at", "word"))
 
     def meet(left: str, right: str, *columns: tuple[str, str]) -> Column:
         on = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key] + [F.col(f"{left}.{c}") == F.col(f"{right}.{d}") for c, d in columns]
         return reduce(Column.__and__, on)
 
     of = lambda name: [F.col(f"{name}.{k}").alias(k) for k in key]
-    near = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
+    shared = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))  # at most so many of both from here on
+    both_sizes = F.col("a.size") + F.col("b.size")
+    near = (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9) & (shared + F.least("a.at", "b.at") >= both_sizes * (threshold / (1 + threshold)) - 1e-9)
     met = under.alias("a").join(under.alias("b"), meet("a", "b", ("word", "word")) & (F.col("a.set") < F.col("b.set")) & near)
     pairs = met.select(*of("a"), F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
     pairs = pairs.alias("p").join(sets.alias("a"), meet("p", "a", ("x", "set"))).select(*of("p"), "x", "y", F.col("a.words").alias("x_words"))
     pairs = pairs.alias("p").join(sets.alias("b"), meet("p", "b", ("y", "set"))).select(*of("p"), "x", "y", "x_words", F.col("b.words").alias("y_words"))
-    pairs = pairs.where(F.size(F.array_intersect("x_words", "y_words")) / F.size(F.array_union("x_words", "y_words")) >= threshold)
+    overlap = F.size(F.array_intersect("x_words", "y_words"))
+    pairs = pairs.where(overlap / (F.size("x_words") + F.size("y_words") - overlap) >= threshold)
     sides = pairs.select(*key, "x", "y", F.explode(F.array(F.struct(F.col("x").alias("set"), F.lit(0).alias("side")), F.struct(F.col("y").alias("set"), F.lit(1).alias("side")))).alias("s")).select(*key, "x", "y", "s.*")
     both = slim.alias("r").join(sides.alias("s"), meet("r", "s", ("set", "set"))).select(*of("r"), "x", "y", "side", "place", "n")
     so_far = Window.partitionBy(*key, "x", "y").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     others = F.when(F.col("side") == 0, F.sum("side").over(so_far)).otherwise(F.sum(1 - F.col("side")).over(so_far))
     cross = both.withColumn("redundant", F.col("n") * others).select(*key, "redundant")
-    requests = chunks.select(*key).distinct().withColumn("redundant", F.lit(0).cast("long"))
+    requests = rows.select(*key).distinct().withColumn("redundant", F.lit(0).cast("long"))
     each = requests.unionByName(same).unionByName(cross).groupBy(*key).agg(F.sum("redundant").alias("redundant"))
     found = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("redundant").alias("total")).where("n >= 2 and total >= 100")
     return _result(found, keys, "TL004", F.col("n"), F.col("total"), F.bround(F.col("total") * 0.5, 0), F.col("total"))
@@ -177,9 +178,6 @@ def model_sizing(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _result(found, keys, "TL008", F.col("bounded"), F.col("n"), null, null)
 
 
-FUNCTIONS = {"TL001": repeated_prefix, "TL002": history_growth, "TL003": unused_tools, "TL004": redundant_chunks, "TL005": retry_amplification, "TL006": output_budget, "TL007": repeated_intents, "TL008": model_sizing}
-
-
 def evidence(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """FLT7: the kinds of evidence that a slice's traces have, as a sorted list ``available``, and whether all are buckets."""
     some = lambda cond, *names: [F.when(F.coalesce(F.bool_or(cond), F.lit(False)), F.lit(n)) for n in names]
@@ -215,15 +213,176 @@ def applicability(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.select(*keys, "rule_id", "title", missing.alias("missing"), (~barred & (F.size(closest) == 0)).alias("runs"))
 
 
-def evaluate(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """TLRUN: each slice's rules with status finding, no_issue or not_evaluated, and what a finding says."""
-    can = applicability(evidence(traces, keys), keys)
-    found = None
-    for rule in FUNCTIONS.values():
-        one = rule(traces, keys)
-        found = one if found is None else found.unionByName(one)
-    found = found.unionByName(fingerprint_prefix(traces, keys))
-    out = can.join(found, [*keys, "rule_id"], "left")
+def request_facts(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A narrow row a request: what the rules and the evidence need, with hashes in place of texts."""
+    messages, users = F.col("messages"), F.filter("messages", lambda m: m["role"] == "user")
+    prompt = F.trim(contents(messages, "system", "\n"))
+    text = F.trim(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "\n"))
+    intent = F.lower(F.trim(F.regexp_replace(F.coalesce(F.try_element_at(users, F.lit(-1))["content"], F.lit("")), r"\s+", " ")))
+    asked, shape, pattern = F.lower(contents(messages, "user", " ")), F.lower(F.coalesce("task_type", F.lit(""))), "|".join(fixed.BOUNDED_TERMS)
+    named = lambda c: F.coalesce(F.col(c), F.lit("default"))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    context = count_messages(messages)
+    judged = known_model(F.col("model_name")) & ((F.trim(asked) != "") | (shape != ""))
+    return traces.select(
+        *keys,
+        "ingest_seq",
+        F.when(prompt != "", F.sha2(prompt, 256)).alias("prompt"),
+        F.when(prompt != "", count_text(prompt)).alias("prompt_tokens"),
+        F.when(filled("fingerprint") & (F.col("prefix_tokens") > 0), F.col("fingerprint")).alias("fingerprint"),
+        "prefix_tokens",
+        F.when((F.size("messages") >= 5) & (context > 0), context).alias("long_context"),
+        F.array_distinct("tools").alias("defined"),
+        F.array_distinct(F.flatten(F.transform("messages", lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<string>"))))).alias("called"),
+        F.when(F.size("tools") > 0, count_tools(F.col("tools_json"))).otherwise(0).alias("tools_tokens"),
+        (filled("retry_of") | (F.coalesce(F.col("retry_count"), F.lit(0)) > 0)).alias("explicit"),
+        F.coalesce(F.col("input_tokens"), context).alias("cost"),
+        F.when(text != "", F.sha2(text, 256)).alias("text"),
+        "max_output_tokens",
+        "output_tokens",
+        F.when(intent != "", F.sha2(F.to_json(F.struct(named("tenant"), named("workload"), intent)), 256)).alias("intent"),
+        judged.alias("judged"),
+        (judged & (asked.rlike(pattern) | shape.rlike(pattern) | ((F.length(asked) < 120) & F.coalesce(F.col("output_tokens") < 160, F.lit(False))))).alias("bounded"),
+        (judged & ~F.lower("model").rlike("mini|nano")).alias("large"),
+        F.coalesce(F.size("messages") > 0, F.lit(False)).alias("has_messages"),
+        F.coalesce(F.size("retrieved_chunks") > 0, F.lit(False)).alias("has_chunks"),
+        filled("retry_of").alias("has_retry_of"),
+        (F.coalesce(F.col("retry_count"), F.lit(0)) > 0).alias("has_retry_count"),
+        filled("task_type").alias("has_task_type"),
+        F.col("prefix_tokens").isNotNull().alias("has_prefix_tokens"),
+        filled("fingerprint").alias("has_fingerprint"),
+        known_model(F.col("model_name")).alias("has_model"),
+        F.coalesce(F.col("record_type") == "foundry_metric_bucket", F.lit(False)).alias("is_bucket"),
+    )
+
+
+def slice_evidence(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, available, only_buckets) and the slice's own sums, from ``request_facts``."""
+    some = lambda cond, *names: [F.when(F.coalesce(F.bool_or(cond), F.lit(False)), F.lit(n)) for n in names]
+    flags = [
+        *some(F.col("has_messages"), "messages"),
+        *some(F.size("defined") > 0, "tools"),
+        *some(F.col("has_chunks"), "retrieved_chunks"),
+        *some(F.col("max_output_tokens") > 0, "max_output_tokens"),
+        *some(F.col("output_tokens").isNotNull(), "output_tokens"),
+        *some(F.col("has_retry_of"), "retry_of"),
+        *some(F.col("has_retry_count"), "retry_count"),
+        *some(F.col("has_messages") | F.col("has_task_type"), "task_shape_evidence"),
+        *some(F.col("has_prefix_tokens"), "system_prompt_tokens"),
+        *some(F.col("has_fingerprint"), "system_prompt_fingerprint"),
+        *some(F.col("has_messages") | F.col("has_fingerprint"), "request_fingerprint"),
+        *some(F.col("has_model"), "model_identity"),
+    ]
+    return facts.groupBy(*keys).agg(
+        F.array_sort(F.array_compact(F.array(*flags))).alias("available"),
+        F.bool_and("is_bucket").alias("only_buckets"),
+        F.count("long_context").alias("long_n"),
+        F.sum("long_context").alias("long_total"),
+        F.sum("tools_tokens").alias("tools_tokens"),
+        F.count_if("explicit").alias("explicit_n"),
+        F.sum(F.when(F.col("explicit"), F.col("cost"))).alias("explicit_cost"),
+        F.count_if(F.col("max_output_tokens").isNotNull() & F.col("output_tokens").isNotNull()).alias("pairs"),
+        F.count_if("judged").alias("judged"),
+        F.count_if("bounded").alias("bounded"),
+        F.count_if("large").alias("large"),
+    )
+
+
+def repeated_things(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, kind, value, n, first, tokens, last_tokens, defined, called): everything that rules count by, counted in one pass.
+
+    Kinds are prompts, fingerprints, whole texts, intents, tools, output limits and outputs.
+    """
+    thing = lambda kind, value, tokens=F.lit(None), defined=F.lit(False): F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), tokens.cast("long").alias("tokens"), defined.alias("defined"))
+    pair = F.col("max_output_tokens").isNotNull() & F.col("output_tokens").isNotNull()
+    single = F.array(
+        thing("prompt", F.col("prompt"), F.col("prompt_tokens")),
+        thing("fingerprint", F.col("fingerprint"), F.col("prefix_tokens")),
+        thing("text", F.col("text"), F.col("cost")),
+        thing("intent", F.col("intent")),
+        thing("limit", F.when(pair, F.col("max_output_tokens")), F.col("max_output_tokens")),
+        thing("output", F.when(pair, F.col("output_tokens")), F.col("output_tokens")),
+    )
+    tools = F.concat(F.transform("defined", lambda t: thing("tool", t, defined=F.lit(True))), F.transform("called", lambda t: thing("tool", t)))
+    things = facts.select(*keys, "ingest_seq", F.explode(F.concat(F.filter(single, lambda x: x["value"].isNotNull()), F.coalesce(tools, F.array().cast(tools_type())))).alias("x")).select(*keys, "ingest_seq", "x.*")
+    return things.groupBy(*keys, "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ingest_seq").alias("first"), F.sum("tokens").alias("tokens"), F.max_by("tokens", "ingest_seq").alias("last_tokens"), F.bool_or("defined").alias("defined"), F.bool_or(~F.col("defined")).alias("called")
+    )
+
+
+def tools_type() -> str:
+    return "array<struct<kind:string,value:string,tokens:bigint,defined:boolean>>"
+
+
+def beside(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``a`` with the columns of ``b`` for the same keys (null to null), which both have; without keys ``b`` has one row."""
+    other = b.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    return a.join(other, [a[k].eqNullSafe(other[f"r_{k}"]) for k in keys] or [F.lit(True)], "left").drop(*[f"r_{k}" for k in keys])
+
+
+def evaluate(traces: DataFrame, keys: Sequence[str] = (), chunks: DataFrame | None = None) -> DataFrame:
+    """TLRUN, TLALL: each slice's rules with status finding, no_issue or not_evaluated, and what a finding says.
+
+    Traces are read once; the rules share one aggregation by what recurs and one by slice.  ``chunks`` (a row a chunk, for
+    ``redundant_chunk_rows``) are the retrieved chunks of the slices; without them, those in the traces are.
+    """
+    facts = written(request_facts(traces, keys), "request-facts")
+    if chunks is None:
+        held = traces.where(F.size("retrieved_chunks") > 0)
+        chunks = held.select(*keys, "ingest_seq", F.posexplode("retrieved_chunks").alias("place", "chunk"))
+    slices = written(slice_evidence(facts, keys), "slices")
+    things = written(repeated_things(facts, keys), "repeated")
+    redundant = written(redundant_chunk_rows(chunks, keys), "redundant")
+
+    # nearest-rank percentiles over counts by value
+    sizes = things.where("kind in ('limit', 'output')")
+    up_to = Window.partitionBy(*keys, "kind").orderBy("last_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy(*keys, "kind")
+    ranked = sizes.withColumns({"to": F.sum("n").over(up_to), "of": F.sum("n").over(everything)}).where(F.col("to") >= F.ceil(F.col("of") * 0.99))
+    p99 = ranked.groupBy(*keys).agg(F.min(F.when(F.col("kind") == "limit", F.col("last_tokens"))).alias("top"), F.min(F.when(F.col("kind") == "output", F.col("last_tokens"))).alias("used"))
+
+    kind = lambda name, also=F.lit(True): (F.col("kind") == name) & also
+    leader = lambda name: F.max_by(F.struct("n", "last_tokens"), F.when(F.col("kind") == name, F.struct(F.col("n"), (-F.col("first")).alias("early"))))
+    again = F.col("n") > 1
+    sums = things.groupBy(*keys).agg(
+        leader("prompt").alias("prompt"),
+        leader("fingerprint").alias("mark"),
+        F.count_if(kind("tool", F.col("defined"))).alias("tools"),
+        F.count_if(kind("tool", F.col("defined") & ~F.col("called"))).alias("unused"),
+        F.sum(F.when(kind("text", again), F.col("n"))).alias("text_n"),
+        F.sum(F.when(kind("text", again), F.col("tokens"))).alias("text_cost"),
+        F.count_if(kind("intent", again)).alias("intents"),
+        F.sum(F.when(kind("intent", again), F.col("n") - 1)).alias("intents_again"),
+    )
+    facts_of = beside(beside(slices, sums, keys), p99, keys)
+
+    c, none = F.col, F.lit(None).cast("long")
+    lead = F.when(c("prompt.n").isNotNull(), c("prompt")).otherwise(c("mark"))
+    repeated = lead["last_tokens"] * (lead["n"] - 1)
+    estimate = F.bround(c("long_total") * 0.15, 0)
+    spare = F.bround(c("tools_tokens") * c("unused") / F.greatest(F.lit(1), c("tools")), 0)
+    retries = F.when(c("explicit_n") > 0, c("explicit_n")).otherwise(c("text_n"))
+    retry_cost = F.when(c("explicit_n") > 0, c("explicit_cost")).otherwise(c("text_cost"))
+    gap = c("top") - c("used")
+    rows = [
+        ("TL001", (lead["n"] >= 2) & (repeated >= 100), lead["n"], repeated, F.floor(repeated * 0.72), repeated),
+        ("TL002", c("long_n") >= 2, c("long_n"), c("long_total"), F.greatest(F.lit(0.0), F.bround(estimate * 0.6, 0)), estimate),
+        ("TL003", (c("unused") > 0) & (c("tools_tokens") >= 100), c("unused"), c("tools_tokens"), F.bround(spare * 0.6, 0), spare),
+        ("TL005", retries > 0, retries, retry_cost, F.bround(retry_cost * 0.6, 0), retry_cost),
+        ("TL006", (c("pairs") >= 2) & (c("top") > c("used") * 2), c("pairs"), gap, F.bround(gap * c("pairs") * 0.1, 0), gap * c("pairs")),
+        ("TL007", c("intents") > 0, c("intents"), c("intents_again"), c("intents_again"), c("intents_again")),
+        ("TL008", (c("judged") > 0) & (c("bounded") / F.greatest(F.lit(1), c("judged")) >= 0.2) & (c("large") / F.greatest(F.lit(1), c("judged")) >= 0.2), c("bounded"), c("judged"), none, none),
+    ]
+    said = F.array(*[F.when(fires, F.struct(F.lit(rule).alias("rule_id"), *[_long(x).alias(n) for n, x in zip(RESULT[1:], values, strict=True)])) for rule, fires, *values in rows])
+    found = facts_of.select(*keys, F.explode(F.array_compact(said)).alias("f")).select(*keys, "f.*").unionByName(redundant)
+
+    held = chunks.select(*keys).distinct() if keys else chunks.limit(1).select(F.lit(1).alias("one")).drop("one")
+    with_chunks = slices.select(*keys, "available", "only_buckets").unionByName(held.withColumns({"available": F.array(F.lit("retrieved_chunks")), "only_buckets": F.lit(True)}))
+    available = with_chunks.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("available")))).alias("available"), F.bool_and("only_buckets").alias("only_buckets"), F.count(F.lit(1)).alias("sides"))
+    # a slice of chunks alone isn't one of buckets
+    available = available.withColumn("only_buckets", F.col("only_buckets") & ~((F.col("sides") == 1) & (F.col("available") == F.array(F.lit("retrieved_chunks")))))
+    can = applicability(available, keys)
+    out = beside(can, found, [*keys, "rule_id"])
     status = F.when(~F.col("runs"), "not_evaluated").when(F.col("affected").isNotNull(), "finding").otherwise("no_issue")
     values = [F.when(F.col("runs"), F.col(c)).alias(c) for c in RESULT[1:]]
     return out.select(*keys, "rule_id", status.alias("status"), F.array_join("missing", ",").alias("missing"), *values)

@@ -1,17 +1,10 @@
-"""Bounded distributions and down-sampling of series."""
+"""Down-sampling of series."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def bounded_distribution(rows: DataFrame, value: str, keys: Sequence[str] = (), limit: int = 10_000) -> DataFrame:
-    """PCT6 to PCT8, AGG44: count and p50, p95, p99 of a value; approximate with an accuracy of ``limit``, in bounded memory."""
-    p = F.percentile_approx(value, [0.5, 0.95, 0.99], limit)
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), p.alias("p")).select(*keys, "n", "least", "most", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
 
 
 def downsample(points: DataFrame, keys: Sequence[str], x: str, y: str, threshold: int) -> DataFrame:

@@ -234,11 +234,15 @@ def test_instructions_of_every_other_team(spark, tmp_path):
     assert {r["fingerprint"] for r in rows if r["team"] == "team-1"} == {"hmac-sha256:1"}
 
 
+def chunks_of(traces):
+    return rules.redundant_chunk_rows(traces.select("ingest_seq", F.posexplode_outer("retrieved_chunks").alias("place", "chunk")))
+
+
 def test_chunks(spark):
     same, other = "alpha beta gamma delta " * 5, "one two three four five"
-    got = only(rules.redundant_chunks(requests(spark, {"retrieved_chunks": [same, same, same, other]}, {"retrieved_chunks": [other]})))
+    got = only(chunks_of(requests(spark, {"retrieved_chunks": [same, same, same, other]}, {"retrieved_chunks": [other]})))
     assert (got["affected"], got["measured"]) == (2, 3 * len(same))
-    assert only(rules.redundant_chunks(requests(spark, {"retrieved_chunks": [same, same]}))) is None
+    assert only(chunks_of(requests(spark, {"retrieved_chunks": [same, same]}))) is None
 
 
 def test_chunks_are_all_lines_of_documents(spark, tmp_path):
@@ -456,8 +460,8 @@ def test_append_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("a", T0), ("b", T0), ("a", T0)], "event_id string, ts timestamp")
     folder = str(tmp_path / "out")
     assert [record_sink.append_new(rows, folder), record_sink.append_new(rows, folder)] == [2, 0]
-    nameless = spark.createDataFrame([(None, T0), (None, T0 + timedelta(days=1)), (None, None), ("a", T0)], "event_id string, ts timestamp")
-    assert [record_sink.append_new(nameless, folder), record_sink.append_new(nameless, folder)] == [3, 0]
+    nameless = spark.createDataFrame([(None, T0), (None, T0), (None, T0), (None, None), ("", T0), ("a", T0)], "event_id string, ts timestamp")
+    assert [record_sink.append_new(nameless, folder), record_sink.append_new(nameless, folder)] == [5, 0]
 
 
 def test_reports(spark, tmp_path):

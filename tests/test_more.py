@@ -150,15 +150,12 @@ def test_feed_bounds():
         list(snapshots.pages_of("https://b/1", pages.get, ["https://a/"]))
 
 
-def test_customer_catalog_and_retention(spark, tmp_path):
+def test_customer_catalog(spark, tmp_path):
     path = tmp_path / "own.json"
     assert snapshots.customer_catalog(spark, str(path)) is None
     path.write_text('{"currency": "usd", "catalog_name": "mine", "prices": [{"model": "a", "input_rate": 1.0, "output_rate": 2.0, "effective_from": "2026-01-01"}]}')
     own = snapshots.customer_catalog(spark, str(path))
     assert (own.name, own.currency, own.prices.first()["model"]) == ("mine", "USD", "a")
-    for day in ("2026-07-01", "2026-09-01", "2026-06-01"):
-        (tmp_path / "log" / f"event_date={day}").mkdir(parents=True)
-    assert snapshots.purge(spark, str(tmp_path / "log"), NOW) == 2 and (tmp_path / "log" / "event_date=2026-09-01").exists()
 
 
 def test_spellings_fail_closed(spark):
