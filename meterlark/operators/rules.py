@@ -77,7 +77,16 @@ def unused_tools(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _result(found, keys, "TL003", F.col("unused"), F.col("tokens"), F.bround(spare * 0.6, 0), spare)
 
 
-MOST_ORDERED = 10_000  # words whose frequency takes part in the order: more than one in so many of all
+SLOTS = 1 << 16  # words are told apart in so many slots where only their frequency matters
+
+
+def frequency_classes(worded: DataFrame) -> bytes:
+    """One byte a slot of words (hashes): the logarithm of how often its words occur, in eighths of a power of two.  SLOTS rows come to the driver."""
+    slots = worded.select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    classes = bytearray(SLOTS)
+    for slot, n in slots.select("slot", F.least(F.floor(F.log2("n") * 8), F.lit(254)) + 1).collect():
+        classes[slot] = n
+    return bytes(classes)
 
 
 def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold: float = 0.85) -> DataFrame:
@@ -85,7 +94,7 @@ def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold:
 
     Pairs of a request's chunks with Jaccard similarity of words at or over the threshold; the later chunk's tokens count.
     Chunks of equal word sets count by a running number.  Words of a set are put in order of their frequency over all chunks, rarest
-    first.  Sets of a request meet under the words of their prefixes (two sets that reach the threshold share
+    first (any fixed order gives the same pairs).  Sets of a request meet under the words of their prefixes (two sets that reach the threshold share
     one of the first ``size - ceil(threshold * size) + 1`` words), unless their sizes or the words left behind the shared one
     can't reach it; they are verified and count by running numbers too.  Word sets are written once, as hashes.
     """
@@ -96,12 +105,10 @@ def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold:
     slim = worded.select(*key, "set", "place", "n")
     before = Window.partitionBy(*key, "set").orderBy("place")
     same = slim.withColumn("redundant", F.col("n") * (F.row_number().over(before) - 1)).select(*key, "redundant")
-    each = worded.select(F.explode("words").alias("word"))
-    least = (worded.agg(F.sum(F.size("words"))).first()[0] or 0) // MOST_ORDERED
-    frequent = each.groupBy("word").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > least)  # fewer than MOST_ORDERED rows
-    distinct = worded.groupBy(*key, "set").agg(F.first("words").alias("words")).where(F.size("words") > 0)
-    ordered = distinct.select(*key, "set", F.explode("words").alias("word")).join(F.broadcast(frequent), "word", "left").groupBy(*key, "set")
-    sets = written(ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "word"))), lambda x: x["word"]).alias("words")), "chunk-sets")
+    common = frequency_classes(worded)
+    distinct = worded.groupBy(*key, "set").agg(F.first("words").alias("words"))
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(F.lit(common), F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("class"), w.alias("word"))))
+    sets = written(distinct.select(*key, "set", F.transform(ordered, lambda x: x["word"]).alias("words")), "chunk-sets")
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
     under = sets.select(*key, "set", size.alias("size"), F.posexplode(prefix).alias("at", "word"))

@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is read in fewer parts, as a small file is; a table of many parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
 
@@ -160,7 +166,7 @@ WHOLE_SQL = CONVERSATIONS_SQL.replace("'dep-' || (conv_id % 3) AS deployment_nam
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """One request for every five documents, with every line of each as a retrieved chunk: a row a chunk, ``place`` orders a request's."""
-    d = table(spark, folder, "documents").where("doc_id is not null")  # a document without an id is in no request
+    d = spread(table(spark, folder, "documents").select("doc_id", "text").where("doc_id is not null"))  # a document without an id is in no request
     number = F.floor(F.col("doc_id") / 5).cast("long")
     return (
         d.select(number.alias("ingest_seq"), F.concat(F.lit("dep-"), number % 4).alias("deployment_name"), "doc_id", F.xxhash64("text").alias("of"), F.posexplode_outer(F.split("text", "\n")).alias("line", "chunk"))
