@@ -54,17 +54,19 @@ def event_usage_violations(spark, folder):
     return G.event_problems(events)
 
 
+RECORD_SQL = (
+    """'{"id": ' || event_id || ', "usage": {"input_tokens": 1}, "fingerprints": {"system_prompt": "hmac-sha256:0"}, "content_features": {"prompt": {"headers": 3}}' """
+    """|| CASE WHEN event_id % 7 = 0 THEN ', "scope": {"tenant_id": "x"}' ELSE '' END || ', "note": "say \\\\"prompt\\\\": {"' || CASE WHEN event_id % 13 = 0 THEN ', "prompt": "secret"' ELSE '' END """
+    """|| ', "steps": ' || repeat('[{"deep": ', CAST(event_id % 50 AS INTEGER)) || CASE WHEN event_id % 11 = 0 THEN '{"headers": [], "content_features": [{"api_key": 1}]}' ELSE '1' END || repeat('}]', CAST(event_id % 50 AS INTEGER)) || '}'"""
+)
+
+
 @query(
-    "SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 7 = 0 THEN 'tenant_id' END, CASE WHEN event_id % 11 = 0 THEN 'headers' END, CASE WHEN event_id % 13 = 0 THEN 'prompt' END], lambda x: x IS NOT NULL)) AS found FROM events"
+    f"SELECT DISTINCT event_id AS id, t.key AS found FROM (SELECT event_id, {RECORD_SQL.replace(chr(92) * 2, chr(92))} AS record FROM events) e, json_tree(record) t WHERE t.key IN ({', '.join(map(repr, fixed.FORBIDDEN_KEYS))}) AND NOT regexp_matches(t.path, '[.]({'|'.join(fixed.MEASUREMENT_PARTS)})([.]|\\[|$)')"
 )
 def contentless_check(spark, folder):
-    """PRJ19, VAL13: names that a stored record must not have, at any depth but below measurements."""
-    n = F.col("event_id")
-    text = F.concat(
-        F.lit('{"id": '), n, F.lit(', "usage": {"input_tokens": 1}, "fingerprints": {"system_prompt": "hmac-sha256:0"}, "content_features": {"prompt": {"headers": 3}}'),
-        F.when(n % 7 == 0, ', "scope": {"tenant_id": "x"}').otherwise(""), F.when(n % 11 == 0, ', "steps": [{"ok": 1}, {"deep": {"headers": []}}]').otherwise(""), F.when(n % 13 == 0, ', "prompt": "secret"').otherwise(""), F.lit("}"),
-    )
-    return G.forbidden_keys(V.table(spark, folder, "events").select("event_id", F.parse_json(text).alias("v")), "event_id")
+    """PRJ19, VAL13: names that a stored record must not have, at any depth but below measurements; records nest up to 100 levels."""
+    return G.forbidden_keys(V.table(spark, folder, "events").select("event_id", F.parse_json(F.expr(RECORD_SQL)).alias("v")), "event_id")
 
 
 _PADS = ["".join(f"\\x{b ^ x:02X}" for b in b"house key".ljust(64, b"\0")) for x in (0x36, 0x5C)]

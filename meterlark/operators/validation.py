@@ -64,21 +64,35 @@ def valid_events(events: DataFrame, reject: bool = False) -> DataFrame:
     return events.where(good)
 
 
-def forbidden_keys(records: DataFrame, key: str, depth: int = 8) -> DataFrame:
-    """PRJ19, VAL13: (key, found) for each forbidden name at any level of the variant ``v``.
+def forbidden_names(json: Column) -> Column:
+    """PRJ19, VAL13: the forbidden names in a JSON text as ``to_json`` writes it, at any depth, each once; fails closed on null.
 
-    Names below ``fixed.MEASUREMENT_PARTS`` name measurements and aren't looked at.  Levels are taken apart one by one;
-    what is nested deeper than ``depth`` levels counts as found (``nested too deeply``), so the check fails closed.
+    One pass over the text's strings and brackets, with the depth as its only stack: what stands below a name in
+    ``fixed.MEASUREMENT_PARTS`` is skipped until its bracket closes.  Escaped characters can't be part of a forbidden name,
+    so they are blanked before strings are told apart.
     """
-    spark = records.sparkSession
-    nested = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.lit(False))
-    level, out = records.select(F.col(key).alias("id"), "v"), None
-    for _ in range(depth):
-        items = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("id", "key", "value")
-        found = items.where(F.col("key").isin(*fixed.FORBIDDEN_KEYS)).select("id", F.col("key").alias("found"))
-        out = found if out is None else out.unionByName(found)
-        level = items.where(nested(F.col("value")) & ~F.coalesce(F.col("key").isin(*fixed.MEASUREMENT_PARTS), F.lit(False))).select("id", F.col("value").alias("v"))
-    return out.unionByName(level.select("id", F.lit("nested too deeply").alias("found"))).distinct()
+    tokens = F.regexp_extract_all(F.regexp_replace(json, r"\\.", "~"), F.lit(r'"[^"]*":?|[{}\[\]]'), F.lit(0))
+    none = F.lit(-1)
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, names = t.isin("{", "["), t.isin("}", "]"), F.endswith(t, F.lit('":'))
+        name, skipped = F.substring(t, F.lit(2), F.char_length(t) - 3), s["skip"] >= 0
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        skip = F.when(skipped, F.when(closes & (depth == s["skip"]), none).otherwise(s["skip"])).when(opens & s["measures"], s["depth"]).otherwise(none)
+        measures = ~skipped & names & name.isin(*fixed.MEASUREMENT_PARTS)
+        bad = ~skipped & names & name.isin(*fixed.FORBIDDEN_KEYS) & ~F.array_contains(s["found"], name)
+        return F.struct(depth.alias("depth"), skip.alias("skip"), measures.alias("measures"), F.when(bad, F.array_append(s["found"], name)).otherwise(s["found"]).alias("found"))
+
+    start = F.struct(F.lit(0).alias("depth"), none.alias("skip"), F.lit(False).alias("measures"), F.array().cast("array<string>").alias("found"))
+    return F.when(json.isNull(), F.array(F.lit("not a record"))).otherwise(F.aggregate(tokens, start, step, lambda s: s["found"]))
+
+
+def forbidden_keys(records: DataFrame, key: str) -> DataFrame:
+    """PRJ19, VAL13: (key, found) for each forbidden name at any level of the variant ``v``, in one pass over the records.
+
+    Names below ``fixed.MEASUREMENT_PARTS`` name measurements and aren't looked at; a null record is ``not a record``.
+    """
+    return records.select(F.col(key).alias("id"), F.explode(forbidden_names(F.to_json("v"))).alias("found"))
 
 
 def keyed_fingerprint(value: Column, key: bytes | None) -> Column:

@@ -29,9 +29,21 @@ def test_event_rules(spark):
 
 
 def test_forbidden_keys(spark):
-    texts = ['{"a": {"b": [{"headers": 1}, {"x": {"prompt": null}}]}}', '{"fingerprints": {"system_prompt": "k"}, "content_features": {"tools": {"tools": 1}}}', "[]", '{"d":' * 12 + "1" + "}" * 12]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.parse_json("t").alias("v"))
-    assert sorted(tuple(r) for r in validation.forbidden_keys(df, "id").collect()) == [(0, "headers"), (0, "prompt"), (3, "nested too deeply")]
+    """At any depth, with one scan; texts that look like names or brackets are texts."""
+    deep = '{"d":[' * 50 + '{"headers": {"prompt": 1}, "fingerprints": [{"tools": {"x": [1]}}], "prompt": 2}' + "]}" * 50
+    texts = [
+        '{"a": {"b": [{"headers": 1}, {"x": {"prompt": null}}]}}',
+        '{"fingerprints": {"system_prompt": "k"}, "content_features": {"tools": {"tools": 1}}}',
+        "[]",
+        deep,
+        '{"a": "\\"prompt\\": {", "b": "}", "fingerprints": 3, "c": {"api_key": "\\\\"}, "\\u0074ools": 1}',
+        '{"content_features": {"prompt": 1}, "messages": []}',
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.try_parse_json("t").alias("v"))
+    found = validation.forbidden_keys(df, "id")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "headers"), (0, "prompt"), (3, "headers"), (3, "prompt"), (4, "api_key"), (4, "tools"), (5, "messages"), (6, "not a record")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
 
 
 def test_fingerprints_are_hmac(spark):
