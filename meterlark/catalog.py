@@ -427,12 +427,17 @@ _MAPPINGS = "m AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{a}', {d!r})"
 
 
 @query(
-    f"WITH {_MAPPINGS}, n AS (SELECT d, count(DISTINCT id) FILTER (allocation = 'dedicated') AS own, count(*) FILTER (allocation = 'shared') AS shared FROM each GROUP BY 1) "
-    "SELECT d AS subject, 'dedicated-to-several' AS problem FROM n WHERE own > 1 UNION ALL SELECT d, 'dedicated-and-shared' FROM n WHERE own > 0 AND shared > 0 UNION ALL SELECT id, 'duplicate-id' FROM m GROUP BY 1 HAVING count(*) > 1"
+    "WITH m AS (SELECT 'wl ' || (s_suppkey % 70) AS id, CASE WHEN n_regionkey % 2 = 0 THEN 'dedicated' ELSE 'shared' END AS allocation, ['Dep ' || s_nationkey, 'dep-' || (s_suppkey % 60)] AS deployments FROM supplier JOIN nation ON s_nationkey = n_nationkey), "
+    "slug AS (SELECT replace(id, ' ', '-') AS id, allocation, list_transform(deployments, lambda d: replace(lower(d), ' ', '-')) AS deployments FROM m), each AS (SELECT id, allocation, unnest(deployments) AS d FROM slug), "
+    "n AS (SELECT d, count(DISTINCT id) FILTER (allocation = 'dedicated') AS own, count(*) FILTER (allocation = 'shared') AS shared FROM each GROUP BY 1) "
+    "SELECT d AS subject, 'dedicated-to-several' AS problem FROM n WHERE own > 1 UNION ALL SELECT d, 'dedicated-and-shared' FROM n WHERE own > 0 AND shared > 0 UNION ALL SELECT id, 'duplicate-id' FROM slug GROUP BY 1 HAVING count(*) > 1"
 )
 def workload_mapping_problems(spark, folder):
-    """Contradictions of the mappings."""
-    return W.mapping_problems(V.mappings(spark))
+    """VAL4: contradictions of mappings: suppliers as workloads, dedicated or shared by their nation's region."""
+    supplier = V.table(spark, folder, "supplier").join(V.table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    dedicated = F.when(F.col("n_regionkey") % 2 == 0, "dedicated").otherwise("shared")
+    deployments = F.array(F.concat(F.lit("Dep "), F.col("s_nationkey")), F.concat(F.lit("dep-"), F.col("s_suppkey") % 60))
+    return W.mapping_problems(supplier.select(F.concat(F.lit("wl "), F.col("s_suppkey") % 70).alias("id"), dedicated.alias("allocation"), deployments.alias("deployments")))
 
 
 @query(f"WITH {S.REQUEST_TRACES_SQL}, {_MAPPINGS} SELECT DISTINCT d AS deployment FROM each WHERE allocation = 'shared' AND d NOT IN (SELECT deployment_name FROM traces WHERE trim(workload) <> '')")
@@ -680,41 +685,55 @@ def status_code_pivot(spark, folder):
     return wide.select(F.col("ts").alias("bucket"), "deployment_name", "input_tokens", "requests", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("successful_requests", "throttled_requests", "failed_requests")])
 
 
-METERS = [
-    ("m1", "5.6 luna ShortCo Inp Std Gl 1M Tokens", "", "Consumption", 1.25, "1M", "eastus", 0.0, None), ("m2", "5.6 luna ShCo Cache Input Glbl Tokens", "", "Consumption", 0.125, "1M", "eastus", 0.0, None), ("m3", "5.6 luna Short Output Global Tokens", "", "Consumption", 10.0, "1M", "eastus", 0.0, None),
-    ("m4", "5.6 luna LongCo Inp Dz 1K Tokens", "", "Consumption", 0.0025, "1K", "westus", 0.0, None), ("m5", "5.6 luna Inp Batch 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m6", "5.6 luna Inp 1M Tokens", "luna-IN-FT", "Consumption", 0.6, "1M", "eastus", 0.0, None),
-    ("m7", "5.6 luna Inp Zeta 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m8", "Other Inp 1M Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m9", "5.6 luna Inp 1M Tokens", "", "Reservation", 0.6, "1M", "eastus", 0.0, None), ("m10", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1/Hour", "eastus", 0.0, None),
-    ("m11", "5.6 luna Inp Gl Dz Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m12", "5.6 luna Inp Opt Tokens", "", "Consumption", 0.6, "1M", "eastus", 0.0, None), ("m13", "5.6 luna ShortCo Opt Std Gl 1M Tokens", "", "Consumption", 11.0, "1M", "westus", 0.0, None), ("m14", "5.6 luna Inp Tokens", "", "Consumption", 0.6, "1M", "eastus", 5.0, None), ("m15", "5.6 luna Calls", "", "Consumption", 0.6, "1M", "eastus", 0.0, None),
-]
+#: A meter of each part, as expressions that both engines read: its label's words come from the part's columns.
+METER_NAME = (
+    "'m' || (p_partkey % 40) || '.' || (p_partkey % 3) || CASE WHEN p_partkey % 5 = 0 THEN ' Luna' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' ShortCo' WHEN p_size % 3 = 1 THEN ' LongCo' ELSE '' END || CASE WHEN p_size % 16 = 5 THEN ' ShCo' ELSE '' END"
+    " || CASE p_size % 4 WHEN 0 THEN ' Inp' WHEN 1 THEN ' Cache Input' WHEN 2 THEN ' Opt' ELSE ' output' END || CASE WHEN p_size % 13 = 7 THEN ' Inp' ELSE '' END || CASE p_partkey % 7 WHEN 0 THEN ' Gl' WHEN 1 THEN ' Dz' WHEN 2 THEN ' REG' WHEN 3 THEN ' Gl-Dz' ELSE '' END"
+    " || CASE WHEN p_partkey % 11 = 0 THEN ' ' || p_type WHEN p_partkey % 11 = 1 THEN ' Batch' ELSE '' END || CASE WHEN p_partkey % 17 = 3 THEN ' Calls' ELSE ' 1M Tokens' END"
+)
+METER_COLUMNS = {
+    "meterName": METER_NAME,
+    "skuName": "CASE WHEN p_partkey % 19 = 4 THEN 'luna-in-FT' ELSE p_brand END",
+    "type": "CASE WHEN p_partkey % 23 = 5 THEN 'Reservation' ELSE 'Consumption' END",
+    "unitOfMeasure": "CASE WHEN p_partkey % 29 = 6 THEN '1/Hour' WHEN p_partkey % 2 = 0 THEN '1M' ELSE '1K' END",
+    "armRegionName": "CASE WHEN p_partkey % 6 = 0 THEN 'westus' ELSE 'eastus' END",
+    "tierMinimumUnits": "CASE WHEN p_partkey % 31 = 7 THEN 5e0 ELSE 0e0 END",
+}
+#: Labels of meters' models: those of even numbers, and their longer forms.
+CROSSWALK_SQL = "SELECT DISTINCT 'model-' || (p_partkey % 40) || '.' || (p_partkey % 3) AS model, 'microsoft' AS publisher, 'M' || (p_partkey % 40) || '.' || (p_partkey % 3) AS label FROM part WHERE p_partkey % 40 % 2 = 0 UNION ALL SELECT DISTINCT 'model-' || (p_partkey % 40) || '.' || (p_partkey % 3) || '-luna', 'microsoft', 'm' || (p_partkey % 40) || '.' || (p_partkey % 3) || '-LUNA' FROM part WHERE p_partkey % 40 % 4 = 0"
+
+
+def meters(spark, folder) -> DataFrame:
+    text = {"armSkuName": "''", "productName": "'p'", "serviceName": "'Foundry Models'", "effectiveStartDate": "'2026-01-01'", "reservationTerm": "CAST(NULL AS STRING)"}
+    return V.table(spark, folder, "part").select(F.concat(F.lit("m"), F.col("p_partkey")).alias("meterId"), *[F.expr(e).alias(n) for n, e in {**METER_COLUMNS, **text}.items()], F.col("p_retailprice").alias("retailPrice"))
 
 
-def meters(spark) -> DataFrame:
-    rows = [(i, n, s, "", "p", "Foundry Models", u, t, r, p, m, "2026-01-01", term) for i, n, s, t, p, u, r, m, term in METERS]
-    return spark.createDataFrame(rows, "meterId string, meterName string, skuName string, armSkuName string, productName string, serviceName string, unitOfMeasure string, type string, armRegionName string, retailPrice double, tierMinimumUnits double, effectiveStartDate string, reservationTerm string")
+def crosswalk(spark, folder) -> DataFrame:
+    return spark.sql(CROSSWALK_SQL.replace("FROM part", "FROM {part}"), part=V.table(spark, folder, "part"))
 
 
-def parsed_meters(spark) -> DataFrame:
-    crosswalk = spark.createDataFrame([("gpt-5.6-luna", "microsoft", "5.6 luna"), ("gpt-5.6", "microsoft", "5.6")], "model string, publisher string, label string")
-    return Y.parse_meters(meters(spark), crosswalk)
+def parsed_meters(spark, folder) -> DataFrame:
+    return Y.parse_meters(meters(spark, folder), crosswalk(spark, folder))
 
 
 def _meter_sql() -> str:
     """Meters taken apart word by word, and the first reason against each."""
-    rows = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" for x in r) + ")" for r in METERS)
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     of = {kind: [w for w, k in fixed.METER_WORDS.items() if k == kind] for kind in dict.fromkeys(fixed.METER_WORDS.values())}
     has = lambda kind: f"list_has_any(rest, {listed(of[kind])})"
     why = "map {" + ", ".join(f"'{w}': '{r}'" for w, r in fixed.METER_EXCLUDED.items()) + "}"
     words = lambda x: f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9.]+'), lambda w: w <> '')"
     return (
-        f"WITH m AS (SELECT *, {words('name')} AS t, {words('sku')} AS k FROM (VALUES {rows}) t(\"meterId\", name, sku, kind, price, unit, region, least, term)), "
-        "n AS (SELECT *, CASE WHEN t[1:2] = ['5.6', 'luna'] THEN 2 WHEN t[1:1] = ['5.6'] THEN 1 END AS prefix FROM m), r AS (SELECT *, CASE WHEN prefix IS NOT NULL THEN t[prefix + 1:] END AS rest FROM n), "
+        f"WITH x AS ({CROSSWALK_SQL}), labels AS (SELECT model, {words('label')} AS l FROM x), "
+        f"raw AS (SELECT 'm' || p_partkey AS \"meterId\", p_retailprice AS price, {METER_COLUMNS['meterName']} AS name, {METER_COLUMNS['skuName']} AS sku, {METER_COLUMNS['type']} AS kind, {METER_COLUMNS['unitOfMeasure']} AS unit, {METER_COLUMNS['armRegionName']} AS region, {METER_COLUMNS['tierMinimumUnits']} AS least FROM part), "
+        f"m AS (SELECT *, {words('name')} AS t, {words('sku')} AS k FROM raw), "
+        "n AS (SELECT m.*, len(l) AS prefix, model AS of_model FROM m LEFT JOIN labels ON t[1:len(l)] = l QUALIFY row_number() OVER (PARTITION BY \"meterId\" ORDER BY len(l) DESC NULLS LAST) = 1), r AS (SELECT *, CASE WHEN prefix IS NOT NULL THEN t[prefix + 1:] END AS rest FROM n), "
         f"f AS (SELECT *, list_filter(list_transform(list_concat(t, k), lambda w: {why}[w]), lambda x: x IS NOT NULL)[1] AS barred, {has('global')}::INT + {has('data_zone')}::INT + {has('regional')}::INT AS modes, "
         f"len(list_filter(rest, lambda w: NOT list_contains({listed([*fixed.METER_WORDS, *fixed.METER_EXCLUDED])}, w))) AS strange, CASE WHEN {has('cache')} AND {has('write')} THEN 'cache_write' WHEN {has('cache')} AND {has('input')} THEN 'cached_input' WHEN {has('output')} AND NOT {has('input')} THEN 'output' WHEN {has('input')} AND NOT {has('output')} THEN 'input' END AS dimension, "
         "CASE regexp_extract(unit, '(?i)^\\s*(\\d+)\\s*([km])$', 2) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 END * try_cast(regexp_extract(unit, '^\\s*(\\d+)', 1) AS DOUBLE) AS units FROM r), "
         "j AS (SELECT *, CASE WHEN kind <> 'Consumption' THEN 'non-consumption-meter' WHEN least <> 0 THEN 'tiered-meter' WHEN t[-1] NOT IN ('token', 'tokens') THEN 'non-token-meter' WHEN prefix IS NULL THEN 'model-not-in-crosswalk' WHEN barred IS NOT NULL THEN 'excluded-' || barred WHEN strange > 0 THEN 'unrecognized-meter-token' "
         f"WHEN dimension IS NULL THEN 'dimension-ambiguous' WHEN modes > 1 THEN 'deployment-ambiguous' WHEN {has('short')} AND {has('long')} THEN 'context-ambiguous' WHEN units IS NULL THEN 'unit-of-measure-unsupported' END AS rejected FROM f), "
-        f"parsed AS (SELECT \"meterId\", region, rejected, CASE WHEN rejected IS NULL THEN CASE prefix WHEN 2 THEN 'gpt-5.6-luna' ELSE 'gpt-5.6' END END AS model, CASE WHEN rejected IS NULL THEN dimension END AS dimension, CASE WHEN rejected IS NULL THEN CASE WHEN {has('data_zone')} THEN 'data_zone' WHEN {has('regional')} THEN 'regional' ELSE 'global' END END AS deployment, "
+        f"parsed AS (SELECT \"meterId\", region, rejected, CASE WHEN rejected IS NULL THEN of_model END AS model, CASE WHEN rejected IS NULL THEN dimension END AS dimension, CASE WHEN rejected IS NULL THEN CASE WHEN {has('data_zone')} THEN 'data_zone' WHEN {has('regional')} THEN 'regional' ELSE 'global' END END AS deployment, "
         f"CASE WHEN rejected IS NULL THEN CASE WHEN {has('long')} THEN 'long' ELSE 'short' END END AS context, CASE WHEN rejected IS NULL THEN round(price * 1000000 / units, 10) END AS per_million FROM j)"
     )
 
@@ -722,13 +741,13 @@ def _meter_sql() -> str:
 @query(_meter_sql() + ' SELECT "meterId", rejected, dimension, deployment, context, per_million FROM parsed')
 def meter_parse(spark, folder):
     """FLT15, J16, CST5, CST6: retail meters, accepted or with the first reason against."""
-    return parsed_meters(spark).select("meterId", "rejected", "dimension", "deployment", "context", "per_million")
+    return parsed_meters(spark, folder).select("meterId", "rejected", "dimension", "deployment", "context", "per_million")
 
 
 @query(_meter_sql() + " SELECT model, deployment, context, dimension, CASE WHEN min(per_million) = max(per_million) THEN min(per_million) END AS per_million, CASE WHEN min(per_million) <> max(per_million) THEN 'region-rate-conflict' END AS rejected FROM parsed WHERE rejected IS NULL GROUP BY ALL")
 def meter_candidates(spark, folder):
     """AGG36, AGG37: one rate a dimension, or a conflict between regions."""
-    return Y.resolve_meters(parsed_meters(spark)).select("model", "deployment", "context", "dimension", "per_million", "rejected")
+    return Y.resolve_meters(parsed_meters(spark, folder)).select("model", "deployment", "context", "dimension", "per_million", "rejected")
 
 
 def billing_rows(spark, folder) -> DataFrame:

@@ -452,12 +452,15 @@ def published_mode_prices(spark, folder):
     return entries.select("model", "region", F.round("input_rate", 9).alias("input_rate"), F.round("input_units", 6).alias("input_units"), F.array_join("assumed", ";").alias("assumed"))
 
 
-@query("SELECT 'deployment-mode-not-published' AS reason, 'part ' || p_partkey AS subject, 'regional' AS detail FROM part")
+@query(
+    f"SELECT 'deployment-mode-not-published' AS reason, 'part ' || p_partkey AS subject, map {{{', '.join(f'{a!r}: {b!r}' for a, b in fixed.DEPLOYMENT_SPELLINGS.items())}}}[replace(lower(trim(asked)), '-', '_')] AS detail FROM part, (VALUES ('global'), ('Regional-Standard'), ('data zone')) t(asked) "
+    f"WHERE map {{{', '.join(f'{a!r}: {b!r}' for a, b in fixed.DEPLOYMENT_SPELLINGS.items())}}}[replace(replace(lower(trim(asked)), '-', '_'), ' ', '_')] NOT IN ({', '.join(map(repr, fixed.MODE_MULTIPLIERS))})"
+)
 def unpublished_modes(spark, folder):
     """HLP38: what a mode without published rates costs: its own entries alone."""
     part = V.table(spark, folder, "part")
     table = part.select(F.concat(F.lit("part "), F.col("p_partkey")).alias("model"), *[F.col("p_size").cast("double").alias(n) for n in ("input", "cached", "write", "output")])
-    return N.table_prices(table, ["global", "Regional-Standard"])[1]
+    return N.table_prices(table, ["global", "Regional-Standard", "data zone"])[1]
 
 
 def snapshots(spark, folder) -> DataFrame:
@@ -485,15 +488,29 @@ def snapshot_provenance(spark, folder):
     return out.select("source", "currency", "entries", "included", "excluded_reason", N.stale(F.col("retrieved_at"), datetime(2026, 9, 15, 12)).alias("stale"))
 
 
-SPELLINGS = ["Global Standard", "dz", "data-zone", "REG", "glbl", "unknown", "", "Regional_Standard"]
+#: Spellings of price dimensions made from an event's columns, as expressions that both engines read.
+SPELT = {
+    "mode": "CASE WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN ' Global Standard' ELSE 'glbl' END WHEN event_type = 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'Data-Zone' ELSE 'DZ' END WHEN event_type = 'error' THEN 'Regional_Standard' WHEN user_id % 5 = 0 THEN 'Unknown' WHEN user_id % 5 = 1 THEN '' ELSE 'reg' END",
+    "context": "CASE WHEN value > 50 THEN CASE WHEN user_id % 2 = 0 THEN 'Long Context' ELSE 'loco' END ELSE 'short' END",
+    "tier": "CASE WHEN event_id % 2 = 0 THEN 'STD' ELSE 'standard ' END",
+    "inference": "CASE WHEN event_id % 3 = 0 THEN 'Normal-Inference' ELSE 'normal' END",
+}
+
+
+def spelt_sql(column: str, known: dict) -> str:
+    """A canonical spelling looked up by its text."""
+    return f"map {{{', '.join(f'{a!r}: {b!r}' for a, b in known.items())}}}[regexp_replace(lower(trim({SPELT[column]})), '[ -]+', '_', 'g')] AS {column}"
 
 
 @query(
-    "SELECT event_id, (['global', 'data_zone', 'data_zone', 'regional', 'global', NULL, NULL, 'regional'])[event_id % 8 + 1] AS mode, (['short', 'long'])[event_id % 2 + 1] AS context, 'standard' AS tier, 'normal' AS inference FROM events"
+    "SELECT event_id, "
+    + ", ".join(spelt_sql(n, known) for n, known in [("mode", fixed.DEPLOYMENT_SPELLINGS), ("context", fixed.CONTEXT_SPELLINGS), ("tier", fixed.TIER_SPELLINGS), ("inference", fixed.INFERENCE_SPELLINGS)])
+    + " FROM events"
 )
 def dimension_spellings(spark, folder):
     """CST11 to CST13: spellings of price dimensions; an unstated mode is null."""
-    n = F.col("event_id")
     e = V.table(spark, folder, "events")
-    return e.select("event_id", N.optional_deployment(V.pick(SPELLINGS, n % 8)).alias("mode"), N.canonical_context(V.pick(["Short Context", "loco"], n % 2)).alias("context"), N.canonical_tier(F.lit("STD")).alias("tier"), N.canonical_inference(F.lit("Normal-Inference")).alias("inference"))
+    of = {"mode": N.optional_deployment, "context": N.canonical_context, "tier": N.canonical_tier, "inference": N.canonical_inference}
+    return e.select("event_id", *[canonical(F.expr(SPELT[n])).alias(n) for n, canonical in of.items()])
+
 

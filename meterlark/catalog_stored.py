@@ -9,6 +9,7 @@ from . import catalog as K
 from . import catalog_sql as S
 from .operators import distributions as D
 from .sinks.tables import written
+from .sources import prices as Y
 from .sources import views as V
 
 query, KEY = K.query, K.KEY
@@ -78,3 +79,34 @@ def appended_records(spark, folder):
     append_new(events.withColumn("ts", F.col("ts") + F.expr("interval 40 days")), place, "second")
     stored = spark.read.schema("event_id long, batch string, event_date string").json(place)
     return stored.groupBy("event_date", "batch").agg(F.count("*").alias("records"), F.sum("event_id").alias("ids"))
+
+
+# Prices
+
+
+WIDE_SQL = K.ORACLE_SQL["meter_candidates"]
+
+
+@query(
+    f"SELECT model, deployment, context, max(per_million) FILTER (dimension = 'input') AS input, max(per_million) FILTER (dimension = 'cached_input') AS cached_input, max(per_million) FILTER (dimension = 'output') AS output FROM ({WIDE_SQL}) WHERE rejected IS NULL GROUP BY ALL HAVING input IS NOT NULL AND output IS NOT NULL"
+)
+def meter_entries(spark, folder):
+    """AGG36: models, modes and contexts whose meters give both an input and an output rate."""
+    return Y.meter_prices(Y.resolve_meters(K.parsed_meters(spark, folder))).select("model", "deployment", "context", "input", "cached_input", "output")
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT 'Model ' || (p_partkey % 50) AS model, 'publisher-' || (p_partkey % 50 % 3) AS publisher, 'L' || (p_partkey % 50) AS label, ['alias_' || (p_partkey % 50 // 2), 'model-' || (p_partkey % 50 + 1)] AS aliases FROM part WHERE p_partkey % 50 < 40), "
+    "k AS (SELECT lower(regexp_replace(trim(n.a), '[\\s_]+', '-', 'g')) AS key, n.rank, model, publisher, label FROM (SELECT *, unnest([{'rank': 0, 'a': model}, {'rank': 1, 'a': aliases[1]}, {'rank': 1, 'a': aliases[2]}]) AS n FROM c)), "
+    "best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank, model) = 1), "
+    "asked AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' MODEL_' || (p_partkey % 60) WHEN 1 THEN 'alias ' || (p_partkey % 60) ELSE p_name END AS name FROM part) "
+    "SELECT p_partkey, model, publisher, label FROM asked LEFT JOIN best ON best.key = lower(regexp_replace(trim(name), '[\\s_]+', '-', 'g'))"
+)
+def crosswalk_lookup(spark, folder):
+    """J17: names as a model, an alias or neither, by equality of canonical names."""
+    part = V.table(spark, folder, "part")
+    n = F.col("p_partkey") % 50
+    known = part.where(n < 40).select(F.concat(F.lit("Model "), n).alias("model"), F.concat(F.lit("publisher-"), n % 3).alias("publisher"), F.concat(F.lit("L"), n).alias("label"), F.array(F.concat(F.lit("alias_"), F.floor(n / 2)), F.concat(F.lit("model-"), n + 1)).alias("aliases")).distinct()
+    number = F.col("p_partkey") % 60
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" MODEL_"), number)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("alias "), number)).otherwise(F.col("p_name"))
+    return Y.crosswalk_models(part.select("p_partkey", name.alias("name")), known).select("p_partkey", "model", "publisher", "label")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
+from ..functions.text import canonical_model
 
 ITEM = "struct<currencyCode:string,meterId:string,meterName:string,skuName:string,armSkuName:string,productName:string,serviceName:string,unitOfMeasure:string,type:string,armRegionName:string,retailPrice:double,unitPrice:double,tierMinimumUnits:double,effectiveStartDate:string,reservationTerm:string,isPrimaryMeterRegion:boolean>"
 SERVICE = "foundry models"
-CROSSWALK_ROWS = 10_000
 
 
 def retail_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -41,21 +41,39 @@ def per_million(price: Column, unit: Column) -> Column:
     return price * 1_000_000 / units_per_measure(unit)
 
 
+def longest_labels(names: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """J16: (t, m) for each name's words ``t`` with the longest label that begins them: ``m`` has n (words of the label), model, publisher; names without one are left out.
+
+    Names are different from each other; their beginnings meet labels by equality, so neither side is compared in pairs.
+    """
+    labels = crosswalk.select("model", "publisher", label_tokens(F.col("label")).alias("l")).where(F.size("l") > 0)
+    longest = labels.agg(F.max(F.size("l"))).first()[0] or 0
+    upto = F.sequence(F.lit(1), F.least(F.size("t"), F.lit(longest)))
+    begins = names.where((F.size("t") > 0) & F.lit(longest > 0)).select("t", F.explode(F.transform(upto, lambda n: F.slice("t", F.lit(1), n))).alias("l"))
+    return begins.join(labels, "l").groupBy("t").agg(F.max(F.struct(F.size("l").alias("n"), "model", "publisher")).alias("m"))
+
+
+def crosswalk_models(asked: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """J17: ``asked`` (name) with the crosswalk's model, publisher and label for a model or one of its aliases; null for none.
+
+    ``crosswalk``: (model, publisher, label, aliases).  A model's own name goes before another's alias, then the smaller model.
+    """
+    names = F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("model").alias("as"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(1).alias("rank"), a.alias("as"))))
+    known = crosswalk.select("model", "publisher", "label", F.explode(names).alias("n")).select(canonical_model(F.col("n.as")).alias("key"), F.struct("n.rank", "model", "publisher", "label").alias("to"))
+    best = known.where("key <> ''").groupBy("key").agg(F.min("to").alias("to"))
+    return asked.withColumn("key", canonical_model(F.col("name"))).join(best, "key", "left").select(*asked.columns, "to.model", "to.publisher", "to.label")
+
+
 def parse_meters(rows: DataFrame, crosswalk: DataFrame, assumed_deployment: str = "global", assumed_context: str = "short") -> DataFrame:
     """FLT15, J16: each retail row with its model and dimension, or the first reason that excludes it.
 
-    ``crosswalk``: (model, publisher, label), a small table; the longest label that begins a meter's name wins.
+    ``crosswalk``: (model, publisher, label), of any size; the longest label that begins a meter's name wins.
     """
     excluded = fixed.METER_EXCLUDED
     known = [*fixed.METER_WORDS, *excluded]
-    if crosswalk.limit(CROSSWALK_ROWS + 1).count() > CROSSWALK_ROWS:
-        raise ValueError(f"a crosswalk has at most {CROSSWALK_ROWS} labels")
-    labels = crosswalk.select("model", "publisher", label_tokens(F.col("label")).alias("l")).where(F.size("l") > 0)
-    listed = labels.agg(F.collect_list(F.struct(F.size("l").alias("n"), "l", "model", "publisher")).alias("crosswalk"))  # configuration: one row
-    t = label_tokens(F.col("meterName"))
-    rows = rows.crossJoin(F.broadcast(listed)).withColumn("t", t)
-    fits = F.filter("crosswalk", lambda c: F.slice(F.col("t"), F.lit(1), c["n"]) == c["l"])
-    rows = rows.withColumn("m", F.array_max(F.transform(fits, lambda c: F.struct(c["n"].alias("n"), c["model"].alias("model"), c["publisher"].alias("publisher")))))
+    rows = rows.withColumn("t", label_tokens(F.col("meterName")))
+    names = rows.select("t").distinct()
+    rows = rows.join(longest_labels(names, crosswalk), "t", "left")
     rows = rows.withColumn("rest", F.when(F.col("m").isNotNull(), F.slice("t", F.col("m.n") + 1, F.greatest(F.size("t"), F.lit(1)))))
     has = lambda kind: F.arrays_overlap("rest", F.array(*[F.lit(w) for w, k in fixed.METER_WORDS.items() if k == kind]))
     every = F.concat("t", label_tokens(F.col("skuName")), label_tokens(F.col("armSkuName")))
@@ -109,11 +127,27 @@ def meter_prices(resolved: DataFrame) -> DataFrame:
 # Imported billing rows and layers
 
 
-def imported_prices(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """J7: a request's (model, scope, component, at) exact rows: none, one, or AMBIGUOUS; a rate without a quantity is verified but has no usage."""
-    r, q = rows.alias("r"), requests.alias("q")
-    on = (F.col("r.model") == F.col("q.model")) & (F.col("r.processing_scope") == F.col("q.processing_scope")) & (F.col("r.component") == F.col("q.component")) & (F.col("q.at") >= F.col("r.effective_from")) & (F.col("r.effective_to").isNull() | (F.col("q.at") <= F.col("r.effective_to")))
-    found = q.join(r, on, "left").groupBy(*[F.col(f"q.{c}").alias(c) for c in ("request", "model", "processing_scope", "component", "at")]).agg(F.count("r.model").alias("n"), F.min("r.unit_price").alias("unit_price"), F.min("r.unit_multiplier").alias("multiplier"), F.min("r.quantity").alias("quantity"), F.min("r.currency").alias("currency"))
+def imported_prices(rows: DataFrame, requests: DataFrame, bin_days: int = 32) -> DataFrame:
+    """J7: a request's (model, scope, component, at) exact rows: none, one, or AMBIGUOUS; a rate without a quantity is verified but has no usage.
+
+    A row stands in every bin of days that its period touches, as far as requests reach; a request is in one bin.  They meet by
+    equality of bin and keys, so a request is compared with its model's rows of about a month, however long the history is,
+    and adaptive execution can split a model's requests.  Request ids are different from each other.
+    """
+    keys = ["model", "processing_scope", "component"]
+    day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+    of = lambda c: F.floor(c / bin_days).cast("int")
+    least, most = requests.agg(F.min(of(day(F.col("at")))), F.max(of(day(F.col("at"))))).first()
+    asked = requests.withColumn("bin", of(day(F.col("at"))))
+    if least is None:
+        least, most = 0, -1
+    begin = F.greatest(of(day(F.col("effective_from"))), F.lit(least))
+    end = F.least(F.coalesce(of(day(F.col("effective_to"))), F.lit(most)), F.lit(most))
+    binned = rows.where(begin <= end).select(*keys, "effective_from", "effective_to", "unit_price", "unit_multiplier", "quantity", "currency", F.explode(F.sequence(begin, end)).alias("bin"))
+    fits = (F.col("at") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("at") <= F.col("effective_to")))
+    met = asked.join(binned, [*keys, "bin"]).where(fits)
+    facts = met.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.min("unit_price").alias("unit_price"), F.min("unit_multiplier").alias("multiplier"), F.min("quantity").alias("quantity"), F.min("currency").alias("currency"))
+    found = requests.select("request").join(facts, "request", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     state = F.when(F.col("n") == 0, "NO_PRICE").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("quantity").isNull(), "RATE_VERIFIED_USAGE_MISSING").otherwise("RESOLVED")
     one = F.col("n") == 1
     return found.select("request", state.alias("state"), F.when(one, F.col("unit_price") / F.col("multiplier")).alias("rate"), F.when(one & F.col("quantity").isNotNull(), F.round(F.col("unit_price") * F.col("quantity") / F.col("multiplier"), 6)).alias("amount"), F.when(one, F.col("currency")).alias("currency"))
