@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import catalog as K
 from . import catalog_sql as S
@@ -110,3 +111,27 @@ def crosswalk_lookup(spark, folder):
     number = F.col("p_partkey") % 60
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" MODEL_"), number)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("alias "), number)).otherwise(F.col("p_name"))
     return Y.crosswalk_models(part.select("p_partkey", name.alias("name")), known).select("p_partkey", "model", "publisher", "label")
+
+
+# Feeds
+
+
+@query(
+    "SELECT 'dep-' || (user_id % 5) AS resource, strftime(ts, '%Y-%m-%d') AS day, count(*) AS points, count(DISTINCT hour(ts) // 6) AS pages, CAST(sum(event_id) AS BIGINT) AS ids, round(sum(value), 6) AS total FROM events GROUP BY ALL"
+)
+def paged_metrics(spark, folder):
+    """SRC17, SRC27: metric points by deployment and day as paged feeds, a page every six hours, written and read as a data source."""
+    from .sinks.tables import new_folder
+    from .sources.feeds import read_feeds
+
+    e = V.table(spark, folder, "events").select("event_id", "value", F.concat(F.lit("dep-"), F.col("user_id") % 5).alias("resource"), F.date_format("ts", "yyyy-MM-dd").alias("window"), F.floor(F.hour("ts") / 6).cast("int").alias("hour"))
+    pages = e.groupBy("resource", "window", "hour").agg(F.collect_list(F.struct("event_id", "value")).alias("Items"))
+    hours = F.array_sort(F.collect_set("hour").over(Window.partitionBy("resource", "window")))  # at most 4
+    place = F.array_position(hours, F.col("hour")).cast("int")
+    pages = pages.select("resource", "window", "Items", place.alias("page"), F.size(hours).alias("last"))
+    link = F.when(F.col("page") < F.col("last"), F.concat(F.lit("page="), F.col("page") + 1))
+    path = new_folder(spark, "feeds")
+    text = F.to_json(F.struct("Items", link.alias("NextPageLink")))
+    pages.select("resource", "window", "page", text.alias("value")).repartition("resource", "window").write.partitionBy("resource", "window", "page").text(path)
+    points = read_feeds(spark, path, max_items=1 << 40).withColumn("i", F.from_json("item", "event_id long, value double"))
+    return points.groupBy("resource", F.col("window").alias("day")).agg(F.count("*").alias("points"), F.count_distinct("page").alias("pages"), F.sum("i.event_id").alias("ids"), F.round(F.sum("i.value"), 6).alias("total"))

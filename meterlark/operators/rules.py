@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
+from ..functions.quantiles import beside
 from ..functions.text import known_model, words_of
 from ..functions.tokens import count_messages, count_text, count_tools
 from ..sinks.tables import written
@@ -151,11 +152,20 @@ def retry_amplification(traces: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return _result(found, keys, "TL005", F.col("n"), F.col("total"), F.bround(F.col("total") * 0.6, 0), F.col("total"))
 
 
+def nearest_p99(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, top, used): nearest-rank 99th percentiles of limits and outputs, from their values' counts (keys, kind, x, n)."""
+    up_to = Window.partitionBy(*keys, "kind").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"to": F.sum("n").over(up_to), "of": F.sum("n").over(Window.partitionBy(*keys, "kind"))}).where(F.col("to") >= F.ceil(F.col("of") * 0.99))
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("x")))
+    return ranked.groupBy(*keys).agg(least("limit").alias("top"), least("output").alias("used"), F.max(F.when(F.col("kind") == "limit", F.col("of"))).alias("n"))
+
+
 def output_budget(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """TL006: nearest-rank 99th percentile of the limit over twice that of the output."""
-    p99 = lambda c: F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {c})")
+    """TL006: nearest-rank 99th percentile of the limit over twice that of the output; requests are counted by value first."""
     pairs = traces.where(F.col("max_output_tokens").isNotNull() & F.col("output_tokens").isNotNull())
-    found = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), p99("max_output_tokens").alias("top"), p99("output_tokens").alias("used")).where("n >= 2 and top > used * 2")
+    values = F.array(F.struct(F.lit("limit").alias("kind"), F.col("max_output_tokens").cast("long").alias("x")), F.struct(F.lit("output").alias("kind"), F.col("output_tokens").cast("long").alias("x")))
+    counts = pairs.select(*keys, F.explode(values).alias("v")).groupBy(*keys, "v.kind", "v.x").agg(F.count(F.lit(1)).alias("n"))
+    found = nearest_p99(counts, keys).where("n >= 2 and top > used * 2")
     gap = F.col("top") - F.col("used")
     return _result(found, keys, "TL006", F.col("n"), gap, F.bround(gap * F.col("n") * 0.1, 0), gap * F.col("n"))
 
@@ -321,12 +331,6 @@ def tools_type() -> str:
     return "array<struct<kind:string,value:string,tokens:bigint,defined:boolean>>"
 
 
-def beside(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``a`` with the columns of ``b`` for the same keys (null to null), which both have; without keys ``b`` has one row."""
-    other = b.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    return a.join(other, [a[k].eqNullSafe(other[f"r_{k}"]) for k in keys] or [F.lit(True)], "left").drop(*[f"r_{k}" for k in keys])
-
-
 def evaluate(traces: DataFrame, keys: Sequence[str] = (), chunks: DataFrame | None = None) -> DataFrame:
     """TLRUN, TLALL: each slice's rules with status finding, no_issue or not_evaluated, and what a finding says.
 
@@ -341,12 +345,8 @@ def evaluate(traces: DataFrame, keys: Sequence[str] = (), chunks: DataFrame | No
     things = written(repeated_things(facts, keys), "repeated")
     redundant = written(redundant_chunk_rows(chunks, keys), "redundant")
 
-    # nearest-rank percentiles over counts by value
-    sizes = things.where("kind in ('limit', 'output')")
-    up_to = Window.partitionBy(*keys, "kind").orderBy("last_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(*keys, "kind")
-    ranked = sizes.withColumns({"to": F.sum("n").over(up_to), "of": F.sum("n").over(everything)}).where(F.col("to") >= F.ceil(F.col("of") * 0.99))
-    p99 = ranked.groupBy(*keys).agg(F.min(F.when(F.col("kind") == "limit", F.col("last_tokens"))).alias("top"), F.min(F.when(F.col("kind") == "output", F.col("last_tokens"))).alias("used"))
+    sizes = things.where("kind in ('limit', 'output')").withColumnRenamed("last_tokens", "x")
+    p99 = nearest_p99(sizes, keys).drop("n")
 
     kind = lambda name, also=F.lit(True): (F.col("kind") == name) & also
     leader = lambda name: F.max_by(F.struct("n", "last_tokens"), F.when(F.col("kind") == name, F.struct(F.col("n"), (-F.col("first")).alias("early"))))

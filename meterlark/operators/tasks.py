@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import beside, measured_percentiles
 from ..functions.text import canonical_model
+from ..sinks.tables import written
 from .pricing import NAME, Catalog, resolve, with_price
 
 CLOSED = ("solved", "failed", "abandoned")
@@ -114,14 +116,17 @@ def cohorts(tasks: DataFrame, keys: Sequence[str] = ("task_type",), percentile_d
     cost, resolved = F.col("cost_usd"), F.col("resolved")
     n, total = F.count(F.lit(1)), lambda c: F.sum(c)
     rate = lambda a, b, d=1: F.when(b > 0, F.round(a / b * 100, d))
-    p = lambda c, q: F.round(F.percentile(c, F.lit(q)), percentile_digits)
     failed = is_("failed", "abandoned")
     spend = F.when(failed & resolved, cost)
     cleaned = F.when(F.col("cleanup_known"), F.coalesce("cleanup_cost", F.lit(0.0)))
     corrected = F.when(F.col("cleanup_known") & F.col("escaped") & cost.isNotNull(), cost + F.coalesce("cleanup_cost", F.lit(0.0)))
     named = F.bool_and(F.when(closed, F.col("outcome").isin(*CLOSED)))
     level = F.when(F.sum("attempts") == 0, 0).when(~F.bool_or(closed) | ~named, 1).when(F.sum("reviews") == 0, 2).otherwise(3)
-    return tasks.groupBy(*keys).agg(
+    tasks = written(tasks, "tasks")
+    found = measured_percentiles(tasks, keys, {"tokens": F.col("tokens"), "cost": cost, "solved_cost": F.when(is_("solved"), cost), "latency": F.col("duration_ms")}, {"p50": 0.5, "p90": 0.9})
+    wanted = ["tokens_p50", "tokens_p90", "cost_p50", "cost_p90", "solved_cost_p50", "latency_p90"]
+    found = found.select(*keys, *[F.round(c, percentile_digits).alias(c) for c in wanted])
+    sums = tasks.groupBy(*keys).agg(
         level.alias("maturity_level"),
         n.alias("attempted_tasks"),
         F.count_if(~closed).alias("open_tasks"),
@@ -133,12 +138,6 @@ def cohorts(tasks: DataFrame, keys: Sequence[str] = ("task_type",), percentile_d
         F.round(F.avg(F.when(resolved, cost)), 6).alias("cost_per_observed_task_usd"),
         _mean_if_whole(cost, closed).alias("cost_per_closed_task_usd"),
         _mean_if_whole(cost, is_("solved")).alias("cost_per_solved_task_usd"),
-        p(F.col("tokens"), 0.5).alias("tokens_p50"),
-        p(F.col("tokens"), 0.9).alias("tokens_p90"),
-        p(cost, 0.5).alias("cost_p50"),
-        p(cost, 0.9).alias("cost_p90"),
-        p(F.when(is_("solved"), cost), 0.5).alias("solved_cost_p50"),
-        p(F.col("duration_ms"), 0.9).alias("latency_p90"),
         F.round(total("model_calls") / n, 3).alias("model_calls_per_task"),
         F.round(total("attempts") / n, 3).alias("attempts_per_task"),
         total("retries").alias("retries"),
@@ -158,12 +157,16 @@ def cohorts(tasks: DataFrame, keys: Sequence[str] = ("task_type",), percentile_d
         total("output_tokens").alias("output_tokens"),
         F.round(F.sum("tool_cost"), 6).alias("tool_cost_usd"),
     )
+    return beside(sums, found, keys)
 
 
 def strategies(tasks: DataFrame, provisional: int = 30, ranked: int = 100, percentile_digits: int = 6) -> DataFrame:
     """AGG23: strategies of a task type with enough closed tasks."""
     closed, solved = F.col("outcome").isNotNull(), F.col("outcome") == "solved"
     keys = ["task_type", "execution_strategy", "strategy_version"]
+    tasks = written(tasks, "tasks")
+    found = measured_percentiles(tasks, keys, {"cost": F.col("cost_usd")}, {"p50": 0.5, "p90": 0.9})
+    found = found.select(*keys, *[F.round(f"cost_{p}", percentile_digits).alias(f"{p}_cost_usd") for p in ("p50", "p90")])
     out = tasks.groupBy(*keys).agg(
         F.count_if(closed).alias("closed_tasks"),
         F.count_if(solved).alias("solved_tasks"),
@@ -171,10 +174,8 @@ def strategies(tasks: DataFrame, provisional: int = 30, ranked: int = 100, perce
         F.round(F.sum("solved_attempts") / F.greatest(F.lit(1), F.sum("attempts")) * 100, 1).alias("attempt_success_rate"),
         _mean_if_whole(F.col("cost_usd"), closed).alias("cost_per_task_usd"),
         _mean_if_whole(F.col("cost_usd"), solved).alias("cost_per_solved_task_usd"),
-        F.round(F.percentile("cost_usd", F.lit(0.5)), percentile_digits).alias("p50_cost_usd"),
-        F.round(F.percentile("cost_usd", F.lit(0.9)), percentile_digits).alias("p90_cost_usd"),
     )
-    return out.where(F.col("closed_tasks") >= provisional).withColumn("recommendation_eligible", F.col("closed_tasks") >= ranked)
+    return beside(out, found, keys).where(F.col("closed_tasks") >= provisional).withColumn("recommendation_eligible", F.col("closed_tasks") >= ranked)
 
 
 def pareto(compared: DataFrame) -> DataFrame:
