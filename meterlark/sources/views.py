@@ -187,7 +187,7 @@ counts AS (SELECT deployment_name, count(DISTINCT ingest_seq) AS n FROM worded G
 def task_events(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as tasks: lines are steps, suppliers attempts, the order's status its result, some orders are reviewed."""
     orders = table(spark, folder, "orders")
-    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(table(spark, folder, "lineitem")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     key, number = F.col("o_orderkey"), F.col("l_linenumber")
     text, whole, double, flag = (F.lit(None).cast(t) for t in ("string", "long", "double", "boolean"))
     about = {"task_id": key.cast("string"), "task_type": F.col("o_orderpriority"), "execution_strategy": F.concat(F.lit("strategy-"), F.col("o_custkey") % 3), "strategy_version": F.concat(F.lit("v"), F.col("o_custkey") % 2), "workload": F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("team "), F.col("o_custkey") % 3)), "provider": F.lit("azure_foundry"), "service_tier": F.lit("standard"), "deployment_mode": F.lit("global")}
