@@ -484,7 +484,17 @@ def stream_key_dedupe(spark, folder):
     return D.stream_dedupe(rows).select("stream_key", "ingest_seq")
 
 
-@query()
+VIOLATIONS_SQL = (
+    "WITH steps AS (SELECT CAST(l_orderkey AS VARCHAR) AS task, 'a' || (l_suppkey % 3) AS attempt, l_linenumber AS step, concat_ws('/', l_orderkey, CASE WHEN (l_suppkey + l_linenumber) % 4 <> 0 THEN 'model_call' ELSE 'tool_step' END, 'a' || (l_suppkey % 3), l_linenumber) AS id, "
+    "CASE WHEN (l_suppkey + l_linenumber) % 4 <> 0 THEN CAST(round(l_quantity * 100) AS BIGINT) END AS input, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+    "same AS (SELECT id, any_value(task) AS task, any_value(attempt) AS attempt, any_value(step) AS step, count(DISTINCT (input, q)) AS forms FROM steps GROUP BY id), "
+    "again AS (SELECT DISTINCT task FROM same GROUP BY task, attempt, step HAVING count(*) > 1) "
+    "SELECT 'conflicting-duplicate' AS rule, id AS subject FROM same WHERE forms > 1 UNION ALL SELECT 'duplicate-step', task FROM again UNION ALL SELECT 'review-of-unknown-task', 'ghost' WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 4 = 0) "
+    "UNION ALL SELECT 'conflicting-outcome', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 700 = 3"
+)
+
+
+@query(VIOLATIONS_SQL)
 def event_stream_violations(spark, folder):
     """WIN3 to WIN6, J22 over the task view, in which some things were made wrong."""
     events = V.task_events(spark, folder).withColumn("payload", F.concat_ws("|", "outcome", "input_tokens", "duration_ms"))

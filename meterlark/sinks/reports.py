@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from .. import fixed
+
 LEVELS = {"high": "error", "medium": "warning"}
 
 
@@ -33,12 +35,39 @@ def report_json(sections: dict[str, DataFrame]) -> str:
     return json.dumps(without({k: rows_of(v) for k, v in sections.items()}, "confidence"), indent=2, default=str, ensure_ascii=False)
 
 
-def report_sarif(findings: DataFrame, tool: str = "meterlark") -> str:
-    """SNK9, SNK10: findings (rule_id, severity, affected, ...) as SARIF: high is an error, medium a warning, else a note."""
+SARIF = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0"}
+
+
+def report_sarif(findings: DataFrame, tool: str = "meterlark", deployments: DataFrame | None = None) -> str:
+    """SNK9: findings (rule_id, severity, affected, impact_min_percent, impact_max_percent, ...) as SARIF: high is an error, medium a warning, else a note.
+
+    Rules carry their titles; ``deployments`` (deployment_name, model_name, total_tokens) are summed up in the run's properties.
+    """
+    titles = {rule: title for rule, title, _, _ in fixed.RULES}
     rows = rows_of(findings)
-    results = [{"ruleId": r["rule_id"], "level": LEVELS.get(r.get("severity"), "note"), "message": {"text": f"{r['rule_id']}: {r.get('affected')} affected"}, "properties": {k: v for k, v in r.items() if k not in ("rule_id", "severity")}} for r in rows]
-    rules = [{"id": i} for i in sorted({r["rule_id"] for r in rows})]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2, default=str)
+
+    def message(r: dict) -> str:
+        share = r.get("impact_max_percent")
+        return f"{titles.get(r['rule_id'], r['rule_id'])}: {r.get('affected')} affected" + (f", up to {share} percent" if share is not None else "")
+
+    results = [{"ruleId": r["rule_id"], "level": LEVELS.get(r.get("severity"), "note"), "message": {"text": message(r)}, "properties": {k: v for k, v in r.items() if k not in ("rule_id", "severity")}} for r in rows]
+    rules = [{"id": i, "shortDescription": {"text": titles.get(i, i)}} for i in sorted({r["rule_id"] for r in rows})]
+    about = [{k: r.get(k) for k in ("deployment_name", "model_name", "total_tokens")} for r in rows_of(deployments)] if deployments is not None else []
+    run = {"tool": {"driver": {"name": tool, "rules": rules}}, "properties": {"deployments": [r["deployment_name"] for r in about], "deployment_summaries": about}, "results": results}
+    return json.dumps({**SARIF, "runs": [run]}, indent=2, default=str)
+
+
+def task_sarif(cohorts: DataFrame, tool: str = "meterlark task economics") -> str:
+    """SNK10: a warning for each cohort (see ``tasks.cohorts``) with billable events that have no price."""
+    rows = rows_of(cohorts)
+    rule = {"id": "ECO-PRICING", "shortDescription": {"text": "Billable events of tasks without a price"}}
+    results = [
+        {"ruleId": rule["id"], "level": "warning", "message": {"text": f"{r['task_type']}: {r['unresolved_events']} billable events have no price"}, "properties": {"task_type": r["task_type"], "pricing_coverage_percent": r["coverage_percent"], "unresolved_tasks": r["unresolved_tasks"]}}
+        for r in rows
+        if r["unresolved_events"]
+    ]
+    totals = {"total_attempted_tasks": sum(r["attempted_tasks"] for r in rows), "total_solved_tasks": sum(r["solved_tasks"] for r in rows)}
+    return json.dumps({**SARIF, "runs": [{"tool": {"driver": {"name": tool, "rules": [rule]}}, "properties": totals, "results": results}]}, indent=2, default=str)
 
 
 def report_text(sections: dict[str, DataFrame]) -> str:

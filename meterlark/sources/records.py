@@ -233,19 +233,54 @@ DESTINATIONS = {*REQUIRED, "deployment_mode", "service_tier", "api", "workload",
 ERRORS = ["rate_limit", "timeout", "authentication", "invalid_request", "server_error", "content_filter", "unknown"]
 
 
+SECTIONS = {"fields", "usage", "defaults", "timestamp_format"}
+COUNT_SUFFIXES = ("_tokens", "_token_count", "tokencount")
+
+
 def check_mapping(mapping: dict) -> dict:
-    """PRJ12: known destinations only, and no source path that names content."""
+    """PRJ12, VAL10, VAL11: known sections and destinations only, and no source path that names content; names of token counts aren't content."""
     import re
 
+    strange = sorted(set(mapping) - SECTIONS)
+    if strange:
+        raise ValueError(f"unknown sections: {', '.join(strange)}")
     unknown = sorted(set(mapping.get("fields", {})) - DESTINATIONS) + sorted(set(mapping.get("usage", {})) - set(USAGE))
     if unknown:
         raise ValueError(f"unknown destinations: {', '.join(unknown)}")
-    risky = [p for p in mapping.get("fields", {}).values() if re.search("prompt|message|content|text|arguments|secret|password|api_key", p.lower())]
+    if mapping.get("timestamp_format", "auto") not in ("auto", "iso8601", "epoch_seconds", "epoch_millis"):
+        raise ValueError(f"unknown timestamp format: {mapping['timestamp_format']}")
+    lacking = [n for n in REQUIRED if n not in mapping.get("fields", {}) and n not in mapping.get("defaults", {})]
+    if lacking:
+        raise ValueError(f"required destinations without a source: {', '.join(lacking)}")
+    content = re.compile("|".join(fixed.CONTENT_FRAGMENTS))
+    paths = [*mapping.get("fields", {}).values(), *mapping.get("usage", {}).values()]
+    empty = [p for p in paths if not all(str(p).split("."))]
+    if empty:
+        raise ValueError(f"source paths with an empty segment: {', '.join(map(str, empty))}")
+    risky = [p for p in paths if any(content.search(part.lower()) and not part.lower().endswith(COUNT_SUFFIXES) for part in p.split("."))]
     if risky:
         raise ValueError(f"source paths that may hold content: {', '.join(sorted(risky))}")
     return mapping
 
 
+def read_mapping(spark: SparkSession, path: str) -> dict:
+    """SRC16: a mapping file, JSON or (where PyYAML is there) YAML, from any store that Spark reads."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        mapping = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ModuleNotFoundError as error:
+            raise ValueError("a mapping that isn't JSON needs PyYAML") from error
+        mapping = yaml.safe_load(text)
+    if not isinstance(mapping, dict):
+        raise ValueError("a mapping file holds sections by name")
+    return check_mapping({k: v if v is not None else {} for k, v in mapping.items()})
+
+
 def mapped_rows(records: DataFrame, mapping: dict) -> DataFrame:
     """SRC15, SRC16, PRJ11, PRJ13, AGG39: rows by a declared mapping; those that lack a required field are left out."""
     mapping = check_mapping(mapping)

@@ -100,3 +100,75 @@ def test_percentiles_of_measures(spark):
         for i, m in ((1, "a"), (2, "b")):
             mine = [v[i] for v in values if v[0] == k and v[i] is not None]
             assert [got[k][f"{m}_p50"], got[k][f"{m}_p90"]] == pytest.approx([np.quantile(mine, 0.5), np.quantile(mine, 0.9)])
+
+
+# Mappings and reports
+
+GOOD = {"fields": {"timestamp": "at", "provider": "p", "deployment_name": "d", "model_name": "m"}, "usage": {"input_tokens": "usage.prompt_tokens"}}
+
+
+def test_mapping_files(spark, tmp_path):
+    from meterlark.sources import records
+
+    (tmp_path / "a.json").write_text(json.dumps(GOOD))
+    assert records.read_mapping(spark, str(tmp_path / "a.json")) == GOOD
+    pytest.importorskip("yaml")
+    (tmp_path / "b.yml").write_text("# a mapping\nfields:\n  timestamp: at\n  provider: p\n  deployment_name: d\n  model_name: m\nusage:\n  input_tokens: usage.prompt_tokens\ndefaults:\n")
+    assert records.read_mapping(spark, str(tmp_path / "b.yml")) == {**GOOD, "defaults": {}}
+    (tmp_path / "c.yml").write_text("just text")
+    with pytest.raises(ValueError, match="sections by name"):
+        records.read_mapping(spark, str(tmp_path / "c.yml"))
+    line = json.dumps({"at": "2026-01-01T00:00:00Z", "p": "x", "d": "y", "m": "z", "usage": {"prompt_tokens": 7}})
+    rows = records.mapped_rows(records.parsed(spark.createDataFrame([("f", line)], "file string, value string")), records.read_mapping(spark, str(tmp_path / "b.yml")))
+    assert rows.first()["input_tokens"] == 7
+
+
+@pytest.mark.parametrize(
+    ("change", "error"),
+    [
+        ({"extra": {}}, "unknown sections: extra"),
+        ({"fields": {**GOOD["fields"], "prompt": "x"}}, "unknown destinations: prompt"),
+        ({"usage": {"input_tokens": "request.prompt.text"}}, "may hold content"),
+        ({"usage": {"input_tokens": "prompt_tokens.api_key"}}, "may hold content"),
+        ({"usage": {"input_tokens": "a..b"}}, "empty segment"),
+        ({"fields": {"timestamp": "t"}}, "required destinations"),
+        ({"timestamp_format": "roman"}, "timestamp format"),
+    ],
+)
+def test_mappings_that_are_refused(change, error):
+    from meterlark.sources import records
+
+    with pytest.raises(ValueError, match=error):
+        records.check_mapping({**GOOD, **change})
+
+
+def test_sarif_tells_impact_and_titles(spark):
+    from meterlark.sinks import reports
+
+    findings = spark.createDataFrame([("TL001", "medium", 3, 1.5, 12.0), ("TL999", "info", 1, None, None)], "rule_id string, severity string, affected int, impact_min_percent double, impact_max_percent double")
+    deployments = spark.createDataFrame([("d", "m", 5, "x")], "deployment_name string, model_name string, total_tokens long, other string")
+    run = json.loads(reports.report_sarif(findings, deployments=deployments))["runs"][0]
+    assert [r["level"] for r in run["results"]] == ["warning", "note"] and run["results"][0]["properties"]["impact_max_percent"] == 12.0 and "12.0 percent" in run["results"][0]["message"]["text"]
+    assert run["tool"]["driver"]["rules"][0]["shortDescription"]["text"] != "TL001" and run["properties"] == {"deployments": ["d"], "deployment_summaries": [{"deployment_name": "d", "model_name": "m", "total_tokens": 5}]}
+    cohorts = spark.createDataFrame([("code", 2, 80.0, 1, 10, 4), ("chat", 0, 100.0, 0, 5, 5)], "task_type string, unresolved_events long, coverage_percent double, unresolved_tasks long, attempted_tasks long, solved_tasks long")
+    run = json.loads(reports.task_sarif(cohorts))["runs"][0]
+    assert [r["properties"]["task_type"] for r in run["results"]] == ["code"] and run["properties"] == {"total_attempted_tasks": 15, "total_solved_tasks": 9}
+
+
+def test_all_rules_in_one_pass(spark, tmp_path):
+    """One scan of conversations feeds all rules but the chunks; chunks of another table are judged with them."""
+    from meterlark import catalog
+    from meterlark.operators import rules
+
+    spark.createDataFrame([(i, t, r, "please classify this text " * 9 if t else "you are a helper " * 20) for i in range(40) for t, r in enumerate(["user", "assistant", "user", "assistant", "user"])], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, f"item {i} " * 30) for i in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    line = "alpha beta gamma delta epsilon " * 3
+    spark.createDataFrame([(i, f"{line}\n{line}\nother {i}") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    traces = catalog.raw_requests(spark, str(tmp_path))
+    got = {(r["deployment_name"], r["rule_id"]): r for r in catalog.QUERIES["rule_run"](spark, str(tmp_path)).collect()}
+    singles = [rules.repeated_prefix, rules.fingerprint_prefix, rules.history_growth, rules.unused_tools, rules.retry_amplification, rules.output_budget, rules.repeated_intents, rules.model_sizing]
+    want = {(r["deployment_name"], r["rule_id"]): tuple(r)[2:] for f in singles for r in f(traces, ["deployment_name"]).collect()}
+    assert want and {k: tuple(r[n] for n in rules.RESULT[1:]) for k, r in got.items() if r["status"] == "finding" and k[1] != "TL004"} == want
+    assert {d for (d, rule), r in got.items() if rule == "TL004" and r["status"] == "finding"} == {"dep-0", "dep-1", "dep-2", "dep-3"}
+    whole = {r["rule_id"]: r["status"] for r in rules.evaluate(traces).collect()}
+    assert len(whole) == 8 and whole["TL004"] == "not_evaluated" and whole["TL002"] == "finding"
