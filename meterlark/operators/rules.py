@@ -9,7 +9,6 @@ min_savings, max_savings.  Rules aggregate partially and never bring a slice's r
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +80,9 @@ def unused_tools(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 SLOTS = 1 << 16  # words are told apart in so many slots where only their frequency matters
 
 
-def frequency_classes(worded: DataFrame) -> bytes:
-    """One byte a slot of words (hashes): the logarithm of how often its words occur, in eighths of a power of two.  SLOTS rows come to the driver."""
-    slots = worded.select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+def frequency_classes(parsed: DataFrame) -> bytes:
+    """One byte a slot of the words (hashes) in ``words``: the logarithm of how often its words occur, in eighths of a power of two.  SLOTS rows come to the driver."""
+    slots = parsed.select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     classes = bytearray(SLOTS)
     for slot, n in slots.select("slot", F.least(F.floor(F.log2("n") * 8), F.lit(254)) + 1).collect():
         classes[slot] = n
@@ -97,40 +96,41 @@ def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold:
     Chunks of equal word sets count by a running number.  Words of a set are put in order of their frequency over all chunks, rarest
     first (any fixed order gives the same pairs).  Sets of a request meet under the words of their prefixes (two sets that reach the threshold share
     one of the first ``size - ceil(threshold * size) + 1`` words), unless their sizes or the words left behind the shared one
-    can't reach it; they are verified and count by running numbers too.  Word sets are written once, as hashes.
+    can't reach it; they are verified and count by running numbers too.  Word sets are written once, as hashes
+    in that order; only those of pairs that met are read again.
     """
     key = [*keys, "ingest_seq"]
     hashes = F.transform(words_of(F.col("chunk")), lambda w: F.xxhash64(w))
-    rows = written(chunks.select(*key, "place", _long(count_text(F.col("chunk"))).alias("n"), F.array_sort(hashes).alias("words")).withColumn("set", F.xxhash64("words")), "chunk-rows")
+    # the request's keys as one text that is never null, so that all joins below are on plain equality
+    parsed = chunks.select(*key, F.to_json(F.struct(*key)).alias("k"), "place", _long(count_text(F.col("chunk"))).alias("n"), hashes.alias("words"))
+    common = frequency_classes(parsed)
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(F.lit(common), F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("class"), w.alias("word"))))
+    rows = parsed.withColumn("words", F.transform(ordered, lambda x: x["word"])).withColumn("set", F.xxhash64("words"))
+    rows = written(rows, "chunk-rows")
     worded = rows.where(F.size("words") > 0)
-    slim = worded.select(*key, "set", "place", "n")
-    before = Window.partitionBy(*key, "set").orderBy("place")
+    slim = worded.select(*key, "k", "set", "place", "n")
+    before = Window.partitionBy("k", "set").orderBy("place")
     same = slim.withColumn("redundant", F.col("n") * (F.row_number().over(before) - 1)).select(*key, "redundant")
-    common = frequency_classes(worded)
-    distinct = worded.groupBy(*key, "set").agg(F.first("words").alias("words"))
-    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(F.lit(common), F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("class"), w.alias("word"))))
-    sets = written(distinct.select(*key, "set", F.transform(ordered, lambda x: x["word"]).alias("words")), "chunk-sets")
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    under = sets.select(*key, "set", size.alias("size"), F.posexplode(prefix).alias("at", "word"))
-
-    def meet(left: str, right: str, *columns: tuple[str, str]) -> Column:
-        on = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key] + [F.col(f"{left}.{c}") == F.col(f"{right}.{d}") for c, d in columns]
-        return reduce(Column.__and__, on)
-
-    of = lambda name: [F.col(f"{name}.{k}").alias(k) for k in key]
+    # half a hash is enough to bring sets together, because pairs are verified; one exchange serves the distinct rows and both sides of the join
+    starts = worded.select("k", "set", size.alias("size"), F.posexplode(F.transform(prefix, lambda w: F.shiftright(w, 32).cast("int"))).alias("at", "word"))
+    under = starts.repartition("k", "word").distinct()
     shared = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))  # at most so many of both from here on
     both_sizes = F.col("a.size") + F.col("b.size")
     near = (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9) & (shared + F.least("a.at", "b.at") >= both_sizes * (threshold / (1 + threshold)) - 1e-9)
-    met = under.alias("a").join(under.alias("b"), meet("a", "b", ("word", "word")) & (F.col("a.set") < F.col("b.set")) & near)
-    pairs = met.select(*of("a"), F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
-    pairs = pairs.alias("p").join(sets.alias("a"), meet("p", "a", ("x", "set"))).select(*of("p"), "x", "y", F.col("a.words").alias("x_words"))
-    pairs = pairs.alias("p").join(sets.alias("b"), meet("p", "b", ("y", "set"))).select(*of("p"), "x", "y", "x_words", F.col("b.words").alias("y_words"))
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.set") < F.col("b.set"))
+    met = under.alias("a").join(under.alias("b"), on & near)
+    pairs = written(met.select(F.col("a.k").alias("k"), F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct(), "chunk-pairs")
+    needed = pairs.select("k", F.explode(F.array("x", "y")).alias("set")).distinct()
+    sets = worded.join(needed, ["k", "set"], "left_semi").groupBy("k", "set").agg(F.first("words").alias("words"))
+    pairs = pairs.join(sets.select("k", F.col("set").alias("x"), F.col("words").alias("x_words")), ["k", "x"])
+    pairs = pairs.join(sets.select("k", F.col("set").alias("y"), F.col("words").alias("y_words")), ["k", "y"])
     overlap = F.size(F.array_intersect("x_words", "y_words"))
     pairs = pairs.where(overlap / (F.size("x_words") + F.size("y_words") - overlap) >= threshold)
-    sides = pairs.select(*key, "x", "y", F.explode(F.array(F.struct(F.col("x").alias("set"), F.lit(0).alias("side")), F.struct(F.col("y").alias("set"), F.lit(1).alias("side")))).alias("s")).select(*key, "x", "y", "s.*")
-    both = slim.alias("r").join(sides.alias("s"), meet("r", "s", ("set", "set"))).select(*of("r"), "x", "y", "side", "place", "n")
-    so_far = Window.partitionBy(*key, "x", "y").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = pairs.select("k", "x", "y", F.explode(F.array(F.struct(F.col("x").alias("set"), F.lit(0).alias("side")), F.struct(F.col("y").alias("set"), F.lit(1).alias("side")))).alias("s")).select("k", "x", "y", "s.*")
+    both = slim.join(sides, ["k", "set"]).select(*key, "k", "x", "y", "side", "place", "n")
+    so_far = Window.partitionBy("k", "x", "y").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     others = F.when(F.col("side") == 0, F.sum("side").over(so_far)).otherwise(F.sum(1 - F.col("side")).over(so_far))
     cross = both.withColumn("redundant", F.col("n") * others).select(*key, "redundant")
     requests = rows.select(*key).distinct().withColumn("redundant", F.lit(0).cast("long"))
