@@ -336,7 +336,7 @@ def collection_summary(spark, folder):
 @query(f"WITH {S.REQUEST_TRACES_SQL}, mapped AS (SELECT *, CAST(ingest_seq % 4000 AS VARCHAR) AS event_id FROM traces WHERE model_name <> 'unknown') SELECT (SELECT count(*) FROM traces) AS records_seen, count(*) AS records_mapped, (SELECT count(*) FROM traces) - count(*) AS records_skipped, count(*) - count(DISTINCT event_id) AS duplicates_skipped, epoch_us(min(ts)) AS requested_start, epoch_us(max(ts)) AS requested_end FROM mapped")
 def request_manifest(spark, folder):
     """AGG35, SRT9: an import's counts."""
-    seen = M.capped(V.request_traces(spark, folder))
+    seen = V.request_traces(spark, folder)  # all of it: a cap is a caller's choice (manifests.capped)
     mapped = seen.where("model_name <> 'unknown'").withColumn("event_id", (F.col("ingest_seq") % 4000).cast("string"))
     return M.request_manifest(seen, mapped).withColumns({"requested_start": F.unix_micros("requested_start"), "requested_end": F.unix_micros("requested_end")})
 

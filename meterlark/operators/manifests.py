@@ -57,9 +57,10 @@ def request_manifest(seen: DataFrame, mapped: DataFrame, key: str = "event_id")
     return both.select("records_seen", "records_mapped", (F.col("records_seen") - F.col("records_mapped")).alias("records_skipped"), "duplicates_skipped", "requested_start", "requested_end")
 
 
-def capped(records: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """SRT9: the first ``max_rows`` records seen, which is a feature of imports."""
-    return records.limit(max_rows)
+def capped(records: DataFrame, max_rows: int, order: str = "ingest_seq") -> tuple[DataFrame, bool]:
+    """SRT9: the first ``max_rows`` records in order, and whether there are more; a cap that isn't reached costs no sort."""
+    more = records.limit(max_rows + 1).count() > max_rows
+    return (records.orderBy(order).limit(max_rows), True) if more else (records, False)
 
 
 # Findings

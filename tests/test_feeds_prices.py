@@ -172,3 +172,12 @@ def test_all_rules_in_one_pass(spark, tmp_path):
     assert {d for (d, rule), r in got.items() if rule == "TL004" and r["status"] == "finding"} == {"dep-0", "dep-1", "dep-2", "dep-3"}
     whole = {r["rule_id"]: r["status"] for r in rules.evaluate(traces).collect()}
     assert len(whole) == 8 and whole["TL004"] == "not_evaluated" and whole["TL002"] == "finding"
+
+
+def test_caps_are_told(spark):
+    from meterlark.operators import manifests
+
+    rows = spark.range(20, numPartitions=5).withColumnRenamed("id", "ingest_seq")
+    few, reached = manifests.capped(rows, 3)
+    assert reached and sorted(r[0] for r in few.collect()) == [0, 1, 2]
+    assert manifests.capped(rows, 20)[1] is False and manifests.capped(rows, 20)[0].count() == 20
