@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
-from ..functions.quantiles import beside
+from ..functions.quantiles import beside, counted_broadcast
 from ..functions.text import known_model, words_of
 from ..functions.tokens import count_messages, count_text, count_tools
 from ..sinks.tables import written
@@ -77,6 +77,7 @@ def unused_tools(traces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _result(found, keys, "TL003", F.col("unused"), F.col("tokens"), F.bround(spare * 0.6, 0), spare)
 
 
+PAIRED_SETS = 1_000_000  # at most so many numbers of word sets (8 bytes each) are broadcast; more meet by a shuffle
 SLOTS = 1 << 16  # words are told apart in so many slots where only their frequency matters
 
 
@@ -122,8 +123,8 @@ def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold:
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.set") < F.col("b.set"))
     met = under.alias("a").join(under.alias("b"), on & near)
     pairs = written(met.select(F.col("a.k").alias("k"), F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct(), "chunk-pairs")
-    needed = pairs.select("k", F.explode(F.array("x", "y")).alias("set")).distinct()
-    sets = worded.join(needed, ["k", "set"], "left_semi").groupBy("k", "set").agg(F.first("words").alias("words"))
+    needed = counted_broadcast(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct(), PAIRED_SETS)
+    sets = written(worded.select("k", "set", "words").join(needed, "set", "left_semi").groupBy("k", "set").agg(F.first("words").alias("words")), "chunk-sets")
     pairs = pairs.join(sets.select("k", F.col("set").alias("x"), F.col("words").alias("x_words")), ["k", "x"])
     pairs = pairs.join(sets.select("k", F.col("set").alias("y"), F.col("words").alias("y_words")), ["k", "y"])
     overlap = F.size(F.array_intersect("x_words", "y_words"))
