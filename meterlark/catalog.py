@@ -785,7 +785,7 @@ def imported_price_ambiguity(spark, folder):
 def layered_price(spark, folder):
     """J6, J8, J9: imported rows first, then a static list."""
     first = imported(spark, folder)
-    second = first.where("request % 3 = 0").select("request", F.lit("RESOLVED").alias("state"), F.lit(0.5).alias("rate"), F.lit("USD").alias("currency"))
+    second = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("request")).where("request % 3 = 0").select("request", F.lit("RESOLVED").alias("state"), F.lit(0.5).alias("rate"), F.lit("USD").alias("currency"))
     return Y.layered_prices([first, second], "USD").select("request", F.round("rate", 9).alias("rate"), "layer")
 
 

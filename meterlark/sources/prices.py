@@ -130,24 +130,34 @@ def meter_prices(resolved: DataFrame) -> DataFrame:
 def imported_prices(rows: DataFrame, requests: DataFrame, bin_days: int = 32) -> DataFrame:
     """J7: a request's (model, scope, component, at) exact rows: none, one, or AMBIGUOUS; a rate without a quantity is verified but has no usage.
 
-    A row stands in every bin of days that its period touches, as far as requests reach; a request is in one bin.  They meet by
-    equality of bin and keys, so a request is compared with its model's rows of about a month, however long the history is,
-    and adaptive execution can split a model's requests.  Request ids are different from each other.
+    Requests and rows are never paired.  For each key and moment asked, the rows in force are those begun less those
+    ended; if it is one, it is the one of all begun that ends last.  A row stands in every bin of days that its period
+    touches, as far as requests reach, begun at the bin's start at the earliest, so a bin is counted through on its own.
     """
     keys = ["model", "processing_scope", "component"]
     day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
     of = lambda c: F.floor(c / bin_days).cast("int")
     least, most = requests.agg(F.min(of(day(F.col("at")))), F.max(of(day(F.col("at"))))).first()
-    asked = requests.withColumn("bin", of(day(F.col("at"))))
     if least is None:
         least, most = 0, -1
+    none = F.lit(None)
+    asked = requests.groupBy(*keys, "at").agg(F.lit(1).alias("asked")).where("at is not null")
+    wanted = asked.select(*keys).distinct()
     begin = F.greatest(of(day(F.col("effective_from"))), F.lit(least))
     end = F.least(F.coalesce(of(day(F.col("effective_to"))), F.lit(most)), F.lit(most))
-    binned = rows.where(begin <= end).select(*keys, "effective_from", "effective_to", "unit_price", "unit_multiplier", "quantity", "currency", F.explode(F.sequence(begin, end)).alias("bin"))
-    fits = (F.col("at") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("at") <= F.col("effective_to")))
-    met = asked.join(binned, [*keys, "bin"]).where(fits)
-    facts = met.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.min("unit_price").alias("unit_price"), F.min("unit_multiplier").alias("multiplier"), F.min("quantity").alias("quantity"), F.min("currency").alias("currency"))
-    found = requests.select("request").join(facts, "request", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    valid = rows.where(F.col("effective_from").isNotNull() & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("effective_from")))).join(wanted, keys, "left_semi")
+    fact = F.struct(F.col("effective_to").isNull().alias("open"), "effective_to", "unit_price", F.col("unit_multiplier").alias("multiplier"), "quantity", "currency")
+    binned = valid.where(begin <= end).select(*keys, "effective_from", "effective_to", fact.alias("fact"), F.explode(F.sequence(begin, end)).alias("bin"))
+    moment = lambda c: F.col(c).cast("timestamp")
+    start = F.date_add(F.lit("1970-01-01").cast("date"), F.col("bin") * bin_days).cast("timestamp")
+    # at one moment rows begin (0), requests are asked (1) and rows end (2)
+    begun = binned.groupBy(*keys, "bin", F.greatest(moment("effective_from"), start).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.max("fact").alias("fact")).withColumn("kind", F.lit(0))
+    ended = binned.where(F.col("effective_to").isNotNull() & (of(day(F.col("effective_to"))) == F.col("bin"))).groupBy(*keys, "bin", moment("effective_to").alias("t")).agg((-F.count(F.lit(1))).alias("n")).withColumns({"fact": none, "kind": F.lit(2)})
+    points = asked.select(*keys, of(day(F.col("at"))).alias("bin"), moment("at").alias("t"), F.lit(0).cast("long").alias("n"), none.alias("fact"), F.lit(1).alias("kind"), "at")
+    line = points.unionByName(begun.withColumn("at", none)).unionByName(ended.withColumn("at", none))
+    so_far = Window.partitionBy(*keys, "bin").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    facts = line.select(*keys, "at", "kind", F.sum("n").over(so_far).alias("n"), F.max("fact").over(so_far).alias("fact")).where("kind = 1 and n > 0").select(*keys, "at", "n", "fact.*")
+    found = requests.select("request", *keys, "at").join(facts, [*keys, "at"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     state = F.when(F.col("n") == 0, "NO_PRICE").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("quantity").isNull(), "RATE_VERIFIED_USAGE_MISSING").otherwise("RESOLVED")
     one = F.col("n") == 1
     return found.select("request", state.alias("state"), F.when(one, F.col("unit_price") / F.col("multiplier")).alias("rate"), F.when(one & F.col("quantity").isNotNull(), F.round(F.col("unit_price") * F.col("quantity") / F.col("multiplier"), 6)).alias("amount"), F.when(one, F.col("currency")).alias("currency"))

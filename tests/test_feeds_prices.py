@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -78,6 +78,19 @@ def test_prices_by_bins(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "bin#" in plan
 
 
+def test_prices_never_pair_requests_and_rows(spark):
+    """Requests within a day meet rows that begin and end within it, and no join compares moments."""
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    rows = [("m", "A", "input", float(a), 10.0, 2.0, "USD", at(a), None if z is None else at(z)) for a, z in ((10, 20), (20, 30), (31, 40), (60, None), (1500, 1600), (50, 45))]
+    df = spark.createDataFrame(rows, "model string, processing_scope string, component string, unit_price double, unit_multiplier double, quantity double, currency string, effective_from timestamp, effective_to timestamp")
+    requests = spark.createDataFrame([(i, "m", "A", "input", at(i)) for i in (9, 10, 19, 20, 21, 30, 31, 47, 60, 1499, 1500, 1600, 1601, 9000)], "request long, model string, processing_scope string, component string, at timestamp")
+    found = prices.imported_prices(df, requests, 1)
+    got = {r["request"]: r["rate"] if r["state"] == "RESOLVED" else r["state"] for r in found.collect()}
+    assert got == {9: "NO_PRICE", 10: 1.0, 19: 1.0, 20: "AMBIGUOUS", 21: 2.0, 30: 2.0, 31: 3.1, 47: "NO_PRICE", 60: 6.0, 1499: 6.0, 1500: "AMBIGUOUS", 1600: "AMBIGUOUS", 1601: 6.0, 9000: 6.0}
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not any("<=" in x or ">=" in x for x in joins)
+
+
 def test_labels_and_crosswalk(spark):
     crosswalk = spark.createDataFrame([("a", "p", "Five"), ("b", "p", "five-six"), ("c", "q", "FIVE six"), ("d", "p", " "), ("e", "p", "seven eight nine")], "model string, publisher string, label string")
     names = spark.createDataFrame([("five six seven",), ("five",), ("sixty",), ("",), ("seven eight",), (None,)], "name string")
