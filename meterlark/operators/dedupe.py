@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sinks.tables import written
+
 
 def dedupe_records(records: DataFrame, key: str = "event_id", order: str = "ingest_seq") -> DataFrame:
     """WIN1: the first row of each key; rows without a key are all kept (and kept out of the window, so they crowd no task)."""
@@ -32,20 +34,27 @@ def stream_violations(events: DataFrame) -> DataFrame:
     """WIN3 to WIN6, J22: (rule, subject) of what makes an event stream invalid.
 
     Needs event_id, event_type, ts, task_id, task_type, execution_strategy, strategy_version, attempt_id, step_index, outcome, payload.
+    Events are derived and brought together by id once, and written; every rule reads what is left.
     """
     said = lambda rule, df, subject: df.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
-    payloads = events.groupBy("event_id").agg(F.min("payload").alias("a"), F.max("payload").alias("z")).where("a <> z")
-    unique = events.dropDuplicates(["event_id"])
-    metadata = unique.groupBy("task_id").agg(*[(F.min(c) != F.max(c)).alias(c) for c in ("task_type", "execution_strategy", "strategy_version")]).where("task_type or execution_strategy or strategy_version")
+    about, rest = ["task_type", "execution_strategy", "strategy_version"], ["event_type", "ts", "task_id", "attempt_id", "step_index", "outcome"]
+    # ids are put in order by a number first, which compares faster than long ids that begin alike
+    once = events.groupBy(F.xxhash64("event_id").alias("place"), "event_id").agg((F.min("payload") != F.max("payload")).alias("torn"), F.min(F.struct(*rest, *about)).alias("e"))
+    unique = written(once.select("event_id", "torn", "e.*"), "events-once")
+    # a task has few sets of metadata, which are counted by hash; only those are compared
+    sets = unique.groupBy("task_id", *about).agg(F.bool_or(F.col("event_type") != "human_review").alias("known"))
+    differs = [F.min(c) != F.max(c) for c in about]
+    tasks = sets.groupBy("task_id").agg((differs[0] | differs[1] | differs[2]).alias("differs"), F.bool_or("known").alias("known"))
+    faults = F.array_compact(F.array(F.when(F.col("differs"), F.lit("conflicting-metadata")), F.when(~F.col("known"), F.lit("review-of-unknown-task"))))
+    tasks = tasks.where("differs or not known").select(F.explode(faults).alias("rule"), F.col("task_id").cast("string").alias("subject"))
     steps = unique.where(F.col("event_type").isin("model_call", "tool_step"))
     lost = steps.where("attempt_id is null")
     again = steps.where("attempt_id is not null").groupBy("task_id", "attempt_id", "step_index").count().where("count > 1").select("task_id").distinct()
-    tasks = unique.groupBy("task_id").agg(F.bool_or(F.col("event_type") != "human_review").alias("known")).where("not known")
     turn = Window.partitionBy("task_id").orderBy("ts", "event_id")
     results = unique.where("event_type = 'task_result'").withColumn("before", F.lag("outcome").over(turn)).where("before = 'solved' and outcome <> 'solved'").select("task_id").distinct()
-    parts = [("conflicting-duplicate", payloads, "event_id"), ("conflicting-metadata", metadata, "task_id"), ("missing-attempt", lost, "event_id"), ("duplicate-step", again, "task_id"), ("review-of-unknown-task", tasks, "task_id"), ("conflicting-outcome", results, "task_id")]
-    out = said(*parts[0])
-    for p in parts[1:]:
+    parts = [("conflicting-duplicate", unique.where("torn"), "event_id"), ("missing-attempt", lost, "event_id"), ("duplicate-step", again, "task_id"), ("conflicting-outcome", results, "task_id")]
+    out = tasks
+    for p in parts:
         out = out.unionByName(said(*p))
     return out
 

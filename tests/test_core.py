@@ -342,6 +342,13 @@ def test_violations(spark):
     assert got == {("conflicting-duplicate", "twice"), ("duplicate-step", "x"), ("missing-attempt", "e4"), ("conflicting-metadata", "y"), ("conflicting-outcome", "y"), ("review-of-unknown-task", "ghost")}
 
 
+def test_violations_derive_events_once(spark):
+    """The rules read what was written, not the events again."""
+    rows = events(spark, {**CALL, "task_id": "x"}, {"event_type": "human_review", "task_id": "ghost"})
+    plan = dedupe.stream_violations(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
+
+
 def test_pareto(spark):
     df = spark.createDataFrame([("t", "a", "1", 1.0, 90.0), ("t", "b", "1", 2.0, 80.0), ("t", "c", "1", 3.0, 95.0), ("t", "d", "1", None, 99.0), ("u", "a", "1", 9.0, 1.0)], "task_type string, execution_strategy string, strategy_version string, cost_per_solved_task_usd double, success_rate double")
     assert {(r[0], r[1]): r["pareto_frontier"] for r in tasks.pareto(df).collect()} == {("t", "a"): True, ("t", "b"): False, ("t", "c"): True, ("t", "d"): True, ("u", "a"): True}
