@@ -164,7 +164,7 @@ def strategies(tasks: DataFrame, provisional: int = 30, ranked: int = 100, perce
     """AGG23: strategies of a task type with enough closed tasks."""
     closed, solved = F.col("outcome").isNotNull(), F.col("outcome") == "solved"
     keys = ["task_type", "execution_strategy", "strategy_version"]
-    tasks = written(tasks, "tasks")
+    tasks = written(tasks.select(*keys, "outcome", "attempts", "solved_attempts", "resolved", "cost_usd"), "tasks")  # what isn't written isn't derived
     found = measured_percentiles(tasks, keys, {"cost": F.col("cost_usd")}, {"p50": 0.5, "p90": 0.9})
     found = found.select(*keys, *[F.round(f"cost_{p}", percentile_digits).alias(f"{p}_cost_usd") for p in ("p50", "p90")])
     out = tasks.groupBy(*keys).agg(
@@ -181,8 +181,9 @@ def strategies(tasks: DataFrame, provisional: int = 30, ranked: int = 100, perce
 def pareto(compared: DataFrame) -> DataFrame:
     """J20: ``compared`` with pareto_frontier: no other strategy of the type is as good in cost and success and better in one.
 
-    An anti-join of strategies, which are few, within their task type.
+    An anti-join of strategies, which are few, within their task type; they are written once for its sides.
     """
+    compared = written(compared, "strategies")
     a, b = compared.alias("a"), compared.alias("b")
     better = (
         (F.col("a.task_type") == F.col("b.task_type"))

@@ -349,6 +349,20 @@ def test_violations_derive_events_once(spark):
     assert "parquet" in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
 
 
+def test_strategies_write_what_they_compare(spark, monkeypatch):
+    wrote = {}
+
+    def note(df, name, write=tasks.written):
+        wrote[name] = df.columns
+        return write(df, name)
+
+    monkeypatch.setattr(tasks, "written", note)
+    rows = events(spark, {**CALL, "task_id": "x"}, {"event_type": "task_result", "task_id": "x", "attempt_id": "a1", "outcome": "solved"})
+    tasks.pareto(tasks.strategies(tasks.trajectories(tasks.price_events(rows, [])), provisional=1)).collect()
+    assert sorted(wrote["tasks"]) == ["attempts", "cost_usd", "execution_strategy", "outcome", "resolved", "solved_attempts", "strategy_version", "task_type"]
+    assert "strategies" in wrote
+
+
 def test_pareto(spark):
     df = spark.createDataFrame([("t", "a", "1", 1.0, 90.0), ("t", "b", "1", 2.0, 80.0), ("t", "c", "1", 3.0, 95.0), ("t", "d", "1", None, 99.0), ("u", "a", "1", 9.0, 1.0)], "task_type string, execution_strategy string, strategy_version string, cost_per_solved_task_usd double, success_rate double")
     assert {(r[0], r[1]): r["pareto_frontier"] for r in tasks.pareto(df).collect()} == {("t", "a"): True, ("t", "b"): False, ("t", "c"): True, ("t", "d"): True, ("u", "a"): True}
