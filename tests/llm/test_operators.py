@@ -89,6 +89,33 @@ def test_topk_search_table(spark, monkeypatch):
     assert len(want) >= 15 and got == want
 
 
+def test_topk_search_index_is_slim(spark, monkeypatch):
+    """A document's id and length stand in its shard once, not with each posting, and a shard that is handed over is not kept."""
+    import weakref
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk_search, "SHARD_BYTES", 2000)
+    index = topk_search.build_index(frame(spark, sentences(100, 12)), None)
+    rows = index.collect()
+    assert sum(len(r["lengths"] or []) for r in rows) == sum(len(r["ids"] or []) for r in rows) == 100 < sum(len(r["docs"]) for r in rows)
+    assert all((r["ids"] is None) == (r["term"] is not None) for r in rows)
+
+    class Batch:  # as much of a batch as is cut here
+        def __init__(self, shard):
+            self.shard = pa.array([shard])
+
+        def column(self, name):
+            return self.shard
+
+        def slice(self, at, size):
+            return Batch(self.shard[0].as_py())
+
+    seen = []
+    monkeypatch.setattr(topk_search.pa, "Table", type("Table", (), {"from_batches": staticmethod(lambda held: seen.extend(map(weakref.ref, held)) or len(held))}))
+    assert [(n, [x() for x in seen if x()]) for n in topk_search.shards_of(iter([Batch(1), Batch(1)]))] == [(2, [])]
+
+
 def test_topk_search_asks_every_twentieth_document(spark, tmp_path):
     from meterlark.llm.queries import op1_topk_search
 
