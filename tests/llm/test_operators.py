@@ -116,6 +116,31 @@ def test_topk_search_index_is_slim(spark, monkeypatch):
     assert [(n, [x() for x in seen if x()]) for n in topk_search.shards_of(iter([Batch(1), Batch(1)]))] == [(2, [])]
 
 
+def test_topk_search_table_packs_a_shard_in_a_row(spark, monkeypatch):
+    """The index is a row a shard, not a row a term of each shard, and groups of alike documents lose nothing."""
+    rng, tables = np.random.default_rng(5), {}
+    kept = topk_search.materialize
+    monkeypatch.setattr(topk_search, "materialize", lambda df, name="table": tables.setdefault(name, kept(df, name)))
+    for name, value in (("BATCH_CELLS", 1000), ("RARE_CELLS", 300), ("EXACT_ROWS", 7), ("GROUP_DOCS", 20), ("QUERY_ROWS", 700)):
+        monkeypatch.setattr(topk_search, name, value, raising=False)
+    tongue = lambda c, n: " ".join(f"{c}{w}" for w in rng.zipf(1.4, n) % 500)
+    texts = [tongue("xyz"[i % 3], int(rng.integers(1, 90))) + (" xyz" if i % 7 else "") for i in range(500)]
+    texts += [texts[40], texts[40], "x1 " * 300, None, "", *ODD]
+    docs = frame(spark, texts).coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(topk_search.search_table(docs, docs.where(F.col("doc_id") % 20 == 0)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    rows = list(enumerate(texts))
+    want = {q: v for q, v in brute_bm25(rows, [(i, t) for i, t in rows if i % 20 == 0]).items() if v}
+    assert len(want) >= 25 and got == want
+    assert tables["index"].count() == 1
+
+
+def test_topk_search_table_without_terms(spark):
+    for docs in (spark.createDataFrame([], DOCS), frame(spark, [None, "", "!!"])):
+        assert topk_search.search_table(docs, docs).count() == 0
+
+
 def test_topk_search_asks_every_twentieth_document(spark, tmp_path):
     from meterlark.llm.queries import op1_topk_search
 
