@@ -53,9 +53,9 @@ def sampled(key: Column, rate: float) -> Column:
     return (high * 4294967296.0 + low) / 18446744073709551616.0 < F.lit(rate)
 
 
-def words_of(text: Column) -> Column:
-    """Distinct words of three or more ASCII letters and digits of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), 1))
+def word_hashes_of(text: Column) -> Column:
+    """Hashes of the distinct words of three or more ASCII letters and digits of the lower-cased text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), 0), lambda w: F.xxhash64(w)))
 
 
 def first_filled(*values: Column) -> Column:

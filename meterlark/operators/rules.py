@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions.quantiles import beside, counted_broadcast
-from ..functions.text import known_model, words_of
+from ..functions.text import known_model, word_hashes_of
 from ..functions.tokens import count_messages, count_text, count_tools
 from ..sinks.tables import written
 
@@ -97,26 +97,27 @@ def redundant_chunk_rows(chunks: DataFrame, keys: Sequence[str] = (), threshold:
     Chunks of equal word sets count by a running number.  Words of a set are put in order of their frequency over all chunks, rarest
     first (any fixed order gives the same pairs).  Sets of a request meet under the words of their prefixes (two sets that reach the threshold share
     one of the first ``size - ceil(threshold * size) + 1`` words), unless their sizes or the words left behind the shared one
-    can't reach it; they are verified and count by running numbers too.  Word sets are written once, as hashes
-    in that order; only those of pairs that met are read again.
+    can't reach it; they are verified and count by running numbers too.  Chunks are parsed once, into hashes that are written;
+    frequencies and prefixes are derived from these, and only the sets of pairs that met are read again.  Requests are told apart by a hash of their keys.
     """
     key = [*keys, "ingest_seq"]
-    hashes = F.transform(words_of(F.col("chunk")), lambda w: F.xxhash64(w))
-    # the request's keys as one text that is never null, so that all joins below are on plain equality
-    parsed = chunks.select(*key, F.to_json(F.struct(*key)).alias("k"), "place", _long(count_text(F.col("chunk"))).alias("n"), hashes.alias("words"))
-    common = frequency_classes(parsed)
-    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(F.lit(common), F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("class"), w.alias("word"))))
-    rows = parsed.withColumn("words", F.transform(ordered, lambda x: x["word"])).withColumn("set", F.xxhash64("words"))
-    rows = written(rows, "chunk-rows")
+    # the request's keys as one number that is never null, so that all joins below are on plain equality
+    parsed = chunks.select(*key, F.xxhash64(F.to_json(F.struct(*key))).alias("k"), "place", _long(count_text(F.col("chunk"))).alias("n"), F.sort_array(word_hashes_of(F.col("chunk"))).alias("words"))
+    rows = written(parsed.withColumn("set", F.xxhash64("words")), "chunk-rows")
+    # the class above the hash in one number, so that a set is put in order as plain numbers
+    common = F.split(F.lit(",".join(str(c << 55) for c in frequency_classes(rows))), ",").cast("array<bigint>")
+    classed = lambda w: F.coalesce(F.get(common, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(w, 9))
     worded = rows.where(F.size("words") > 0)
     slim = worded.select(*key, "k", "set", "place", "n")
     before = Window.partitionBy("k", "set").orderBy("place")
     same = slim.withColumn("redundant", F.col("n") * (F.row_number().over(before) - 1)).select(*key, "redundant")
     size = F.size("words")
-    prefix = F.slice("words", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    # half a hash is enough to bring sets together, because pairs are verified; one exchange serves the distinct rows and both sides of the join
-    starts = worded.select("k", "set", size.alias("size"), F.posexplode(F.transform(prefix, lambda w: F.shiftright(w, 32).cast("int"))).alias("at", "word"))
-    under = starts.repartition("k", "word").distinct()
+    prefix = F.slice(F.sort_array(F.transform("words", classed)), F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
+    # half a hash is enough to bring sets together, because pairs are verified; words of one set alone, which are most, are left out before the join
+    starts = worded.select("k", "set", size.alias("size"), F.posexplode(prefix).alias("at", "word"))
+    under = starts.withColumn("word", F.shiftright(F.shiftleft("word", 32), 32).cast("int")).repartition("k", "word").distinct()
+    alone = Window.partitionBy("k", "word")
+    under = written(under.withColumn("sets", F.count(F.lit(1)).over(alone)).where("sets > 1").drop("sets"), "chunk-starts")
     shared = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))  # at most so many of both from here on
     both_sizes = F.col("a.size") + F.col("b.size")
     near = (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9) & (shared + F.least("a.at", "b.at") >= both_sizes * (threshold / (1 + threshold)) - 1e-9)

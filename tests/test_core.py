@@ -245,6 +245,18 @@ def test_chunks(spark):
     assert only(chunks_of(requests(spark, {"retrieved_chunks": [same, same]}))) is None
 
 
+def test_chunks_are_parsed_once(spark, monkeypatch):
+    """Frequencies come from hashes that are written, and words that one set of a request has alone don't reach the join of sets."""
+    plans, tables, classes, kept = [], {}, rules.frequency_classes, rules.written
+    monkeypatch.setattr(rules, "frequency_classes", lambda rows: plans.append(rows._jdf.queryExecution().toString()) or classes(rows))
+    monkeypatch.setattr(rules, "written", lambda df, name: tables.setdefault(name, kept(df, name)))
+    near, far = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven"
+    got = only(chunks_of(requests(spark, {"retrieved_chunks": [near, near + " lambda", far, near]}, {"retrieved_chunks": [near, far, None, ""]})))
+    assert (got["affected"], got["measured"]) == (2, len(near + " lambda") + 2 * len(near))
+    assert len(plans) == 1 and "regexp" not in plans[0]
+    assert {r["n"] for r in tables["chunk-starts"].groupBy("k", "word").agg(F.count("*").alias("n")).collect()} == {2}
+
+
 def test_chunks_are_all_lines_of_documents(spark, tmp_path):
     import random
     import re
