@@ -136,6 +136,24 @@ def test_topk_search_table_packs_a_shard_in_a_row(spark, monkeypatch):
     assert tables["index"].count() == 1
 
 
+def test_topk_search_table_takes_equal_texts_once(spark, monkeypatch):
+    """Copies of a text are one document of the index and one query, and each of them is found and answered."""
+    tables = {}
+    kept = topk_search.materialize
+    monkeypatch.setattr(topk_search, "materialize", lambda df, name="table": tables.setdefault(name, kept(df, name)))
+    texts = sentences(40, 12) * 14 + [None, "", "w1 w2"]
+    ids = [*range(len(texts) - 1), 25]  # an id of two texts
+    docs = frame(spark, texts, ids).union(frame(spark, texts[40:45], ids[40:45]))  # and rows that are repeated
+    got = defaultdict(list)
+    for r in sorted(topk_search.search_table(docs, docs.where(F.col("doc_id") % 20 == 0), k=20).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    rows = list(zip(ids, texts, strict=True)) + list(zip(ids[40:45], texts[40:45], strict=True))
+    want = {q: v for q, v in brute_bm25(rows, [(i, t) for i, t in rows if i % 20 == 0], k=20).items() if v}
+    assert len(want) == 28 and got == want
+    assert sum(len(r["lengths"]) for r in tables["index"].collect()) == 40 + 2  # a byte each
+    assert tables["asked"].select("query_id").distinct().count() == 2
+
+
 def test_topk_search_table_without_terms(spark):
     for docs in (spark.createDataFrame([], DOCS), frame(spark, [None, "", "!!"])):
         assert topk_search.search_table(docs, docs).count() == 0
